@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from runloom.llm import chat, exact_dedup, simhash
+from runloom.llm import chat, exact_dedup, mixing, simhash, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_warc": warc.op8_warc,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
