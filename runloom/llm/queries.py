@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from runloom.llm import chat, exact_dedup, mixing, simhash, warc
+from runloom.llm import chat, exact_dedup, language, mixing, pieces, simhash, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
+    "op9_language_id": language.op9_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
