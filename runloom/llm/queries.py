@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from runloom.llm import chat, exact_dedup, language, mixing, pieces, simhash, warc
+from runloom.llm import ann, chat, exact_dedup, language, mixing, pieces, simhash, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_nearest_neighbours": ann.op2_nearest_neighbours,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op7_sentencepiece": pieces.op7_sentencepiece,
