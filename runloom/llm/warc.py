@@ -210,8 +210,8 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload:
         if now == count:
             break
         count = now
-        onward = jumps.select("path", F.col("at").alias("mid"), F.col("to").alias("beyond"))
-        two = jumps.join(onward, (jumps["path"] == onward["path"]) & (jumps["to"] == onward["mid"]), "left").select(jumps["path"], "at", F.coalesce("beyond", "to").alias("to"))
+        onward = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("beyond"))
+        two = jumps.join(onward, ["path", "to"], "left").select("path", "at", F.coalesce("beyond", "to").alias("to"))
         jumps = written(two, "jumps")
     entries = reached.join(ranges, "path").where("at >= start and at < end").select("path", "size", "at", "end").repartition(max(1, n), "path", "at")
 
