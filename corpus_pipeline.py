@@ -2,5 +2,64 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runloom.llm import common, exact_dedup, language, mixing, pieces, simhash
+
+#: A document whose likeliest language has a lower mean probability is rejected.
+LEAST_SCORE = 0.3
+
+
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in ids(_id), a null id included, in the columns of docs."""
+    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is known; `und` and uncertain ones go. Learns from the documents it gets."""
+    network = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.predict(docs, network).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return _chosen(docs, found.select(F.col("doc_id").alias("_id")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the largest id."""
+    kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"))
+    return _chosen(docs, kept)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group, the document with the smallest id."""
+    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    return _chosen(docs, kept)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_ids, ids) of each document."""
+    return pieces.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+#: SQL can express neither the network nor the fingerprints; the tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next reads it."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from runloom.llm import ann, chat, exact_dedup, language, mixing, pieces, simhash, warc
+import corpus_pipeline
+from runloom.llm import ann, chat, exact_dedup, language, lines, mixing, pieces, quality, simhash, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_nearest_neighbours": ann.op2_nearest_neighbours,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
