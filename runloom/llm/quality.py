@@ -4,7 +4,7 @@ Heuristic labellers vote on every text (good, bad or nothing). They overlap and
 err, so expectation-maximisation estimates for each how often it votes and how
 often it is right, and from that the posterior of each pattern of votes. The
 sums of its steps run over the counts of the patterns in all documents, of
-which there are at most 3 ** labellers. Posteriors are the soft labels of a
+which there are at most 3 ** len(LABELLERS). Posteriors are the soft labels of a
 logistic scorer over hashed byte n-grams, fitted on a bounded sample
 (``sample`` documents) and applied to whole texts.
 
@@ -35,41 +35,47 @@ GOOD, BAD, ABSTAIN = 1, -1, 0
 SYMBOLS = re.compile(rb"[#$%&*+/<=>@\\^_`{|}~]")
 
 
-def _between(value: float, bad: float, good: float) -> int:
-    """BAD beyond bad, GOOD up to good, else nothing; bad may lie on either side of good."""
-    if good <= bad:
-        return BAD if value > bad else GOOD if value <= good else ABSTAIN
-    return BAD if value < bad else GOOD if value >= good else ABSTAIN
-
-
-def votes(text: str | None) -> tuple[int, ...]:
-    """The votes of all labellers on a text."""
-    text = text or ""
-    data = text.encode("utf-8", "surrogatepass")
+def _shares(data: bytes, text: str) -> dict[str, float]:
+    """What the labellers look at; data holds at least one word."""
     words = data.split()
-    n = len(words)
-    if not n:
-        return (BAD,) * len(LABELLERS)
-    size = len(text)
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
-    capitals = sum(map(len, re.findall(r"[A-Z]+", text)))
     lines = [x for x in data.split(b"\n") if x.strip()]
-    ended = sum(x.rstrip()[-1:] in b".!?\"')" for x in lines)
-    told = {
-        "symbols": _between(len(SYMBOLS.findall(data)) / size, 0.04, 0.01),
-        "capitals": _between(capitals / max(1, letters), 0.5, 0.15),
-        "letters": _between(letters / size, 0.6, 0.75),
-        "distinct": ABSTAIN if n < 20 else _between(len(set(words)) / n, 0.25, 0.4),
-        "run": ABSTAIN if n < 5 else _between(sum(a == b for a, b in zip(words, words[1:])) / n, 0.2, 0.05),
-        "bars": _between(data.count(b"|") / n, 0.1, 0.02),
-        "shouts": _between(data.count(b"!!") / n, 0.1, 0.02),
-        "ends": ABSTAIN if n < 5 else _between(ended / len(lines), 0.2, 0.6),
-        "marked": _between(sum(not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:!?)\"'" for w in words) / n, 0.2, 0.02),
+    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
+    return {
+        "words": len(words),
+        "symbols": len(SYMBOLS.findall(data)) / len(text),
+        "capitals": sum(map(len, re.findall(r"[A-Z]+", text))) / max(1, letters),
+        "letters": letters / len(text),
+        "distinct": len(set(words)) / len(words),
+        "runs": sum(a == b for a, b in zip(words, words[1:])) / len(words),
+        "bars": data.count(b"|") / len(words),
+        "shouts": data.count(b"!!") / len(words),
+        "ends": sum(x.rstrip()[-1:] in b".!?\"')" for x in lines) / len(lines),
+        "marked": sum(w[-1] < 128 and not w[-1:].isalnum() and w[-1:] not in b".,;:!?)\"'" for w in words) / len(words),
     }
-    return tuple(told[x] for x in LABELLERS)
 
 
-LABELLERS = ("symbols", "capitals", "letters", "distinct", "run", "bars", "shouts", "ends", "marked")
+#: Most labellers only know a fault and say nothing otherwise.
+LABELLERS = {
+    "symbols": lambda s: BAD if s["symbols"] > 0.04 else ABSTAIN,
+    "capitals": lambda s: BAD if s["words"] >= 5 and s["capitals"] > 0.5 else ABSTAIN,
+    "distinct": lambda s: BAD if s["words"] >= 20 and s["distinct"] < 0.25 else ABSTAIN,
+    "runs": lambda s: BAD if s["words"] >= 5 and s["runs"] > 0.1 else ABSTAIN,
+    "bars": lambda s: BAD if s["bars"] > 0.1 else ABSTAIN,
+    "shouts": lambda s: BAD if s["shouts"] > 0.1 else ABSTAIN,
+    "marked": lambda s: BAD if s["marked"] > 0.2 else ABSTAIN,
+    "letters": lambda s: BAD if s["letters"] < 0.6 else GOOD if s["letters"] >= 0.75 else ABSTAIN,
+    "ends": lambda s: BAD if s["words"] >= 5 and s["ends"] < 0.2 else GOOD if s["ends"] >= 0.6 else ABSTAIN,
+    "plain": lambda s: GOOD if max(s["symbols"], s["bars"], s["shouts"], s["marked"], s["runs"]) < 0.02 and s["capitals"] < 0.2 and (s["words"] < 20 or s["distinct"] > 0.4) else ABSTAIN,
+}
+
+
+def votes(text: str | None) -> tuple[int, ...]:
+    """The votes of all labellers on a text; one without words is bad to all."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if not data.strip():
+        return (BAD,) * len(LABELLERS)
+    shares = _shares(data, text)
+    return tuple(vote(shares) for vote in LABELLERS.values())
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,7 +141,7 @@ class LabelModel:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of a text's byte n-grams, by their hashes."""
+    """Square roots of the shares of a text's byte n-grams, by their hashes; at last, how far words and n-grams repeat."""
     data = (text or "").encode("utf-8", "surrogatepass")
     counts = np.zeros(FEATURES, np.int64)
     for at in range(0, max(0, len(data) - GRAM + 1), CHUNK):
@@ -144,7 +150,10 @@ def features(text: str | None) -> np.ndarray:
         for i in range(GRAM):
             h = h * np.uint32(257) + codes[i : i + len(h)]
         counts += np.bincount((h * np.uint32(2654435761)) >> np.uint32(32 - FEATURES.bit_length() + 1), minlength=FEATURES)
-    return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
+    shares = counts / max(1, counts.sum())
+    words = data.split()
+    runs = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+    return np.append(np.sqrt(shares), [np.sqrt(runs), np.sqrt((shares * shares).sum())]).astype(np.float32)
 
 
 class Scorer:
@@ -195,7 +204,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = hashed.mapInArrow(each, "h long, pattern int, x binary").orderBy("h", "x").limit(sample).collect()
     if not drawn:
         return None
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn), np.float32).reshape(len(drawn), FEATURES)
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn), np.float32).reshape(len(drawn), FEATURES + 2)
     return model, Scorer.fit(x, model.posterior(np.array([r["pattern"] for r in drawn])))
 
 
