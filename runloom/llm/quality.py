@@ -45,7 +45,7 @@ def _shares(data: bytes, text: str) -> dict[str, float]:
         "symbols": len(SYMBOLS.findall(data)) / len(text),
         "capitals": sum(map(len, re.findall(r"[A-Z]+", text))) / max(1, letters),
         "letters": letters / len(text),
-        "distinct": len(set(words)) / len(words),
+        "distinct": min(1.0, len(set(words)) / min(len(words), 200)),  # a long text repeats its words anyway
         "runs": sum(a == b for a, b in zip(words, words[1:])) / len(words),
         "bars": data.count(b"|") / len(words),
         "shouts": data.count(b"!!") / len(words),

@@ -20,7 +20,7 @@ def bad(rng):
 def corpus(spark):
     rng = random.Random(9)
     rows = [(i, good(rng) if i % 3 else bad(rng), "x", i % 3 > 0) for i in range(600)]
-    rows += [(1000, None, "x", False), (1001, "", "x", False), (1002, " \n", "x", False), (0, rows[0][1], "x", False), (None, good(rng), "x", True), (1003, good(rng) * 400, "x", True)]
+    rows += [(1000, None, "x", False), (1001, "", "x", False), (1002, " \n", "x", False), (0, rows[0][1], "x", False), (None, good(rng), "x", True), (1003, "\n".join(good(rng) for _ in range(400)), "x", True)]
     return rows, spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, quality_score string").repartition(4)
 
 
