@@ -1,6 +1,416 @@
-"""Every registered query of the trace engine and its SQL."""
+"""Every registered query of the trace engine, beside its SQL for a second engine."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runloom.functions import expressions as X
+from runloom.operators import contexts, correlation, counters, detectors, episodes, evaluation, facts, nodes
+from runloom.sources import adapters
+
+#: Thresholds that the small user sessions reach.
+FLOOD_CAP, STALL_S, LOOP, WINDOW, STREAK = 12, 86_400.0, 4, 24, 3
+BUDGET = {"warn_usd": 0.5, "critical_usd": 1.0}
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """df with its 32-bit integers as longs, which is what ranks and counts are in SQL."""
+    return df.withColumns({c: F.col(c).cast("long") for c, t in df.dtypes if t == "int"})
+
+
+def _register(name: str, sql: str | None, query) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _long(query(spark, sf_dir))
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _over(adapter, build):
+    return lambda spark, sf_dir: build(adapter(spark, sf_dir))
+
+
+def user(name: str, sql: str | None, build) -> None:
+    """A query over the sessions of `events`; {E} in its SQL stands for their events."""
+    _register(name, sql and f"WITH {USER_SQL}\n{sql}", _over(adapters.user_events, build))
+
+
+def talk(name: str, sql: str | None, build) -> None:
+    _register(name, sql and f"WITH {TALK_SQL}\n{sql}", _over(adapters.conversation_events, build))
+
+
+def order(name: str, sql: str | None, build) -> None:
+    _register(name, sql and f"WITH {ORDER_SQL}\n{sql}", _over(adapters.order_events, build))
+
+
+USER_SQL = """
+b AS (SELECT CAST(user_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+             event_id, ts, epoch_us(ts) AS us, event_type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k,
+             CAST(round(value * 100) AS BIGINT) AS cents, event_id % 11 = 0 AS side,
+             CASE event_type WHEN 'signup' THEN 'message' WHEN 'view' THEN 'tool_call' WHEN 'click' THEN 'tool_call' ELSE 'tool_result' END AS kind
+      FROM events),
+c AS (SELECT *, last_value(CASE WHEN kind = 'tool_call' AND NOT side THEN seq END IGNORE NULLS)
+                  OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+             event_type = 'error' AS bad, 'm' || CAST(seq // 2 AS VARCHAR) AS msg,
+             CASE k % 3 WHEN 0 THEN 'test-premium' WHEN 1 THEN 'plain' END AS model,
+             kind = 'message' AND NOT side AS turn
+      FROM b),
+e AS (SELECT *, CASE WHEN side THEN NULL WHEN kind = 'tool_call' THEN seq WHEN kind = 'tool_result' THEN before END AS corr,
+             CAST(sum(CAST(turn AS INT)) OVER (PARTITION BY path ORDER BY seq) AS BIGINT) AS ep
+      FROM c),
+m AS (SELECT * FROM e WHERE NOT side),
+usage AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, msg ORDER BY seq) AS nth FROM e WHERE kind = 'tool_call') WHERE nth = 1),
+priced AS (SELECT *, CASE WHEN model = 'test-premium' THEN 15 * k + 75 * cents ELSE 3 * k + 15 * cents END AS micros FROM usage),
+calls AS (SELECT path, seq AS call_seq, corr, us AS call_us, ep AS call_ep, event_type AS tool FROM m WHERE kind = 'tool_call'),
+answers AS (SELECT r.path, r.seq, r.us, r.ep, r.bad, r.corr, c.call_seq, c.call_us, c.call_ep, c.tool,
+                   row_number() OVER (PARTITION BY r.path, r.corr ORDER BY r.seq) AS nth
+            FROM m r JOIN calls c ON r.path = c.path AND r.corr = c.corr WHERE r.kind = 'tool_result'),
+late AS (SELECT * FROM answers WHERE nth = 1 AND call_ep > 0 AND call_ep < ep)
+"""
+
+TALK_SQL = r"""
+m AS (SELECT CAST(conv_id AS VARCHAR) AS path, turn AS seq, role, coalesce(text, '') AS text,
+             CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'agent' ELSE 'meta' END AS source,
+             CASE WHEN role IN ('user', 'assistant') THEN 'message' ELSE 'session_meta' END AS kind,
+             trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS said
+      FROM conversations),
+t AS (SELECT *, role = 'user' AND said <> '' AND NOT starts_with(said, '<') AND NOT starts_with(said, '[Request interrupted by user') AS turn FROM m)
+"""
+
+ORDER_SQL = """
+r AS (SELECT o_custkey, o_orderdate AS ts, 0 AS after, o_orderkey AS key, 0 AS line FROM orders
+      UNION ALL SELECT o_custkey, l_shipdate, 1, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY ts, after, key, line) - 1 AS seq,
+             epoch_us(ts) AS us, after, CAST(key AS VARCHAR) AS corr FROM r),
+calls AS (SELECT path, corr, seq AS call_seq, us AS call_us FROM e WHERE after = 0),
+results AS (SELECT path, corr, seq, us FROM e WHERE after = 1)
+"""
+
+# ---------------------------------------------------------------- counters
+
+user(
+    "session_counters",
+    """SELECT path, count(*) AS n_events, count(*) FILTER (WHERE side) AS sidechain_events, count(*) FILTER (WHERE turn) AS n_turns,
+       count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls, count(*) FILTER (WHERE NOT side AND bad) AS n_tool_errors FROM e GROUP BY path""",
+    counters.session_counters,
+)
+user("per_tool_counts", "SELECT path, event_type AS tool_name, count(*) AS n, min(seq) AS first_seq FROM m WHERE kind = 'tool_call' GROUP BY ALL", counters.per_tool)
+user(
+    "top_tools",
+    """SELECT path, row_number() OVER (PARTITION BY path ORDER BY n DESC, f) AS rank, tool AS tool_name, n
+       FROM (SELECT path, tool, count(*) AS n, min(call_seq) AS f FROM calls GROUP BY ALL) QUALIFY rank <= 8""",
+    counters.top_tools,
+)
+user(
+    "usage_dedup_tokens",
+    "SELECT path, count(*) AS n_messages, CAST(sum(k) AS BIGINT) AS input_tokens, CAST(sum(cents) AS BIGINT) AS output_tokens FROM usage GROUP BY path",
+    lambda e: counters.usage_totals(e).select("path", "n_messages", "input_tokens", "output_tokens"),
+)
+user("session_cost_micros", "SELECT path, CAST(sum(micros) AS BIGINT) AS cost_micros FROM priced GROUP BY path", lambda e: counters.usage_totals(e).select("path", F.col("cost_micros").cast("long")))
+user("models_seen", "SELECT path, model, count(*) AS n FROM usage WHERE model IS NOT NULL GROUP BY ALL", counters.models_seen)
+user("session_clock", "SELECT path, min_by(us, seq) AS started_us, max_by(us, seq) AS last_us, max_by(us, seq) - min_by(us, seq) AS wall_us FROM e GROUP BY path", counters.session_clock)
+user(
+    "frontier",
+    """SELECT path, max_by('calling ' || event_type || '(k=' || (k % 5) || ')', seq) FILTER (WHERE kind = 'tool_call') AS frontier FROM m GROUP BY path HAVING frontier IS NOT NULL""",
+    lambda e: counters.position(e).where("frontier is not null").select("path", "frontier"),
+)
+talk(
+    "goal_and_latest",
+    """SELECT path, substr(min_by(said, seq) FILTER (WHERE turn), 1, 1000) AS goal_text, substr(max_by(said, seq) FILTER (WHERE turn), 1, 500) AS latest_user_directive,
+       substr(max_by(said, seq) FILTER (WHERE role = 'assistant' AND said <> ''), 1, 500) AS last_agent_text FROM t GROUP BY path""",
+    lambda e: counters.position(e).select("path", "goal_text", "latest_user_directive", "last_agent_text"),
+)
+user(
+    "recent_failures",
+    """SELECT m.path, m.seq, coalesce(a.tool, '?') || ': cents = ' || m.cents || chr(10) || 'kk = ' || m.k AS failure, row_number() OVER (PARTITION BY m.path ORDER BY m.seq DESC) AS rank
+       FROM m LEFT JOIN answers a ON a.path = m.path AND a.seq = m.seq WHERE m.bad QUALIFY rank <= 8""",
+    counters.recent_failures,
+)
+user("event_by_id", "SELECT path, seq, kind FROM e WHERE event_id = 4321", lambda e: counters.event_by_id(e, "4321").select("path", "seq", "kind"))
+
+# ---------------------------------------------------------------- correlation
+
+user(
+    "call_result_pairs",
+    "SELECT path, CAST(corr AS VARCHAR) AS correlation_id, call_seq, min(seq) AS result_seq, max(bad) AS result_failed FROM answers GROUP BY path, corr, call_seq",
+    lambda e: correlation.call_result_pairs(e).select("path", "correlation_id", "call_seq", "result_seq", "result_failed"),
+)
+user("call_durations", "SELECT path, call_seq, greatest(us - call_us, 0) AS duration_us FROM answers WHERE nth = 1", lambda e: correlation.call_result_pairs(e).select("path", "call_seq", "duration_us"))
+user(
+    "pending_calls",
+    "SELECT path, CAST(corr AS VARCHAR) AS correlation_id, call_seq, call_seq AS first_seq FROM calls c WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.path = c.path AND a.corr = c.corr)",
+    correlation.pending_calls,
+)
+user("orphan_results", "SELECT path, seq, CAST(corr AS VARCHAR) AS correlation_id FROM m WHERE kind = 'tool_result' AND corr IS NULL", correlation.orphan_results)
+user("repeated_results", "SELECT path, seq, CAST(corr AS VARCHAR) AS correlation_id, call_seq, nth FROM answers WHERE nth > 1", correlation.repeated_results)
+user(
+    "unanswered_ids",
+    "SELECT path, CAST(corr AS VARCHAR) AS correlation_id FROM calls EXCEPT SELECT path, CAST(corr AS VARCHAR) FROM answers",
+    correlation.unanswered_ids,
+)
+order(
+    "order_pairs",
+    """SELECT c.path, c.corr AS correlation_id, c.call_seq, min(r.seq) AS result_seq, min(r.us) - any_value(c.call_us) AS duration_us
+       FROM calls c JOIN results r ON c.path = r.path AND c.corr = r.corr AND r.seq > c.call_seq GROUP BY ALL""",
+    lambda e: correlation.call_result_pairs(e).drop("result_failed"),
+)
+order(
+    "order_pending",
+    """SELECT path, corr AS correlation_id, call_seq, call_seq AS first_seq FROM calls c
+       WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.path = c.path AND r.corr = c.corr AND r.seq > c.call_seq)""",
+    correlation.pending_calls,
+)
+order(
+    "order_orphans",
+    "SELECT r.path, r.seq, r.corr AS correlation_id FROM results r JOIN calls c ON c.path = r.path AND c.corr = r.corr WHERE r.seq < c.call_seq",
+    correlation.orphan_results,
+)
+
+# ---------------------------------------------------------------- detectors
+
+user(
+    "error_streaks",
+    f"""SELECT path, max(CASE WHEN n = {STREAK} THEN seq END) AS detected_at_seq, max(n) AS length,
+         any_value(cleared) AS cleared_at_seq FROM (
+         SELECT *, row_number() OVER (PARTITION BY path, grp ORDER BY seq) AS n FROM (
+           SELECT path, seq, bad, sum(CAST(NOT bad AS INT)) OVER (PARTITION BY path ORDER BY seq) AS grp,
+                  min(CASE WHEN NOT bad THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cleared
+           FROM m WHERE kind = 'tool_result') WHERE bad) GROUP BY path, grp HAVING max(n) >= {STREAK}""",
+    lambda e: detectors.error_streaks(e, STREAK),
+)
+user(
+    "tool_flood",
+    f"SELECT path, seq, event_type AS tool_name, row_number() OVER (PARTITION BY path, event_type ORDER BY seq) AS n FROM m WHERE kind = 'tool_call' QUALIFY n >= {FLOOD_CAP}",
+    lambda e: detectors.tool_flood(e, FLOOD_CAP),
+)
+user(
+    "loop_hits",
+    f"""SELECT path, seq, tool_name, call_no, count(*) OVER w AS hits, CASE WHEN count(*) OVER w = {LOOP} THEN 'warn' ELSE 'critical' END AS severity FROM (
+         SELECT path, seq, event_type AS tool_name, k % 5 AS sig, row_number() OVER (PARTITION BY path ORDER BY seq) AS call_no FROM m WHERE kind = 'tool_call')
+       WINDOW w AS (PARTITION BY path, tool_name, sig ORDER BY call_no RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) QUALIFY hits >= {LOOP}""",
+    lambda e: detectors.loop_hits(e, LOOP, WINDOW),
+)
+user(
+    "budget_crossings",
+    """SELECT path, severity, min(seq) AS seq, CAST(min(sofar) AS BIGINT) AS cost_micros FROM (
+         SELECT e.path, e.seq, e.side, sum(coalesce(p.micros, 0)) OVER (PARTITION BY e.path ORDER BY e.seq) AS sofar FROM e LEFT JOIN priced p ON p.path = e.path AND p.seq = e.seq)
+       JOIN (VALUES ('warn', 500000), ('critical', 1000000)) l(severity, least) ON sofar >= least WHERE NOT side GROUP BY path, severity""",
+    lambda e: detectors.budget_crossings(e, **BUDGET).withColumn("cost_micros", F.col("cost_micros").cast("long")),
+)
+user(
+    "stall_gaps",
+    f"""SELECT x.path, x.seq, x.gap_us, count(*) AS open_calls FROM (
+         SELECT path, seq, us - lag(us) OVER (PARTITION BY path ORDER BY seq) AS gap_us,
+                coalesce(max(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS since FROM m) x
+       JOIN calls c ON c.path = x.path AND c.call_seq < x.seq AND c.call_seq > x.since
+       LEFT JOIN answers a ON a.path = c.path AND a.corr = c.corr AND a.nth = 1
+       WHERE x.gap_us >= {int(STALL_S * 1_000_000)} AND (a.seq IS NULL OR a.seq >= x.seq) GROUP BY ALL""",
+    lambda e: detectors.stall_gaps(e, STALL_S),
+)
+
+# ---------------------------------------------------------------- episodes
+
+EPISODE_SQL = """
+, own AS (SELECT m.*, l.seq IS NOT NULL AS diverted FROM m LEFT JOIN late l ON l.path = m.path AND l.seq = m.seq WHERE m.ep > 0),
+dangling AS (SELECT c.path, c.call_ep AS ep, c.tool, a.seq IS NOT NULL AS answered FROM calls c LEFT JOIN answers a ON a.path = c.path AND a.corr = c.corr AND a.nth = 1
+             WHERE c.call_ep > 0 AND (a.seq IS NULL OR a.ep > c.call_ep)),
+digest AS (SELECT path, ep, min(seq) AS covered_lo, max(seq) FILTER (WHERE NOT diverted) AS covered_hi, count(*) FILTER (WHERE kind = 'tool_call') AS n_calls,
+                  count(*) FILTER (WHERE bad AND NOT diverted) AS own_errors, count(*) FILTER (WHERE NOT turn AND NOT diverted) AS fed,
+                  max_by(us, seq) FILTER (WHERE NOT diverted) - min_by(us, seq) AS duration_us FROM own GROUP BY path, ep),
+lates AS (SELECT path, call_ep AS ep, count(*) AS n_late, count(*) FILTER (WHERE bad) AS late_errors FROM late GROUP BY ALL),
+hung AS (SELECT path, ep, count(*) AS n_dangling, count(*) FILTER (WHERE NOT answered) AS n_unanswered, string_agg(DISTINCT tool, ',' ORDER BY tool) AS dangling_tools FROM dangling GROUP BY ALL),
+whole AS (SELECT d.*, coalesce(n_late, 0) AS n_late, own_errors + coalesce(late_errors, 0) AS errors, coalesce(n_dangling, 0) AS n_dangling,
+                 coalesce(n_unanswered, 0) AS n_unanswered, coalesce(dangling_tools, '') AS dangling_tools, d.ep = max(d.ep) OVER (PARTITION BY d.path) AS is_last
+          FROM digest d LEFT JOIN lates USING (path, ep) LEFT JOIN hung USING (path, ep))
+"""
+
+user(
+    "episodes",
+    EPISODE_SQL + "SELECT path, ep AS episode, printf('ep-%04d', ep) AS node_id, covered_lo, covered_hi, n_calls, errors, duration_us FROM whole",
+    lambda e: episodes.episodes(e).select("path", "episode", "node_id", "covered_lo", "covered_hi", "n_calls", "errors", "duration_us"),
+)
+user(
+    "episode_status",
+    EPISODE_SQL
+    + """SELECT path, ep AS episode, dangling_tools, CASE WHEN n_unanswered > 0 AND is_last THEN 'unresolved' WHEN n_unanswered > 0 THEN 'interrupted' WHEN errors > 0 THEN 'errors' ELSE 'ok' END AS status FROM whole""",
+    lambda e: episodes.episodes(e).select("path", "episode", "dangling_tools", "status"),
+)
+user(
+    "episode_version_counts",
+    EPISODE_SQL + "SELECT path, ep AS episode, 2 + fed // 20 + CAST(n_dangling > 0 AS BIGINT) + n_late AS n_versions FROM whole",
+    lambda e: episodes.episodes(e).select("path", "episode", "n_versions"),
+)
+user("late_results", "SELECT path, seq, CAST(corr AS VARCHAR) AS correlation_id, ep AS episode, call_ep AS late_for, bad AS failed FROM late", episodes.late_results)
+talk(
+    "talk_episodes",
+    """SELECT path, ep AS episode, min(seq) AS covered_lo, max(seq) AS covered_hi, substr(max_by(said, turn), 1, 200) AS ask,
+       substr(max_by(said, seq) FILTER (WHERE role = 'assistant' AND said <> ''), 1, 240) AS conclusion FROM (
+         SELECT *, sum(CAST(turn AS INT)) OVER (PARTITION BY path ORDER BY seq) AS ep FROM t) WHERE ep > 0 GROUP BY path, ep""",
+    lambda e: episodes.episodes(e).select("path", "episode", "covered_lo", "covered_hi", "ask", "conclusion"),
+)
+
+# ---------------------------------------------------------------- facts
+
+FACT_SQL = """
+, lines AS (SELECT path, seq, CAST(0 AS BIGINT) AS line_no, 'cents' AS key, CAST(cents AS VARCHAR) AS value FROM m WHERE kind = 'tool_result' AND NOT bad
+           UNION ALL SELECT path, seq, CAST(1 AS BIGINT), 'kk', CAST(k AS VARCHAR) FROM m WHERE kind = 'tool_result' AND NOT bad),
+firsts AS (SELECT path, key AS base, value, min(seq * 1000 + line_no) AS pos FROM lines GROUP BY ALL),
+versions AS (SELECT path, base, value, row_number() OVER (PARTITION BY path, base ORDER BY pos) AS v, row_number() OVER (PARTITION BY path ORDER BY pos) AS nth FROM firsts),
+named AS (SELECT path, CASE WHEN v = 1 THEN base ELSE base || '#' || v END AS key, base, value, nth FROM versions)
+"""
+user("fact_lines", FACT_SQL + "SELECT path, seq, line_no, key, value FROM lines", lambda e: facts.fact_lines(e).drop("source"))
+user("fact_versions", FACT_SQL + "SELECT * FROM named", facts.fact_versions)
+user(
+    "fact_group_sums",
+    FACT_SQL + "SELECT path, base, count(*) AS n, CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS total, max_by(key, nth) AS through FROM named GROUP BY path, base HAVING count(*) >= 3",
+    lambda e: facts.group_sums(facts.fact_versions(e)).withColumn("total", F.col("total").cast("long")),
+)
+
+# ---------------------------------------------------------------- contexts and runs
+
+talk(
+    "flatlog",
+    "SELECT path, seq, '[' || seq || '] ' || source || '/' || kind || '  ' || replace(substr(text, 1, 200), chr(10), ' ') AS line FROM m",
+    contexts.flat_log,
+)
+talk(
+    "masked_context",
+    "SELECT path, seq, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY seq DESC) <= 3 THEN text ELSE '[omitted]' END AS shown FROM m",
+    contexts.masked_context,
+)
+talk(
+    "retrieval_topm",
+    r"""SELECT path, seq, rank, CAST(round(score * 1000000) AS BIGINT) AS score_millionths FROM (
+         SELECT path, seq, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, seq) AS rank FROM (
+           SELECT path, seq, len(list_intersect(words, query)) / sqrt(1 + len(words)) AS score FROM (
+             SELECT *, max(seq) OVER (PARTITION BY path) AS last, last_value(words) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS query FROM (
+               SELECT path, seq, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: length(w) > 2)) AS words FROM m WHERE kind = 'message'))
+           WHERE seq < last) WHERE score > 0) WHERE rank <= 10""",
+    lambda e: contexts.retrieve(e).select("path", "seq", "rank", F.round(F.col("score") * 1_000_000).cast("long").alias("score_millionths")),
+)
+talk("turn_rows", "SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) AS nth, role, text AS content FROM m WHERE kind = 'message'", contexts.turn_rows)
+_register(
+    "search_lines",
+    """SELECT doc_id, line_no - 1 AS line_no, line FROM (
+         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+       WHERE contains(line, 'thing') ORDER BY doc_id, line_no LIMIT 40""",
+    lambda spark, sf_dir: contexts.search_lines(adapters.table(spark, sf_dir, "documents"), "thing"),
+)
+user(
+    "prefix_running_totals",
+    "SELECT path, seq, CAST(sum(cents) OVER (PARTITION BY path ORDER BY seq) AS BIGINT) AS total FROM usage",
+    lambda e: contexts.running_totals(counters.first_usage(e).select("path", "seq", F.col("usage.output_tokens").alias("cents")), "cents").select("path", "seq", "total"),
+)
+user(
+    "alternating_sum",
+    "SELECT path, CAST(sum(CASE WHEN n % 2 = 1 THEN cents ELSE -cents END) AS BIGINT) AS total, count(*) AS n FROM (SELECT path, cents, row_number() OVER (PARTITION BY path ORDER BY seq) AS n FROM usage) GROUP BY path",
+    lambda e: contexts.alternating_sum(counters.first_usage(e).select("path", "seq", F.col("usage.output_tokens").alias("cents")), "cents"),
+)
+user(
+    "action_repeats",
+    """SELECT path, seq, signature, CASE WHEN prev = signature AND erred THEN 'retry' WHEN nth > 1 THEN 'repeat' ELSE 'new' END AS kind FROM (
+         SELECT path, seq, signature, lag(signature) OVER w AS prev, lag(erred) OVER w AS erred, row_number() OVER (PARTITION BY path, signature ORDER BY seq) AS nth FROM (
+           SELECT c.path, c.call_seq AS seq, c.tool || ':' || (m.k % 5) AS signature, coalesce(a.bad, false) AS erred
+           FROM calls c JOIN m ON m.path = c.path AND m.seq = c.call_seq LEFT JOIN answers a ON a.path = c.path AND a.corr = c.corr AND a.nth = 1)
+         WINDOW w AS (PARTITION BY path ORDER BY seq))""",
+    lambda e: contexts.action_repeats(_steps(e)),
+)
+
+
+def _steps(events: DataFrame) -> DataFrame:
+    """Calls as steps of a run: tool and input, and whether their first result failed."""
+    calls = events.where(X.is_call()).select("path", "seq", F.concat(X.tool(), F.lit(":"), F.get_json_object("payload.text", "$.k")).alias("signature"))
+    results = events.where(X.is_result())
+    pairs = correlation.call_result_pairs(events).select("path", F.col("call_seq").alias("seq"), "result_seq")
+    failed = pairs.join(results.select("path", F.col("seq").alias("result_seq"), X.failed().alias("transient")), ["path", "result_seq"]).drop("result_seq")
+    return calls.join(failed, ["path", "seq"], "left").na.fill(False, ["transient"])
+
+
+# ---------------------------------------------------------------- evaluation and nodes
+
+
+def _fidelity(events: DataFrame) -> DataFrame:
+    """The counters against an independent recount: from the kinds and flags alone, without the shared expressions."""
+    kind, main = F.col("kind"), F.isnull("agent_id")
+    again = events.groupBy("path").agg(
+        F.sum(F.lit(1).cast("long")).alias("n_events"),
+        F.sum(F.isnotnull("agent_id").cast("long")).alias("sidechain_events"),
+        F.sum((main & (kind == "message") & (F.col("payload.text") == "signup")).cast("long")).alias("n_turns"),
+        F.sum((main & (kind == "tool_call")).cast("long")).alias("n_tool_calls"),
+        F.sum((main & (kind == "tool_result") & F.col("payload.is_error")).cast("long")).alias("n_tool_errors"),
+    )
+    return evaluation.fidelity(evaluation.compare(counters.session_counters(events), again))
+
+
+user(
+    "fidelity_compare",
+    "SELECT field, n AS equal, n AS total FROM (SELECT count(DISTINCT path) AS n FROM e), (VALUES ('n_events'), ('sidechain_events'), ('n_turns'), ('n_tool_calls'), ('n_tool_errors')) f(field)",
+    _fidelity,
+)
+
+
+def _streak_scores(events: DataFrame) -> DataFrame:
+    """Labelled spans are runs of failed results by themselves; detections are the streaks."""
+    streaks = detectors.error_streaks(events, STREAK)
+    spans = streaks.select("path", F.lit("error_streak").alias("kind"), F.col("detected_at_seq").alias("lo"), F.coalesce("cleared_at_seq", F.col("detected_at_seq")).alias("hi"))
+    found = streaks.where("length > 3").select("path", F.lit("error_streak").alias("kind"), "detected_at_seq", F.array("detected_at_seq").alias("evidence"))
+    return evaluation.detection_scores(spans, found, slack=0).select("kind", "tp", "fp", "fn")
+
+
+user(
+    "detection_scores",
+    f"""SELECT 'error_streak' AS kind, count(*) FILTER (WHERE n > {STREAK}) AS tp, CAST(0 AS BIGINT) AS fp, count(*) FILTER (WHERE n = {STREAK}) AS fn FROM (
+         SELECT path, grp, count(*) AS n FROM (SELECT path, bad, sum(CAST(NOT bad AS INT)) OVER (PARTITION BY path ORDER BY seq) AS grp FROM m WHERE kind = 'tool_result')
+         WHERE bad GROUP BY path, grp HAVING count(*) >= {STREAK})""",
+    _streak_scores,
+)
+
+
+def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.table(spark, sf_dir, "labels").select(F.col("quality").alias("policy"), "toxic")
+    return evaluation.policy_means(rows).select(F.col("policy").cast("long"), "runs", F.round(F.col("mean_toxic") * 1_000_000).cast("long").alias("toxic_millionths"))
+
+
+_register("policy_means", "SELECT CAST(quality AS BIGINT) AS policy, count(*) AS runs, CAST(round(avg(toxic) * 1000000) AS BIGINT) AS toxic_millionths FROM labels GROUP BY quality", _means)
+
+
+def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.table(spark, sf_dir, "documents").join(adapters.table(spark, sf_dir, "labels"), "doc_id")
+    rows = docs.select(F.col("lang").alias("condition"), F.col("source").alias("qid"), F.col("toxic").cast("string").alias("transcript"), F.col("quality").cast("double").alias("score"))
+    return evaluation.condition_accuracy(rows).select("condition", "qid", "transcript", F.round(F.col("accuracy") * 1_000_000).cast("long").alias("accuracy_millionths"), "n")
+
+
+_register(
+    "condition_accuracy",
+    """SELECT lang AS condition, source AS qid, CAST(toxic AS VARCHAR) AS transcript, CAST(round(avg(quality) * 1000000) AS BIGINT) AS accuracy_millionths, count(*) AS n
+       FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (lang, source), (lang, toxic))""",
+    _accuracy,
+)
+
+
+def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations (which depend on a version of their region) and suppliers (on any version of their nation) as nodes."""
+    shape = lambda node, deps, key: [F.concat(F.lit(node), F.col(key)).alias("node_id"), F.lit(1).alias("version"), F.col(key).cast("long").alias("covered_lo"), deps.alias("dependencies")]
+    none = F.array().cast("array<string>")
+    region = adapters.table(spark, sf_dir, "region").select(*shape("r", none, "r_regionkey"))
+    nation = adapters.table(spark, sf_dir, "nation").select(*shape("n", F.array(F.concat(F.lit("r"), "n_regionkey", F.lit("@1"))), "n_nationkey"))
+    supplier = adapters.table(spark, sf_dir, "supplier").select(*shape("s", F.array(F.concat(F.lit("n"), "s_nationkey")), "s_suppkey"))
+    return region.union(nation).union(supplier)
+
+
+def _closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = spark.range(1).select(F.lit("r1@1").alias("ref"))
+    return nodes.stale_closure(_geography(spark, sf_dir), roots)
+
+
+_register(
+    "staleness_closure",
+    """WITH RECURSIVE edges AS (
+         SELECT 'r' || n_regionkey || '@1' AS src, 'n' || n_nationkey || '@1' AS ref FROM nation
+         UNION ALL SELECT 'n' || s_nationkey || '@1', 's' || s_suppkey || '@1' FROM supplier),
+       met AS (SELECT 'r1@1' AS ref, 0 AS depth UNION SELECT e.ref, m.depth + 1 FROM met m JOIN edges e ON e.src = m.ref)
+       SELECT ref, CAST(depth AS BIGINT) AS depth FROM met WHERE depth > 0""",
+    _closure,
+)
