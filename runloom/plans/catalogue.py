@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
-from runloom.operators import contexts, correlation, counters, detectors, episodes, evaluation, facts, nodes
-from runloom.sources import adapters
+from runloom.operators import contexts, correlation, counters, detectors, episodes, evaluation, facts, fold, nodes, views
+from runloom.session import scratch_path
+from runloom.sources import adapters, transcripts
+from runloom.streaming import live
 
 #: Thresholds that the small user sessions reach.
 FLOOD_CAP, STALL_S, LOOP, WINDOW, STREAK = 12, 86_400.0, 4, 24, 3
@@ -414,3 +416,119 @@ _register(
        SELECT ref, CAST(depth AS BIGINT) AS depth FROM met WHERE depth > 0""",
     _closure,
 )
+
+
+# ---------------------------------------------------------------- the exact fold
+
+LIMITS = fold.Limits(stall_s=STALL_S, flood_cap=FLOOD_CAP, loop_repeats=LOOP, loop_window=WINDOW, streak=STREAK, **BUDGET)
+
+
+def _fold(events: DataFrame) -> DataFrame:
+    return fold.fold(events, LIMITS)
+
+
+user("run_state", """SELECT path, count(*) AS n_events, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls,
+       count(*) FILTER (WHERE NOT side AND bad) AS n_tool_errors, max(seq) AS observed_seq FROM e GROUP BY path""", lambda e: _fold(e).select("path", "n_events", "n_turns", "n_tool_calls", "n_tool_errors", "observed_seq"))
+user(
+    "anomaly_islands",
+    ORACLE_SQL["error_streaks"].removeprefix(f"WITH {USER_SQL}\n"),
+    lambda e: fold.anomalies(_fold(e)).where("kind = 'error_streak'").select("path", "detected_at_seq", F.regexp_extract("message", "^[0-9]+", 0).cast("long").alias("length"), "cleared_at_seq"),
+)
+user("anomaly_life_cycles", None, lambda e: fold.anomalies(_fold(e)))
+user("active_anomalies", None, lambda e: fold.active_anomalies(_fold(e)))
+user(
+    "fold_episode_status",
+    ORACLE_SQL["episode_status"].removeprefix(f"WITH {USER_SQL}\n"),
+    lambda e: nodes.heads(fold.node_versions(_fold(e)).withColumn("node_id", F.concat_ws("/", "path", "node_id"))).select(
+        "path", F.substring_index("node_id", "-", -1).cast("long").alias("episode"), F.array_join("dangling", ",").alias("dangling_tools"), "status"
+    ),
+)
+user("episode_versions", None, lambda e: fold.node_versions(_fold(e)).drop("pins", "dangling", "resolved", "dependencies"))
+user(
+    "fold_facts",
+    FACT_SQL + "SELECT path, key, value FROM named",
+    lambda e: _fold(e).select("path", F.explode("facts").alias("f")).select("path", "f.key", "f.value"),
+)
+user(
+    "fact_eviction_fold",
+    None,
+    lambda e: fold.fold(e, fold.Limits(max_facts=10)).select("path", F.explode("aggregates").alias("a")).select("path", "a.base", "a.n", "a.total", F.size("a.keys").alias("keys")),
+)
+user("text_view", None, lambda e: views.text_view(_fold(e)))
+user(
+    "fleet",
+    """SELECT path, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls FROM e GROUP BY path""",
+    lambda e: views.fleet(_fold(e)).select("path", "n_turns", "n_tool_calls"),
+)
+user("questions", None, lambda e: views.questions(_fold(e)))
+user("graded_answers", None, lambda e: evaluation.grade(views.questions(_fold(e)).withColumn("answer", F.col("truth"))).groupBy("qid").agg(F.avg("score").alias("score"), F.count("*").alias("n")))
+
+# ---------------------------------------------------------------- transcripts
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> str:
+    """`conversations` written as transcripts (a record a line) by Spark; system rows become records of an unknown type."""
+    rows = adapters.table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise(F.concat(F.lit("x-"), F.col("role")))
+    record = F.struct(
+        kind.alias("type"), F.format_string("%d:%d", "conv_id", "turn").alias("uuid"), F.col("conv_id").cast("string").alias("sessionId"),
+        F.struct(F.col("role"), F.col("text").alias("content")).alias("message"),
+    )
+    path = scratch_path(spark, "transcripts")
+    rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    return path
+
+
+def _transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = transcripts.read_events(spark, _transcripts(spark, sf_dir))
+    return events.select("session_id", "event_id", "source", "kind", F.col("payload.sha256").alias("sha256"), F.col("payload.char_len").alias("char_len"))
+
+
+_register(
+    "transcript_events",
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id || ':' || turn || '#0' AS event_id, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS source,
+       'message' AS kind, sha256(coalesce(text, '')) AS sha256, length(coalesce(text, '')) AS char_len FROM conversations WHERE role IN ('user', 'assistant')""",
+    lambda spark, sf_dir: _transcript_events(spark, sf_dir).where("kind = 'message'"),
+)
+
+
+def _parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = transcripts.read_lines(spark, _transcripts(spark, sf_dir))
+    stats = transcripts.parse_stats(lines, transcripts.decode(lines))
+    return stats.agg(*[F.sum(c).alias(c) for c in ("lines", "events", "malformed", "rejected", "trailing_partial_bytes")])
+
+
+_register(
+    "parse_stats",
+    "SELECT count(*) AS lines, count(*) AS events, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS trailing_partial_bytes FROM conversations",
+    _parse_stats,
+)
+_register(
+    "unknown_types",
+    "SELECT 'x-' || role AS type, count(*) AS n FROM conversations WHERE role NOT IN ('user', 'assistant') GROUP BY role",
+    lambda spark, sf_dir: transcripts.unknown_types(transcripts.decode(transcripts.read_lines(spark, _transcripts(spark, sf_dir)))).groupBy("type").agg(F.sum("n").alias("n")),
+)
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcripts read as a stream, their states folded in Spark's state store and written batch by batch."""
+    out = scratch_path(spark, "live")
+    query = live.follow(spark, _transcripts(spark, sf_dir).removeprefix("file://"), scratch_path(spark, "checkpoint"), lambda df, _: df.write.mode("append").parquet(out))
+    query.awaitTermination()
+    return spark.read.schema(fold.STATE).parquet(out).agg(F.sum("n_events").alias("n_events"), F.sum("n_turns").alias("n_turns"))
+
+
+_register(
+    "live_fold",
+    f"WITH {TALK_SQL} SELECT count(*) AS n_events, count(*) FILTER (WHERE turn) AS n_turns FROM t",
+    _live,
+)
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "snapshot")
+    transcripts.write_snapshot(adapters.conversation_events(spark, sf_dir), path)
+    return transcripts.load_snapshot(spark, path).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_register("snapshot", "SELECT CASE WHEN role IN ('user', 'assistant') THEN 'message' ELSE 'session_meta' END AS kind, count(*) AS n FROM conversations GROUP BY 1", _snapshot)

@@ -17,6 +17,36 @@ USAGE = "model string, input_tokens long, output_tokens long, cache_read_tokens
 RAW = "path string, line_no long, byte_offset long, block_index int"
 
 
+ATOMS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "binary": T.BinaryType()}
+
+
+def _parts(text: str) -> list[str]:
+    """text cut at commas outside angle brackets."""
+    out, depth, held = [], 0, ""
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(held)
+            held = ""
+        else:
+            held += c
+    return [x.strip() for x in [*out, held] if x.strip()]
+
+
+def _type(text: str) -> T.DataType:
+    head, _, inner = text.partition("<")
+    if head == "array":
+        return T.ArrayType(_type(inner[:-1].strip()))
+    if head == "struct":
+        return T.StructType([T.StructField(n.strip(), _type(t.strip())) for n, _, t in (x.partition(":") for x in _parts(inner[:-1]))])
+    return ATOMS[head]
+
+
+def schema_of(ddl: str) -> T.StructType:
+    """The schema of a DDL string, without a session (workers read it too)."""
+    return T.StructType([T.StructField(n, _type(t.strip())) for n, _, t in (x.partition(" ") for x in _parts(ddl))])
+
+
 def _struct(ddl: str) -> str:
     return "struct<" + ddl.replace(" ", ":").replace(",:", ",") + ">"
 
@@ -26,4 +56,4 @@ EVENTS_DDL = (
     "parent_event_id string, correlation_id string, api_message_id string, "
     f"payload {_struct(PAYLOAD)}, usage {_struct(USAGE)}, raw {_struct(RAW)}, schema_version int"
 )
-EVENTS: T.StructType = T.StructType.fromDDL(EVENTS_DDL)
+EVENTS: T.StructType = schema_of(EVENTS_DDL)

@@ -15,3 +15,16 @@ def build_session(name: str = "runloom", **conf: str) -> SparkSession:
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of the session (spark.checkpoint.dir); in a temporary one only where none is set."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + tempfile.mkdtemp(prefix="runloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
