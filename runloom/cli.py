@@ -51,7 +51,7 @@ def fleet(spark: SparkSession, path: str, most: int = 25, out: str = "fleet") ->
     lines = transcripts.read_lines(spark, path).where(F.col("path").isin(*[x.removeprefix("file:") for x in named], *named))
     decoded = transcripts.decode(lines).persist()
     state = fold(transcripts.to_events(decoded))
-    failed = decoded.groupBy("path").agg(F.count_if("outcome = 'event'").alias("n")).where("n = 0").select("path", F.lit("no events").alias("reason"))
+    failed = decoded.groupBy("path").agg(F.count_if(F.col("outcome") == "event").alias("n")).where("n = 0").select("path", F.lit("no events").alias("reason"))
     rows = views.fleet(state, failed).orderBy("path")
     _write(os.path.join(out, "index.html"), views.fleet_page(rows.collect()))
     return rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
@@ -59,31 +59,33 @@ def condition_accuracy(scores: DataFrame) -> DataFrame:
     return sets.agg(F.avg("score").alias("accuracy"), F.count("*").alias("n"))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: F.length(w) > 3)
-
-
 def grade(rows: DataFrame) -> DataFrame:
-    """rows(kind, truth array<string>, answer array<string>) with a score from 0 to 1.
-
-    exact_int compares digits, exact_str normalised texts; substring asks for the
-    first 40 characters of the truth or 60 % of its words of over three letters;
-    set_f1 is the F1 of two sets whose members match when one holds the other.
+    """rows(kind, truth array<string>, answer string) with a score from 0 to 1; a null answer scores 0.
+
+    exact_int compares the first whole number of the answer; exact_str asks that
+    the answer holds the truth. substring_of_truth asks that it holds the truth's
+    first 40 characters, or that the truth holds 60 % of its words of over three
+    letters. set_f1 cuts the answer at commas, semicolons and line feeds and takes
+    the F1 of the two sets, whose members match when one holds the other; an empty
+    truth is met by "none" or nothing.
     """
-    truth, answer = F.transform("truth", X.normalised_answer), F.transform("answer", X.normalised_answer)
-    t, a = F.coalesce(F.get(truth, F.lit(0)), F.lit("")), F.coalesce(F.get(answer, F.lit(0)), F.lit(""))
-    words = _words(t)
-    share = F.size(F.filter(words, lambda w: F.contains(a, w))) / F.greatest(F.size(words), F.lit(1))
-    held = (F.substring(t, 1, 40) != "") & F.contains(a, F.substring(t, 1, 40))
-    meets = lambda x, xs: F.exists(xs, lambda y: F.contains(x, y) | F.contains(y, x))
-    hit_a, hit_t = F.size(F.filter(answer, lambda x: meets(x, truth))), F.size(F.filter(truth, lambda x: meets(x, answer)))
-    precision, recall = hit_a / F.greatest(F.size(answer), F.lit(1)), hit_t / F.greatest(F.size(truth), F.lit(1))
+    truth = F.transform("truth", X.normalised_answer)
+    t, a = F.coalesce(F.get(truth, F.lit(0)), F.lit("")), X.normalised_answer(F.col("answer"))
+    number = F.regexp_extract(a, "-?[0-9]+", 0).try_cast("decimal(38,0)")
+    words = F.filter(F.split(a, " "), lambda w: F.length(w) > 3)
+    head = F.substring(t, 1, 40)
+    share = F.size(F.filter(words, lambda w: F.contains(t, w))) / F.greatest(F.size(words), F.lit(1))
+    given = F.filter(F.array_distinct(F.transform(F.split("answer", "[\\n,;]+"), X.normalised_answer)), lambda x: ~x.isin("", "none"))
+    meets = lambda x, others: F.exists(others, lambda y: F.contains(x, y) | F.contains(y, x))
+    precision = F.size(F.filter(given, lambda x: meets(x, truth))) / F.greatest(F.size(given), F.lit(1))
+    recall = F.size(F.filter(truth, lambda x: meets(x, given))) / F.greatest(F.size(truth), F.lit(1))
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    f1 = F.when((F.size(truth) == 0) & (F.size(answer) == 0), 1.0).otherwise(f1)
-    digits = lambda x: F.regexp_extract(x, "-?[0-9]+", 0)
-    score = F.when(F.col("kind") == "exact_int", ((digits(t) != "") & (digits(t) == digits(a))).cast("double"))
-    score = score.when(F.col("kind") == "exact_str", (t == a).cast("double")).when(F.col("kind") == "substring", (held | ((F.size(words) > 0) & (share >= 0.6))).cast("double")).otherwise(f1)
-    return rows.withColumn("score", score)
+    f1 = F.when(F.size(truth) == 0, (F.contains(a, F.lit("none")) | (a == "")).cast("double")).otherwise(f1)
+    score = F.when(F.col("answer").isNull(), 0.0)
+    score = score.when(F.col("kind") == "exact_int", F.coalesce(number == t.try_cast("decimal(38,0)"), F.lit(False)).cast("double"))
+    score = score.when(F.col("kind") == "exact_str", F.contains(a, t).cast("double"))
+    score = score.when(F.col("kind") == "substring_of_truth", (((head != "") & F.contains(a, head)) | ((F.size(words) > 0) & (share >= 0.6))).cast("double"))
+    return rows.withColumn("score", score.otherwise(f1))
 
 
 def spend_check(spend: DataFrame, cap_usd: float = 5000.0) -> DataFrame:

@@ -135,17 +135,41 @@ def fleet_page(rows: list[Row]) -> str:
     return f"<!DOCTYPE html><html><body><table><tr>{''.join(f'<th>{n}</th>' for n in names)}</tr>{cells}</table></body></html>"
 
 
-def questions(state: DataFrame) -> DataFrame:
-    """(path, qid, kind, truth array<string>): questions about a session whose answers its state has."""
+def questions(state: DataFrame, events: DataFrame) -> DataFrame:
+    """(path, qid, kind, ask, truth array<string>): up to six questions about a session whose answers its state and events have."""
+    bad = X.is_result() & X.failed()
+    last = events.groupBy("path").agg(F.max_by(F.when(bad, F.substring(X.text(), 1, 300)), F.when(bad, F.col("seq"))).alias("last_error"))
     top = F.array_max(F.transform("tools", lambda t, i: F.struct(t["n"].alias("n"), (-i).alias("i"), t["name"].alias("name"))))["name"]
-    hung = F.array_distinct(F.transform("pending", lambda c: c["tool_name"]))
+    always = F.lit(True)
     asked = [
-        ("turns", "exact_int", F.array(F.col("n_turns").cast("string")), F.lit(True)),
-        ("errors", "exact_int", F.array(F.col("n_tool_errors").cast("string")), F.lit(True)),
-        ("top_tool", "exact_str", F.array(top), F.size("tools") > 0),
-        ("files", "set_f1", F.transform("files", lambda f: f["name"]), F.size("files") > 0),
-        ("last_failure", "substring", F.array(F.element_at("recent_failures", -1)), F.size("recent_failures") > 0),
-        ("pending", "set_f1", hung, F.size("pending") > 0),
-    ]
-    one = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(k).alias("kind"), F.when(ok, t).alias("truth"), ok.alias("ok")) for q, k, t, ok in asked])
-    return state.select("path", F.explode(one).alias("q")).where("q.ok").select("path", "q.qid", "q.kind", "q.truth")
+        ("latest_ask", "substring_of_truth", "What did the user ask for last?", F.array("latest_user_directive"), F.col("latest_user_directive").isNotNull()),
+        ("n_turns", "exact_int", "How many user turns were there? A whole number.", F.array(F.col("n_turns").cast("string")), always),
+        ("top_tool", "exact_str", "Which tool was called most often?", F.array(top), F.size("tools") > 0),
+        ("files", "set_f1", "Which files were read or changed? One path a line.", F.array_sort(F.transform("files", lambda f: f["name"])), F.size("files") > 0),
+        ("last_error", "substring_of_truth", "What did the last tool error say?", F.array("last_error"), F.col("last_error").isNotNull()),
+        ("dangling", "set_f1_or_none", "Which tools are still to return? Names, or none.", F.array_sort(F.array_distinct(F.transform("pending", lambda c: c["tool_name"]))), always),
+    ]
+    one = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(k).alias("kind"), F.lit(ask).alias("ask"), t.alias("truth"), ok.alias("ok")) for q, k, ask, t, ok in asked])
+    rows = state.join(last, "path", "left").select("path", F.explode(one).alias("q")).where("q.ok")
+    return rows.select("path", "q.qid", "q.kind", "q.ask", "q.truth")
+
+
+def conditions(state: DataFrame, events: DataFrame, lines: DataFrame, most: int = 100_000) -> DataFrame:
+    """(path, condition, context): what a reader is shown of each session: the tail of its raw lines, of its flat log, or its view.
+
+    lines(path, line_no, raw) are those of sources.transcripts; a session's log is one value and so is put together in one task.
+    """
+    from runloom.operators.contexts import flat_log, tail_chars
+
+    def joined(rows: DataFrame, order: str, text: F.Column) -> DataFrame:
+        parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), text.alias("t"))))
+        return rows.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("all"))
+
+    raw = joined(lines.where("complete"), "line_no", F.col("raw").cast("string"))
+    flat = joined(flat_log(events), "seq", F.col("line"))
+    shown = [("raw", raw.select("path", tail_chars(F.col("all"), most).alias("context"))), ("flatlog", flat.select("path", tail_chars(F.col("all"), most).alias("context"))), ("view", text_view(state).select("path", F.col("view").alias("context")))]
+    out = None
+    for name, rows in shown:
+        one = rows.select("path", F.lit(name).alias("condition"), "context")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -460,8 +460,8 @@ user(
     """SELECT path, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls FROM e GROUP BY path""",
     lambda e: views.fleet(_fold(e)).select("path", "n_turns", "n_tool_calls"),
 )
-user("questions", None, lambda e: views.questions(_fold(e)))
-user("graded_answers", None, lambda e: evaluation.grade(views.questions(_fold(e)).withColumn("answer", F.col("truth"))).groupBy("qid").agg(F.avg("score").alias("score"), F.count("*").alias("n")))
+user("questions", None, lambda e: views.questions(_fold(e), e))
+user("graded_answers", None, lambda e: evaluation.grade(views.questions(_fold(e), e).withColumn("answer", F.array_join("truth", "; "))).groupBy("qid").agg(F.avg("score").alias("score"), F.count("*").alias("n")))
 
 # ---------------------------------------------------------------- transcripts
 

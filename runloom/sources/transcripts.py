@@ -338,4 +338,4 @@ def write_snapshot(events: DataFrame, path: str) -> None:
 
 
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(path)
+    return spark.read.schema(EVENTS).parquet(path).select(*EVENTS.names)
