@@ -163,15 +163,16 @@ class Scorer:
     @classmethod
     def fit(cls, x: np.ndarray, soft: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
         """Logistic regression on soft labels by Adam over the whole sample."""
-        w, b = np.zeros(x.shape[1]), 0.0
-        m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+        x, soft = x.astype(np.float32, copy=False), soft.astype(np.float32)
+        w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
+        m, v = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
         for t in range(1, steps + 1):
             p = 1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50)))
-            g = np.append(x.T @ (p - soft) / len(x) + decay * w, (p - soft).mean())
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            g = np.append((p - soft) @ x / np.float32(len(x)) + np.float32(decay) * w, (p - soft).mean())
+            m, v = np.float32(0.9) * m + np.float32(0.1) * g, np.float32(0.999) * v + np.float32(0.001) * g * g
+            step = np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.999**t))) + np.float32(1e-8))
             w, b = w - step[:-1], b - step[-1]
-        return cls(w.astype(np.float32), float(b))
+        return cls(w, float(b))
 
     def score(self, text: str | None) -> float:
         if not (text or "").strip():
