@@ -33,6 +33,8 @@ PAD = 256
 KEEP = 30.0
 #: Windows that are labelled at once, which bounds the memory of a batch.
 LANES = 2048
+#: Parts in which each language's sample is drawn at first.
+SALTS = 32
 UNDETERMINED = "und"
 
 
@@ -247,6 +249,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         F.xxhash64(F.col(id_col)).alias("h"),
         F.array(*[F.substring(text, (F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.length(text) - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(pieces)]).alias("parts"),
     )
+    # In two steps: a part of a language gives four times its share of the least hashes at most, so the task that ranks
+    # them all has a fixed bound, however many partitions there are.
+    salted = W.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "parts")
+    rows = rows.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= max(1, 4 * per_language // SALTS))
     first = W.partitionBy("lang").orderBy("h", "parts")
     sample = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).drop("k").collect()
     sample.sort(key=lambda r: (r["lang"], r["h"], r["parts"]))
