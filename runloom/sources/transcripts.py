@@ -93,11 +93,11 @@ class _BatchReader(DataSourceReader):
 class _TailReader(SimpleDataSourceStreamReader):
     """Offsets are {path: [byte, line]} of the first line not yet read; appended lines and new files are followed."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, offsets: str = "{}"):
+        self.path, self.offsets = path, json.loads(offsets)
 
     def initialOffset(self) -> dict:
-        return {}
+        return self.offsets
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, end = [], dict(start)
@@ -118,7 +118,7 @@ class _TailReader(SimpleDataSourceStreamReader):
 
 
 class TranscriptSource(DataSource):
-    """Format "transcript"; option path: a file, folder or pattern."""
+    """Format "transcript"; option path: a file, folder or pattern; for streams, option offsets: where to begin (resume_offsets)."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,7 +131,7 @@ class TranscriptSource(DataSource):
         return _BatchReader(self.options["path"])
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _TailReader(self.options["path"])
+        return _TailReader(self.options["path"], self.options.get("offsets", "{}"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -332,10 +332,26 @@ def list_sessions(spark: SparkSession, path: str, most: int = 15) -> DataFrame:
     return files.select("path", "modificationTime", "length").where(~F.contains("path", F.lit("subagents"))).orderBy(F.desc("modificationTime"), "path").limit(most)
 
 
-def write_snapshot(events: DataFrame, path: str) -> None:
-    """The events as a table, in one folder for each kind, so that readers of a kind skip the others."""
-    events.write.mode("overwrite").partitionBy("kind").parquet(path)
+def marks(lines: DataFrame, decoded: DataFrame) -> DataFrame:
+    """How far each path is read: (path, observed_seq, durable_offset, source_line, malformed, unknown_types)."""
+    done = lines.where("complete").groupBy("path").agg((F.max(F.col("byte_offset") + F.octet_length("raw")) + 1).alias("durable_offset"), F.max("line_no").alias("source_line"))
+    seen = decoded.groupBy("path").agg((F.count_if(F.col("outcome") == "event") - 1).alias("observed_seq"), F.count_if(F.col("outcome") == "malformed").alias("malformed"))
+    types = unknown_types(decoded).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("unknown_types"))
+    out = done.join(seen, "path", "left").join(types, "path", "left")
+    return out.select("path", "observed_seq", "durable_offset", "source_line", "malformed", "unknown_types")
+
+
+def resume_offsets(mark_rows: DataFrame) -> str:
+    """Option `offsets` of the stream that goes on where marks end (one entry for each file)."""
+    return json.dumps({r["path"]: [r["durable_offset"], r["source_line"] + 1] for r in mark_rows.select("path", "durable_offset", "source_line").collect()})
+
+
+def write_snapshot(events: DataFrame, path: str, mark_rows: DataFrame | None = None) -> None:
+    """The events as a table, in one folder for each kind, so that readers of a kind skip the others; the marks beside it."""
+    events.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/events")
+    if mark_rows is not None:
+        mark_rows.write.mode("overwrite").parquet(f"{path}/marks")
 
 
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(path).select(*EVENTS.names)
+    return spark.read.schema(EVENTS).parquet(f"{path}/events").select(*EVENTS.names)

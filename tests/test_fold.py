@@ -141,6 +141,28 @@ def test_a_turn_without_time_has_no_duration():
     assert heads(run([turn(us=1), call("a", us=5), result("a", us=9)]))["ep-0001"]["duration_us"] == 8
 
 
+class Talk:
+    """A detector of the user's own: too many messages in a row."""
+
+    def __init__(self):
+        self.n = 0
+
+    def observe(self, row, state):
+        self.n = self.n + 1 if row["kind"] == "message" else 0
+        if self.n >= 2:
+            state.fire("talk", "info", row["seq"], [row["seq"]], message=f"{self.n} messages in a row")
+        else:
+            state.clear("talk", row["seq"])
+
+
+def test_detectors_of_the_user(spark):
+    held = SessionFold(detectors=(Talk,))
+    for i, r in enumerate([turn(), turn(), turn(), call("a")]):
+        held.step(BASE | {"seq": i} | r)
+    assert [(a["message"], a["detected_at_seq"], a["cleared_at_seq"]) for a in held.state("p")["anomalies"]] == [("3 messages in a row", 1, 3)]
+    assert "talk" in {r["kind"] for r in anomalies(fold(random_events(spark, 1), detectors=(Talk,))).collect()}
+
+
 def random_events(spark, seed, n=160, unique=True):
     rng = random.Random(seed)
     rows, calls = [], 0

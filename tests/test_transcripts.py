@@ -133,6 +133,16 @@ def test_generated_truth(spark, tmp_path):
 def test_snapshot(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text(fixtures.session_trace(1).lines())
     events = transcripts.read_events(spark, str(tmp_path / "t.jsonl"))
-    transcripts.write_snapshot(events, str(tmp_path / "snap"))
+    lines = transcripts.read_lines(spark, str(tmp_path / "t.jsonl"))
+    marks = transcripts.marks(lines, transcripts.decode(lines))
+    transcripts.write_snapshot(events, str(tmp_path / "snap"), marks)
     back = transcripts.load_snapshot(spark, str(tmp_path / "snap"))
     assert back.columns == events.columns and sorted(map(str, back.collect())) == sorted(map(str, events.collect()))
+    mark = spark.read.parquet(str(tmp_path / "snap" / "marks")).first()
+    assert mark["durable_offset"] == (tmp_path / "t.jsonl").stat().st_size and mark["observed_seq"] == events.count() - 1
+    with open(tmp_path / "t.jsonl", "a") as f:
+        f.write(fixtures.session_trace(2).lines())
+    offsets = transcripts.resume_offsets(spark.read.parquet(str(tmp_path / "snap" / "marks")))
+    rows, _ = transcripts._TailReader(str(tmp_path / "t.jsonl"), offsets).read(transcripts._TailReader(str(tmp_path / "t.jsonl"), offsets).initialOffset())
+    rows = list(rows)
+    assert rows[0][1] == mark["source_line"] + 1 and len(rows) == len(fixtures.session_trace(2).records)
