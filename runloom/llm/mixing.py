@@ -38,7 +38,7 @@ from runloom.llm.common import bounded_broadcast, table, written
 WORD = r"[^\x20\x09-\x0D]+"
 SCALE = 10**9
 OFFSETS = 32
-BUCKET = 4096
+BUCKET = 256
 #: Rows of (source, size, ...) that may be broadcast: under 100 bytes each, 20 MB in all.
 BROADCAST_ROWS = 200_000
 
