@@ -11,28 +11,32 @@ from runloom.llm import common, exact_dedup, language, mixing, pieces, simhash
 LEAST_SCORE = 0.3
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids(_id), a null id included, in the columns of docs."""
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+#: Ids (8 bytes each, 8 MB in all) up to which those that go are broadcast; beyond, documents and ids meet in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs, in its columns, but for those whose id (null included) has no kept row in decided(doc_id, kept)."""
+    gone = decided.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("_id")
+    gone = common.bounded_broadcast(common.written(gone, "gone"), BROADCAST_IDS)
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known; `und` and uncertain ones go. Learns from the documents it gets."""
     network = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    found = language.predict(docs, network).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return _chosen(docs, found.select(F.col("doc_id").alias("_id")))
+    return language.keep_known(docs, network, least_score=LEAST_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest id."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return _chosen(docs, kept)
+    return _without(docs, exact_dedup.exact_groups(docs).select("doc_id", "kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group, the document with the smallest id."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return _chosen(docs, kept)
+    groups = simhash.near_duplicates(docs)
+    return _without(docs, groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
