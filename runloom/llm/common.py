@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -60,5 +60,14 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
-def is_null_safe_equal(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+#: Rows and bytes of text that go to a Python worker and back at once. Spark's 10,000 rows of long texts take hundreds of
+#: megabytes outside the heap of an executor.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are bounded by BATCH_ROWS and BATCH_BYTES (results do not depend on it)."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import LOWER_AZ, bounded_broadcast, table, written
+from runloom.llm.common import LOWER_AZ, bounded_batches, bounded_broadcast, table, written
 
 #: Fingerprints expected in a merged segment of quotients.
 SEGMENT = 1 << 20
@@ -132,7 +132,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sha", "norm"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, fp long, sha binary" + ", norm binary" * with_bytes)
+    return bounded_batches(rows).mapInArrow(each, "doc_id long, fp long, sha binary" + ", norm binary" * with_bytes)
 
 
 def repeated_fingerprints(fps: DataFrame, rows: int, quotient_bits: int = 24) -> DataFrame:

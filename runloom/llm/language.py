@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.llm.common import table
+from runloom.llm.common import bounded_batches, table
 
 WINDOW = 64
 HIDDEN = 8
@@ -279,7 +279,7 @@ def predict(docs: DataFrame, network: Compiled | None, id_col: str = "doc_id", t
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return bounded_batches(rows).mapInArrow(each, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, network: Compiled | None, text_col: str = "text", least_score: float = 0.3) -> DataFrame:
@@ -292,7 +292,7 @@ def keep_known(docs: DataFrame, network: Compiled | None, text_col: str = "text"
             found = label_texts(shared.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != UNDETERMINED and p >= least_score for x, p in found], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return bounded_batches(docs).mapInArrow(each, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

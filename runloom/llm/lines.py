@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import bounded_broadcast, table, written
+from runloom.llm.common import bounded_batches, bounded_broadcast, table, written
 
 LEAST_WORDS = 8
 #: Odd, so it has an inverse modulo 2**64.
@@ -130,7 +130,7 @@ def _explode(docs: DataFrame, kind: str, names: list[str], row) -> DataFrame:
             arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)] + [pa.array(c, TYPES[n]) for c, n in zip(columns[3:], names)]
             yield pa.RecordBatch.from_arrays(arrays, names=["d", "r", "l", *names])
 
-    return docs.mapInArrow(each, f"{PLACE}, {kind}")
+    return bounded_batches(docs).mapInArrow(each, f"{PLACE}, {kind}")
 
 
 TYPES = {"h1": pa.int64(), "h2": pa.int64(), "halves": pa.list_(pa.int64()), "line": pa.binary()}
@@ -211,7 +211,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept.append(len(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(kept, pa.int64())], names=["doc_id", "text", "n_lines", "n_kept"])
 
-    return joined.mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_kept long")
+    return bounded_batches(joined).mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_kept long")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

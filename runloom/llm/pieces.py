@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import table
+from runloom.llm.common import bounded_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -212,7 +212,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, ids array<int>")
+    return bounded_batches(rows).mapInArrow(each, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -226,7 +226,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(each, "doc_id long, ids array<int>, text string")
+    return bounded_batches(rows).mapInArrow(each, "doc_id long, ids array<int>, text string")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import table
+from runloom.llm.common import bounded_batches, table
 
 SAMPLE = 4_000
 FEATURES = 2_048
@@ -79,7 +79,7 @@ def votes(text: str | None) -> tuple[int, ...]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
 
 def pattern_of(told: tuple[int, ...]) -> int:

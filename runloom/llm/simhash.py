@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import LOWER_AZ, table, written
+from runloom.llm.common import LOWER_AZ, bounded_batches, table, written
 from runloom.llm.components import connected_components
 
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, fp long")
+    return bounded_batches(rows).mapInArrow(each, "doc_id long, fp long")
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
