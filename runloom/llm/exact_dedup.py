@@ -33,6 +33,8 @@ from runloom.llm.common import LOWER_AZ, bounded_batches, bounded_broadcast, tab
 SEGMENT = 1 << 20
 #: Rows of (fingerprint) that may be broadcast: 16 bytes each, 32 MB in all.
 BROADCAST_ROWS = 1 << 21
+#: Quotient bits; whether runs are listed; first quotient; bits or runs; slots; slots with a counter.
+HEAD = struct.Struct("<BBQQQQ")
 
 
 class CountingQuotientFilter:
@@ -75,19 +77,26 @@ class CountingQuotientFilter:
         remainders = self.fingerprints & ((np.uint64(1) << low) - np.uint64(1))
         new = np.concatenate([[True], quotients[1:] != quotients[:-1]]) if len(quotients) else np.zeros(0, bool)
         first = int(quotients[0]) if len(quotients) else 0
-        occupied = np.zeros((int(quotients[-1]) - first + 1) if len(quotients) else 0, bool)
-        occupied[(quotients[new] - np.uint64(first)).astype(np.int64)] = True
+        runs = quotients[new] - np.uint64(first)
+        span = int(runs[-1]) + 1 if len(runs) else 0
+        sparse = span > 64 * len(runs)  # few runs are listed, many are bits
+        if sparse:
+            occupied = runs.astype("<u8").tobytes()
+        else:
+            bits = np.zeros(span, bool)
+            bits[runs.astype(np.int64)] = True
+            occupied = np.packbits(bits).tobytes()
         run_ends = np.concatenate([new[1:], [True]]) if len(new) else new
         slots = np.flatnonzero(self.counts > 1)
-        head = struct.pack("<BQQQQ", self.quotient_bits, first, len(occupied), len(remainders), len(slots))
+        head = HEAD.pack(self.quotient_bits, sparse, first, len(runs) if sparse else span, len(remainders), len(slots))
         width = (64 - self.quotient_bits + 7) // 8
         packed = remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-        return head + np.packbits(occupied).tobytes() + np.packbits(run_ends).tobytes() + packed + slots.astype("<u4").tobytes() + self.counts[slots].astype("<i8").tobytes()
+        return head + occupied + np.packbits(run_ends).tobytes() + packed + slots.astype("<u4").tobytes() + self.counts[slots].astype("<i8").tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> CountingQuotientFilter:
-        bits, first, span, n, repeated = struct.unpack_from("<BQQQQ", data)
-        at = struct.calcsize("<BQQQQ")
+        bits, sparse, first, span, n, repeated = HEAD.unpack_from(data)
+        at = HEAD.size
 
         def take(count: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -95,19 +104,26 @@ class CountingQuotientFilter:
             at += out.nbytes
             return out
 
-        occupied = np.unpackbits(take((span + 7) // 8, "u1"))[:span].astype(bool)
+        runs = take(span, "<u8") if sparse else np.flatnonzero(np.unpackbits(take((span + 7) // 8, "u1"))[:span]).astype(np.uint64)
         run_ends = np.unpackbits(take((n + 7) // 8, "u1"))[:n].astype(bool)
         width = (64 - bits + 7) // 8
         remainders = np.zeros((n, 8), np.uint8)
         remainders[:, :width] = take(n * width, "u1").reshape(n, width)
         run = np.concatenate([[0], np.cumsum(run_ends)[:-1]]) if n else np.zeros(0, np.int64)
-        quotients = (np.flatnonzero(occupied).astype(np.uint64) + np.uint64(first))[run] if n else np.zeros(0, np.uint64)
+        quotients = (runs + np.uint64(first))[run] if n else np.zeros(0, np.uint64)
         counts = np.ones(n, np.int64)
         slots = take(repeated, "<u4")
         counts[slots] = take(repeated, "<i8")
         return cls(bits, (quotients << np.uint64(64 - bits)) | remainders.view("<u8").reshape(-1), counts)
 
 
+def merged(parts: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+    """All filters as one; merged in pairs, so that each fingerprint is moved a logarithmic number of times."""
+    while len(parts) > 1:
+        parts = [a.merge(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) & ~1 :]
+    return parts[0]
+
+
 def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ)
 
@@ -135,25 +151,29 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     return bounded_batches(rows).mapInArrow(each, "doc_id long, fp long, sha binary" + ", norm binary" * with_bytes)
 
 
-def repeated_fingerprints(fps: DataFrame, rows: int, quotient_bits: int = 24) -> DataFrame:
-    """(fp, n) of the fingerprints of fps(fp) that occur more than once; rows is the number of rows of fps."""
-    bits = max(0, (max(1, rows) // SEGMENT).bit_length())
-    bits = min(bits, quotient_bits)
+def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
+    """(fp, n) of the fingerprints of fps(fp) that occur more than once; rows is the number of rows of fps,
+    from which the filters' number of quotients (at least one for each row) and of segments follow."""
+    bits = (max(1, rows) // SEGMENT).bit_length()
+    quotient_bits = min(48, max(8, rows.bit_length()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: CountingQuotientFilter | None = None
+        parts, waiting, rows_waiting = [], [], 0
         for batch in batches:
-            part = CountingQuotientFilter.build(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), quotient_bits)
-            held = held.merge(part) if held else part
-        cut = list(held.segments(bits)) if held else []
+            waiting.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            rows_waiting += batch.num_rows
+            if rows_waiting >= SEGMENT:
+                parts.append(CountingQuotientFilter.build(np.concatenate(waiting), quotient_bits))
+                waiting, rows_waiting = [], 0
+        if waiting:
+            parts.append(CountingQuotientFilter.build(np.concatenate(waiting), quotient_bits))
+        cut = list(merged(parts).segments(bits)) if parts else []
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in cut], pa.int64()), pa.array([x for _, x in cut], pa.binary())], names=["segment", "filter"])
 
     def merge(segment: pa.Table) -> pa.Table:
-        parts = [CountingQuotientFilter.load(x.as_py()) for x in segment.column("filter")]
-        while len(parts) > 1:  # pairwise, so that each fingerprint is moved a logarithmic number of times
-            parts = [a.merge(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) & ~1 :]
-        more = parts[0].counts > 1
-        return pa.table({"fp": parts[0].fingerprints[more].view(np.int64), "n": parts[0].counts[more]})
+        whole = merged([CountingQuotientFilter.load(x.as_py()) for x in segment.column("filter")])
+        more = whole.counts > 1
+        return pa.table({"fp": whole.fingerprints[more].view(np.int64), "n": whole.counts[more]})
 
     filters = fps.select("fp").mapInArrow(build, "segment long, filter binary")
     return filters.groupBy("segment").applyInArrow(merge, "fp long, n long")
