@@ -38,6 +38,8 @@ HTTP = f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{END}"
 URN = "urn:runloom:page:"
 SPLIT = 8 << 20
 CHUNK = 1 << 20
+#: Tasks over which the ranges are dealt at most.
+MOST_TASKS = 20_000
 #: Longest header that is looked for.
 HEADER_MAX = 1 << 20
 #: Rows (sha1, length, id) that may be broadcast: under 100 bytes each, 20 MB in all.
@@ -188,8 +190,8 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("size"))
     ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     ranges = written(ranges.withColumn("end", F.least(F.col("size"), F.col("start") + split)).repartition("path", "start"), "ranges")
-    n = ranges.count()
-    spread = ranges.repartition(max(1, n), "path", "start")
+    n = min(max(1, ranges.count()), MOST_TASKS)
+    spread = ranges.repartition(n, "path", "start")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +215,7 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload:
         onward = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("beyond"))
         two = jumps.join(onward, ["path", "to"], "left").select("path", "at", F.coalesce("beyond", "to").alias("to"))
         jumps = written(two, "jumps")
-    entries = reached.join(ranges, "path").where("at >= start and at < end").select("path", "size", "at", "end").repartition(max(1, n), "path", "at")
+    entries = reached.join(ranges, "path").where("at >= start and at < end").select("path", "size", "at", "end").repartition(n, "path", "at")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
 
 
-@pytest.mark.parametrize("split", [1 << 20, 700, 101, 7])
+@pytest.mark.parametrize("split", [1 << 20, 9973, 1999])
 def test_round_trip_at_any_split(spark, tmp_path, split):
     path = f"file://{tmp_path}/w"
     warc.write_warc(pages(spark, ROWS).coalesce(2), path)
@@ -51,3 +51,27 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_warc(pages(spark, []), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_every_cut_finds_the_same_chain():
+    """Ranges of any size: followed from the start, their candidates give each record once, and none inside a payload."""
+    import io
+
+    one = lambda i, body: f"WARC/1.1\r\nWARC-Record-ID: <urn:runloom:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    data = one(1, b"x") + one(2, TRAP.encode() * 2) + one(3, b"") + one(4, b"WARC/1.WARC/1.")
+    size, want = len(data), []
+    at = 0
+    while at < size:
+        want.append(at)
+        at = warc._header(io.BytesIO(data), at, size).next
+    for step in [*range(1, 40), 97, 300, size]:
+        leads = {}
+        for start in range(0, size, step):
+            leads |= dict(warc._candidates(io.BytesIO(data), start, min(size, start + step), size))
+        at, entered = 0, []
+        while at < size:
+            entered.append(at)
+            at = leads[at]
+        assert set(entered) <= set(want) and at == size
+        walked = [h.at for e in entered for h, *_ in warc._walk(io.BytesIO(data), e, min(size, (e // step + 1) * step), size, False)]
+        assert walked == want
