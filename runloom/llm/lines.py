@@ -16,11 +16,13 @@ and no earlier line is near it (whether or not that one stays).
 
 Before that, lines that cannot have a near one are left out without loss: one
 edit leaves the first or the last half of the shorter line as it is, so only
-lines that share the hash of a half with another can be near it.
+lines that share the hash of a half with another can be near it. The half of a
+line of one word is empty, so all lines of one or two words share it.
 
 Defined cases: lines are split at line feeds, words at ASCII white space; lines
 without words always stay; lines of fewer than ``least_words`` words are only
-compared as equal; a null text has one empty line; the order is by id (null
+compared as equal (three is the least length of which one edit leaves most
+words; any two lines of one word are one edit apart); a null text has one empty line; the order is by id (null
 first), then a hash of the text, then line; equal rows with one id keep the
 same lines; an empty table gives an empty result. Only the id and the text are
 read.
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from runloom.llm.common import bounded_batches, bounded_broadcast, table, written
 
-LEAST_WORDS = 8
+LEAST_WORDS = 3
 #: Odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -52,15 +54,15 @@ def _signed(value: int) -> int:
 
 
 def _half(n: int) -> int:
-    """Words of the half of a line of n words, in steps of four, so that neighbouring lengths mostly share it."""
-    return n // 2 // 4 * 4
+    """Words of the half of a line of n words, from 8 words in steps of four, so that neighbouring lengths mostly share it."""
+    return n // 2 // 4 * 4 if n >= 8 else n // 2
 
 
 def half_keys(words: list[bytes]) -> list[int]:
     """Hashes of the first and last halves by which near lines of n - 1, n and n + 1 words can meet."""
     n, join = len(words), b" ".join
     halves = {_half(n), _half(n - 1)}
-    return [_signed(xxhash.xxh64_intdigest(join(part), seed=2 * h + last)) for h in halves if h for last, part in ((0, words[:h]), (1, words[n - h :]))]
+    return [_signed(xxhash.xxh64_intdigest(join(part), seed=2 * h + last)) for h in halves for last, part in ((0, words[:h]), (1, words[n - h :]))]
 
 
 def variants(words: list[bytes]) -> np.ndarray:

@@ -73,6 +73,34 @@ def test_against_brute_force(spark, seed):
     assert got == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("least", [1, 2, 3, 5, 8])
+def test_short_lines_against_brute_force(spark, monkeypatch, least):
+    """least_words is honoured below 8 words, between 7 and 8 words too."""
+    monkeypatch.setattr(L, "LEAST_WORDS", least)
+    rows = list(enumerate(texts(random.Random(least), 60)))
+    rows += [(100, "p q r s t u v"), (101, "p q r s t u v w"), (102, "one two three"), (103, "one two four"), (104, "one two"), (105, "one"), (106, "two one two"), (107, "one two three four")]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(df, least_words=least).collect()}
+    assert got == {d: b"\n".join(x for i, x in enumerate(L.split_lines(t)) if i in want.get((d, t), set())).decode() for d, t in rows}
+    assert (got[101] == "") == (least <= 7) and (got[103] == "") == (least <= 3)
+
+
+def test_short_near_lines_go_by_default(spark):
+    df = spark.createDataFrame([(1, "sign up for news"), (2, "sign up for offers"), (3, "ok"), (4, "no")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_kept"] for r in L.dedup_lines(df).collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
+
+
+@settings(deadline=None)
+@given(st.lists(st.sampled_from(VOCAB), min_size=1, max_size=12), st.integers(0, 11), st.integers(0, 2))
+def test_halves_of_short_near_lines_meet(words, at, kind):
+    at %= len(words)
+    other = words[:at] + [["new"], [], [words[at], "new"]][kind] + words[at + 1 :]
+    if other:
+        enc = lambda x: [w.encode() for w in x]
+        assert set(L.half_keys(enc(words))) & set(L.half_keys(enc(other)))
+
+
 @settings(deadline=None)
 @given(st.lists(st.sampled_from(VOCAB), min_size=1, max_size=12), st.lists(st.sampled_from(VOCAB), min_size=1, max_size=12))
 def test_variants_meet_exactly_at_one_edit(a, b):
