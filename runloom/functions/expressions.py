@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.schema import INLINE_CAP
@@ -35,6 +35,11 @@ def text() -> Column:
     return F.coalesce(F.col("payload.text"), F.lit(""))
 
 
+def whole_text(events: DataFrame) -> Column:
+    """The whole text where events carry it beside the payload, else what the payload has."""
+    return F.coalesce(F.col("whole_text"), F.lit("")) if "whole_text" in events.columns else text()
+
+
 def main_thread() -> Column:
     return F.col("agent_id").isNull()
 

@@ -23,7 +23,7 @@ def tail_chars(text: F.Column, n: int = 100_000) -> F.Column:
 def masked_context(events: DataFrame, keep: int = 3, stub: str = "[omitted]") -> DataFrame:
     """All events, the texts of all but the last `keep` of each session replaced by a stub."""
     back = F.row_number().over(W.partitionBy("path").orderBy(F.desc("seq")))
-    shown = F.when(F.col("back") <= keep, X.text()).otherwise(F.lit(stub))
+    shown = F.when(F.col("back") <= keep, X.whole_text(events)).otherwise(F.lit(stub))
     return events.withColumn("back", back).select("path", "seq", shown.alias("shown"))
 
 
@@ -31,7 +31,7 @@ def turn_rows(events: DataFrame) -> DataFrame:
     """(path, nth, role, content) of the messages, which a longer session only extends."""
     rows = events.where(X.main_thread() & (F.col("kind") == "message"))
     nth = F.row_number().over(W.partitionBy("path").orderBy("seq"))
-    return rows.select("path", nth.alias("nth"), F.when(F.col("source") == "user", "user").otherwise("assistant").alias("role"), X.text().alias("content"))
+    return rows.select("path", nth.alias("nth"), F.when(F.col("source") == "user", "user").otherwise("assistant").alias("role"), X.whole_text(events).alias("content"))
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -40,7 +40,7 @@ def tokens(text: F.Column) -> F.Column:
 
 def retrieve(events: DataFrame, most: int = 10) -> DataFrame:
     """Of each session's earlier messages, the `most` nearest to its last by shared words over the root of their number, in order."""
-    rows = events.where(X.main_thread() & (F.col("kind") == "message")).select("path", "seq", tokens(X.text()).alias("words"))
+    rows = events.where(X.main_thread() & (F.col("kind") == "message")).select("path", "seq", tokens(X.whole_text(events)).alias("words"))
     last = W.partitionBy("path")
     rows = rows.withColumn("last", F.max("seq").over(last)).withColumn("query", F.max_by("words", "seq").over(last)).where("seq < last")
     shared = F.size(F.array_intersect("query", "words"))

@@ -43,6 +43,11 @@ def talk(name: str, sql: str | None, build) -> None:
     _register(name, sql and f"WITH {TALK_SQL}\n{sql}", _over(adapters.conversation_events, build))
 
 
+def whole_talk(name: str, sql: str | None, build) -> None:
+    """As talk, for queries that show or score whole texts."""
+    _register(name, sql and f"WITH {TALK_SQL}\n{sql}", lambda spark, sf_dir: build(adapters.conversation_events(spark, sf_dir, whole=True)))
+
+
 def order(name: str, sql: str | None, build) -> None:
     _register(name, sql and f"WITH {ORDER_SQL}\n{sql}", _over(adapters.order_events, build))
 
@@ -277,12 +282,12 @@ talk(
     "SELECT path, seq, '[' || seq || '] ' || source || '/' || kind || '  ' || replace(substr(text, 1, 200), chr(10), ' ') AS line FROM m",
     contexts.flat_log,
 )
-talk(
+whole_talk(
     "masked_context",
     "SELECT path, seq, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY seq DESC) <= 3 THEN text ELSE '[omitted]' END AS shown FROM m",
     contexts.masked_context,
 )
-talk(
+whole_talk(
     "retrieval_topm",
     r"""SELECT path, seq, rank, CAST(round(score * 1000000) AS BIGINT) AS score_millionths FROM (
          SELECT path, seq, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, seq) AS rank FROM (
@@ -292,7 +297,7 @@ talk(
            WHERE seq < last) WHERE score > 0) WHERE rank <= 10""",
     lambda e: contexts.retrieve(e).select("path", "seq", "rank", F.round(F.col("score") * 1_000_000).cast("long").alias("score_millionths")),
 )
-talk("turn_rows", "SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) AS nth, role, text AS content FROM m WHERE kind = 'message'", contexts.turn_rows)
+whole_talk("turn_rows", "SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) AS nth, role, text AS content FROM m WHERE kind = 'message'", contexts.turn_rows)
 _register(
     "search_lines",
     """SELECT doc_id, line_no - 1 AS line_no, line FROM (

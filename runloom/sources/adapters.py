@@ -14,10 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """df in the columns and types of the events schema; what it lacks is null."""
+def canonical(df: DataFrame, *more: str) -> DataFrame:
+    """df in the columns and types of the events schema, and `more` columns; what it lacks is null."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS.fields])
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS.fields], *more)
 
 
 def _raw(path, line) -> F.Column:
@@ -65,8 +65,8 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session for each conversation; system rows are metadata."""
+def conversation_events(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A session for each conversation; system rows are metadata. With `whole`, whole_text has the text that the payload caps."""
     rows = table(spark, sf_dir, "conversations")
     role = F.col("role")
     return canonical(
@@ -81,7 +81,9 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             payload(F.col("text")).alias("payload"),
             _raw(F.col("conv_id").cast("string"), F.col("turn") + 1).alias("raw"),
             F.lit(SCHEMA_VERSION).alias("schema_version"),
-        )
+            F.col("text").alias("whole_text"),
+        ),
+        *["whole_text"] * whole,
     )
 
 

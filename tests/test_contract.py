@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__
 from runloom.plans import catalogue
+from runloom.schema import INLINE_CAP
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,6 +43,19 @@ def test_query(spark, duck, name):
     assert rows == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in done.fetchall())
 
 
+@pytest.mark.parametrize("name", ["masked_context", "turn_rows", "retrieval_topm"])
+def test_texts_beyond_the_cap_are_whole(spark, tmp_path, name):
+    """The last word of each long text lies beyond INLINE_CAP; only whole texts show it and score by it."""
+    long = "word " * INLINE_CAP
+    rows = [(1, 0, "user", long + "needle"), (1, 1, "assistant", long + "other"), (1, 2, "user", None), (1, 3, "user", long + "NEEDLE"), (2, 0, "system", long + "s"), (2, 1, "user", "short")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(catalogue.ORACLE_SQL[name]).df()[df.columns]
+    assert sorted(tuple(map(plain, r)) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in want.itertuples(index=False))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
