@@ -11,7 +11,10 @@ its successor (header end + Content-Length + separator), already followed to
 the first offset outside the range. Pointer jumping from offset 0 then keeps
 the offsets that are reached; magic inside a payload is never reached, as no
 chain from the start lands on it. At last each range is walked from the offset
-by which the chain enters it. A chain that leads to no record ends there.
+by which the chain enters it. A header may have any length: of a candidate's
+that is longer than ``HEADER_MAX`` only the end and the length line are looked
+for, by chunks and once for all candidates before that end. A chain that leads
+to no record ends there, or raises an error if ``strict``.
 
 Defined cases: a null payload is empty; a null id or URI has no value in its
 header and reads back as null; equal rows are records of their own; a table
@@ -22,6 +25,7 @@ are read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -34,13 +38,14 @@ from runloom.llm.common import bounded_broadcast, scratch_path, table, written
 BREAK = "\r\n"
 END = BREAK * 2
 MAGIC = b"WARC/1."
+LENGTH = re.compile(rb"\r\n[ \t]*content-length[ \t]*:([^\r\n]{0,40})(?=\r\n)", re.IGNORECASE)
 HTTP = f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{END}"
 URN = "urn:runloom:page:"
 SPLIT = 8 << 20
 CHUNK = 1 << 20
 #: Tasks over which the ranges are dealt at most.
 MOST_TASKS = 20_000
-#: Longest header that is looked for.
+#: Longest header that is held for a candidate; those on the chain are held whole.
 HEADER_MAX = 1 << 20
 #: Rows (sha1, length, id) that may be broadcast: under 100 bytes each, 20 MB in all.
 BROADCAST_ROWS = 200_000
@@ -107,48 +112,89 @@ class Header:
             raise ValueError("the block reaches beyond the file")
 
 
-def _header(source, at: int, size: int) -> Header | None:
-    """The header at an offset, or None if no valid one is there."""
+def _header_bytes(source, at: int, size: int, most: int | None = None) -> bytes | None:
+    """What stands from an offset up to the first blank line, or None if there is none (within about `most` bytes)."""
     source.seek(at)
     data, end = source.read(4096), -1
-    while (end := data.find(END.encode())) < 0 and len(data) < min(HEADER_MAX, size - at):
+    while (end := data.find(END.encode())) < 0 and len(data) < min(most or size, size - at) and data.startswith(MAGIC):
         more = source.read(len(data))
         if not more:
             break
         data += more
-    if end < 0 or not data.startswith(MAGIC):
+    return None if end < 0 else data[:end]
+
+
+def _header(source, at: int, size: int, data: bytes | None = None) -> Header | None:
+    """The header at an offset, of any length, or None if no valid one is there."""
+    data = _header_bytes(source, at, size) if data is None else data
+    if data is None or not data.startswith(MAGIC):
         return None
     try:
-        return Header(at, data[:end], size)
+        return Header(at, data, size)
     except (KeyError, ValueError):
         return None
 
 
+def _far_end(source, at: int, size: int) -> tuple[int, int, bytes]:
+    """(the first blank line from an offset on or the file's end, the last length line before it or -1, its value), by chunks."""
+    source.seek(at)
+    pos, carry, line, value = at, b"", -1, b""
+    while pos < size and (data := source.read(CHUNK)):
+        start, data = pos - len(carry), carry + data
+        end = data.find(END.encode())
+        for hit in LENGTH.finditer(data, 0, end + len(BREAK) if end >= 0 else len(data)):
+            line, value = start + hit.start(), hit[1]
+        if end >= 0:
+            return start + end, line, value
+        pos, carry = start + len(data), data[-256:]
+    return size, line, value
+
+
+def _successors(source, hits: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """(offset, successor) of the hits, in order, that are headers of any length."""
+    stop, line, value = -1, -1, b""
+    for at in hits:
+        if at >= stop:
+            data = _header_bytes(source, at, size, HEADER_MAX)
+            if data is not None:
+                if head := _header(source, at, size, data):
+                    yield at, head.next
+                if len(data) > 4096:
+                    stop, line, value = _far_end(source, at, size)
+                continue
+            stop, line, value = _far_end(source, at, size)
+        try:
+            length = int(value) if line >= at else -1
+        except ValueError:
+            length = -1
+        beyond = stop + len(END) + length + len(END)
+        if length >= 0 and stop < size and beyond <= size:
+            yield at, beyond
+
+
 def _candidates(source, start: int, end: int, size: int) -> list[tuple[int, int]]:
     """(offset, successor followed out of the range) of each candidate whose version line begins in [start, end)."""
-    found: list[Header] = []
+    hits: list[int] = []
     at, tail = start, b""
     while at < end:
         source.seek(at)
         data = tail + source.read(min(CHUNK, end - at))
         base = at - len(tail)
         hit = data.find(MAGIC)
-        hits = []
         while hit >= 0:
             hits.append(base + hit)
             hit = data.find(MAGIC, hit + 1)
         at = base + len(data)
         tail = data[-(len(MAGIC) - 1) :]
-        found += [x for x in (_header(source, p, size) for p in hits) if x]
     # A version line that the end of the range cuts begins in it.
     source.seek(max(start, end - len(MAGIC) + 1))
     across = source.read(2 * len(MAGIC) - 2)
     hit = across.find(MAGIC)
-    if hit >= 0 and (head := _header(source, max(start, end - len(MAGIC) + 1) + hit, size)) and head.at < end and all(x.at != head.at for x in found):
-        found.append(head)
+    if hit >= 0 and (last := max(start, end - len(MAGIC) + 1) + hit) < end:
+        hits.append(last)
     leads: dict[int, int] = {}
-    for head in sorted(found, key=lambda x: -x.at):
-        leads[head.at] = leads.get(head.next, head.next)
+    for at, beyond in reversed(list(_successors(source, sorted(set(hits)), size))):
+        leads[at] = leads.get(beyond, beyond)
     return sorted(leads.items())
 
 
@@ -182,10 +228,11 @@ def _page_id(value: str | None) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
-def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload: bool = False, strict: bool = False) -> DataFrame:
     """(path, offset, page_id, record_type, url, refers_to, payload_bytes, payload_digest, [payload]) of each reachable record.
 
-    A revisit's length and digest are those of the full payload, from its header.
+    A revisit's length and digest are those of the full payload, from its header. If strict, a chain that ends before
+    its file does is an error.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("size"))
     ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
@@ -215,6 +262,11 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload:
         onward = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("beyond"))
         two = jumps.join(onward, ["path", "to"], "left").select("path", "at", F.coalesce("beyond", "to").alias("to"))
         jumps = written(two, "jumps")
+    if strict:
+        ends = reached.join(leads, ["path", "at"]).groupBy("path").agg(F.max("to").alias("to"))
+        short = files.where("size > 0").join(ends, "path", "left").where("to is null or to < size").select("path", F.coalesce("to", F.lit(0)).alias("to")).head()
+        if short:
+            raise ValueError(f"no record at byte {short['to']} of {short['path']}, before the file's end")
     entries = reached.join(ranges, "path").where("at >= start and at < end").select("path", "size", "at", "end").repartition(n, "path", "at")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +291,7 @@ SCHEMA = pa.schema([(n, pa.int64() if n in ("offset", "page_id", "refers_to", "p
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, path, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = """

@@ -47,6 +47,26 @@ def test_a_cut_file_ends_its_chain(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{path}", 500).count() == len(ROWS) - 1
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    """A url beyond HEADER_MAX loses neither its own record nor those after it."""
+    path, url = f"file://{tmp_path}/w", "http://a/" + "u" * (3 * warc.HEADER_MAX)
+    rows = [(1, "u", "one"), (2, url, "two"), (3, url + "b", TRAP), (4, "u", "WARC/1.1\r\n" * 20_000), (5, "u", "five")]
+    warc.write_warc(pages(spark, rows).coalesce(1), path)
+    got = {r["page_id"]: r for r in warc.read_warc(spark, path, 1 << 19, strict=True).collect()}
+    assert {i: (r["url"], r["payload_bytes"]) for i, r in got.items()} == {i: (u, len(h)) for i, u, h in rows}
+
+
+def test_strict_says_where_a_chain_ends(spark, tmp_path):
+    path = tmp_path / "w"
+    warc.write_warc(pages(spark, ROWS).coalesce(1), f"file://{path}")
+    assert warc.read_warc(spark, f"file://{path}", 500, strict=True).count() == len(ROWS)
+    part = next(path.glob("part-*"))
+    part.write_bytes(part.read_bytes()[:-30])
+    (path / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="before the file's end"):
+        warc.read_warc(spark, f"file://{path}", 500, strict=True)
+
+
 def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_warc(pages(spark, []), path)
