@@ -228,13 +228,14 @@ def _page_id(value: str | None) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
-def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload: bool = False, strict: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload: bool = False, strict: bool = False, names: str | None = None) -> DataFrame:
     """(path, offset, page_id, record_type, url, refers_to, payload_bytes, payload_digest, [payload]) of each reachable record.
 
     A revisit's length and digest are those of the full payload, from its header. If strict, a chain that ends before
-    its file does is an error.
+    its file does is an error. All files under the path are read, or those whose names fit the pattern `names`.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("size"))
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", names) if names else reader).load(path).select("path", F.col("length").alias("size"))
     ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     ranges = written(ranges.withColumn("end", F.least(F.col("size"), F.col("start") + split)).repartition("path", "start"), "ranges")
     n = min(max(1, ranges.count()), MOST_TASKS)
@@ -291,7 +292,7 @@ SCHEMA = pa.schema([(n, pa.int64() if n in ("offset", "page_id", "refers_to", "p
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, path, strict=True, names="part-*").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = """

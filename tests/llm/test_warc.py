@@ -67,6 +67,13 @@ def test_strict_says_where_a_chain_ends(spark, tmp_path):
         warc.read_warc(spark, f"file://{path}", 500, strict=True)
 
 
+def test_archives_of_any_name(spark, tmp_path):
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:runloom:page:7>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "crawl.warc").write_text(head, newline="")
+    for path, names, n in ((tmp_path, None, 1), (tmp_path / "crawl.warc", None, 1), (tmp_path, "part-*", 0)):
+        assert warc.read_warc(spark, f"file://{path}", names=names).count() == n
+
+
 def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_warc(pages(spark, []), path)
