@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The shared folder of the session (spark.checkpoint.dir).
+
+    Where none is set, a temporary one; on a cluster, whose hosts could not read that, this is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         shared = "file://" + tempfile.mkdtemp(prefix="runloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
         spark.sparkContext.setCheckpointDir(shared)
@@ -66,8 +71,29 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, after the session's Arrow batches are bounded by BATCH_ROWS and BATCH_BYTES (results do not depend on it)."""
+    """df, after the session's Arrow batches are bounded by BATCH_ROWS and BATCH_BYTES.
+
+    The setting is read when a query runs, so it stays for the session; results do not depend on it.
+    """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def place_of(h: Column) -> Column:
+    """A 64-bit hash as its place from 0 to 1."""
+    return (h.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)

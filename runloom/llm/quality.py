@@ -6,11 +6,18 @@ often it is right, and from that the posterior of each pattern of votes. The
 sums of its steps run over the counts of the patterns in all documents, of
 which there are at most 3 ** len(LABELLERS). Posteriors are the soft labels of a
 logistic scorer over hashed byte n-grams, fitted on a bounded sample
-(``sample`` documents) and applied to whole texts.
+(``sample`` documents that differ) and applied to whole texts.
+
+The labellers know faults of prose in general: too few letters, too many
+symbols, digits or capitals, words or lines that repeat, tokens that are no
+words, lines that do not end. They need not know a kind of junk each; the
+scorer learns from all of them.
 
 Defined cases: a null text counts as empty; a text without words is no good
-text (score 0); equal rows stay; an empty table gives an empty result. Only
-the id and the text are read.
+text (score 0); equal rows stay and count in the statistics as often as they
+are there; ids may be null or repeat, as the sample is drawn by a hash of id and
+text; very long texts are looked at whole, their n-grams by chunks; an empty
+table gives an empty result. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import bounded_batches, table
+from runloom.llm.common import bounded_batches, place_of, table
 
 SAMPLE = 4_000
 FEATURES = 2_048
@@ -40,8 +47,14 @@ def _shares(data: bytes, text: str) -> dict[str, float]:
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip()]
     letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
+    lengths = [len(w) for w in text.split()]
     return {
         "words": len(words),
+        "digits": sum(map(len, re.findall(r"\d+", text))) / max(1, sum(lengths)),
+        "length": sum(lengths) / max(1, len(lengths)),
+        "longest": max(lengths, default=0),
+        "lines": len(lines),
+        "fresh": len(set(lines)) / len(lines),
         "symbols": len(SYMBOLS.findall(data)) / len(text),
         "capitals": sum(map(len, re.findall(r"[A-Z]+", text))) / max(1, letters),
         "letters": letters / len(text),
@@ -63,6 +76,9 @@ LABELLERS = {
     "bars": lambda s: BAD if s["bars"] > 0.1 else ABSTAIN,
     "shouts": lambda s: BAD if s["shouts"] > 0.1 else ABSTAIN,
     "marked": lambda s: BAD if s["marked"] > 0.2 else ABSTAIN,
+    "digits": lambda s: BAD if s["digits"] > 0.3 else ABSTAIN,
+    "tokens": lambda s: BAD if s["words"] >= 3 and (s["length"] > 20 or s["length"] < 1.5) or s["longest"] > 100 and s["words"] < 50 else ABSTAIN,
+    "again": lambda s: BAD if s["lines"] >= 4 and s["fresh"] < 0.5 else ABSTAIN,
     "letters": lambda s: BAD if s["letters"] < 0.6 else GOOD if s["letters"] >= 0.75 else ABSTAIN,
     "ends": lambda s: BAD if s["words"] >= 5 and s["ends"] < 0.2 else GOOD if s["ends"] >= 0.6 else ABSTAIN,
     "plain": lambda s: GOOD if max(s["symbols"], s["bars"], s["shouts"], s["marked"], s["runs"]) < 0.02 and s["capitals"] < 0.2 and (s["words"] < 20 or s["distinct"] > 0.4) else ABSTAIN,
@@ -141,19 +157,21 @@ class LabelModel:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of a text's byte n-grams, by their hashes; at last, how far words and n-grams repeat."""
+    """Square roots of the shares of a text's byte n-grams, by their hashes, and of its bytes; at last, how far words and n-grams repeat."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    counts = np.zeros(FEATURES, np.int64)
+    counts, single = np.zeros(FEATURES, np.int64), np.zeros(256, np.int64)
     for at in range(0, max(0, len(data) - GRAM + 1), CHUNK):
         codes = np.frombuffer(data[at : at + CHUNK + GRAM - 1], np.uint8).astype(np.uint32)
         h = np.zeros(len(codes) - GRAM + 1, np.uint32)
         for i in range(GRAM):
             h = h * np.uint32(257) + codes[i : i + len(h)]
         counts += np.bincount((h * np.uint32(2654435761)) >> np.uint32(32 - FEATURES.bit_length() + 1), minlength=FEATURES)
+    for at in range(0, len(data), CHUNK):
+        single += np.bincount(np.frombuffer(data[at : at + CHUNK], np.uint8), minlength=256)
     shares = counts / max(1, counts.sum())
     words = data.split()
     runs = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
-    return np.append(np.sqrt(shares), [np.sqrt(runs), np.sqrt((shares * shares).sum())]).astype(np.float32)
+    return np.concatenate([np.sqrt(shares), np.sqrt(single / max(1, len(data))), [np.sqrt(runs), np.sqrt((shares * shares).sum())]]).astype(np.float32)
 
 
 class Scorer:
@@ -181,7 +199,7 @@ class Scorer:
 
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer] | None:
-    """The label model of all rows of docs, and a scorer fitted on the `sample` rows with the least hashes of their ids."""
+    """The label model of all rows of docs, and a scorer fitted on the `sample` documents with the least hashes of id and text."""
     rows = _rows(docs, id_col, text_col)
     counted = patterns(rows).groupBy("pattern").agg(F.count("*").alias("n")).collect()
     if not counted:
@@ -197,15 +215,13 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [batch.column(0), pa.array([pattern_of(votes(x)) for x in texts], pa.int32()), pa.array([features(x).tobytes() for x in texts], pa.binary())], names=["h", "pattern", "x"]
             )
 
-    # The hash that has about 1.2 * sample rows below it; the texts of only these are looked at.
-    n = counts.sum()
-    hashed = rows.select(F.xxhash64("doc_id").alias("h"), "text")
-    if n > 1.2 * sample:
-        hashed = hashed.where(F.col("h") < int(-(2**63) + 2**64 * (1.2 * sample / n)))
-    drawn = hashed.mapInArrow(each, "h long, pattern int, x binary").orderBy("h", "x").limit(sample).collect()
-    if not drawn:
-        return None
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn), np.float32).reshape(len(drawn), FEATURES + 2)
+    # About twice the sample lies below the bound; equal rows have one hash and are drawn once. The texts of only these are looked at.
+    hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    share = min(1.0, 2 * sample / max(1, hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]))
+    below = hashed if share > 0.5 else hashed.where(place_of(F.col("h")) < share)
+    drawn = below.mapInArrow(each, "h long, pattern int, x binary").groupBy("h").agg(F.min_by(F.struct("pattern", "x"), "x").alias("of"))
+    drawn = drawn.orderBy("h").limit(sample).select("of.*").collect()
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn), np.float32).reshape(len(drawn), -1)
     return model, Scorer.fit(x, model.posterior(np.array([r["pattern"] for r in drawn])))
 
 

@@ -63,3 +63,50 @@ def test_chunks_do_not_matter(monkeypatch):
 
 def test_empty(spark, no_docs):
     assert Q.fit_quality(no_docs) is None and Q.score_quality(no_docs, None).count() == 0
+
+
+@pytest.mark.parametrize("ident", [None, 7])
+def test_null_and_equal_ids_are_sampled_by_their_texts(spark, ident):
+    rng = random.Random(5)
+    rows = [(ident, good(rng) if i % 4 else bad(rng)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, scorer = Q.fit_quality(df, sample=100)
+    scores = [scorer.score(t) for _, t in rows]
+    assert np.mean([(s >= 0.5) == bool(i % 4) for i, s in enumerate(scores)]) > 0.9
+
+
+def test_repeated_rows_are_drawn_once(spark):
+    rng = random.Random(6)
+    rows = [(1, "copied text of some words that ends well.")] * 3000 + [(i, good(rng) if i % 3 else bad(rng)) for i in range(300)]
+    _, scorer = Q.fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), sample=200)
+    assert np.mean([(scorer.score(t) >= 0.5) == bool(i % 3) for i, (_, t) in enumerate(rows[3000:])]) > 0.9
+
+
+def unseen(rng):
+    """Junk of kinds that no labeller is written for: codes, key-value dumps, lists of addresses, menus, shuffled letters of one length."""
+    code = lambda n: "".join(rng.choice("ABCDEFGHijklmnop0123456789+/") for _ in range(n))
+    return rng.choice([
+        "\n".join(code(64) for _ in range(12)),
+        "\n".join(f"{code(6)}={rng.randint(0, 10**9)}; {code(4)}={rng.random():.6f}" for _ in range(15)),
+        " ".join(f"http://{code(8)}.example/{code(10)}?{code(3)}={rng.randint(0, 999)}" for _ in range(20)),
+        "\n".join(["Home", "Log in", "Home", "Log in", "Next", "Next", "Home", "Log in"] * 4),
+        " ".join(str(rng.randint(0, 10**6)) for _ in range(80)),
+    ])
+
+
+def test_junk_of_kinds_that_no_labeller_names(spark):
+    rng = random.Random(8)
+    rows = [(i, good(rng) if i % 4 else unseen(rng)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, scorer = Q.fit_quality(df, sample=400)
+    fresh = [(good(rng), True) for _ in range(200)] + [(unseen(rng), False) for _ in range(200)]
+    right = [(scorer.score(t) >= 0.5) == g for t, g in fresh]
+    assert np.mean(right[:200]) > 0.95 and np.mean(right[200:]) > 0.9
+
+
+def test_query(spark, corpus, tmp_path):
+    rows, df = corpus
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = Q.op6_quality_classifier(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("quality_score", "double"), ("kept", "boolean")] and out.count() == len(rows)
+    assert all(0 <= r["quality_score"] <= 1 and r["kept"] == (r["quality_score"] >= 0.5) for r in out.collect())
