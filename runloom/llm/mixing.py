@@ -18,22 +18,25 @@ rates, shifted by an offset, crosses as many whole numbers as a document gets
 copies. A source's total then strays from its target by at most one document of
 the largest size; of OFFSETS offsets, the one with the least error is taken.
 Documents of one size in one source are dealt into buckets of BUCKET by a hash
-of their id, so no task ranks more than a bucket; the windows over a source
-hold one row for each of its sizes and buckets, and that over all sources one
-row for each source.
+of their id, so no task ranks more than a bucket. The running sums over a
+source's buckets are taken in two levels: buckets are cut by range into parts,
+parts are summed, and their sums run before those within each part; so one
+source, however large, is spread over all tasks. Only one row of sums for each
+source (some 50 bytes) meets in one task, where targets are set.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a
-source of its own, the last; equal rows are documents of their own; an empty
-table gives an empty result. Only id, source and text are read.
+source of its own, the last; equal rows are documents of their own; texts are
+counted whole in the JVM, whatever their length; an empty table gives an empty
+result. Only id, source and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.llm.common import bounded_broadcast, table, written
+from runloom.llm.common import bounded_broadcast, column, table, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCALE = 10**9
@@ -81,11 +84,15 @@ def _rate(multiplier: Column, x: Column, cap: float) -> Column:
 
 
 def multipliers(histogram: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, max_steps: int = 60) -> DataFrame:
-    """(src, multiplier) that meet every target below cap times its source's size, by distributed Newton steps."""
-    mean = histogram.where("size > 0").groupBy("src").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    state = targets.where("not full and source_size > 0").join(mean, "src")
-    state = written(state.select("src", "target", "mean", F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("miss")), "newton")
+    """(src, mean, multiplier) that meet every target below cap times its source's size, by distributed Newton steps.
+
+    Each step is one job, which writes the state and counts the sources that have not settled; if some have not after
+    max_steps, that is an error.
+    """
     rows = histogram.where("size > 0")
+    mean = rows.groupBy("src").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    none = F.lit(None).cast("double")
+    state = written(targets.where("not full and source_size > 0").join(mean, "src").select("src", "target", "mean", F.lit(0.0).alias("at"), none.alias("low"), none.alias("high")), "newton")
     for _ in range(max_steps):
         x = F.col("size") / F.col("mean")
         rate = _rate(F.col("at"), x, cap)
@@ -104,10 +111,27 @@ def multipliers(histogram: DataFrame, targets: DataFrame, cap: float, tolerance:
         middle = (F.col("low") + F.col("high")) / 2
         moved = F.when(outside & middle.isNotNull(), middle).otherwise(new)
         settled = F.abs("miss") <= tolerance * F.col("target") + 0.01
-        state = written(step.select("src", "target", "mean", F.when(settled, F.col("at")).otherwise(moved).alias("at"), "low", "high", "miss"), "newton")
-        if not state.where(F.abs("miss") > tolerance * F.col("target") + 0.01).limit(1).count():
-            break
-    return state.select("src", "mean", F.col("at").alias("multiplier"))
+        step = step.select("src", "target", "mean", F.when(settled, F.col("at")).otherwise(moved).alias("at"), "low", "high", settled.alias("settled"))
+        counted = Observation()
+        state = written(step.observe(counted, F.count_if(~F.col("settled")).alias("open")), "newton").drop("settled")
+        if not counted.get.get("open"):
+            return state.select("src", "mean", F.col("at").alias("multiplier"))
+    raise RuntimeError(f"{counted.get['open']} sources did not reach their targets in {max_steps} steps")
+
+
+def running_sums(rows: DataFrame, group: str, order: list[Column], value: str) -> DataFrame:
+    """rows with `upto`, the running sum of value in each group, in two levels: no task holds a whole group.
+
+    Rows are cut by range and written, so a row keeps its part if a task is run again.
+    """
+    cut = rows.repartitionByRange(F.col(group), *order).withColumn("part", F.spark_partition_id())
+    cut = written(cut, "ranges")
+    sums = cut.groupBy(group, "part").agg(F.sum(value).cast("decimal(38,0)").alias("own"))
+    earlier = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each part
+    ahead = sums.select(group, "part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).cast("decimal(38,0)").alias("ahead"))
+    within = W.partitionBy(group, "part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    found = cut.join(bounded_broadcast(written(ahead, "ahead"), BROADCAST_ROWS), [group, "part"])
+    return found.withColumn("upto", (F.col("ahead") + F.sum(value).over(within)).cast("decimal(38,0)")).drop("part", "ahead")
 
 
 def mix(
@@ -132,9 +156,9 @@ def mix(
     dealt = sizes.join(bounded_broadcast(rated, BROADCAST_ROWS), ["src", "size"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
     dealt = written(dealt.select("doc_id", "src", "size", "bucket", "source_size", "target", "units"), "dealt")
     cells = dealt.groupBy("src", "size", "bucket", "units", "target").agg(F.count("*").cast("decimal(20,0)").alias("n"))
-    down = W.partitionBy("src").orderBy(F.desc("size"), "bucket").rowsBetween(W.unboundedPreceding, 0)
-    cells = cells.withColumn("upto", F.sum(F.col("n") * F.col("units").cast("decimal(11,0)")).over(down).cast("decimal(38,0)"))
-    cells = written(cells.withColumn("before", (F.col("upto") - F.col("n") * F.col("units").cast("decimal(11,0)")).cast("decimal(38,0)")), "cells")
+    cells = cells.withColumn("rates", (F.col("n") * F.col("units").cast("decimal(11,0)")).cast("decimal(38,0)"))
+    cells = running_sums(cells, "src", [F.desc("size"), F.col("bucket")], "rates")
+    cells = written(cells.withColumn("before", (F.col("upto") - F.col("rates")).cast("decimal(38,0)")), "cells")
     # The offset of each source with the least error.
     offsets = [(2 * i + 1) * SCALE // (2 * OFFSETS) for i in range(OFFSETS)]
     took = [F.sum(F.col("size") * F.expr(f"((upto + {u}) div {SCALE}) - ((before + {u}) div {SCALE})")) - F.first("target") for u in offsets]
@@ -151,10 +175,14 @@ def mix(
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix copies it; rows with one id take the most copies any of them got."""
-    copies = mix(docs, id_col, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    return joined.where("_copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix copies it; rows with one id take the most copies any of them got.
+
+    The columns are those of docs, under whatever names.
+    """
+    own, often, nth = (unused(docs, x) for x in ("mix_id", "mix_copies", "mix_nth"))
+    copies = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").cast("int").alias(often)).where(F.col(often) > 0)
+    joined = docs.join(copies, column(id_col).cast("long").eqNullSafe(F.col(own)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*[column(c) for c in docs.columns])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

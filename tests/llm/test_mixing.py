@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from runloom.llm import mixing as M
 
@@ -67,10 +68,38 @@ def test_rates_solve_the_dual(spark):
         assert got == pytest.approx(15000 if r["src"] == "sa" else 100, rel=1e-6)
 
 
-def test_rows_are_repeated(corpus):
-    rows, df = corpus
-    out = M.mixed_rows(df)
-    assert out.columns == df.columns and out.count() > 0
+def test_sources_that_do_not_settle_are_an_error(spark):
+    hist = spark.createDataFrame([("sa", i, 10) for i in range(1, 50)], "src string, size long, n long")
+    targets = spark.createDataFrame([("sa", 12250, 23000.0, False)], "src string, source_size long, target double, full boolean")
+    with pytest.raises(RuntimeError, match="did not reach"):
+        M.multipliers(hist, targets, 2.0, max_steps=1)
+
+
+def test_running_sums_spread_one_group(spark):
+    """One group over several parts, sums beyond 64 bits, groups that begin within a part."""
+    rows = [("one", i * 7919 % 3001, 10**18 + i) for i in range(3000)] + [("two", i, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, at long, v long").withColumn("v", F.col("v").cast("decimal(38,0)"))
+    got = {(r["g"], r["at"]): int(r["upto"]) for r in M.running_sums(df, "g", [F.desc("at")], "v").collect()}
+    for g in ("one", "two"):
+        total = 0
+        for _, at, v in sorted((r for r in rows if r[0] == g), key=lambda r: -r[1]):
+            total += v
+            assert got[g, at] == total
+    plan = M.running_sums(df, "g", [F.desc("at")], "v")._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\(g#\d+, \d", plan)
+
+
+def test_copies_follow_the_rates(mixed):
+    """Systematic rounding: every document gets its rate rounded up or down."""
+    _, got, _ = mixed
+    assert all(abs(r["copies"] - r["rate"]) < 1 and 0 <= r["rate"] <= 2 for r in got)
+
+
+def test_query(spark, corpus, tmp_path):
+    corpus[1].write.parquet(f"{tmp_path}/documents.parquet")
+    df = M.op5_mix_sources(spark, str(tmp_path))
+    assert df.dtypes[:5] == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    assert df.count() == len(corpus[0])
 
 
 def test_empty_and_wordless(spark, no_docs):
