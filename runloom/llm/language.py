@@ -285,14 +285,17 @@ def predict(docs: DataFrame, network: Compiled | None, id_col: str = "doc_id", t
 def keep_known(docs: DataFrame, network: Compiled | None, text_col: str = "text", least_score: float = 0.3) -> DataFrame:
     """The rows of docs, in its columns, whose language is known with at least so high a mean probability; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = label_texts(shared.value, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != UNDETERMINED and p >= least_score for x, p in found], pa.bool_()))
+            kept = batch.filter(pa.array([x != UNDETERMINED and p >= least_score for x, p in found], pa.bool_()))
+            yield kept.rename_columns(names)
 
-    return bounded_batches(docs).mapInArrow(each, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # a name with a dot cannot go to Python
+    return bounded_batches(plain).mapInArrow(each, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

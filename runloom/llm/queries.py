@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from runloom.llm import ann, chat, exact_dedup, language, lines, mixing, pieces, quality, simhash, warc
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
