@@ -1,8 +1,10 @@
 """Chat formatting with Spark expressions only.
 
 Turn structs of a conversation are collected and sorted, adjacent turns of one
-role are merged into a block by an array aggregation, and the blocks are
-concatenated. The template:
+role are merged into a block by array functions over the places where the role
+changes (each turn is copied once), and the blocks are concatenated. Where a
+text will stand is a running sum over the conversation's rows, taken before
+they are collected in the same partitioning. The template:
 
     <turn:ROLE>text<next>text</turn>\\n
 
@@ -13,14 +15,19 @@ unchanged: ``\\`` becomes ``\\-`` and ``<`` becomes ``\\l`` (in roles also
 the (start, length) code-point spans of assistant texts in the output.
 
 Defined cases: a null text or role counts as empty; null turns sort first;
-turns that tie are ordered by role, then text, and repeated rows are repeated
-turns; rows with a null conversation id form one conversation; an empty table
-gives an empty result. Only the four named columns are read.
+turns that tie are ordered by role, then text (as they are, before escaping), and
+repeated rows are repeated turns; rows with a null conversation id form one
+conversation; texts of any length and conversations of any number of turns are
+formatted whole, each as one value (2 GB at most, as any in Spark); an empty
+table gives an empty result. Only the four named columns are read, so others
+cannot clash. The query's control case is conversation -7; rows of the table with
+that id are further turns of it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.llm.common import table
@@ -46,51 +53,32 @@ def unescape_role(role: Column) -> Column:
 
 
 def _merged(turns: Column) -> Column:
-    """Blocks (role, texts) of adjacent turns of one role, in order."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def step(blocks: Column, turn: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == turn["role"])
-        longer = F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts")))
-        fresh = F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))
-        return F.when(same, F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), longer)).otherwise(F.concat(blocks, fresh))
-
-    return F.aggregate(turns, empty, step)
+    """The blocks, slices of turns that share a role, in order: each from a turn of a new role up to the next such turn."""
+    n = F.size(turns)
+    heads = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(turns, i)["new"])
+    return F.zip_with(heads, F.concat(F.slice(heads, 2, n), F.array(n + 1)), lambda a, b: F.slice(turns, a, b - a))
 
 
 def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, loss_spans array<struct<start, chars>>); start counts code points from 1."""
-    turn = F.struct(
+    rows = rows.select(
+        F.col(id_col).cast("long").alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
-        escape_role(F.coalesce(F.col(role_col).cast("string"), F.lit(""))).alias("role"),
-        escape(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    grouped = rows.groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    blocks = grouped.select("conv_id", _merged(F.col("turns")).alias("blocks"))
-    pieces = F.transform("blocks", lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(NAME_END), F.array_join(b["texts"], NEXT), F.lit(CLOSE)))
-    return blocks.select("conv_id", F.array_join(pieces, "").alias("formatted"), _spans(F.col("blocks")).alias("loss_spans"))
-
-
-def _spans(blocks: Column) -> Column:
-    """Walks the blocks with the code points so far and keeps the spans of LOSS_ROLE's texts."""
-    span = "array<struct<start:long,chars:long>>"
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast(span).alias("out"))
-
-    def text_step(role: Column):
-        def step(state: Column, text: Column) -> Column:
-            here = F.array(F.struct(state["at"].alias("start"), F.length(text).cast("long").alias("chars")))
-            out = F.when(role == LOSS_ROLE, F.concat(state["out"], here)).otherwise(state["out"])
-            return F.struct((state["at"] + F.length(text) + len(NEXT)).alias("at"), out.alias("out"))
-
-        return step
-
-    def block_step(state: Column, block: Column) -> Column:
-        inner = F.struct((state["at"] + len(OPEN) + F.length(block["role"]) + len(NAME_END)).alias("at"), state["out"].alias("out"))
-        after = F.aggregate(block["texts"], inner, text_step(block["role"]))
-        return F.struct((after["at"] - len(NEXT) + len(CLOSE)).alias("at"), after["out"].alias("out"))
-
-    return F.aggregate(blocks, start, block_step, lambda s: s["out"])
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.lag("role").over(order)
+    rows = rows.withColumn("first", before.isNull()).withColumn("new", ~before.eqNullSafe(F.col("role"))).withColumn("chars", F.length(escape(F.col("text"))).cast("long"))
+    head = F.when(F.col("first"), 0).otherwise(len(CLOSE)) + len(OPEN) + F.length(escape_role(F.col("role"))) + len(NAME_END)
+    ahead = F.when(F.col("new"), head).otherwise(len(NEXT))
+    rows = rows.withColumn("start", F.sum(ahead + F.col("chars")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("chars") + 1)
+    turn = F.struct("turn", "role", "text", "start", "chars", "new")
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    body = lambda block: F.array_join(F.transform(block, lambda t: escape(t["text"])), NEXT)
+    pieces = F.transform(_merged(F.col("turns")), lambda b: F.concat(F.lit(OPEN), escape_role(b[0]["role"]), F.lit(NAME_END), body(b), F.lit(CLOSE)))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: F.struct(t["start"].alias("start"), t["chars"].alias("chars")))
+    return grouped.select("conv_id", F.array_join(pieces, "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -145,11 +133,11 @@ escaped AS (
   SELECT *, replace(replace(text, '\', '\-'), '<', '\l') AS t,
          replace(replace(replace(role, '\', '\-'), '<', '\l'), '>', '\g') AS r FROM rows),
 marked AS (
-  SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS before FROM escaped)
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM escaped)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length(t) + CASE WHEN before IS NOT DISTINCT FROM r THEN 6 ELSE 15 + length(r) END) AS BIGINT) AS formatted_chars
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(t) + CASE WHEN before IS NOT DISTINCT FROM role THEN 6 ELSE 15 + length(r) END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """

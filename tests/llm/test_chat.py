@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -32,6 +33,38 @@ def test_nulls_ties_and_repeats(spark):
     assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("system", "")]
 
 
+def test_ties_are_ordered_by_the_texts_themselves(spark):
+    """`<` is escaped to a character beyond `=`; the order is that of the texts as they are."""
+    got = formatted(spark, [(1, 0, "user", "= y"), (1, 0, "user", "< x"), (1, 0, "us<", "z"), (1, 0, "us=", "z")])
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("us<", "z"), ("us=", "z"), ("user", "< x"), ("user", "= y")]
+
+
+def test_many_turns_and_a_long_text(spark):
+    rng = random.Random(3)
+    rows = [(1, i, rng.choice(["user", "assistant"]), f"<{i}>\\") for i in range(20_000)] + [(2, 0, "assistant", "<😀\\ word" * 300_000)]
+    got = formatted(spark, rows)
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [(r, x) for _, _, r, x in rows[:-1]]
+    assert got[1]["loss"] == "".join(x for _, _, r, x in rows[:-1] if r == "assistant") and got[2]["loss"] == rows[-1][3]
+
+
+def test_spans_are_places_in_the_output(spark):
+    rows = [(1, 0, "assistant", "😀<a"), (1, 1, "assistant", ""), (1, 2, "us>er", "q"), (1, 3, "assistant", "end")]
+    r = formatted(spark, rows)[1]
+    assert [r["formatted"][s["start"] - 1 :][: s["chars"]] for s in r["loss_spans"]] == ["😀\\la", "", "end"]
+
+
+def test_one_shuffle(spark):
+    plan = chat.format_conversations(spark.createDataFrame([(1, 2, "a", "b", "c")], SCHEMA))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_the_control_conversation_join_it(spark, tmp_path):
+    spark.createDataFrame([(-7, 5, "user", "more")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = chat.op1_chat_format(spark, str(tmp_path))
+    assert [(r["conv_id"], r["n_turns"]) for r in out.collect()] == [(-7, 3)]
+    assert out.dtypes[:6] == [("conv_id", "bigint"), ("n_turns", "bigint"), ("turns_sha256", "string"), ("loss_chars", "bigint"), ("loss_sha256", "string"), ("formatted_chars", "bigint")]
+
+
 def test_empty_table(spark):
     assert chat.format_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
 
