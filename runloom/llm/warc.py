@@ -2,8 +2,9 @@
 
 A record ends with two line breaks, which serve as the separator of the text
 sink; so archives are written by Spark's own committer to any file system. A
-payload that repeats (same SHA-1 and length, at least ``least`` bytes) is
-written once, as a response, and its other pages are revisits of that record.
+payload of at least ``least`` bytes that repeats is written once, as a response,
+and its other pages are revisits of that record. Payloads whose digests repeat
+are compared by their bytes.
 
 To read, archives are cut into byte ranges. A task looks for every version
 line in its range and emits the offset of the candidate record with that of
@@ -17,9 +18,11 @@ for, by chunks and once for all candidates before that end. A chain that leads
 to no record ends there, or raises an error if ``strict``.
 
 Defined cases: a null payload is empty; a null id or URI has no value in its
-header and reads back as null; equal rows are records of their own; a table
-without rows gives an archive without records. Only the three named columns
-are read.
+header and reads back as null; a URI that a header line cannot hold stands there
+with %20 for what it cannot, and as it is in a line of its own; equal rows are
+records of their own; a payload of any length is one record, hashed by chunks
+when read; a table without rows gives an archive without records. Only the three
+named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from urllib.parse import urlparse
+from urllib.parse import unquote_plus, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +50,7 @@ CHUNK = 1 << 20
 MOST_TASKS = 20_000
 #: Longest header that is held for a candidate; those on the chain are held whole.
 HEADER_MAX = 1 << 20
-#: Rows (sha1, length, id) that may be broadcast: under 100 bytes each, 20 MB in all.
+#: Rows (digest, id) that may be broadcast: under 100 bytes each, 20 MB in all.
 BROADCAST_ROWS = 200_000
 
 
@@ -59,16 +62,21 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
     )
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    groups = rows.where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    groups = written(groups.where("n > 1").drop("n"), "payloads")
-    rows = rows.join(bounded_broadcast(groups, BROADCAST_ROWS), ["sha", "bytes"], "left")
+    rows = rows.withColumn("strong", F.when(F.col("bytes") >= least, F.sha2(F.col("payload").cast("binary"), 256)))
+    named = rows.where("strong is not null").groupBy("strong").agg(F.count("*").alias("n")).where("n > 1").select("strong")
+    suspects = rows.join(bounded_broadcast(written(named, "payloads"), BROADCAST_ROWS), "strong", "left_semi")
+    # Grouping by the payload itself is the comparison: only equal bytes share a row.
+    groups = written(suspects.groupBy("strong", "payload").agg(F.max("page_id").alias("first_id")).select("strong", "first_id"), "groups")
+    if groups.count() != groups.select("strong").distinct().count():
+        raise RuntimeError("two different payloads have one SHA-256 digest")
+    rows = rows.join(bounded_broadcast(groups, BROADCAST_ROWS), "strong", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
 
     def line(name: str, value) -> F.Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
 
     ident = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    safe_url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
+    safe_url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")  # the others of Unicode's spaces stay
     length = F.when(revisit, F.lit(len(HTTP))).otherwise(F.col("bytes") + len(HTTP))
     record = F.concat(
         F.lit(f"WARC/1.1{BREAK}"),
@@ -76,6 +84,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         line("WARC-Record-ID", ident(F.col("page_id"))),
         line("WARC-Date", F.lit("2020-01-01T00:00:00Z")),
         F.coalesce(line("WARC-Target-URI", safe_url), F.lit("")),
+        F.when(F.col("url") != safe_url, line("X-Target-URI-Encoded", F.url_encode("url"))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha"))),
         line("X-Payload-Length", F.col("bytes").cast("string")),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", ident(F.col("first_id"))))).otherwise(""),
@@ -104,7 +113,7 @@ class Header:
     def __init__(self, at: int, data: bytes, size: int):
         lines = data.split(BREAK.encode())
         self.at = at
-        self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:]) if k}
+        self.fields = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:]) if k}
         self.block = at + len(data) + len(END)
         self.length = int(self.fields["content-length"])
         self.next = self.block + self.length + len(END)
@@ -223,6 +232,11 @@ def _walk(source, at: int, end: int, size: int, with_payload: bool) -> Iterator[
         at = head.next
 
 
+def _url(fields: dict[str, str]) -> str | None:
+    encoded = fields.get("x-target-uri-encoded")
+    return fields.get("warc-target-uri") if encoded is None else unquote_plus(encoded)
+
+
 def _page_id(value: str | None) -> int | None:
     number = (value or "").removeprefix(f"<{URN}").removesuffix(">")
     return int(number) if number.lstrip("-").isdigit() else None
@@ -268,7 +282,8 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload:
         short = files.where("size > 0").join(ends, "path", "left").where("to is null or to < size").select("path", F.coalesce("to", F.lit(0)).alias("to")).head()
         if short:
             raise ValueError(f"no record at byte {short['to']} of {short['path']}, before the file's end")
-    entries = reached.join(ranges, "path").where("at >= start and at < end").select("path", "size", "at", "end").repartition(n, "path", "at")
+    # Ranges begin at multiples of split, so an entry meets its own range only.
+    entries = reached.withColumn("start", F.expr(f"at div {split} * {split}")).join(ranges, ["path", "start"]).select("path", "size", "at", "end").repartition(n, "path", "at")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +294,7 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload:
                         if kind == "revisit":
                             length = int(head.fields.get("x-payload-length", length))
                             digest = head.fields.get("warc-payload-digest", "").removeprefix("sha1:") or digest
-                        one = [row["path"], head.at, _page_id(head.fields.get("warc-record-id")), kind, head.fields.get("warc-target-uri"), _page_id(head.fields.get("warc-refers-to")), length, digest]
+                        one = [row["path"], head.at, _page_id(head.fields.get("warc-record-id")), kind, _url(head.fields), _page_id(head.fields.get("warc-refers-to")), length, digest]
                         yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, one + [payload] * with_payload))], schema=SCHEMA if not with_payload else SCHEMA.append(pa.field("payload", pa.binary())))
 
     return entries.mapInArrow(walk, "path string, offset long, page_id long, record_type string, url string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)

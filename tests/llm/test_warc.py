@@ -35,7 +35,29 @@ def test_payloads_come_back(spark, tmp_path):
     warc.write_warc(pages(spark, ROWS), path)
     got = {r["page_id"]: r for r in warc.read_warc(spark, path, 300, with_payload=True).where("record_type = 'response'").collect()}
     assert bytes(got[3]["payload"]).decode() == TRAP * 3 and bytes(got[12]["payload"]) == b"\r\n\r\nWARC/1.0\r\n\r\n"
-    assert got[3]["url"] == "u%20v%20%20X:%20y" and got[9]["url"] is None
+    assert got[9]["url"] is None
+    assert b"WARC-Target-URI: u%20v%20%20X:%20y\r\n" in b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+
+
+@pytest.mark.parametrize("url", ["u v\r\nX: y", " lead", "trail ", "50%20+ä\t", "\u00a0nbsp\u2028", "", "http://plain/?a=b%20c+d"])
+def test_urls_come_back(spark, tmp_path, url):
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(pages(spark, [(1, url, "x")]), path)
+    assert warc.read_warc(spark, path).first()["url"] == url
+
+
+def test_equal_digests_are_compared_by_bytes(spark, tmp_path, monkeypatch):
+    """With a digest that tells nothing apart, different payloads are noticed."""
+    monkeypatch.setattr(warc.F, "sha2", lambda c, n: warc.F.lit("same"))
+    with pytest.raises(RuntimeError, match="two different payloads"):
+        warc.write_warc(pages(spark, [(1, "u", "a" * 2000), (2, "u", "b" * 2000)]), f"file://{tmp_path}/w")
+
+
+def test_query(spark, tmp_path):
+    pages(spark, ROWS).write.parquet(f"{tmp_path}/pages.parquet")
+    out = warc.op8_warc(spark, str(tmp_path))
+    assert out.dtypes == [("page_id", "bigint"), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "bigint")]
+    assert out.count() == len(ROWS)
 
 
 def test_a_cut_file_ends_its_chain(spark, tmp_path):
