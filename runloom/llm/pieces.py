@@ -1,15 +1,20 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The text is read one character at a time. The search keeps the partial pieces
-that may still grow (at most as many as the longest piece has characters), each
-with its best score and a link to the ids before it. As soon as the links of
-all survivors pass one boundary, the ids up to it are final and are committed,
-so a long text never keeps more than the part that is still undecided.
+The text is read one character at a time. The search keeps a window of the last
+boundaries from which a piece may still grow (at most as many as the longest
+piece has characters), each with its best score and the path by which it is
+reached. A boundary whose pieces have all ended and that no later one is reached
+by is forgotten at once. As soon as all paths pass one boundary, the ids up to
+it are final: they are committed and the path before is let go. So what is held
+is the window and the part that is still undecided, however long the text. (A
+run of one letter can be undecided to its end, as ways that cut it at other
+places never meet; there the held part is the run.)
 
 No piece goes on from another character into the space mark, so all paths
 converge where a space follows a word (this is verified when the vocabulary is
 loaded). The ids of a stretch between two such boundaries depend on nothing
-else, and those of short stretches are remembered in a table of bounded size.
+else, and those of short stretches are remembered in a table of bounded size,
+which saves searching for a word that has just been searched for.
 
 A character without a piece becomes its UTF-8 bytes, and so does a literal
 space mark (U+2581), which makes decoding an exact inverse. Of paths with the
@@ -20,15 +25,21 @@ merge model lists ranks instead, which do not add up; there, a piece weighs
 ``-log(ZIPF_OFFSET + rank)``. The best path under such weights need not be the
 segmentation that the model's own merges give (README has figures).
 
+The model's own settings hold for what stands before a text (its dummy prefix);
+a model that changes texts otherwise (a normaliser's table, white space removed
+or put last) is refused, as its decoding could be no inverse.
+
 Defined cases: a null or empty text has no ids and decodes to an empty text;
-equal rows stay; an empty table gives an empty result. Only the id and the text
-are read.
+null ids decode to an empty text; equal rows stay; texts of any length are
+encoded whole; an empty table gives an empty result. Only the id and the text
+(or the ids) are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,12 +60,27 @@ ZIPF_OFFSET = 100.0
 UNIT = 1 << 20
 
 
+class Boundary:
+    """A place between two characters: its best score, the last ids on the way to it, and the boundaries before and after."""
+
+    __slots__ = ("score", "ids", "before", "after", "grows")
+
+    def __init__(self, score: float, ids: tuple[int, ...], before: Boundary | None):
+        self.score, self.ids, self.before, self.after, self.grows = score, ids, before, [], True
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model as a trie; no piece may go from another character into the space mark."""
 
     def __init__(self, model: bytes):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
+        spec = sentencepiece_model_pb2.ModelProto.FromString(model)
+        rules = spec.normalizer_spec
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces or spec.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("a model that changes texts before it cuts them is not supported")
+        self.prefix = " " if rules.add_dummy_prefix else ""
         reader = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.trie: dict = {}
         self.byte_ids = [0] * 256
@@ -82,105 +108,93 @@ class Vocabulary:
             node[""] = (weight(i), i)
             scores.append(weight(i))
         self.unknown = min(scores, default=0.0) - UNKNOWN_PENALTY * UNIT
-        self.prefix = MARK
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def spell(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
 
-    def stream(self, chars: Iterator[str]) -> Iterator[list[int]]:
-        """Lists of ids, each final when it is given out; joined, they are the ids of the whole text."""
-        trie = self.trie
-        # A survivor: (node of the trie, score before its piece, link); a link: (boundary, ids, link before) or None.
-        growing: list[tuple[dict, float, tuple | None]] = []
-        score, link, at, done, checked = 0.0, None, 0, 0, 0
+    def stream(self, chars: Iterator[str]) -> Iterator[tuple[int, ...]]:
+        """Ids, each final when it is given out; joined, they are the ids of the whole text."""
+        trie, unknown = self.trie, self.unknown
+        root = newest = Boundary(0.0, (), None)
+        growing: list[tuple[dict, Boundary]] = []  # the window: nodes of the trie and where their pieces begin
         for c in chars:
-            at += 1
-            best, best_link, one = -1e300, None, False
-            grown = []
-            growing.append((trie, score, link))
-            for node, before, back in growing:
+            growing.append((trie, newest))
+            best, ids, way, one, ended, grown = -math.inf, (), newest, False, [], []
+            for node, start in growing:
                 node = node.get(c)
                 if node is None:
+                    ended.append(start)
                     continue
                 end = node.get("")
                 if end is not None:
-                    one = one or back is link
-                    if before + end[0] > best:
-                        best, best_link = before + end[0], (at, (end[1],), back)
+                    one = one or start is newest
+                    if start.score + end[0] > best:
+                        best, ids, way = start.score + end[0], (end[1],), start
                     if len(node) == 1:
+                        ended.append(start)
                         continue
-                grown.append((node, before, back))
-            if not one and score + self.unknown > best:
-                best, best_link = score + self.unknown, (at, self.spell(c), link)
-            growing, score, link = grown, best, best_link
-            if not growing:
-                yield _ids(link, done)
-                done, checked, link = at, at, (at, (), None)
-            elif at - checked >= 64:
-                checked = at
-                common = _common([link, *(back for _, _, back in growing)], done)
-                if common is not None and common[0] > done:
-                    yield _ids(common, done)
-                    done = common[0]
-        if link is not None:
-            yield _ids(link, done)
+                grown.append((node, start))
+            if not one and newest.score + unknown > best:
+                best, ids, way = newest.score + unknown, self.spell(c), newest
+            growing, newest = grown, Boundary(best, ids, way)
+            way.after.append(newest)
+            for gone in ended:
+                gone.grows = False
+                while not gone.grows and not gone.after and gone is not root:
+                    gone.before.after.remove(gone)
+                    gone = gone.before
+            while not root.grows and len(root.after) == 1:
+                root = root.after[0]
+                root.before = None
+                yield root.ids
+        rest = []
+        while newest is not root:
+            rest.append(newest.ids)
+            newest = newest.before
+        yield from reversed(rest)
 
     def stretch(self, text: str) -> bytes:
-        """Ids (little-endian int32) of a stretch between boundaries where all paths converge."""
-        if len(text) > SHORT:
-            return b"".join(np.array(x, "<i4").tobytes() for x in self.stream(iter(text)))
-        found = self.recent.get(text)
-        if found is None:
-            found = self.older.get(text)
-            if found is None:
-                found = np.array([i for part in self.stream(iter(text)) for i in part], "<i4").tobytes()
-            if len(self.recent) >= REMEMBERED:
-                self.older, self.recent = self.recent, {}
-            self.recent[text] = found
+        """Ids (int32) of a stretch between boundaries where all paths converge."""
+        if len(text) <= SHORT:
+            found = self.recent.get(text) or self.older.get(text)
+            if found is not None:
+                self._remember(text, found)
+                return found
+        if text == MARK:
+            found = array("i", self.spell(MARK)).tobytes()  # a mark of the text itself is no space
+        else:
+            held = array("i")
+            for ids in self.stream(iter(text.replace(" ", MARK))):
+                held.extend(ids)
+            found = held.tobytes()
+        if len(text) <= SHORT:
+            self._remember(text, found)
         return found
 
+    def _remember(self, text: str, found: bytes) -> None:
+        if len(self.recent) >= REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        self.recent[text] = found
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        known, stretch, out = self.recent, self.stretch, []
-        for k, part in enumerate((" " + text).split(MARK)):
-            if k:
-                out.append(np.array(self.spell(MARK), "<i4").tobytes())
-            for piece in STRETCH.findall(part.replace(" ", MARK)):
-                out.append(known.get(piece) or stretch(piece))
-            known = self.recent
+        out = []
+        for hit in STRETCH.finditer(self.prefix + text):
+            piece = hit[0]
+            out.append(self.recent.get(piece) or self.stretch(piece))
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         pieces = self.bytes_of
         text = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
-
-STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
-
-def _ids(link: tuple | None, done: int) -> list[int]:
-    """The ids between boundary done and the link."""
-    parts = []
-    while link is not None and link[0] > done:
-        parts.append(link[1])
-        link = link[2]
-    return [i for part in reversed(parts) for i in part]
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def _common(links: list[tuple | None], done: int) -> tuple | None:
-    """The last link that the backpointers of all survivors pass."""
-    heads = list(links)
-    while True:
-        if any(x is None or x[0] <= done for x in heads):
-            return None
-        far, near = max(x[0] for x in heads), min(x[0] for x in heads)
-        if far == near and all(x is heads[0] for x in heads):
-            return heads[0]
-        heads = [x[2] if x[0] == far else x for x in heads]
+#: What lies between two boundaries where all paths converge: spaces and the word after them; a space mark by itself.
+STRETCH = re.compile(f" *[^ {MARK}]+| +|{MARK}")
 
 
 _LOADED: dict[int, Vocabulary] = {}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -51,12 +52,46 @@ def test_best_path_and_round_trip(text):
         assert ids(text) == brute(P.MARK + text.replace(" ", P.MARK))
 
 
-def test_long_stretch_is_committed_in_parts():
+def held(text):
+    """Most boundaries that are reachable at once while the search reads a stretch, and the ids."""
+    import gc
+
+    most, ids = 0, []
+    for i, part in enumerate(VOCABULARY.stream(iter(text))):
+        ids += part
+        if i % 500 == 0:
+            most = max(most, sum(isinstance(x, P.Boundary) for x in gc.get_objects()))
+    return most, ids
+
+
+@pytest.mark.parametrize("alphabet", ["abcdeginorst", "ab", "日本", "the "])
+def test_what_is_held_of_a_long_stretch_is_bounded(alphabet):
     rng = random.Random(4)
-    text = "".join(rng.choice("abcdeginorst") for _ in range(5000))
-    parts = list(VOCABULARY.stream(iter(P.MARK + text)))
-    assert len(parts) > 10 and max(map(len, parts)) < 300
-    assert [i for p in parts for i in p] == ids(text) == brute(P.MARK + text)
+    text = P.MARK + ("ab" * 10_000 if alphabet == "ab" else "".join(rng.choice(alphabet.strip()) for _ in range(20_000)))
+    most, ids = held(text)
+    assert most < 200
+    assert ids == brute(text)
+
+
+def test_a_run_of_one_letter_is_undecided_to_its_end():
+    """Ways that differ in where they begin never meet there; no id is given out before one of them has won."""
+    text = P.MARK + "a" * 3000
+    assert held(text)[1] == brute(text)
+
+
+def test_ids_are_committed_long_before_the_end():
+    text, read = "internationalisation" * 50, 0
+
+    def chars():
+        nonlocal read
+        for read, c in enumerate(text, 1):
+            yield c
+
+    lag, done = 0, 0
+    for part in VOCABULARY.stream(chars()):
+        done += sum(len(VOCABULARY.bytes_of[i]) for i in part)
+        lag = max(lag, read - done)
+    assert done == len(text) and lag < 100
 
 
 def test_remembered_stretches_do_not_change_ids(monkeypatch):
@@ -91,6 +126,33 @@ def test_rows(spark, no_docs):
     assert P.decode(P.encode(no_docs)).count() == 0
 
 
+def settings_of(**changes):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(P.read_model(P.MODEL))
+    for k, v in changes.items():
+        setattr(model.normalizer_spec, k, v)
+    return model.SerializeToString()
+
+
+def test_settings_of_the_model_hold_or_are_refused():
+    plain = P.Vocabulary(settings_of(add_dummy_prefix=False))
+    got = np.frombuffer(plain.encode("the end"), "<i4").tolist()
+    assert got == brute("the" + P.MARK + "end") and plain.decode(got) == "the end" and plain.decode(np.frombuffer(plain.encode(" x"), "<i4").tolist()) == " x"
+    for change in ({"remove_extra_whitespaces": True}, {"escape_whitespaces": False}, {"precompiled_charsmap": b"abc"}):
+        with pytest.raises(ValueError, match="changes texts"):
+            P.Vocabulary(settings_of(**change))
+
+
+def test_query(spark, corpus, tmp_path):
+    rows, df = corpus
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = P.op7_sentencepiece(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("n_ids", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    want = sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
+    assert sorted(r["decoded_sha256"] for r in out.collect()) == want
+
+
 def test_a_piece_that_crosses_the_space_mark_is_refused():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
