@@ -1,15 +1,23 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads windows of WINDOW bytes in both directions, gives every
-position a distribution over the languages, and a document the mean of those of
-all its positions. It is trained in numpy by backpropagation through time on a
-bounded sample (``per_language`` documents of each language, ``pieces`` windows
-of each); every window of every text is labelled. States start anew in each
-window, so long texts are no longer chain than short ones, and the recurrent
-steps run over all windows of a batch at once.
+The network reads texts in both directions, gives every position a distribution
+over the languages, and a document the mean of those of all its positions. It is
+trained in numpy by backpropagation through time on a bounded sample
+(``per_language`` documents of each language, ``pieces`` stretches of each); every
+position of every text is labelled. A text is cut into windows of WINDOW bytes,
+whose recurrent steps run at once for all windows of a batch; each direction
+begins MARGIN bytes before the window, in the text around it, so no position is
+labelled from less than so much context (or the text's end) and no letter is
+split where it is labelled.
+
+The sample is drawn by a hash of id and text: those that lie below a bound that
+follows from the number of different ones of each language, of which the least
+are taken. Only these few are ranked, whatever the number of partitions.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
-is every text if there is nothing to learn from; equal rows stay; an empty
+is every text if there is nothing to learn from; a null language is not learned
+from; ids may be null or repeat; equal rows stay, and are learned from once;
+texts of any length are labelled whole, in batches of LANES windows; an empty
 table gives an empty result. Columns other than id, text and language are not
 read, and the language only to learn.
 """
@@ -24,18 +32,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.llm.common import bounded_batches, table
+from runloom.llm.common import bounded_batches, bounded_broadcast, place_of, table, written
 
-WINDOW = 64
+WINDOW = 112
+#: Bytes of context by which the recurrence of each direction begins earlier than the window.
+MARGIN = 16
+#: Characters and bytes of a stretch that is learned from.
+STRETCH = 64
 HIDDEN = 8
 #: Index of the padding symbol after a text's last byte; its gate keeps the state.
 PAD = 256
 KEEP = 30.0
 #: Windows that are labelled at once, which bounds the memory of a batch.
-LANES = 2048
-#: Parts in which each language's sample is drawn at first.
-SALTS = 32
+LANES = 1024
 UNDETERMINED = "und"
+#: Languages whose bounds may be broadcast: under 100 bytes each.
+BROADCAST_ROWS = 100_000
 
 
 class Network:
@@ -144,11 +156,12 @@ class Compiled:
         self.bias = network.weights["bias"].astype(np.float32)
 
     def _run(self, codes: np.ndarray, way: int) -> np.ndarray:
+        """States at the positions of the windows, from a margin before each in this direction."""
         n, (steps, lanes) = self.hidden, codes.shape
-        states = np.empty((steps, n, lanes), np.float32)
-        a, u = np.empty((3 * n, lanes), np.float32), np.empty((3 * n, lanes), np.float32)
+        states = np.empty((steps - 2 * MARGIN, n, lanes), np.float32)
+        a, u, margin = np.empty((3 * n, lanes), np.float32), np.empty((3 * n, lanes), np.float32), np.empty((n, lanes), np.float32)
         h = np.zeros((n, lanes), np.float32)
-        for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
+        for t in range(steps - MARGIN) if way == 0 else range(steps - 1, MARGIN - 1, -1):
             np.take(self.input[way], codes[t], axis=1, out=a, mode="clip")
             np.matmul(self.state[way], h, out=u)
             gates, new, un = a[: 2 * n], a[2 * n :], u[2 * n :]
@@ -159,7 +172,7 @@ class Compiled:
             un *= gates[n:]
             new += un
             np.tanh(new, out=new)
-            out = states[t]
+            out = states[t - MARGIN] if 0 <= t - MARGIN < len(states) else margin
             np.subtract(h, new, out=out)
             out *= gates[:n]
             out += new
@@ -167,7 +180,7 @@ class Compiled:
         return states
 
     def window_sums(self, codes: np.ndarray) -> np.ndarray:
-        """[windows, languages]: sums over the positions of each window codes [windows, T] of their probabilities."""
+        """[windows, languages]: sums over the positions of each window (codes: windows with their margins) of their probabilities."""
         sums = np.empty((len(codes), len(self.languages)), np.float32)
         for at in range(0, len(codes), LANES):
             part = np.ascontiguousarray(codes[at : at + LANES].T)
@@ -178,17 +191,19 @@ class Compiled:
             p += self.bias
             np.exp(p, out=p)
             total = p.sum(axis=1)
-            p *= ((part != PAD) / total)[:, None, :].astype(np.float32)
+            p *= ((part[MARGIN : len(part) - MARGIN] != PAD) / total)[:, None, :].astype(np.float32)
             sums[at : at + LANES] = p.sum(axis=0).T
         return sums
 
 
-def windows_of(data: bytes, window: int = WINDOW) -> np.ndarray:
-    """The bytes of a text in rows of a window, the last one padded."""
-    rows = -(-len(data) // window)
-    codes = np.full(rows * window, PAD, np.int16)
-    codes[: len(data)] = np.frombuffer(data, np.uint8)
-    return codes.reshape(rows, window)
+def windows_of(data: bytes, start: int = 0, end: int | None = None) -> np.ndarray:
+    """The bytes of a text from start to end (whole windows, or up to its end) in rows of a window with its margins, padded beyond the text."""
+    end = len(data) if end is None else min(end, len(data))
+    rows = -(-(end - start) // WINDOW)
+    codes = np.full(rows * WINDOW + 2 * MARGIN, PAD, np.int16)
+    first, last = max(0, start - MARGIN), min(len(data), end + MARGIN)
+    codes[first - start + MARGIN : last - start + MARGIN] = np.frombuffer(data, np.uint8)[first:last]
+    return np.lib.stride_tricks.sliding_window_view(codes, WINDOW + 2 * MARGIN)[::WINDOW]
 
 
 def has_letter(text: str | None) -> bool:
@@ -221,7 +236,7 @@ def label_texts(network: Compiled | None, texts: list[str | None]) -> list[tuple
         data = text.encode("utf-8", "surrogatepass")
         sizes[i] = len(data)
         for at in range(0, len(data), WINDOW * LANES):
-            rows = windows_of(data[at : at + WINDOW * LANES])
+            rows = windows_of(data, at, at + WINDOW * LANES)
             held.append((i, rows))
             waiting += len(rows)
             if waiting >= 2 * LANES:
@@ -240,31 +255,38 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, pieces: int = 6, steps: int = 300) -> Compiled | None:
-    """Learn from a bounded sample of docs: per_language documents of each language by a hash of their id,
-    and of each pieces stretches of WINDOW characters at hashed places."""
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, pieces: int) -> DataFrame:
+    """(lang, h, parts): per_language documents of each language, those with the least hashes of id and text, and of each
+    `pieces` stretches of STRETCH characters at hashed places."""
     text = F.col(text_col).cast("string")
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(
-        F.col(lang_col).cast("string").alias("lang"),
-        F.xxhash64(F.col(id_col)).alias("h"),
-        F.array(*[F.substring(text, (F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.length(text) - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(pieces)]).alias("parts"),
-    )
-    # In two steps: a part of a language gives four times its share of the least hashes at most, so the task that ranks
-    # them all has a fixed bound, however many partitions there are.
-    salted = W.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "parts")
-    rows = rows.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= max(1, 4 * per_language // SALTS))
-    first = W.partitionBy("lang").orderBy("h", "parts")
-    sample = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).drop("k").collect()
-    sample.sort(key=lambda r: (r["lang"], r["h"], r["parts"]))
+    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text) > 0))
+    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text"))
+    # Twice as many as are wanted lie below a language's bound; equal rows have one hash and count once.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    shares = written(sizes.select("lang", F.when(F.col("n") > 4 * per_language, 2 * per_language / F.col("n")).otherwise(2.0).alias("share")), "shares")
+    below = rows.join(bounded_broadcast(shares, BROADCAST_ROWS), "lang").where(place_of(F.col("h")) < F.col("share"))
+    at = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - STRETCH, F.lit(1))) + 1
+    parts = F.array(*[F.substring("text", at(k).cast("int"), F.lit(STRETCH)) for k in range(pieces)])
+    drawn = below.select("lang", "h", parts.alias("parts")).groupBy("lang", "h").agg(F.min("parts").alias("parts"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    return drawn.withColumn("k", nth).where(F.col("k") <= per_language).drop("k")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, pieces: int = 6, steps: int = 300) -> Compiled | None:
+    """Learn from a bounded sample of docs (see sampled); its rows of under 1 kB are collected, per_language for each language."""
+    sample = sampled(docs, id_col, text_col, lang_col, per_language, pieces).collect()
+    sample.sort(key=lambda r: (r["lang"], r["h"]))
     languages = sorted({r["lang"] for r in sample})
     if not languages:
         return None
     codes, labels = [], []
     for r in sample:
-        for part in set(r["parts"]) if len(r["parts"][0]) < WINDOW else r["parts"]:
-            codes.append(windows_of(part.encode("utf-8", "surrogatepass")[:WINDOW]))
+        for part in dict.fromkeys(r["parts"]):
+            data = part.encode("utf-8", "surrogatepass")[:STRETCH]
+            codes.append(np.frombuffer(data.ljust(STRETCH, b"\0"), np.uint8).astype(np.int16))
+            codes[-1][len(data) :] = PAD
             labels.append(languages.index(r["lang"]))
-    return Network(languages).train(np.concatenate(codes), np.array(labels), steps).compiled()
+    return Network(languages).train(np.stack(codes), np.array(labels), steps).compiled()
 
 
 def predict(docs: DataFrame, network: Compiled | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,14 +45,32 @@ def test_gradients_are_those_of_the_loss():
 def test_compiled_labels_every_position_like_the_network():
     rng = np.random.default_rng(1)
     net = L.Network(["a", "b", "c"])
-    data = bytes(rng.integers(0, 256, 150, dtype=np.uint8))
+    data = bytes(rng.integers(0, 256, 2 * L.WINDOW + 7, dtype=np.uint8))
     codes = L.windows_of(data)
-    assert codes.shape == (3, L.WINDOW)
+    assert codes.shape == (3, L.WINDOW + 2 * L.MARGIN)
     p, _ = net.forward(codes.T)
-    want = (p * (codes.T != L.PAD)[:, None, :]).sum(axis=0).T
+    want = (p * (codes.T != L.PAD)[:, None, :])[L.MARGIN : -L.MARGIN].sum(axis=0).T
     assert np.allclose(net.compiled().window_sums(codes), want, atol=1e-3)
 
 
+def test_windows_see_the_text_around_them():
+    data = bytes(range(256)) * 3
+    rows = L.windows_of(data)
+    for i, row in enumerate(rows):
+        at = i * L.WINDOW - L.MARGIN
+        assert row.tolist() == [data[j] if 0 <= j < len(data) else L.PAD for j in range(at, at + len(row))]
+    assert np.array_equal(np.concatenate([L.windows_of(data, 0, 2 * L.WINDOW), L.windows_of(data, 2 * L.WINDOW)]), rows)
+
+
+def test_no_letter_is_labelled_without_its_context():
+    """A letter of two bytes across a window's end counts as within one: the labels of a text hardly depend on where windows begin."""
+    rng = random.Random(6)
+    net = L.Network(["a", "b"]).compiled()
+    long = text(rng, "cc", 4000)
+    (_, a), (_, b) = L.label_texts(net, [long, " " * 50 + long])
+    assert a == pytest.approx(b, abs=2e-3)
+
+
 def test_held_out_accuracy_and_defined_cases(corpus):
     rows, df = corpus
     net = L.fit(df.where(~L.held_out(F.col("doc_id"))), steps=120)
@@ -82,6 +100,51 @@ def test_held_out_rule(spark):
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in got)
 
 
+def test_the_sample_is_bounded_and_never_empty(spark):
+    """Languages of many rows, of few, and of one row repeated; ids null or equal."""
+    rows = [(None, f"text {i}", "many") for i in range(3000)] + [(7, f"some {i}", "few") for i in range(5)] + [(1, "the same", "copied")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    got = L.sampled(df, "doc_id", "text", "lang", 50, 2).groupBy("lang").count().collect()
+    assert dict(map(tuple, got)) == {"many": 50, "few": 5, "copied": 1}
+    again = L.sampled(df.repartition(3), "doc_id", "text", "lang", 50, 2).collect()
+    assert set(map(str, again)) == set(map(str, L.sampled(df, "doc_id", "text", "lang", 50, 2).collect()))
+
+
+def test_predictions_are_those_of_the_plain_recurrence(spark, corpus):
+    """Brute force: the recurrence byte by byte in double precision over each whole text, without windows."""
+    rows, df = corpus
+    net = L.fit(df, steps=60)
+    n = net.hidden
+
+    def states(codes, way):
+        h, out = np.zeros(n), []
+        for c in codes if way == 0 else codes[::-1]:
+            a, u = net.input[way][:, c].astype(float), net.state[way].astype(float) @ h
+            z, r = ((1 + np.tanh(a[i * n : (i + 1) * n] + u[i * n : (i + 1) * n])) / 2 for i in (0, 1))
+            new = np.tanh(a[2 * n :] + r * u[2 * n :])
+            h = z * h + (1 - z) * new
+            out.append(h)
+        return np.array(out if way == 0 else out[::-1])
+
+    got = {r["doc_id"]: r for r in L.predict(df, net).collect()}
+    for i, t, _, _ in rows[:40]:
+        codes = np.frombuffer(t.encode(), np.uint8)
+        logits = np.concatenate([states(codes, 0), states(codes, 1)], axis=1) @ net.out.astype(float).T + net.bias[:, 0]
+        p = np.exp(logits)
+        mean = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert got[i]["lang_pred"] == net.languages[int(mean.argmax())] and got[i]["score"] == pytest.approx(mean.max(), abs=5e-3)
+
+
+def test_query(spark, corpus, tmp_path):
+    rows, df = corpus
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = L.op9_language_id(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    got = out.collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {"und", *SYLLABLES}
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert L.fit(empty) is None and L.predict(empty, None).count() == 0
