@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from runloom.llm import lines as L
 
+LEAST = L.LEAST["word"]
 VOCAB = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
 
 
@@ -20,20 +21,31 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def brute(rows):
+def within_one(a, b):
+    """Whether one edit at most leads from a to b: what is left between their common start and end has one symbol at most."""
+    if max(len(a), len(b)) < 100:
+        return levenshtein(a, b) <= 1
+    start = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[start:], b[start:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return max(len(a), len(b)) <= 1
+
+
+def brute(rows, least=LEAST, unit="word"):
     """{(id, text): kept line numbers}."""
     placed = []
     for d, text in rows:
         r = xxhash.xxh64_intdigest((text or "").encode(), 42)
         r = r - (1 << 64) if r >> 63 else r
         for at, line in enumerate(L.split_lines(text)):
-            placed.append((((d is not None, d or 0), r, at), d, text, at, line.split()))
+            placed.append((((d is not None, d or 0), r, at), d, text, at, L.symbols(line, unit)))
     placed.sort(key=lambda x: x[0])
     kept = {}
     for i, (place, d, text, at, words) in enumerate(placed):
         earlier = [o[4] for o in placed[:i] if o[0] != place]
-        near = len(words) >= L.LEAST_WORDS
-        gone = words and any(o == words or (near and len(o) >= L.LEAST_WORDS and levenshtein(o, words) <= 1) for o in earlier if o)
+        near = len(words) >= least
+        gone = words and any(o == words or (near and len(o) >= least and within_one(o, words)) for o in earlier if o)
         if not gone:
             kept.setdefault((d, text), set()).add(at)
     return kept
@@ -74,18 +86,57 @@ def test_against_brute_force(spark, seed):
 
 
 @pytest.mark.parametrize("least", [1, 2, 3, 5, 8])
-def test_short_lines_against_brute_force(spark, monkeypatch, least):
-    """least_words is honoured below 8 words, between 7 and 8 words too."""
-    monkeypatch.setattr(L, "LEAST_WORDS", least)
+def test_short_lines_against_brute_force(spark, least):
+    """least is honoured below 8 words, between 7 and 8 words too."""
     rows = list(enumerate(texts(random.Random(least), 60)))
     rows += [(100, "p q r s t u v"), (101, "p q r s t u v w"), (102, "one two three"), (103, "one two four"), (104, "one two"), (105, "one"), (106, "two one two"), (107, "one two three four")]
-    want = brute(rows)
+    want = brute(rows, least)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(df, least_words=least).collect()}
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(df, least=least).collect()}
     assert got == {d: b"\n".join(x for i, x in enumerate(L.split_lines(t)) if i in want.get((d, t), set())).decode() for d, t in rows}
     assert (got[101] == "") == (least <= 7) and (got[103] == "") == (least <= 3)
 
 
+def kept(rows, want):
+    return {d: b"\n".join(x for i, x in enumerate(L.split_lines(t)) if i in want.get((d, t), set())).decode() for d, t in rows}
+
+
+@pytest.mark.parametrize("mask", [7, 255])
+def test_equal_hashes_of_different_variants_lose_nothing(spark, monkeypatch, mask):
+    """Keys of 3 and 8 bits: heads of a key are mostly no near lines, and hide those that are."""
+    rows = list(enumerate(texts(random.Random(mask), 40)))
+    emit = L.variants
+    monkeypatch.setattr(L, "variants", _Masked(emit, mask))
+    seen = []
+    monkeypatch.setattr(L, "_by_variants", lambda *a, again=L._by_variants: seen.append(1) or again(*a))
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == kept(rows, brute(rows)) and seen
+
+
+class _Masked:
+    """Goes to the workers with the function that refers to it."""
+
+    def __init__(self, emit, mask):
+        self.emit, self.mask = emit, mask
+
+    def __call__(self, words):
+        return self.emit(words) & self.mask
+
+
+def test_characters_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = ["the quick brown fox", "a lazy dog sleeps", "ünïcode 😀 line"]
+    rows = []
+    for i in range(60):
+        line = list(rng.choice(pool))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+        rows.append((i, "".join(line) + "\n" + rng.choice(pool)[: rng.randint(1, 9)]))
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), unit="character").collect()}
+    assert got == kept(rows, brute(rows, L.LEAST["character"], "character"))
+
+
 def test_short_near_lines_go_by_default(spark):
     df = spark.createDataFrame([(1, "sign up for news"), (2, "sign up for offers"), (3, "ok"), (4, "no")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_kept"] for r in L.dedup_lines(df).collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
@@ -119,7 +170,7 @@ def test_variants_meet_exactly_at_one_edit(a, b):
 def test_halves_of_near_lines_meet(words, at, kind):
     at %= len(words)
     other = words[:at] + [["new"], [], [words[at], "new"]][kind] + words[at + 1 :]
-    if len(other) >= L.LEAST_WORDS:
+    if len(other) >= LEAST:
         enc = lambda x: [w.encode() for w in x]
         assert set(L.half_keys(enc(words))) & set(L.half_keys(enc(other)))
 
