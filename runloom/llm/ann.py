@@ -14,16 +14,23 @@ replacement). The bound is the distance of the k-th nearest vector of the
 sample, which the k-th nearest of all never exceeds. What survives all blocks is
 scored in double precision on the original vectors.
 
-Query batches meet the blocks of their groups in a join on the group, and each
-meeting gives at most k rows a query; no task holds a whole list, and a list of
-equal vectors is just more blocks. At least ``least_probes`` lists and
-``probe_share`` of all are probed (README has the recall).
+Blocks are stored once, their vectors turned and cut into column blocks beside
+the original ones. They are dealt by group and salt, so that a key holds SALTED
+vectors or so however many one list has; query batches are copied for the salts.
+Queries meet the blocks of their nearest lists first; the k-th best of what that
+finds bounds the search of the others, in which a list is left out for a query
+if no vector so near can lie in it (by the triangle inequality on its radius).
+Within a meeting, what is found bounds the lists after it. Each meeting gives at
+most k rows a query, and no task holds a whole list. At least ``least_probes``
+lists and ``probe_share`` of all are probed (README has the recall).
 
 Defined cases: vectors that are null, zero, of another length than the sample's
 most common one, or hold null or non-finite components, and rows without an id,
 take no part; rows with the query's own id are no candidates; of rows with one
-id, the best counts; with fewer than k candidates all are returned; an empty
-table gives an empty result. Only the id and the vector are read.
+id, the best counts; with fewer than k candidates all are returned; vectors of
+any length are one value each and go to Python in bounded batches; an empty table
+gives an empty result. Only the id and the vector are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -37,14 +44,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.llm.common import table, written
+from runloom.llm.common import bounded_batches, table, written
 
 SAMPLE = 16_384
 COLUMNS = 16
 EPSILON = 2.1
 BLOCK = 2_048
 QUERIES = 512
+#: Vectors that are dealt into groups at once.
+HELD = 8_192
 GROUPS = 64
+#: Vectors of a group that share a salt.
+SALTED = 1 << 16
+#: Share of the probed lists that are searched first.
+FIRST = 0.1
 DENSE = 0.2
 #: Relative slack for single-precision partial distances.
 SLACK = 1e-4
@@ -63,7 +76,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 class Index:
     """Rotation, centroids and the sample's vectors; everything here has a fixed bound."""
 
-    def __init__(self, sample_ids: np.ndarray, sample: np.ndarray, rows: int, largest: float, probe_share: float, least_probes: int, seed: int = 3):
+    def __init__(self, sample_ids: np.ndarray, sample: np.ndarray, rows: int, largest: float, distinct: bool, probe_share: float, least_probes: int, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.width, self.largest = sample.shape[1], largest
         full = self.width + 1
@@ -74,6 +87,8 @@ class Index:
         self.sample_lists = self.nearest(self.sample, self.centroids)
         self.probes = min(lists, max(least_probes, int(np.ceil(probe_share * lists))))
         self.groups = min(GROUPS, lists)
+        self.salts = max(1, rows // (self.groups * SALTED))
+        self.distinct = distinct
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0.0, self.largest - np.einsum("ij,ij->i", x, x)))
@@ -101,16 +116,22 @@ class Index:
         half = 0.5 * np.einsum("ij,ij->i", centroids, centroids)
         return np.concatenate([np.argmin(half - x[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        """[queries, lists]: whether a query probes a list."""
-        c = self.centroids
-        far = 0.5 * np.einsum("ij,ij->i", c, c) - q @ c.T
-        out = np.zeros(far.shape, bool)
-        np.put_along_axis(out, np.argsort(far, axis=1, kind="stable")[:, : self.probes], True, axis=1)
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """[queries, lists]: distance of each turned query from each centroid."""
+        c = self.centroids.astype(np.float64)
+        square = np.einsum("ij,ij->i", q, q, dtype=np.float64)[:, None] + np.einsum("ij,ij->i", c, c) - 2 * (q.astype(np.float64) @ c.T)
+        return np.sqrt(np.maximum(square, 0))
+
+    def probed(self, q: np.ndarray, first: bool) -> np.ndarray:
+        """[queries, lists]: whether a query probes a list, first or afterwards."""
+        far = self.distances(q)
+        early = min(self.probes, max(1, int(np.ceil(FIRST * self.probes))))
+        out, order = np.zeros(far.shape, bool), np.argsort(far, axis=1, kind="stable")
+        np.put_along_axis(out, order[:, :early] if first else order[:, early : self.probes], True, axis=1)
         return out
 
     def bounds(self, ids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
-        """Squared distance of each query's k-th nearest vector of the sample in the lists it probes, itself left out."""
+        """Squared distance of each query's k-th nearest vector of the sample in the given lists, itself left out."""
         if len(self.sample) <= k:
             return np.full(len(q), np.inf, np.float32)
         d = np.einsum("ij,ij->i", self.sample, self.sample) - 2 * (q @ self.sample.T) + np.einsum("ij,ij->i", q, q)[:, None]
@@ -128,42 +149,66 @@ def fit_index(vectors: DataFrame, probe_share: float = 0.65, least_probes: int =
     fitting = vectors.where(F.size("vector") == width)
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     seen = fitting.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
-    return Index(np.array([r["vec_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64), seen["n"], seen["largest"], probe_share, least_probes)
+    distinct = not fitting.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return Index(np.array([r["vec_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64), seen["n"], seen["largest"], distinct, probe_share, least_probes)
 
 
-def _pack(ids: np.ndarray, lists: np.ndarray, x: np.ndarray) -> dict:
+def column_blocks(turned: np.ndarray) -> list[np.ndarray]:
+    """Turned vectors as blocks of COLUMNS dimensions, each of them contiguous."""
+    return [np.ascontiguousarray(turned[:, a : a + COLUMNS]) for a in range(0, turned.shape[1], COLUMNS)]
+
+
+def _stored(index: Index, grp: int, salt: int, ids: np.ndarray, lists: np.ndarray, x: np.ndarray) -> dict:
+    """A row of BLOCKS: vectors in order of their lists, with the lists' radii in this block."""
     order = np.argsort(lists, kind="stable")
-    return {"n": len(ids), "ids": ids[order].astype("<i8").tobytes(), "lists": lists[order].astype("<i4").tobytes(), "x": x[order].astype("<f8").tobytes()}
+    ids, lists, x = ids[order], lists[order], x[order]
+    turned = index.turn(index.lift(x))
+    step = turned.astype(np.float64) - index.centroids[lists]
+    far = np.sqrt(np.einsum("ij,ij->i", step, step))
+    starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+    blocks = b"".join(b.tobytes() for b in column_blocks(turned))
+    return {"grp": grp, "salt": salt, "n": len(ids), "ids": ids.astype("<i8").tobytes(), "lists": lists.astype("<i4").tobytes(), "radii": np.maximum.reduceat(far, starts).astype("<f8").tobytes(), "x": x.astype("<f8").tobytes(), "turned": blocks}
+
 
+def _gathered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of at least HELD rows, but for the last."""
+    ids, x, n = [], [], 0
+    for batch in batches:
+        ids.append(batch.column(0).to_numpy(zero_copy_only=False))
+        x.append(_matrix(batch.column(1), width))
+        n += batch.num_rows
+        if n >= HELD:
+            yield np.concatenate(ids), np.concatenate(x)
+            ids, x, n = [], [], 0
+    if n:
+        yield np.concatenate(ids), np.concatenate(x)
 
-BLOCKS = pa.schema([("grp", pa.int32()), ("salt", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("lists", pa.binary()), ("x", pa.binary())])
+
+DEALT = pa.schema([("grp", pa.int32()), ("salt", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("lists", pa.binary()), ("x", pa.binary())])
+BLOCKS = pa.schema([*DEALT, ("radii", pa.binary()), ("turned", pa.binary())])
 
 
 def blocks(vectors: DataFrame, index: Index) -> DataFrame:
-    """All usable vectors in rows (grp, salt, n, ids, lists, x) of up to BLOCK."""
+    """All usable vectors in rows of BLOCKS of up to BLOCK."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, out = shared.value, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), index.width)
+        """Every HELD vectors as small blocks of groups; they have one salt, by a hash of their ids."""
+        index = shared.value
+        for ids, x in _gathered(batches, index.width):
             lists = Index.nearest(index.turn(index.lift(x)), index.centroids)
-            salt = int(batch.column(2)[0].as_py()) // 16
-            for g in np.unique(lists % index.groups):
-                of = np.flatnonzero(lists % index.groups == g)
-                out += [{"grp": int(g), "salt": salt} | _pack(ids[of[i : i + BLOCK]], lists[of[i : i + BLOCK]], x[of[i : i + BLOCK]]) for i in range(0, len(of), BLOCK)]
-            yield pa.RecordBatch.from_pylist(out, schema=BLOCKS)
-            out = []
+            salt = int(np.bitwise_xor.reduce(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % index.salts
+            of = [(g, np.flatnonzero(lists % index.groups == g)) for g in np.unique(lists % index.groups)]
+            out = [{"grp": int(g), "salt": salt, "n": len(r), "ids": ids[r].astype("<i8").tobytes(), "lists": lists[r].astype("<i4").tobytes(), "x": x[r].astype("<f8").tobytes()} for g, o in of for r in (o[i : i + BLOCK] for i in range(0, len(o), BLOCK))]
+            yield pa.RecordBatch.from_pylist(out, schema=DEALT)
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Small blocks of one group and salt become larger ones; a partition has them in order."""
-        width, held, key = shared.value.width, [], None
+        index, held, key = shared.value, [], None
 
         def full() -> pa.RecordBatch:
             ids, lists, x = (np.concatenate([np.frombuffer(r[c], t) for r in held]) for c, t in (("ids", "<i8"), ("lists", "<i4"), ("x", "<f8")))
-            return pa.RecordBatch.from_pylist([{"grp": key[0], "salt": key[1]} | _pack(ids, lists, x.reshape(-1, width))], schema=BLOCKS)
+            return pa.RecordBatch.from_pylist([_stored(index, *key, ids, lists, x.reshape(-1, index.width))], schema=BLOCKS)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -176,14 +221,18 @@ def blocks(vectors: DataFrame, index: Index) -> DataFrame:
             yield full()
 
     kind = "grp int, salt int, n int, ids binary, lists binary, x binary"
-    dealt = vectors.where(F.size("vector") == index.width).select("vec_id", "vector", F.spark_partition_id().alias("part")).mapInArrow(deal, kind)
-    return dealt.repartition("grp", "salt").sortWithinPartitions("grp", "salt").mapInArrow(join_up, kind)
+    dealt = bounded_batches(vectors).where(F.size("vector") == index.width).select("vec_id", "vector").mapInArrow(deal, kind)
+    return dealt.repartition("grp", "salt").sortWithinPartitions("grp", "salt").mapInArrow(join_up, kind + ", radii binary, turned binary")
 
 
-def query_batches(queries: DataFrame, index: Index, k: int) -> DataFrame:
-    """(grp, nq, qids, q, bounds) of up to QUERIES queries that probe a list of the group."""
+def query_batches(queries: DataFrame, index: Index, k: int, found: DataFrame | None = None) -> DataFrame:
+    """(grp, nq, qids, q, bounds) of up to QUERIES queries that probe a list of the group: their nearest lists at first,
+    then, given found(query_id, score) of the first k, the others."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
     schema = pa.schema([("grp", pa.int32()), ("nq", pa.int32()), ("qids", pa.binary()), ("q", pa.binary()), ("bounds", pa.binary())])
+    rows, first = queries.where(F.size("vector") == index.width).select("vec_id", "vector"), found is None
+    if not first:
+        rows = rows.join(found.select(F.col("query_id").alias("vec_id"), "score"), "vec_id", "left").select("vec_id", "vector", "score")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -192,8 +241,13 @@ def query_batches(queries: DataFrame, index: Index, k: int) -> DataFrame:
                 part = batch.slice(at, QUERIES)
                 ids, x = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), index.width)
                 q = index.queries(x)
-                probed = index.probed(q)
+                probed = index.probed(q, first)
                 bounds = index.bounds(ids, q, probed, k + k // 2).astype("<f8")
+                if not first:
+                    # The lift makes |q - x|^2 = |q|^2 + largest - 2 score.
+                    score = part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                    known = np.einsum("ij,ij->i", x, x) + index.largest - 2 * score
+                    bounds = np.fmin(bounds, np.where(np.isnan(known), np.inf, known))
                 out = []
                 for g in range(index.groups):
                     of = np.flatnonzero(probed[:, g :: index.groups].any(axis=1))
@@ -201,18 +255,18 @@ def query_batches(queries: DataFrame, index: Index, k: int) -> DataFrame:
                         out.append({"grp": g, "nq": len(of), "qids": ids[of].astype("<i8").tobytes(), "q": x[of].astype("<f8").tobytes(), "bounds": bounds[of].tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return queries.where(F.size("vector") == index.width).select("vec_id", "vector").mapInArrow(each, "grp int, nq int, qids binary, q binary, bounds binary")
+    return rows.mapInArrow(each, "grp int, nq int, qids binary, q binary, bounds binary")
 
 
-def scan(q: np.ndarray, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) index pairs that no test abandons; q and x are turned vectors, bounds squared distances."""
-    full = q.shape[1]
-    alive = np.ones((len(q), len(x)), bool)
+def scan(q: list[np.ndarray], x: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, squared distance) of the pairs that no test abandons; q and x are column blocks of turned vectors."""
+    full = sum(b.shape[1] for b in q)
+    alive = np.ones((len(bounds), len(x[0])), bool)
     partial = np.zeros(alive.shape, np.float32)
-    qi = xi = None
-    for a in range(0, full, COLUMNS):
-        b = min(full, a + COLUMNS)
-        qb, xb = q[:, a:b], x[:, a:b]
+    qi = xi = sums = None
+    b = 0
+    for qb, xb in zip(q, x):
+        b += qb.shape[1]
         if qi is None:
             partial += np.einsum("ij,ij->i", qb, qb)[:, None] + np.einsum("ij,ij->i", xb, xb)[None, :] - 2 * (qb @ xb.T)
         else:
@@ -229,52 +283,88 @@ def scan(q: np.ndarray, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
             qi, xi, sums = qi[keep], xi[keep], sums[keep]
         if qi is not None and not len(qi):
             break
-    return qi, xi
+    return qi, xi, sums
+
+
+def _first_of(group: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k rows of least value (then tie) of each group, in order."""
+    order = np.lexsort((tie, value, group))
+    starts = np.searchsorted(group[order], group[order], side="left")
+    return order[np.arange(len(order)) - starts < k]
+
+
+def meet_block(index: Index, block: dict, batch: dict, first: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score): up to k best of a block for each query of a batch that probes one of its lists."""
+    ids, lists, radii = (np.frombuffer(block[c], t) for c, t in (("ids", "<i8"), ("lists", "<i4"), ("radii", "<f8")))
+    qids, bounds = np.frombuffer(batch["qids"], "<i8"), np.frombuffer(batch["bounds"], "<f8").copy()
+    x, q = np.frombuffer(block["x"], "<f8").reshape(-1, index.width), np.frombuffer(batch["q"], "<f8").reshape(-1, index.width)
+    asking, columns, at = index.queries(q), [], 0
+    for a in range(0, index.width + 1, COLUMNS):
+        width = min(COLUMNS, index.width + 1 - a)
+        columns.append(np.frombuffer(block["turned"], "<f4", len(ids) * width, at).reshape(-1, width))
+        at += columns[-1].nbytes
+    turned_q, far = column_blocks(asking), index.distances(asking)
+    probed = index.probed(asking, first)
+    best = np.full((len(qids), k), np.inf)
+    found_q, found_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    edges = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
+    for a, b, radius in zip(edges, edges[1:], radii):
+        near = np.maximum(far[:, lists[a]] - radius, 0) ** 2 <= bounds * (1 + SLACK) + SLACK
+        who = np.flatnonzero(probed[:, lists[a]] & near)
+        if not len(who):
+            continue
+        qi, xi, d = scan([c[who] for c in turned_q], [c[a:b] for c in columns], bounds[who])
+        qi, xi = who[qi], a + xi
+        other = qids[qi] != ids[xi]
+        qi, xi, d = qi[other], xi[other], d[other]
+        found_q.append(qi)
+        found_x.append(xi)
+        # The k-th best so far bounds the lists to come, as long as the block names each vector once.
+        if index.distinct and len(qi):
+            some = _first_of(qi, d, xi, k)
+            rank = np.arange(len(some)) - np.searchsorted(qi[some], qi[some], side="left")
+            more = np.full((len(qids), k), np.inf)
+            more[qi[some], rank] = d[some]
+            best = np.partition(np.concatenate([best, more], axis=1), k - 1, axis=1)[:, :k]
+            bounds = np.minimum(bounds, best.max(axis=1))
+    qi, xi = np.concatenate(found_q), np.concatenate(found_x)
+    score = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", q[qi[j : j + 65536]], x[xi[j : j + 65536]]) for j in range(0, len(qi), 65536)])
+    some = _first_of(qi, -score, ids[xi], k)
+    return qids[qi[some]], ids[xi[some]], score[some]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors(vec_id, vector) of largest inner product for each of queries(vec_id, vector)."""
-    vectors = written(vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))), "vectors")
+    vectors = written(vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select("vec_id", "vector"), "vectors")
     spark = vectors.sparkSession
     index = fit_index(vectors, **options)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)
-    asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = written(queries.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector")), "asked")
     stored = written(blocks(vectors, index), "lists")
-    batches = written(query_batches(asked, index, k), "queries")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in rows:
-            for i in range(batch.num_rows):
-                ids, lists, x, qids, q, bounds = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("ids", "<i8"), ("lists", "<i4"), ("x", "<f8"), ("qids", "<i8"), ("q", "<f8"), ("bounds", "<f8")))
-                x, q = x.reshape(-1, index.width), q.reshape(-1, index.width)
-                turned, asking = index.turn(index.lift(x)), index.queries(q)
-                probed = index.probed(asking)
-                found_q, found_x = [], []
-                edges = np.flatnonzero(np.concatenate([[True], np.diff(lists) > 0, [True]]))
-                for a, b in zip(edges, edges[1:]):
-                    who = np.flatnonzero(probed[:, lists[a]])
-                    if len(who):
-                        qi, xi = scan(asking[who], turned[a:b], bounds[who])
-                        found_q.append(who[qi])
-                        found_x.append(a + xi)
-                qi, xi = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_q, found_x))
-                other = qids[qi] != ids[xi]
-                qi, xi = qi[other], xi[other]
-                score = np.concatenate([np.einsum("ij,ij->i", q[qi[j : j + 65536]], x[xi[j : j + 65536]]) for j in range(0, len(qi), 65536)]) if len(qi) else np.zeros(0)
-                order = np.lexsort((ids[xi], -score, qi))
-                qi, xi, score = qi[order], xi[order], score[order]
-                starts = np.searchsorted(qi, qi, side="left")
-                best = np.arange(len(qi)) - starts < k
-                yield pa.RecordBatch.from_arrays([pa.array(qids[qi[best]]), pa.array(ids[xi[best]]), pa.array(score[best])], schema=schema)
-
-    met = stored.drop("salt").join(batches, "grp").mapInArrow(meet, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def meetings(found: DataFrame | None) -> DataFrame:
+        first = found is None
+
+        def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                for i in range(batch.num_rows):
+                    row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in meet_block(shared.value, row, row, first, k)], schema=schema)
+
+        batches = written(query_batches(asked, index, k, found), "queries").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(index.salts - 1))))
+        met = stored.join(batches, ["grp", "salt"]).select("ids", "lists", "radii", "x", "turned", "qids", "q", "bounds").mapInArrow(meet, "query_id long, vec_id long, score double")
+        return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def ranked(best: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    early = written(ranked(meetings(None)), "early")
+    late = meetings(early.where(F.col("rank") == k))
+    return ranked(early.select("query_id", "vec_id", "score").union(late).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

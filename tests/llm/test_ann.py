@@ -52,13 +52,72 @@ def test_exact_when_every_list_is_probed(spark, rows):
     assert hits / sum(map(len, want.values())) > 0.97
 
 
-def test_recall_at_production_settings(spark, rows):
-    df, asked = frames(spark, rows)
+@pytest.mark.parametrize("kind", ["clustered", "unclustered"])
+def test_recall_at_production_settings(spark, kind):
+    """More lists than are probed; clustered vectors and such of no structure at all."""
+    rng = np.random.default_rng(8)
+    n, width = 3600, 24
+    x = rng.normal(size=(n, width))
+    if kind == "clustered":
+        x = 4 * rng.normal(size=(60, width))[rng.integers(0, 60, n)] + x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df, asked = frames(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    index = ann.fit_index(df.select("vec_id", "vector"))
+    assert index.probes < len(index.centroids)
+    score = x[::20] @ x.T
+    score[np.arange(len(score)), np.arange(0, n, 20)] = -np.inf
+    want = {(20 * q, int(i)) for q, row in enumerate(score) for i in np.argsort(-row, kind="stable")[:20]}
     got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, asked, k=20).collect()}
-    want = {(q, i) for q, best in brute(rows, 20, {i for i, _ in rows if i is not None and i % 20 == 0}).items() for _, i in best}
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_salts_and_first_lists_lose_nothing(spark, rows, monkeypatch):
+    """Many salts and several meetings a query: with every list probed and no abandoning, the result is exact."""
+    monkeypatch.setattr(ann, "SALTED", 2)
+    monkeypatch.setattr(ann, "EPSILON", 50.0)
+    df, asked = frames(spark, rows)
+    assert ann.fit_index(df.where(ann.usable(F.col("vector")) & F.col("vec_id").isNotNull()).select("vec_id", "vector")).salts > 3
+    got = ann.search(df, asked, k=7, probe_share=1.0).collect()
+    want = {(q, i): -s for q, best in brute(rows, 7, {i for i, _ in rows if i is not None and i % 20 == 0}).items() for s, i in best}
+    assert {(r["query_id"], r["vec_id"]) for r in got} == set(want)
+
+
+def test_meetings_bound_later_lists(spark):
+    """What is found tightens the bound: of far lists, hardly a vector is looked at (clustered vectors)."""
+    rng = np.random.default_rng(3)
+    centres = 20 * rng.normal(size=(16, 12))
+    x = centres[rng.integers(0, 16, 2000)] + rng.normal(size=(2000, 12))
+    index = ann.Index(np.arange(2000), x, 2000, float((x * x).sum(axis=1).max()), True, 1.0, 32)
+    lists = ann.Index.nearest(index.turn(index.lift(x)), index.centroids)
+    block = ann._stored(index, 0, 0, np.arange(2000), lists, x)
+    seen = []
+    scan = ann.scan
+    ann.scan = lambda q, x, b: seen.append(len(q[0]) * len(x[0])) or scan(q, x, b)
+    try:
+        batch = {"qids": np.arange(50).astype("<i8").tobytes(), "q": x[:50].tobytes(), "bounds": np.full(50, np.inf).tobytes()}
+        index.probed = lambda q, first: np.ones((len(q), len(index.centroids)), bool)
+        ann.meet_block(index, block, batch, False, 5)
+        loose = sum(seen)
+        seen.clear()
+        exact = ((index.queries(x[:50])[:, None].astype(float) - index.turn(index.lift(x))[None]) ** 2).sum(axis=2)
+        exact[np.arange(50), np.arange(50)] = np.inf
+        batch["bounds"] = np.sort(exact, axis=1)[:, 4].tobytes()
+        ann.meet_block(index, block, batch, False, 5)
+    finally:
+        ann.scan = scan
+    assert sum(seen) < loose < 50 * 2000
+
+
+def test_query(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(200)] + [(400, None), (420, [0.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = ann.op2_nearest_neighbours(spark, str(tmp_path))
+    assert out.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    got = out.collect()
+    assert {r["query_id"] for r in got} == set(range(0, 200, 20)) and len(got) == 10 * 20
+
+
 def test_few_and_none(spark):
     df, asked = frames(spark, [(20, [1.0, 0.0]), (21, [0.5, 0.5]), (22, [-1.0, 0.0])])
     got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, asked, k=20).orderBy("rank").collect()]
@@ -72,7 +131,8 @@ def test_abandoning_keeps_near_candidates():
     x, q = rng.normal(size=(3000, 48)).astype(np.float32), rng.normal(size=(20, 48)).astype(np.float32)
     d = ((q[:, None] - x[None]) ** 2).sum(axis=2)
     bound = np.sort(d, axis=1)[:, 19].astype(float)
-    qi, xi = ann.scan(q, x, bound)
+    qi, xi, dist = ann.scan(ann.column_blocks(q), ann.column_blocks(x), bound)
+    assert np.allclose(dist, d[qi, xi], rtol=1e-3)
     found = set(zip(qi.tolist(), xi.tolist()))
     true = set(zip(*np.nonzero(d <= bound[:, None])))
     assert len(found & true) / len(true) > 0.97 and len(found) < 1.1 * len(true)
