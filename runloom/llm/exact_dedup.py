@@ -4,15 +4,18 @@ Every partition builds a counting quotient filter of its fingerprints: the
 high bits of a 64-bit fingerprint (its quotient) select a run, the low bits
 (its remainder) are kept sorted in that run, and each remainder has a counter.
 Quotient and remainder together are the whole fingerprint, so filters merge
-without loss by merging sorted remainders. Filters are cut into segments of
-quotients, one task merges a segment, and its size is bounded by the expected
-number of fingerprints in it. Fingerprints with a count above one route their
-documents to byte verification, which groups by the whole normalised bytes.
+without loss by merging the sorted remainders of their runs. Filters are cut
+into segments of quotients, one task merges a segment, and its size is bounded
+by the expected number of fingerprints in it. So that the pieces stay of some
+size, a filter is built from BUILD_ROWS fingerprints at least where there are so
+many tasks. Fingerprints with a count above one route their documents to byte
+verification, which groups by the whole normalised bytes.
 
 Defined cases: a null text counts as empty; equal texts with equal ids are rows
-of one group; a null id never stays unless all ids of its group are null; an
-empty table gives an empty result. Columns other than the id and the text are
-not read, so their names cannot clash.
+of one group; a null id never stays unless all ids of its group are null; texts
+of any length are hashed and compared whole, in bounded batches; an empty table
+gives an empty result. Columns other than the id and the text are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from runloom.llm.common import LOWER_AZ, bounded_batches, bounded_broadcast, tab
 
 #: Fingerprints expected in a merged segment of quotients.
 SEGMENT = 1 << 20
+#: Fingerprints (16 bytes each with their counters) of a partition's filter.
+BUILD_ROWS = 1 << 22
 #: Rows of (fingerprint) that may be broadcast: 16 bytes each, 32 MB in all.
 BROADCAST_ROWS = 1 << 21
 #: Quotient bits; whether runs are listed; first quotient; bits or runs; slots; slots with a counter.
@@ -38,60 +43,88 @@ HEAD = struct.Struct("<BBQQQQ")
 
 
 class CountingQuotientFilter:
-    """Sorted remainders with counters in runs by quotient, as flat arrays.
+    """Sorted remainders with counters in slots, in runs by quotient.
 
-    occupied marks the quotients that have a run, run_ends the last slot of
-    every run; counters above one are kept apart by slot.
+    runs lists the quotients that have a run, ends the slot after each run's last.
     """
 
-    def __init__(self, quotient_bits: int, fingerprints: np.ndarray, counts: np.ndarray):
+    def __init__(self, quotient_bits: int, runs: np.ndarray, ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
         self.quotient_bits = quotient_bits
-        self.fingerprints, self.counts = fingerprints, counts
+        self.runs, self.ends, self.remainders, self.counts = runs, ends, remainders, counts
 
     @classmethod
     def build(cls, fingerprints: np.ndarray, quotient_bits: int) -> CountingQuotientFilter:
         values, counts = np.unique(np.asarray(fingerprints, dtype=np.uint64), return_counts=True)
-        return cls(quotient_bits, values, counts.astype(np.int64))
+        low = np.uint64(64 - quotient_bits)
+        runs, sizes = np.unique(values >> low, return_counts=True)
+        return cls(quotient_bits, runs, np.cumsum(sizes), values & ((np.uint64(1) << low) - np.uint64(1)), counts.astype(np.int64))
+
+    def _keys(self, quotients: np.ndarray) -> np.ndarray:
+        """A number for each slot, ascending: the place of its run among the quotients, then its remainder."""
+        place = np.repeat(np.searchsorted(quotients, self.runs), np.diff(self.ends, prepend=0)).astype(np.uint64)
+        return place << np.uint64(64 - self.quotient_bits) | self.remainders
+
+    @property
+    def fingerprints(self) -> np.ndarray:
+        return np.repeat(self.runs, np.diff(self.ends, prepend=0)) << np.uint64(64 - self.quotient_bits) | self.remainders
+
+    def count(self, fingerprint: int) -> int:
+        """How often a fingerprint is in, 0 if not."""
+        low = 64 - self.quotient_bits
+        run = int(np.searchsorted(self.runs, np.uint64(fingerprint >> low)))
+        if run == len(self.runs) or int(self.runs[run]) != fingerprint >> low:
+            return 0
+        first, end = int(self.ends[run - 1]) if run else 0, int(self.ends[run])
+        slot = first + int(np.searchsorted(self.remainders[first:end], np.uint64(fingerprint & ((1 << low) - 1))))
+        return int(self.counts[slot]) if slot < end and int(self.remainders[slot]) == fingerprint & ((1 << low) - 1) else 0
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        """A merge of sorted remainders; counters of equal ones add up."""
+        """The sorted remainders of the other's runs put among those of one's own; counters of equal ones add up."""
         if self.quotient_bits != other.quotient_bits:
             raise ValueError("filters of different quotients do not merge")
-        both = np.concatenate([self.fingerprints, other.fingerprints])
-        counts = np.concatenate([self.counts, other.counts])
-        order = np.argsort(both, kind="stable")
-        both, counts = both[order], counts[order]
-        starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-        return CountingQuotientFilter(self.quotient_bits, both[starts], np.add.reduceat(counts, starts) if len(both) else counts)
+        runs = np.union1d(self.runs, other.runs)
+        mine, new = self._keys(runs), other._keys(runs)
+        at = np.searchsorted(mine, new)
+        known = np.zeros(len(new), bool)
+        if len(mine):
+            known = mine[np.minimum(at, len(mine) - 1)] == new
+        counts = self.counts.copy()
+        counts[at[known]] += other.counts[known]
+        keys, counts = np.insert(mine, at[~known], new[~known]), np.insert(counts, at[~known], other.counts[~known])
+        low = np.uint64(64 - self.quotient_bits)
+        ends = np.searchsorted(keys >> low, np.arange(len(runs), dtype=np.uint64), side="right")
+        return CountingQuotientFilter(self.quotient_bits, runs, ends, keys & ((np.uint64(1) << low) - np.uint64(1)), counts)
 
     def segments(self, bits: int) -> Iterator[tuple[int, bytes]]:
         """(segment, bytes) by the highest bits of the quotient."""
-        of = (self.fingerprints >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.fingerprints), np.int64)
+        of = self.runs >> np.uint64(self.quotient_bits - bits)
         edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else []
+        starts = np.concatenate([[0], self.ends])
         for a, b in zip(edges, edges[1:]):
-            yield int(of[a]), CountingQuotientFilter(self.quotient_bits, self.fingerprints[a:b], self.counts[a:b]).dump()
+            slots = slice(starts[a], starts[b])
+            part = CountingQuotientFilter(self.quotient_bits, self.runs[a:b], self.ends[a:b] - starts[a], self.remainders[slots], self.counts[slots])
+            yield int(of[a]), part.dump()
 
     def dump(self) -> bytes:
-        low = np.uint64(64 - self.quotient_bits)
-        quotients = self.fingerprints >> low
-        remainders = self.fingerprints & ((np.uint64(1) << low) - np.uint64(1))
-        new = np.concatenate([[True], quotients[1:] != quotients[:-1]]) if len(quotients) else np.zeros(0, bool)
-        first = int(quotients[0]) if len(quotients) else 0
-        runs = quotients[new] - np.uint64(first)
+        """The filter as bytes: a bit for each quotient (or, of few runs, their list), a bit that ends each run, remainders
+        in as few bytes as they need, and the counters above one by slot."""
+        first = int(self.runs[0]) if len(self.runs) else 0
+        runs = self.runs - np.uint64(first)
         span = int(runs[-1]) + 1 if len(runs) else 0
-        sparse = span > 64 * len(runs)  # few runs are listed, many are bits
+        sparse = span > 64 * len(runs)
         if sparse:
             occupied = runs.astype("<u8").tobytes()
         else:
             bits = np.zeros(span, bool)
             bits[runs.astype(np.int64)] = True
             occupied = np.packbits(bits).tobytes()
-        run_ends = np.concatenate([new[1:], [True]]) if len(new) else new
+        last = np.zeros(len(self.remainders), bool)
+        last[self.ends - 1] = True
         slots = np.flatnonzero(self.counts > 1)
-        head = HEAD.pack(self.quotient_bits, sparse, first, len(runs) if sparse else span, len(remainders), len(slots))
+        head = HEAD.pack(self.quotient_bits, sparse, first, len(runs) if sparse else span, len(self.remainders), len(slots))
         width = (64 - self.quotient_bits + 7) // 8
-        packed = remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-        return head + occupied + np.packbits(run_ends).tobytes() + packed + slots.astype("<u4").tobytes() + self.counts[slots].astype("<i8").tobytes()
+        packed = self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        return head + occupied + np.packbits(last).tobytes() + packed + slots.astype("<u4").tobytes() + self.counts[slots].astype("<i8").tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> CountingQuotientFilter:
@@ -105,16 +138,14 @@ class CountingQuotientFilter:
             return out
 
         runs = take(span, "<u8") if sparse else np.flatnonzero(np.unpackbits(take((span + 7) // 8, "u1"))[:span]).astype(np.uint64)
-        run_ends = np.unpackbits(take((n + 7) // 8, "u1"))[:n].astype(bool)
+        ends = np.flatnonzero(np.unpackbits(take((n + 7) // 8, "u1"))[:n]) + 1
         width = (64 - bits + 7) // 8
         remainders = np.zeros((n, 8), np.uint8)
         remainders[:, :width] = take(n * width, "u1").reshape(n, width)
-        run = np.concatenate([[0], np.cumsum(run_ends)[:-1]]) if n else np.zeros(0, np.int64)
-        quotients = (runs + np.uint64(first))[run] if n else np.zeros(0, np.uint64)
         counts = np.ones(n, np.int64)
         slots = take(repeated, "<u4")
         counts[slots] = take(repeated, "<i8")
-        return cls(bits, (quotients << np.uint64(64 - bits)) | remainders.view("<u8").reshape(-1), counts)
+        return cls(bits, runs + np.uint64(first), ends, remainders.view("<u8").reshape(-1), counts)
 
 
 def merged(parts: list[CountingQuotientFilter]) -> CountingQuotientFilter:
@@ -175,7 +206,8 @@ def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
         more = whole.counts > 1
         return pa.table({"fp": whole.fingerprints[more].view(np.int64), "n": whole.counts[more]})
 
-    filters = fps.select("fp").mapInArrow(build, "segment long, filter binary")
+    few = max(fps.sparkSession.sparkContext.defaultParallelism, rows // BUILD_ROWS)
+    filters = fps.select("fp").coalesce(few).mapInArrow(build, "segment long, filter binary")
     return filters.groupBy("segment").applyInArrow(merge, "fp long, n long")
 
 

@@ -36,7 +36,11 @@ def test_filter_round_trip_and_merge(a, b, bits, cut):
     for x in (a, b):
         back = E.CountingQuotientFilter.load(make(x).dump())
         assert back.fingerprints.tolist() == sorted(set(x)) and back.counts.tolist() == [x.count(v) for v in sorted(set(x))]
+        assert all(make(x).count(v) == x.count(v) for v in [*a, *b, 3, 2**63 + 1])
     merged = make(a).merge(make(b))
+    again = make(a + b)
+    for part in ("runs", "ends", "remainders", "counts"):
+        assert getattr(merged, part).tolist() == getattr(again, part).tolist()
     assert merged.fingerprints.tolist() == sorted(set(a + b)) and merged.counts.tolist() == [(a + b).count(v) for v in sorted(set(a + b))]
     parts = [E.CountingQuotientFilter.load(d) for _, d in merged.segments(cut)]
     assert [v for p in parts for v in p.fingerprints.tolist()] == merged.fingerprints.tolist()
@@ -47,3 +51,16 @@ def test_segments_find_all_repeats(spark):
     df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(6)
     got = {r["fp"]: r["n"] for r in E.repeated_fingerprints(df, 50 * E.SEGMENT).collect()}
     assert got == {v: 2 for v in values[:500]}
+
+
+def test_query(spark, corpus, tmp_path):
+    corpus[1].write.parquet(f"{tmp_path}/documents.parquet")
+    out = E.op4_exact_dedup(spark, str(tmp_path))
+    assert out.dtypes[:5] == [("doc_id", "bigint"), ("keep_id", "bigint"), ("group_size", "bigint"), ("kept", "boolean"), ("text_sha256", "string")]
+    assert out.count() == len(corpus[0])
+
+
+def test_long_texts_that_differ_at_their_ends(spark):
+    long = "Wort " * 200_000
+    df = spark.createDataFrame([(1, long + "a"), (2, long + "A"), (3, long + "b"), (4, long)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in E.exact_groups(df).collect()} == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
