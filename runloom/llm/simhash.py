@@ -13,9 +13,15 @@ fingerprints within two bits have such a key in common and at most four
 fingerprints can have one, so the links stay linear and none is lost. Other
 ``max_bits`` use the same keys with as many cleared bits.
 
+Documents get their component by their fingerprint. Fingerprints of more than
+``HOT`` documents (such as that of texts without words) do so in a join of their
+own, to a table of at most a HOT-th of the rows, so none of them is shuffled to
+one task as long as that table may be broadcast.
+
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; equal rows (and rows with a null
-id) keep their own row; an empty table gives an empty result. Columns other
+id) keep their own row; texts of any length are read whole, by chunks of
+shingles; an empty table gives an empty result. Columns other
 than the id and the text are not read, so their names cannot clash.
 """
 
@@ -30,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import LOWER_AZ, bounded_batches, table, written
+from runloom.llm.common import LOWER_AZ, bounded_batches, bounded_broadcast, table, written
 from runloom.llm.components import connected_components
 
 SEED = 42
 #: Shingles whose bits are counted at once, which bounds the memory of a very long text.
 CHUNK = 1 << 15
+#: Documents beyond which a fingerprint is joined apart, and such fingerprints (16 bytes each) that may be broadcast.
+HOT, BROADCAST_ROWS = 10_000, 1_000_000
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -120,12 +128,18 @@ def near_duplicates(
     reach, the row's own included.
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = connected_components(links(distinct.select("fp"), max_bits, bucket_limit))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = classes.join(least, "root").select("fp", "component_id")
-    return fps.join(members, "fp").select(
+    members = written(classes.join(least, "root").select("fp", "component_id", "n"), "members")
+    hot, cold = members.where(F.col("n") > HOT).drop("n"), members.where(F.col("n") <= HOT).drop("n")
+    if hot.limit(1).count():
+        hot = bounded_broadcast(hot, BROADCAST_ROWS)
+        found = fps.join(hot, "fp").unionByName(fps.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    else:
+        found = fps.join(cold, "fp")
+    return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -55,6 +55,20 @@ def test_rows_against_brute_force(corpus):
         assert want[(d, fp - (1 << 64) if fp >> 63 else fp)] == c
 
 
+def test_hot_fingerprints_join_apart(corpus, monkeypatch):
+    _, df = corpus
+    plain = sorted(map(str, S.near_duplicates(df).collect()))
+    monkeypatch.setattr(S, "HOT", 1)
+    assert sorted(map(str, S.near_duplicates(df).collect())) == plain
+
+
+def test_query(spark, corpus, tmp_path):
+    corpus[1].write.parquet(f"{tmp_path}/documents.parquet")
+    out = S.op10_simhash_near_dedup(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")] and out.count() == len(corpus[0])
+    assert all(len(r["fingerprint"]) == 16 and r["fingerprint"] == r["fingerprint"].lower() for r in out.collect())
+
+
 @pytest.mark.parametrize("limit", [256, 3])
 @pytest.mark.parametrize("bits", [1, 2, 3])
 def test_links_lose_nothing(spark, limit, bits):
