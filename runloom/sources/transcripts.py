@@ -1,16 +1,20 @@
 """Transcripts: JSONL files of agent sessions as a Spark data source (batch and stream) and their decoding into events.
 
-A line counts once its line feed is there; what follows the last one is left for
-later (rows with complete = false, in the batch source only). Records are decoded
-in Python, as their text forms enter hashes and previews, and become
-events natively. A record that cannot be decoded is quarantined, never lost: it
-is malformed if it is no JSON object, else rejected.
+Files are read in byte ranges of SPLIT bytes at most, small files many to a task;
+a line belongs to the range in which its line feed lies. So neither a large file
+nor a long backlog of a stream is read by one task, and the driver only lists
+files and their sizes. A line counts once its line feed is there; what follows
+the last one is left for later (rows with complete = false, in the batch source
+only). Records are decoded in Python, as their text forms enter hashes and
+previews, and become events natively. A record that cannot be decoded is
+quarantined, never lost: it is malformed if it is no JSON object, else rejected.
 """
 
 from __future__ import annotations
 
 import functools
 import glob
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -21,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from runloom.functions.expressions import payload
 from runloom.schema import EVENTS, SCHEMA_VERSION, schema_of
 
-LINES = "path string, line_no long, byte_offset long, raw binary, complete boolean"
+#: part numbers a file's ranges, nth the lines of a range from 1.
+RANGED = "path string, part int, nth long, byte_offset long, raw binary, complete boolean"
+SPLIT = 64 << 20
+#: Ranges of large files whose line counts may be broadcast: under 200 bytes each.
+BROADCAST_ROWS = 100_000
 #: Record types that are plumbing.
 META_TYPES = ("queue-operation", "last-prompt", "ai-title", "mode", "pr-link", "permission-mode", "file-history-snapshot", "system")
 #: Lengths to which texts are cut before hashing.
@@ -44,104 +52,179 @@ def _open(path: str):
     return store.open_input_file(name)
 
 
-def list_files(path: str) -> list[str]:
-    """The files that a path, folder or pattern stands for, in order of name."""
+def list_files(path: str | list[str]) -> list[tuple[str, int]]:
+    """The files, with their sizes, that a path, folder or pattern (or each of a list) stands for, in order of name."""
+    if isinstance(path, list):
+        return sorted({x for p in path for x in list_files(p)})
     url = urlparse(path)
+    hidden = lambda name: os.path.basename(name).startswith((".", "_"))
     if url.scheme in ("", "file"):
         found = glob.glob(os.path.join(url.path, "**"), recursive=True) if os.path.isdir(url.path) else glob.glob(url.path)
-        return sorted(x for x in found if os.path.isfile(x) and not os.path.basename(x).startswith((".", "_")))
+        return sorted((x, os.path.getsize(x)) for x in found if os.path.isfile(x) and not hidden(x))
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(path)
     info = store.get_file_info(name)
     found = store.get_file_info(fs.FileSelector(name, recursive=True)) if info.type == fs.FileType.Directory else [info]
     prefix = path.removesuffix(name)
-    return sorted(prefix + x.path for x in found if x.is_file and not x.base_name.startswith((".", "_")))
+    return sorted((prefix + x.path, x.size) for x in found if x.is_file and not hidden(x.path))
 
 
-def lines_from(path: str, offset: int = 0, line_no: int = 1, end: int | None = None) -> Iterator[tuple]:
-    """(path, line_no, byte_offset, raw, complete) of the lines from an offset on, up to an end if one is given."""
+class Piece(InputPartition):
+    """Byte ranges (path, part, start, end) that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]]):
+        self.ranges = ranges
+
+
+def pieces(spans: list[tuple[str, int, int]], split: int = SPLIT) -> list[InputPartition]:
+    """Spans (path, start, end) of files as tasks of about `split` bytes: long ones cut, short ones together."""
+    out, held, size = [], [], 0
+    for path, start, end in spans:
+        for part, at in enumerate(range(start, end, split)):
+            stop = min(end, at + split)
+            if held and size + stop - at > split:
+                out.append(Piece(held))
+                held, size = [], 0
+            held.append((path, part, at, stop))
+            size += stop - at
+    return [*out, Piece(held)] if held or not out else out
+
+
+def _has_line_end(source, start: int, end: int, chunk: int = 1 << 16) -> bool:
+    source.seek(start)
+    return any(b"\n" in source.read(min(chunk, end - at)) for at in range(start, end, chunk))
+
+
+def _line_start(source, at: int, chunk: int = 1 << 16) -> int:
+    """Where the line that the byte at `at` belongs to begins."""
+    while at > 0:
+        first = max(0, at - chunk)
+        source.seek(first)
+        hit = source.read(at - first).rfind(b"\n")
+        if hit >= 0:
+            return first + hit + 1
+        at = first
+    return 0
+
+
+def lines_of(path: str, start: int, end: int, with_rest: bool) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(nth, byte_offset, raw, complete) of the lines whose line feeds lie in [start, end); with_rest also gives what
+    follows the last one, if anything does."""
     with _open(path) as source:
-        source.seek(offset)
-        while end is None or offset < end:
-            raw = source.readline()
+        if not with_rest and not _has_line_end(source, start, end):
+            return  # all of it lies within one long line
+        at = _line_start(source, start)
+        source.seek(at)
+        for nth in itertools.count(1):
+            raw = source.readline() if at < end or with_rest else b""
             if not raw:
                 return
             done = raw.endswith(b"\n")
-            yield path, line_no, offset, raw[:-1] if done else raw, done
-            offset += len(raw)
-            line_no += 1
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+            if at + len(raw) > end or not done:
+                if with_rest and not done:
+                    yield nth, at, raw, False
+                return
+            yield nth, at, raw[:-1], True
+            at += len(raw)
 
 
 class _BatchReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """The ranges of all files; that with a file's end has the unfinished last line too."""
+
+    def __init__(self, options: dict):
+        found = json.loads(options["paths"]) if "paths" in options else options["path"]
+        self.files, self.split = dict(list_files(found)), int(options.get("split", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(x) for x in list_files(self.path)] or [_File("")]
+        return pieces([(path, 0, size) for path, size in self.files.items()], self.split)
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.path:
-            yield from lines_from(partition.path)
+    def read(self, partition: Piece) -> Iterator[tuple]:
+        for path, part, start, end in partition.ranges:
+            for row in lines_of(path, start, end, end == self.files[path]):
+                yield path, part, *row
 
 
-class _TailReader(SimpleDataSourceStreamReader):
-    """Offsets are {path: [byte, line]} of the first line not yet read; appended lines and new files are followed."""
+class _TailReader(DataSourceStreamReader):
+    """Offsets are {path: bytes read}; appended bytes and new files are followed. A batch has the lines whose line feeds
+    lie between two offsets, so a line that is still being written waits for a later one.
 
-    def __init__(self, path: str, offsets: str = "{}"):
-        self.path, self.offsets = path, json.loads(offsets)
+    Option maxBytes bounds what a batch has beyond the one before it, once one has been read: Spark does not tell this
+    reader where a restarted query stands before it asks for the first end.
+    """
+
+    def __init__(self, options: dict):
+        self.path, self.split = options["path"], int(options.get("split", SPLIT))
+        self.first, self.most = json.loads(options.get("offsets", "{}")), int(options.get("maxBytes", 0))
+        self.at: dict | None = None
 
     def initialOffset(self) -> dict:
-        return self.offsets
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = [], dict(start)
-        for path in list_files(self.path):
-            at, line = end.get(path, [0, 1])
-            for row in lines_from(path, at, line):
-                if row[4]:
-                    rows.append(row)
-                    at, line = row[2] + len(row[3]) + 1, row[1] + 1
-            end[path] = [at, line]
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([row for path, (stop, _) in end.items() for row in lines_from(path, *start.get(path, [0, 1]), end=stop)])
+        return self.first
+
+    def latestOffset(self) -> dict:
+        end = dict(list_files(self.path))
+        if not self.most or self.at is None:
+            return end
+        left, out = self.most, {}
+        for path, size in end.items():
+            before = self.at.get(path, 0)
+            out[path] = before + min(left, max(0, size - before))
+            left -= out[path] - before
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = {**(self.at or {}), **end}
+        return pieces([(path, start.get(path, 0), stop) for path, stop in sorted(end.items()) if stop > start.get(path, 0)], self.split)
+
+    def read(self, partition: Piece) -> Iterator[tuple]:
+        for path, part, start, end in partition.ranges:
+            for row in lines_of(path, start, end, False):
+                yield path, part, *row
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class TranscriptSource(DataSource):
-    """Format "transcript"; option path: a file, folder or pattern; for streams, option offsets: where to begin (resume_offsets)."""
+    """Format "transcript"; option path: a file, folder or pattern (or paths: a JSON list of them); split: bytes of a range;
+    for streams, offsets: where to begin (resume_offsets), and maxBytes."""
 
     @classmethod
     def name(cls) -> str:
         return "transcript"
 
     def schema(self) -> str:
-        return LINES
+        return RANGED
 
     def reader(self, schema) -> DataSourceReader:
-        return _BatchReader(self.options["path"])
+        return _BatchReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _TailReader(self.options["path"], self.options.get("offsets", "{}"))
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _TailReader(dict(self.options))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], split: int = SPLIT) -> DataFrame:
+    """(path, line_no, byte_offset, raw, complete) of all lines; line numbers of files of several ranges follow from the
+    lines that the ranges before have."""
     spark.dataSource.register(TranscriptSource)
-    return spark.read.format("transcript").option("path", path).load()
-
-
-def stream_lines(spark: SparkSession, path: str) -> DataFrame:
+    named = {"paths": json.dumps(path)} if isinstance(path, list) else {"path": path}
+    rows = spark.read.format("transcript").options(**named, split=split).load()
+    line = F.col("nth")
+    large = {p: size for p, size in list_files(path) if size > split}
+    if large:
+        earlier = W.partitionBy("path").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        sizes = spark.read.format("transcript").options(paths=json.dumps(list(large)), split=split).load().groupBy("path", "part").agg(F.max("nth").alias("n"))
+        ahead = sizes.select("path", "part", F.sum("n").over(earlier).alias("ahead"))
+        ahead = F.broadcast(ahead) if sum(-(-size // split) for size in large.values()) <= BROADCAST_ROWS else ahead
+        rows, line = rows.join(ahead, ["path", "part"], "left"), F.col("nth") + F.coalesce("ahead", F.lit(0))
+    return rows.select("path", line.alias("line_no"), "byte_offset", "raw", "complete")
+
+
+def stream_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """As read_lines; a stream does not know how many lines a file has before, so line_no is null."""
     spark.dataSource.register(TranscriptSource)
-    return spark.readStream.format("transcript").option("path", path).load()
+    rows = spark.readStream.format("transcript").options(path=path, **options).load()
+    return rows.select("path", F.lit(None).cast("long").alias("line_no"), "byte_offset", "raw", "complete")
 
 
 # ---------------------------------------------------------------- decoding
@@ -259,8 +342,11 @@ DECODED = (
 )
 
 
-def decode_line(path: str, line_no: int, offset: int, raw: bytes) -> list[dict]:
-    """Rows of DECODED for a complete line; one row without a kind tells of a blank, malformed or rejected line."""
+def decode_line(path: str, line_no: int | None, offset: int, raw: bytes) -> list[dict]:
+    """Rows of DECODED for a complete line; one row without a kind tells of a blank, malformed or rejected line.
+
+    A record without an id is named after its file and line, or its place in bytes where the line is not known.
+    """
     place = {"path": path, "line_no": line_no, "byte_offset": offset, "block_index": 0}
     if not raw.strip():
         return [place | {"outcome": "blank"}]
@@ -273,7 +359,7 @@ def decode_line(path: str, line_no: int, offset: int, raw: bytes) -> list[dict]:
     stem = os.path.splitext(os.path.basename(path))[0]
     try:
         common = {
-            "outcome": "event", "record_id": record.get("uuid") or f"{stem}:{line_no}", "ts": timestamp(record.get("timestamp")),
+            "outcome": "event", "record_id": record.get("uuid") or (f"{stem}:{line_no}" if line_no is not None else f"{stem}@{offset}"), "ts": timestamp(record.get("timestamp")),
             "session_id": record.get("sessionId", "unknown"), "agent_id": "sidechain" if record.get("isSidechain") else None, "parent_event_id": record.get("parentUuid"),
         }
         rows = [place | common | e | {"block_index": i} for i, e in enumerate(record_events(record))]
@@ -342,8 +428,8 @@ def marks(lines: DataFrame, decoded: DataFrame) -> DataFrame:
 
 
 def resume_offsets(mark_rows: DataFrame) -> str:
-    """Option `offsets` of the stream that goes on where marks end (one entry for each file)."""
-    return json.dumps({r["path"]: [r["durable_offset"], r["source_line"] + 1] for r in mark_rows.select("path", "durable_offset", "source_line").collect()})
+    """Option `offsets` of the stream that goes on where marks end (one number for each file, as Spark's own offsets have)."""
+    return json.dumps({r["path"]: r["durable_offset"] for r in mark_rows.select("path", "durable_offset").collect()})
 
 
 def write_snapshot(events: DataFrame, path: str, mark_rows: DataFrame | None = None) -> None:

@@ -2,8 +2,10 @@
 
 The state of a session is its fold and its next seq, kept by Spark's state store
 from batch to batch, so a restart goes on from the checkpoint. Rows of a batch
-are put in order of line and block first. No watermark: nothing is dropped as
-late. State lives as long as its session unless idle_ms is given.
+are put in order of their place and block first. Episode versions are given out
+with the batch that wrote them and not kept; what stays of an episode is its
+latest version while a call of it may still return. No watermark: nothing is
+dropped as late. State lives as long as its session unless idle_ms is given.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from runloom.sources.transcripts import decode, stream_lines, to_events
 
 
 def live_state(events: DataFrame, limits: Limits | None = None, idle_ms: int | None = None) -> DataFrame:
-    """A row of STATE for each session that a micro-batch of events touches (its open episode left open)."""
+    """A row of STATE for each session that a micro-batch of events touches, with the versions that are new (its open episode left open)."""
     limits = limits or Limits()
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -30,12 +32,14 @@ def live_state(events: DataFrame, limits: Limits | None = None, idle_ms: int | N
             return
         held = pickle.loads(state.get[0]) if state.exists else SessionFold(limits)
         rows = [r for frame in frames for r in frame.to_dict("records")]
-        for row in sorted(rows, key=lambda r: (r["line_no"], r["block_index"])):
+        for row in sorted(rows, key=lambda r: (r["byte_offset"], r["block_index"])):
             held.step(_plain(row) | {"seq": held.seq + 1})
+        out = held.state(key[0], closed=False)
+        held.episodes.forget()
         state.update((pickle.dumps(held),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([held.state(key[0], closed=False)], columns=STATE.names)
+        yield pd.DataFrame([out], columns=STATE.names)
 
     rows = prepare_stream(events)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
@@ -45,7 +49,7 @@ def live_state(events: DataFrame, limits: Limits | None = None, idle_ms: int | N
 def prepare_stream(events: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
-    return prepare(events.withColumn("seq", F.struct(F.col("raw.line_no"), F.col("raw.block_index")))).select("*", "seq.line_no", "seq.block_index").drop("seq")
+    return prepare(events.withColumn("seq", F.struct(F.col("raw.byte_offset"), F.col("raw.block_index")))).select("*", "seq.byte_offset", "seq.block_index").drop("seq")
 
 
 def _plain(row: dict) -> dict:

@@ -84,37 +84,79 @@ def test_partial_last_line_and_stats(spark, tmp_path):
     assert [(r["seq"], r["raw"]["line_no"]) for r in events] == [(0, 1), (1, 4)]
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.integers(0, 10_000), max_size=4))
-def test_cut_at_any_bytes_reads_the_same_lines(tmp_path, cuts):
-    data = (fixtures.session_trace(3, 3).lines() + "\n\xff{\n").encode("latin-1", "replace")
+def whole_lines(data):
+    """(byte_offset, raw) of the finished lines."""
+    at, out = 0, []
+    for raw in data.splitlines(keepends=True) if b"\r" not in data else [x + b"\n" for x in data.split(b"\n")[:-1]]:
+        if raw.endswith(b"\n"):
+            out.append((at, raw[:-1]))
+        at += len(raw)
+    return out
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 10_000), max_size=4), st.sampled_from([7, 100, 997, 1 << 20]))
+def test_cut_at_any_bytes_reads_the_same_lines(tmp_path, cuts, split):
+    """Files that grow by any bytes, read in ranges of any size: each finished line once, in its batch."""
+    data = fixtures.session_trace(3, 3).lines().encode()[:10_000] + b"\n\xff{\n\nlast without end"
     path = tmp_path / "t.jsonl"
-    whole, offset, line = [], {}, 1
-    path.write_bytes(data)
-    want = [r for r in transcripts.lines_from(str(path)) if r[4]]
-    reader = transcripts._TailReader(str(path))
+    path.write_bytes(b"")
+    reader, seen, offset = transcripts._TailReader({"path": str(path), "split": str(split)}), [], {}
     for cut in sorted(c % (len(data) + 1) for c in cuts) + [len(data)]:
         path.write_bytes(data[:cut])
-        rows, after = reader.read(offset)
-        rows = list(rows)
-        assert rows == list(reader.readBetweenOffsets(offset, after))
-        whole, offset = whole + rows, after
-    assert whole == want and line == 1
+        end = reader.latestOffset()
+        rows = [r for p in reader.partitions(offset, end) for r in reader.read(p)]
+        assert rows == [r for p in reader.partitions(offset, end) for r in reader.read(p)]
+        seen, offset = seen + rows, end
+        assert [(r[3], r[4]) for r in seen] == [(at, raw) for at, raw in whole_lines(data[:cut] + b"") if at + len(raw) < cut]
+    batch = transcripts._BatchReader({"path": str(path), "split": str(split)})
+    rows = [r for p in batch.partitions() for r in batch.read(p)]
+    assert [(r[3], r[4]) for r in rows if r[5]] == whole_lines(data) and [r[4] for r in rows if not r[5]] == [b"last without end"]
+
+
+def test_line_numbers_of_files_of_many_ranges(spark, tmp_path):
+    data = fixtures.session_trace(4, 5).lines().encode()
+    (tmp_path / "large.jsonl").write_bytes(data + b"rest")
+    (tmp_path / "small.jsonl").write_bytes(b"{}\n{}\n")
+    (tmp_path / "none.jsonl").write_bytes(b"")
+    got = {(r["path"].split("/")[-1], r["line_no"]): (r["byte_offset"], bytes(r["raw"]), r["complete"]) for r in transcripts.read_lines(spark, str(tmp_path), split=333).collect()}
+    want = {("large.jsonl", i): (at, raw, True) for i, (at, raw) in enumerate(whole_lines(data), 1)}
+    want |= {("large.jsonl", len(want) + 1): (len(data), b"rest", False), ("small.jsonl", 1): (0, b"{}", True), ("small.jsonl", 2): (3, b"{}", True)}
+    assert got == want
+
+
+def test_small_files_share_a_task_and_large_ones_are_cut():
+    cut = transcripts.pieces([("a", 0, 10), ("b", 0, 10), ("c", 5, 130), ("d", 3, 3)], 50)
+    assert [p.ranges for p in cut] == [[("a", 0, 0, 10), ("b", 0, 0, 10)], [("c", 0, 5, 55)], [("c", 1, 55, 105)], [("c", 2, 105, 130)]]
+
+
+def test_a_batch_of_a_stream_can_be_bounded(tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"x\n" * 100)
+    reader = transcripts._TailReader({"path": str(tmp_path), "maxBytes": "30"})
+    offset, seen = {str(tmp_path / "a.jsonl"): 0}, 0
+    reader.partitions({}, offset)
+    while offset != (end := reader.latestOffset()):
+        rows = [r for p in reader.partitions(offset, end) for r in reader.read(p)]
+        assert 0 < len(rows) <= 15
+        seen, offset = seen + len(rows), end
+    assert seen == 100
 
 
 def test_following_a_file_gives_the_state_of_the_whole(spark, tmp_path):
-    """Appended in parts, over restarts of the query: the last state is that of one batch."""
+    """Appended in parts, over restarts of the query: the last state is that of one batch, and the batches' versions are its versions."""
     lines = fixtures.session_trace(5, 6).lines().encode()
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
     for cut in (len(lines) // 3, len(lines) // 3 + 40, len(lines)):
         (src / "s.jsonl").write_bytes(lines[:cut])
         live.follow(spark, str(src), str(tmp_path / "ck"), lambda df, _: df.write.mode("append").parquet(str(out))).awaitTermination()
-    last = spark.read.parquet(str(out)).orderBy("observed_seq").collect()[-1]
+    states = spark.read.parquet(str(out)).orderBy("observed_seq").collect()
+    last = states[-1]
     want = fold(transcripts.read_events(spark, str(src))).first()
     for name in ("n_events", "n_turns", "n_tool_calls", "n_tool_errors", "facts", "pending", "anomalies", "tokens", "frontier", "goal_text"):
         assert last[name] == want[name], name
-    assert want["versions"][: len(last["versions"])] == last["versions"]
+    versions = [v for r in states for v in r["versions"]]
+    assert len(states) > 1 and versions and want["versions"][: len(versions)] == versions
 
 
 def test_generated_truth(spark, tmp_path):
@@ -143,6 +185,6 @@ def test_snapshot(spark, tmp_path):
     with open(tmp_path / "t.jsonl", "a") as f:
         f.write(fixtures.session_trace(2).lines())
     offsets = transcripts.resume_offsets(spark.read.parquet(str(tmp_path / "snap" / "marks")))
-    rows, _ = transcripts._TailReader(str(tmp_path / "t.jsonl"), offsets).read(transcripts._TailReader(str(tmp_path / "t.jsonl"), offsets).initialOffset())
-    rows = list(rows)
-    assert rows[0][1] == mark["source_line"] + 1 and len(rows) == len(fixtures.session_trace(2).records)
+    reader = transcripts._TailReader({"path": str(tmp_path / "t.jsonl"), "offsets": offsets})
+    rows = [r for p in reader.partitions(reader.initialOffset(), reader.latestOffset()) for r in reader.read(p)]
+    assert rows[0][3] == mark["durable_offset"] and len(rows) == len(fixtures.session_trace(2).records)
