@@ -31,10 +31,14 @@ def top_tools(events: DataFrame, most: int = 8) -> DataFrame:
     return per_tool(events).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("path", "rank", "tool_name", "n")
 
 
+def usage_key() -> F.Column:
+    """What usage is counted once for: the API message, or the record where none is named."""
+    return F.coalesce(F.nullif("api_message_id", F.lit("")), F.concat(F.lit("rec:"), F.col("record_id")))
+
+
 def first_usage(events: DataFrame) -> DataFrame:
     """The first event with usage of each API message, side chains included; others of a message do not count."""
-    key = F.coalesce(F.nullif("api_message_id", F.lit("")), F.concat(F.lit("rec:"), F.col("record_id")))
-    rows = events.where("usage is not null").withColumn("usage_key", key)
+    rows = events.where("usage is not null").withColumn("usage_key", usage_key())
     first = W.partitionBy("path", "usage_key").orderBy("seq")
     return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
-from runloom.operators.counters import first_usage
+from runloom.operators.counters import usage_key
 
 
 def loop_hits(events: DataFrame, repeats: int = 4, window: int = 24) -> DataFrame:
@@ -23,13 +23,14 @@ def error_streaks(events: DataFrame, streak: int = 3) -> DataFrame:
     """Each maximal run of at least `streak` failed results: where it was raised, its length and where a success cleared it."""
     results = events.where(X.is_result()).select("path", "seq", X.failed().alias("bad"))
     order = W.partitionBy("path").orderBy("seq")
-    results = results.withColumn("n", F.row_number().over(order)).withColumn("ok_before", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order))
-    nth = W.partitionBy("path", "ok_before").orderBy("seq")
-    bad = results.where("bad").withColumn("k", F.row_number().over(nth))
-    runs = bad.groupBy("path", "ok_before").agg(F.min(F.when(F.col("k") == streak, F.col("seq"))).alias("detected_at_seq"), F.count("*").alias("length"), F.max("n").alias("last_n"))
-    ends = results.where("not bad").select("path", "n", F.col("seq").alias("cleared_at_seq"))
-    joined = runs.where(F.col("length") >= streak).alias("r").join(ends.alias("e"), (F.col("r.path") == F.col("e.path")) & (F.col("r.last_n") + 1 == F.col("e.n")), "left")
-    return joined.select("r.path", "detected_at_seq", "length", "cleared_at_seq")
+    # A success closes the run of failures before it, so both have one number.
+    closed = F.coalesce(F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    results = results.withColumn("run", closed)
+    rows = results.withColumn("k", F.row_number().over(W.partitionBy("path", "run").orderBy("seq")))
+    runs = rows.groupBy("path", "run").agg(
+        F.min(F.when(F.col("bad") & (F.col("k") == streak), F.col("seq"))).alias("detected_at_seq"), F.count_if("bad").alias("length"), F.max(F.when(~F.col("bad"), F.col("seq"))).alias("cleared_at_seq")
+    )
+    return runs.where(F.col("length") >= streak).select("path", "detected_at_seq", "length", "cleared_at_seq")
 
 
 def tool_flood(events: DataFrame, cap: int = 100, caps: dict[str, int] | None = None) -> DataFrame:
@@ -45,8 +46,10 @@ def tool_flood(events: DataFrame, cap: int = 100, caps: dict[str, int] | None =
 
 def budget_crossings(events: DataFrame, warn_usd: float = 50.0, critical_usd: float = 200.0) -> DataFrame:
     """The first main-thread event of each session at which its cost so far reaches each limit."""
-    counted = first_usage(events).select("path", "seq", X.cost_micros().alias("micros"))
-    rows = events.select("path", "seq", X.main_thread().alias("main")).join(counted, ["path", "seq"], "left")
+    used = F.col("usage").isNotNull()
+    nth = F.row_number().over(W.partitionBy("path", F.when(used, usage_key())).orderBy("seq"))
+    paid = F.when(used & (nth == 1), X.cost_micros())
+    rows = events.select("path", "seq", X.main_thread().alias("main"), paid.alias("micros"))
     so_far = W.partitionBy("path").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("micros", F.sum(F.coalesce("micros", F.lit(0).cast("decimal(38,4)"))).over(so_far)).where("main")
     reach = [F.struct(F.lit(name).alias("severity"), F.lit(round(usd * 1e6)).cast("decimal(38,4)").alias("limit")) for name, usd in (("warn", warn_usd), ("critical", critical_usd))]
