@@ -6,14 +6,14 @@ import argparse
 import json
 import os
 import sys
-import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.operators import evaluation, views
+from runloom.operators import evaluation, recount, views
 from runloom.operators.fold import Limits, anomalies, fold
-from runloom.session import build_session
+from runloom.session import build_session, scratch_path
 from runloom.sources import fixtures, transcripts
 from runloom.streaming.live import follow
 
@@ -36,44 +36,85 @@ def render(spark: SparkSession, session: str, out: str | None = None) -> str:
     return out
 
 
-def watch(spark: SparkSession, session: str, out: str, poll: float = 2.0, once: bool = False):
+def watch(spark: SparkSession, session: str, out: str, poll: float = 2.0, once: bool = False, checkpoint: str | None = None):
+    """Renew a page while a session grows. Where it stands is kept beside the page, so a restart goes on from there."""
+
     def show(states: DataFrame, _: int) -> None:
         row = states.persist().first()
         if row is not None:
             _write(out, views.page(row, views.text_view(states).first()["view"], refresh_s=poll))
 
-    return follow(spark, session, tempfile.mkdtemp(prefix="watch-"), show, every=None if once else f"{poll} seconds")
+    return follow(spark, session, checkpoint or f"{os.path.abspath(out)}.checkpoint", show, every=None if once else f"{poll} seconds")
+
+
+#: Seconds since its last change for which a session counts as live.
+LIVE_S = 300
 
 
 def fleet(spark: SparkSession, path: str, most: int = 25, out: str = "fleet") -> DataFrame:
-    """The index of the latest sessions; one that cannot be read is a row that says so."""
-    named = [r["path"] for r in transcripts.list_sessions(spark, path, most).select("path").collect()]
-    lines = transcripts.read_lines(spark, path).where(F.col("path").isin(*[x.removeprefix("file:") for x in named], *named))
-    decoded = transcripts.decode(lines).persist()
+    """The index of the latest sessions, the live ones marked; one that cannot be read is a row that says so. Only their files are read."""
+    listed = transcripts.list_sessions(spark, path, most).select("path", F.col("modificationTime").cast("double").alias("changed")).collect()
+    changed = {r["path"].removeprefix("file:"): r["changed"] for r in listed}
+    decoded = transcripts.decode(transcripts.read_lines(spark, list(changed))).persist()
     state = fold(transcripts.to_events(decoded))
-    failed = decoded.groupBy("path").agg(F.count_if(F.col("outcome") == "event").alias("n")).where("n = 0").select("path", F.lit("no events").alias("reason"))
-    rows = views.fleet(state, failed).orderBy("path")
+    good = decoded.groupBy("path").agg(F.count_if(F.col("outcome") == "event").alias("n")).where("n > 0").select("path")
+    named = spark.createDataFrame([(p, time.time() - t < LIVE_S) for p, t in changed.items()], "path string, live boolean")
+    failed = named.select("path").join(good, "path", "left_anti").select("path", F.lit("no events").alias("reason"))
+    rows = views.fleet(state, failed).join(named, "path").orderBy("path")
     _write(os.path.join(out, "index.html"), views.fleet_page(rows.collect()))
     return rows
 
 
+def write_traces(spark: SparkSession, folder: str, traces: list[fixtures.Trace]) -> None:
+    """One file for each generated trace, in a folder named after its session, written by Spark to any file system."""
+    rows = spark.createDataFrame([(t.session, i, line) for t in traces for i, line in enumerate(t.lines().splitlines())], "session string, n int, value string")
+    rows.repartition("session").sortWithinPartitions("session", "n").drop("n").write.partitionBy("session").text(folder)
+
+
+def _session(path: F.Column) -> F.Column:
+    return F.regexp_extract(path, "session=([^/]+)/", 1)
+
+
 def detect_bench(spark: SparkSession, folder: str, n: int = 30, seed: int = 100, limits: Limits | None = None) -> DataFrame:
     """Scores of the detectors on generated traces with labelled pathologies, a fifth of them without any."""
-    os.makedirs(folder, exist_ok=True)
-    labels = []
+    traces = []
     for i in range(n):
         kinds = [fixtures.PATHOLOGIES[(i + j) % 4] for j in range(i % 3 + 1)] if i % 5 else []
-        trace = fixtures.pathology_trace(seed + i, kinds)
-        path = os.path.join(folder, f"{trace.session}.jsonl")
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(trace.lines())
-        labels += [(path, *x) for x in trace.labels]
+        traces.append(fixtures.pathology_trace(seed + i, kinds))
+    write_traces(spark, folder, traces)
     events = transcripts.read_events(spark, folder).persist()
-    spans = evaluation.label_spans(spark.createDataFrame(labels, "path string, kind string, start_line long, end_line long"), events)
+    labels = spark.createDataFrame([(t.session, *label) for t in traces for label in t.labels], "session string, kind string, start_line long, end_line long")
+    paths = events.select("path").distinct().select("path", _session(F.col("path")).alias("session"))
+    spans = evaluation.label_spans(labels.join(F.broadcast(labels.select("session").distinct().join(paths, "session")), "session").drop("session"), events)
     found = anomalies(fold(events, limits)).where(F.col("kind").isin(*fixtures.PATHOLOGIES))
     return evaluation.detection_scores(spans, found)
 
 
+def compare_with_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(field, equal, total): of how many transcripts the fold's state says what a recount of the raw JSON does."""
+    lines = transcripts.read_lines(spark, path)
+    state = fold(transcripts.to_events(transcripts.decode(lines)))
+    return evaluation.fidelity(evaluation.compare(recount.told(state), recount.recount(lines)))
+
+
+def fidelity_bench(spark: SparkSession, folder: str, n: int = 8, seed: int = 700, more: str | None = None) -> DataFrame:
+    """The comparison over generated traces of both kinds, and over the files of one's own under `more`."""
+    write_traces(spark, folder, [fixtures.session_trace(seed + i) for i in range(n)] + [fixtures.pathology_trace(seed + i, list(fixtures.PATHOLOGIES[: i % 5])) for i in range(n)])
+    return compare_with_raw(spark, [folder, more] if more else folder)
+
+
+def scoreboard(out: str, key: str, rows: list[dict]) -> None:
+    """Put rows under a key of the scoreboard, whose other keys stay."""
+    board = {}
+    if os.path.exists(out):
+        with open(out, encoding="utf-8") as f:
+            board = json.load(f)
+    _write(out, json.dumps(board | {key: rows}, indent=1))
+
+
+BENCHES = {"detect": detect_bench, "fidelity": fidelity_bench}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="runloom", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
@@ -84,6 +125,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("session")
     p.add_argument("--out", default="watch.html")
     p.add_argument("--poll", type=float, default=2.0)
+    p.add_argument("--checkpoint", help="folder that keeps where the page stands (beside the page by default)")
     p = sub.add_parser("sessions", help="the latest sessions under a folder")
     p.add_argument("folder")
     p.add_argument("-n", type=int, default=15)
@@ -91,14 +133,16 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("folder")
     p.add_argument("-n", type=int, default=25)
     p.add_argument("--out", default="fleet")
-    p = sub.add_parser("bench", help="detector scores on generated traces")
-    p.add_argument("--out")
+    p = sub.add_parser("bench", help="scores on generated traces: of the detectors, of the fold against raw JSON, or both")
+    p.add_argument("which", nargs="?", default="all", choices=[*BENCHES, "all"])
+    p.add_argument("--more", help="transcripts of one's own for the comparison with raw JSON")
+    p.add_argument("--out", help="scoreboard to keep the scores in")
     args = parser.parse_args(argv)
     spark = build_session()
     if args.command == "render":
         print(render(spark, args.session, args.out))
     elif args.command == "watch":
-        watch(spark, args.session, args.out, args.poll).awaitTermination()
+        watch(spark, args.session, args.out, args.poll, checkpoint=args.checkpoint).awaitTermination()
     elif args.command == "sessions":
         for r in transcripts.list_sessions(spark, args.folder, args.n).collect():
             print(r["modificationTime"], r["length"], r["path"])
@@ -106,10 +150,12 @@ def main(argv: list[str] | None = None) -> int:
         fleet(spark, args.folder, args.n, args.out)
         print(os.path.join(args.out, "index.html"))
     else:
-        scores = [r.asDict() for r in detect_bench(spark, tempfile.mkdtemp(prefix="bench-")).collect()]
-        if args.out:
-            _write(args.out, json.dumps({"detect": scores}, indent=1))
-        print(json.dumps(scores, indent=1))
+        for which in BENCHES if args.which == "all" else [args.which]:
+            more = {"more": args.more} if which == "fidelity" else {}
+            scores = [r.asDict() for r in BENCHES[which](spark, scratch_path(spark, "bench"), **more).collect()]
+            if args.out:
+                scoreboard(args.out, which, scores)
+            print(json.dumps({which: scores}, indent=1))
     return 0
 
 

@@ -34,15 +34,24 @@ def turn_rows(events: DataFrame) -> DataFrame:
     return rows.select("path", nth.alias("nth"), F.when(F.col("source") == "user", "user").otherwise("assistant").alias("role"), X.whole_text(events).alias("content"))
 
 
-def tokens(text: F.Column) -> F.Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2))
-
-
-def retrieve(events: DataFrame, most: int = 10) -> DataFrame:
-    """Of each session's earlier messages, the `most` nearest to its last by shared words over the root of their number, in order."""
-    rows = events.where(X.main_thread() & (F.col("kind") == "message")).select("path", "seq", tokens(X.whole_text(events)).alias("words"))
-    last = W.partitionBy("path")
-    rows = rows.withColumn("last", F.max("seq").over(last)).withColumn("query", F.max_by("words", "seq").over(last)).where("seq < last")
+def tokens(text: F.Column, breaks: str = r"[^\p{L}\p{N}_]+") -> F.Column:
+    """Distinct words of over two characters, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), breaks), lambda w: F.length(w) > 2))
+
+
+def retrieve(events: DataFrame, most: int = 10, recent: int = 1, older: int | None = None, ends: int | None = None, breaks: str = r"[^\p{L}\p{N}_]+") -> DataFrame:
+    """Of each session's earlier messages, the `most` nearest to its last `recent` by shared words over the root of their number.
+
+    Whole texts count; to score what a worker is shown, `older` takes the first characters of earlier messages and `ends`
+    the last ones of the recent. rank is by score, then seq; shown in order of seq they are as a worker sees them.
+    """
+    text = X.whole_text(events)
+    rows = events.where(X.main_thread() & (F.col("kind") == "message")).select("path", "seq", text.alias("text"))
+    rows = rows.withColumn("back", F.row_number().over(W.partitionBy("path").orderBy(F.desc("seq"))))
+    end = F.when(F.col("back") <= recent, F.struct("seq", (F.right("text", F.lit(ends)) if ends else F.col("text")).alias("t")))
+    asked = F.array_join(F.transform(F.array_sort(F.collect_list(end).over(W.partitionBy("path"))), lambda x: x["t"]), " ")
+    words = tokens(F.substring("text", 1, older) if older else F.col("text"), breaks)
+    rows = rows.withColumn("query", tokens(asked, breaks)).withColumn("words", words).where(F.col("back") > recent)
     shared = F.size(F.array_intersect("query", "words"))
     rows = rows.withColumn("score", shared / F.sqrt(1 + F.size("words"))).where("score > 0")
     best = F.row_number().over(W.partitionBy("path").orderBy(F.desc("score"), "seq"))

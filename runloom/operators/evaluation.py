@@ -3,24 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
 
 SLACK_EVENTS = 6
+#: Events of a session by which spans and detections are brought together.
+BLOCK = 256
 
 
 def label_spans(labels: DataFrame, events: DataFrame) -> DataFrame:
-    """labels(path, kind, start_line, end_line) with the least and greatest seq of the events on those lines."""
-    lines = events.select("path", "seq", F.col("raw.line_no").alias("line_no"))
-    joined = labels.alias("l").join(lines.alias("e"), (F.col("l.path") == F.col("e.path")) & F.col("e.line_no").between(F.col("l.start_line"), F.col("l.end_line")))
-    return joined.groupBy("l.path", "l.kind", "l.start_line", "l.end_line").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    """labels(path, kind, start_line, end_line) with the least and greatest seq of the events on those lines.
+
+    As events follow the lines, these are the first event from the start line on and the last up to the end line: lookups
+    in one window over a path's lines and label ends, so no label meets all events of its path.
+    """
+    mark = lambda line, end: F.struct(line.cast("long").alias("line"), end.alias("end"))
+    named = labels.select("path", "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+    ends = named.distinct().withColumn("at", F.explode(F.array(mark(F.col("start_line"), F.lit(0)), mark(F.col("end_line"), F.lit(2)))))
+    ends = ends.select("path", "kind", "start_line", "end_line", "at.line", "at.end", F.lit(None).cast("long").alias("seq"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("start_line", "long"), ("end_line", "long"))]
+    rows = events.select("path", *none, F.col("raw.line_no").alias("line"), F.lit(1).alias("end"), "seq").unionByName(ends)
+    order = W.partitionBy("path").orderBy("line", "end")
+    following = F.min("seq").over(order.rowsBetween(0, W.unboundedFollowing))
+    upto = F.max("seq").over(order.rowsBetween(W.unboundedPreceding, 0))
+    found = rows.withColumn("lo", F.when(F.col("end") == 0, following)).withColumn("hi", F.when(F.col("end") == 2, upto)).where("kind is not null")
+    return found.groupBy("path", "kind", "start_line", "end_line").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <= hi")
 
 
 def matches(spans: DataFrame, anomalies: DataFrame, slack: int = SLACK_EVENTS) -> DataFrame:
-    """Pairs of a span(path, kind, lo, hi) and an anomaly(path, kind, detected_at_seq, evidence) that fires within it."""
-    near = F.exists(F.concat("evidence", F.array("detected_at_seq")), lambda s: s.between(F.col("lo"), F.col("hi") + slack))
-    return spans.join(anomalies, ["path", "kind"]).where(near)
+    """Pairs of a span(path, kind, lo, hi) and an anomaly(path, kind, detected_at_seq, evidence) that fires within it.
+
+    Spans and places are dealt into blocks of BLOCK events and meet by path, kind and block, so what lies far apart in a
+    session never meets; an anomaly has EVIDENCE places at most.
+    """
+    block = lambda c: F.expr(f"{c} div {BLOCK}")
+    dealt = spans.withColumn("block", F.explode(F.sequence(block("lo"), block(f"(hi + {slack})"))))
+    fired = anomalies.select("*", F.explode(F.array_distinct(F.concat("evidence", F.array("detected_at_seq")))).alias("place"))
+    met = dealt.join(fired.withColumn("block", block("place")), ["path", "kind", "block"]).where(F.col("place").between(F.col("lo"), F.col("hi") + slack))
+    return met.drop("block", "place").dropDuplicates(["path", "kind", "lo", "hi", "detected_at_seq"])
 
 
 def detection_scores(spans: DataFrame, anomalies: DataFrame, slack: int = SLACK_EVENTS) -> DataFrame:

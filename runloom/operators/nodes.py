@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runloom.session import scratch_path
+
 #: States of a version; from each, those it may go to.
 TRANSITIONS = {
     "current": ("current", "suspected_stale", "superseded", "invalidated"),
@@ -21,9 +23,9 @@ def ref() -> F.Column:
 
 
 def heads(versions: DataFrame) -> DataFrame:
-    """The latest version of each node, in order of covered_lo."""
+    """The latest version of each node, in no order (by covered_lo is how they are shown)."""
     last = W.partitionBy("node_id").orderBy(F.desc("version"))
-    return versions.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").orderBy("covered_lo", "node_id")
+    return versions.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
 def history(versions: DataFrame, node_id: str) -> DataFrame:
@@ -75,21 +77,26 @@ def dependency_edges(versions: DataFrame) -> DataFrame:
 def stale_closure(versions: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(ref, depth): heads that depend on roots(ref), directly or through other heads, whatever their own state.
 
-    Each round joins the frontier twice on equality (exact ref, bare id) and stops when nothing new is met.
+    Each round joins the frontier on equality (exact ref, bare id) and stops when nothing new is met. Edges and rounds
+    are tables in the shared folder, so no plan grows with the rounds and a lost executor costs no round before it.
     """
     spark = versions.sparkSession
-    edges = dependency_edges(versions).persist()
-    seen = roots.select("ref").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    folder = scratch_path(spark, "closure")
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    edges = written(dependency_edges(versions), "edges")
+    frontier = written(roots.select("ref").distinct().withColumn("depth", F.lit(0)), "met/round=0")
+    seen = "ref string, depth int, round int"
     for depth in range(1, max_rounds + 1):
         keys = frontier.select(F.col("ref").alias("on")).union(frontier.select(F.substring_index("ref", "@", 1).alias("on"))).distinct()
-        new = keys.join(edges, "on").select("ref").distinct().join(seen, "ref", "left_anti").withColumn("depth", F.lit(depth))
-        # A round's rows are few and stay as a list of refs; checkpoints cut the lineage where a folder for them is set.
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
-        if not new.limit(1).count():
+        known = spark.read.schema(seen).parquet(f"{folder}/met").select("ref")
+        frontier = written(keys.join(edges, "on").select("ref").distinct().join(known, "ref", "left_anti").withColumn("depth", F.lit(depth)), f"met/round={depth}")
+        if not frontier.limit(1).count():
             break
-        seen, frontier = seen.union(new), new
-    return seen.where("depth > 0")
+    return spark.read.schema(seen).parquet(f"{folder}/met").where("depth > 0").select("ref", "depth")
 
 
 def propagate(versions: DataFrame, validity: DataFrame, roots: DataFrame, root_state: str | None = None) -> DataFrame:

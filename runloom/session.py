@@ -18,12 +18,17 @@ def build_session(name: str = "runloom", **conf: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of the session (spark.checkpoint.dir); in a temporary one only where none is set."""
+    """A new path in the shared folder of the session (spark.checkpoint.dir).
+
+    Where none is set, in a temporary one; on a cluster, whose hosts could not read that, this is an error.
+    """
     import tempfile
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         shared = "file://" + tempfile.mkdtemp(prefix="runloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
         spark.sparkContext.setCheckpointDir(shared)

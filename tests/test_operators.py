@@ -1,11 +1,13 @@
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from runloom import cli
 from runloom.functions import expressions as X
-from runloom.operators import contexts, counters, evaluation, extract, nodes, views
+from runloom.operators import comprehension, contexts, counters, evaluation, extract, nodes, recount, views
 from runloom.operators.fold import fold
 from runloom.sources import fixtures, transcripts
 
@@ -97,12 +99,86 @@ def test_fidelity_notices_a_changed_recount(spark):
 
 
 def test_detectors_find_injected_pathologies(spark, tmp_path):
-    scores = {r["kind"]: r for r in cli.detect_bench(spark, str(tmp_path), n=16, seed=500).collect()}
+    scores = {r["kind"]: r for r in cli.detect_bench(spark, str(tmp_path / "traces"), n=16, seed=500).collect()}
     assert set(scores) == set(fixtures.PATHOLOGIES)
     for r in scores.values():
         assert r["recall"] >= 0.9 and r["fp"] == 0
 
 
+def test_the_fold_agrees_with_the_raw_json(spark, tmp_path):
+    scores = cli.fidelity_bench(spark, str(tmp_path / "traces"), n=4).collect()
+    assert {r["field"] for r in scores} == set(recount.FIELDS) and all(r["equal"] == r["total"] == 8 for r in scores)
+
+
+def test_recount_of_odd_records(spark, tmp_path):
+    rows = [
+        {"type": "user", "message": {"content": [{"type": "text", "text": " <b>"}]}}, {"type": "user", "message": {"content": [{"type": "text", "text": "ask"}]}},
+        {"type": "user", "isMeta": True, "message": {"content": "meta"}}, {"type": "user", "message": {"content": "direct"}, "toolUseResult": "r"}, {"type": "user", "isSidechain": True, "message": {"content": "aside"}},
+        {"type": "assistant", "uuid": "a", "message": {"id": "m", "usage": {"input_tokens": 5, "output_tokens": None}, "content": [{"type": "tool_use", "id": "c", "name": "Edit", "input": {"file_path": "/f"}}, {"type": "tool_use", "id": "d", "name": "Run"}]}},
+        {"type": "assistant", "uuid": "b", "message": {"id": "m", "usage": {"input_tokens": 5}, "content": "again"}}, {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "c", "is_error": True, "content": "no"}]}}, 7,
+    ]
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows) + "{bad\n\n")
+    lines = transcripts.read_lines(spark, str(tmp_path))
+    got = recount.recount(lines).first().asDict()
+    del got["path"]
+    assert got == {"n_turns": 1, "n_tool_calls": 2, "n_tool_errors": 1, "input_tokens": 5, "output_tokens": 0, "cache_read_tokens": 0, "tools": "Edit=1\nRun=1", "files": "/f", "pending": "d"}
+    assert recount.told(fold(transcripts.read_events(spark, str(tmp_path)))).drop("path").first().asDict() == got
+
+
+def test_spans_and_detections_meet_in_blocks(spark, monkeypatch):
+    """Against all pairs of a session, with blocks that spans cross."""
+    rng = random.Random(4)
+    monkeypatch.setattr(evaluation, "BLOCK", 8)
+    spans = [("p", "k", lo, lo + rng.randint(0, 30)) for lo in rng.sample(range(200), 25)]
+    fired = [("p", rng.choice("kj"), s, [rng.randint(0, 220) for _ in range(rng.randint(0, 3))]) for s in rng.sample(range(240), 30)]
+    want = {(lo, hi, s) for _, kind, lo, hi in spans for _, k, s, ev in fired if k == kind and any(lo <= e <= hi + 6 for e in [*ev, s])}
+    got = evaluation.matches(spark.createDataFrame(spans, "path string, kind string, lo long, hi long"), spark.createDataFrame(fired, "path string, kind string, detected_at_seq long, evidence array<long>"))
+    assert sorted((r["lo"], r["hi"], r["detected_at_seq"]) for r in got.collect()) == sorted(want)
+
+
+def test_spend_is_kept_over_restarts(spark, tmp_path):
+    log = str(tmp_path / "spend.jsonl")
+    extract.Spend(10.0, log).record("a", "m", 6.0, 5, 2)
+    with open(log, "a") as f:
+        f.write('{"cost_usd": 99')  # cut off by a crash
+    again = extract.Spend(10.0, log)
+    assert again.total_usd == 6.0
+    again.record("b", "m", 4.5)
+    with pytest.raises(extract.BudgetExceeded):
+        extract.Spend(10.0, log).check()
+    entries = extract.read_spend(spark, log)
+    assert sorted((r["purpose"], r["cost_usd"]) for r in entries.collect()) == [("a", 6.0), ("b", 4.5)]
+    assert evaluation.spend_check(entries, 10.0).first()["over"]
+
+
+def test_scoreboard_keeps_other_scores(tmp_path):
+    out = str(tmp_path / "b" / "scores.json")
+    cli.scoreboard(out, "detect", [{"a": 1}])
+    cli.scoreboard(out, "fidelity", [{"b": 2}])
+    cli.scoreboard(out, "detect", [{"a": 3}])
+    assert json.load(open(out)) == {"detect": [{"a": 3}], "fidelity": [{"b": 2}]}
+
+
+def _reader(prompt):
+    """Knows the number of turns where the flat log shows them, and nothing else."""
+    context = prompt.split("\n\nQUESTIONS:")[0]
+    return json.dumps({"n_turns": context.count(" user/message "), "top_tool": None})
+
+
+def _broken(prompt):
+    raise OSError("no connection")
+
+
+def test_comprehension_of_conditions(spark, session):
+    folder, trace = session
+    path = str(folder / "one.jsonl")
+    events = transcripts.read_events(spark, path).persist()
+    scores = comprehension.comprehension(fold(events).persist(), events, transcripts.read_lines(spark, path), {"plain": _reader, "broken": _broken}).collect()
+    turns = {r["condition"]: r["accuracy"] for r in scores if r["qid"] == "n_turns"}
+    assert turns == {"flatlog": 0.5, "raw": 0.0, "view": 0.0}
+    assert {r["n"] for r in scores if r["qid"] == "n_turns"} == {2} and len([r for r in scores if r["qid"] is None]) == 6
+
+
 @pytest.fixture(scope="module")
 def session(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("s")
@@ -124,7 +200,7 @@ def test_text_view_and_page(spark, session):
     assert "<script>" not in page and "&lt;script&gt;" in page and 'content="2"' in page
     events = transcripts.read_events(spark, str(folder / "one.jsonl"))
     asked = {r["qid"]: r for r in views.questions(state, events).collect()}
-    assert asked["n_turns"]["truth"] == [str(trace.truth["turns"])] and asked["last_error"]["truth"] == ["no such text"] and asked["dangling"]["truth"] == ["Run"]
+    assert asked["n_turns"]["truth"] == [str(trace.truth["turns"])] and asked["last_error"]["truth"] == ["the sheet is locked"] and asked["dangling"]["truth"] == ["Weigh"] * bool(trace.truth["open_at_end"] + trace.truth["interrupted"])
     told = {r["condition"]: r["context"] for r in views.conditions(state, events, transcripts.read_lines(spark, str(folder / "one.jsonl"))).collect()}
     assert told["view"] == view and told["raw"] == trace.lines()[:-1] and told["flatlog"].startswith("[0] user/message  Request 0")
 
@@ -136,7 +212,9 @@ def test_commands(spark, session, tmp_path):
     assert 'http-equiv="refresh"' in (tmp_path / "w.html").read_text()
     rows = {r["path"].split("/")[-1]: r for r in cli.fleet(spark, str(folder), out=str(tmp_path / "fleet")).collect()}
     assert rows["one.jsonl"]["outcome"] == "ok" and rows["bad.jsonl"]["outcome"].startswith("parse-error")
-    assert (tmp_path / "fleet" / "index.html").exists()
+    assert rows["one.jsonl"]["live"] and "live" in (tmp_path / "fleet" / "index.html").read_text()
+    os.utime(folder / "bad.jsonl", (1e9, 1e9))
+    assert [(r["path"].split("/")[-1], r["live"]) for r in cli.fleet(spark, str(folder), most=1, out=str(tmp_path / "fleet")).collect()] == [("one.jsonl", True)]
 
 
 def test_extractor_halves_refused_batches_and_verifies(spark, session):
@@ -156,7 +234,7 @@ def test_extractor_halves_refused_batches_and_verifies(spark, session):
     memo = extract.harvest(events, machine).persist()
     found = memo.where("key is not null").collect()
     assert len(found) == len(texts) and all(f["key"] == "total" and any(f"total = {f['value']}" in t for t in texts) for f in found)
-    assert machine.stats["refusals"] > 0 and machine.stats["rejected"] == len(texts) and all(f["source"].startswith("/src/") for f in found)
+    assert machine.stats["refusals"] > 0 and machine.stats["rejected"] == len(texts) and all(f["source"].startswith("/stock/") for f in found)
     before = len(asked)
     assert extract.harvest(events, machine, memo).count() == memo.count() and len(asked) == before
 
