@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
-from runloom.operators import contexts, correlation, counters, detectors, episodes, evaluation, facts, fold, nodes, views
+from runloom.operators import contexts, correlation, counters, detectors, episodes, evaluation, facts, fold, nodes, recount, views
 from runloom.session import scratch_path
 from runloom.sources import adapters, transcripts
 from runloom.streaming import live
@@ -171,7 +172,8 @@ order(
 )
 order(
     "order_orphans",
-    "SELECT r.path, r.seq, r.corr AS correlation_id FROM results r JOIN calls c ON c.path = r.path AND c.corr = r.corr WHERE r.seq < c.call_seq",
+    """SELECT path, seq, corr AS correlation_id FROM (SELECT path, seq, corr, after, min(CASE WHEN after = 0 THEN seq END) OVER (PARTITION BY path, corr) AS call_seq FROM e)
+       WHERE after = 1 AND seq < call_seq""",
     correlation.orphan_results,
 )
 
@@ -297,6 +299,17 @@ whole_talk(
            WHERE seq < last) WHERE score > 0) WHERE rank <= 10""",
     lambda e: contexts.retrieve(e).select("path", "seq", "rank", F.round(F.col("score") * 1_000_000).cast("long").alias("score_millionths")),
 )
+whole_talk(
+    "retrieval_steps",
+    r"""SELECT path, seq, CAST(round(score * 1000000) AS BIGINT) AS score_millionths FROM (
+         SELECT path, seq, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, seq) AS rank FROM (
+           SELECT d.path, d.seq, len(list_intersect(d.words, q.words)) / sqrt(1 + len(d.words)) AS score FROM (
+             SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS back, list_distinct(list_filter(string_split_regex(lower(left(text, 400)), '\s+'), lambda w: length(w) > 2)) AS words FROM m WHERE kind = 'message') d
+           JOIN (SELECT path, list_distinct(list_filter(string_split_regex(lower(string_agg(right(text, 300), ' ' ORDER BY seq)), '\s+'), lambda w: length(w) > 2)) AS words FROM (
+             SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS back FROM m WHERE kind = 'message') WHERE back <= 2 GROUP BY path) q ON q.path = d.path
+           WHERE d.back > 2) WHERE score > 0) WHERE rank <= 10""",
+    lambda e: contexts.retrieve(e, recent=2, older=400, ends=300, breaks=r"\s+").select("path", "seq", F.round(F.col("score") * 1_000_000).cast("long").alias("score_millionths")),
+)
 whole_talk("turn_rows", "SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) AS nth, role, text AS content FROM m WHERE kind = 'message'", contexts.turn_rows)
 _register(
     "search_lines",
@@ -338,39 +351,102 @@ def _steps(events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- evaluation and nodes
 
 
-def _fidelity(events: DataFrame) -> DataFrame:
-    """The counters against an independent recount: from the kinds and flags alone, without the shared expressions."""
-    kind, main = F.col("kind"), F.isnull("agent_id")
-    again = events.groupBy("path").agg(
-        F.sum(F.lit(1).cast("long")).alias("n_events"),
-        F.sum(F.isnotnull("agent_id").cast("long")).alias("sidechain_events"),
-        F.sum((main & (kind == "message") & (F.col("payload.text") == "signup")).cast("long")).alias("n_turns"),
-        F.sum((main & (kind == "tool_call")).cast("long")).alias("n_tool_calls"),
-        F.sum((main & (kind == "tool_result") & F.col("payload.is_error")).cast("long")).alias("n_tool_errors"),
-    )
-    return evaluation.fidelity(evaluation.compare(counters.session_counters(events), again))
+def _user_transcripts(spark: SparkSession, sf_dir: str) -> str:
+    """`events` written as transcripts by Spark: messages, calls (views read a file) with usage, results with facts, side chains."""
+    e = adapters.user_events(spark, sf_dir)
+    who, k = F.col("path"), F.get_json_object("payload.text", "$.k")
+    kind = F.col("kind")
+    view = F.col("payload.tool_name") == "view"
+    inputs = F.struct(F.when(view, F.concat(F.lit("/u"), who, F.lit("/"), k, F.lit(".txt"))).alias("file_path"), k.alias("k"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.concat_ws("-", who, "correlation_id").alias("id"), F.when(view, "Read").otherwise("Click").alias("name"), inputs.alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.concat_ws("-", who, "correlation_id").alias("tool_use_id"), F.col("payload.text").alias("content"), F.col("payload.is_error").alias("is_error"))
+    usage = F.struct("usage.input_tokens", "usage.output_tokens", F.lit(3).alias("cache_read_input_tokens"))
+    message = F.when(kind == "message", F.to_json(F.struct(F.lit("user").alias("role"), F.col("payload.text").alias("content"))))
+    message = message.when(kind == "tool_call", F.to_json(F.struct(F.concat_ws("-", who, "api_message_id").alias("id"), F.col("usage.model").alias("model"), F.array(call).alias("content"), usage.alias("usage"))))
+    message = message.otherwise(F.to_json(F.struct(F.array(result).alias("content"))))
+    head = F.to_json(F.struct(
+        F.when(kind == "tool_call", "assistant").otherwise("user").alias("type"), F.concat_ws(":", who, "seq").alias("uuid"), who.alias("sessionId"), F.col("agent_id").isNotNull().alias("isSidechain"),
+    ))
+    line = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(', "message": '), "message", F.lit("}"))
+    path = scratch_path(spark, "user-transcripts")
+    rows = e.select("path", "seq", head.alias("head"), message.alias("message"))
+    rows.repartition("path").sortWithinPartitions("path", "seq").select(line.alias("value")).write.text(path)
+    return path
 
 
-user(
-    "fidelity_compare",
-    "SELECT field, n AS equal, n AS total FROM (SELECT count(DISTINCT path) AS n FROM e), (VALUES ('n_events'), ('sidechain_events'), ('n_turns'), ('n_tool_calls'), ('n_tool_errors')) f(field)",
-    _fidelity,
+def _raw_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = recount.recount(transcripts.read_lines(spark, _user_transcripts(spark, sf_dir)))
+    many = lambda c: F.sum(F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "\n")))).cast("long")
+    return counted.agg(*[F.sum(c).alias(c) for c in recount.FIELDS[:6]], many("files").alias("n_files"), many("pending").alias("n_pending"))
+
+
+_register(
+    "raw_recount",
+    f"""WITH {USER_SQL} SELECT (SELECT count(*) FROM e WHERE turn) AS n_turns, (SELECT count(*) FROM calls) AS n_tool_calls, (SELECT count(*) FROM m WHERE bad) AS n_tool_errors,
+       (SELECT CAST(sum(k) AS BIGINT) FROM usage) AS input_tokens, (SELECT CAST(sum(cents) AS BIGINT) FROM usage) AS output_tokens, (SELECT 3 * count(*) FROM usage) AS cache_read_tokens,
+       (SELECT count(*) FROM (SELECT DISTINCT path, k % 5 FROM m WHERE event_type = 'view')) AS n_files,
+       (SELECT count(*) FROM calls c WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.path = c.path AND a.corr = c.corr)) AS n_pending""",
+    _raw_recount,
+)
+
+
+def _fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of the decoded events against the recount of the raw JSON of the same files, field by field."""
+    lines = transcripts.read_lines(spark, _user_transcripts(spark, sf_dir))
+    state = fold.fold(transcripts.to_events(transcripts.decode(lines)))
+    compared = evaluation.compare(recount.told(state), recount.recount(lines))
+    return compared.groupBy("field").agg(F.count_if(~F.col("equal")).alias("mismatches"))
+
+
+_register("fidelity_compare", f"SELECT unnest({list(recount.FIELDS)!r}) AS field, CAST(0 AS BIGINT) AS mismatches", _fidelity)
+
+
+def _raw_events(build):
+    return lambda spark, sf_dir: build(transcripts.read_events(spark, _user_transcripts(spark, sf_dir)))
+
+
+_register(
+    "raw_files",
+    f"WITH {USER_SQL} SELECT '/u' || path || '/' || (k % 5) || '.txt' AS file, count(*) AS n FROM m WHERE event_type = 'view' GROUP BY ALL",
+    _raw_events(lambda e: counters.files_touched(e).groupBy("file").agg(F.sum("n").alias("n"))),
+)
+_register(
+    "raw_usage",
+    f"WITH {USER_SQL} SELECT coalesce(model, '') AS model, count(*) AS n, CAST(sum(k) AS BIGINT) AS input_tokens FROM e WHERE kind = 'tool_call' GROUP BY ALL",
+    _raw_events(lambda e: e.where("usage is not null").groupBy(F.coalesce("usage.model", F.lit("")).alias("model")).agg(F.count("*").alias("n"), F.sum("usage.input_tokens").alias("input_tokens"))),
+)
+_register(
+    "fact_sources",
+    f"""WITH {USER_SQL} SELECT CASE WHEN c.event_type = 'view' THEN '/u' || r.path || '/' || (c.k % 5) || '.txt' END AS source, count(*) AS n, CAST(sum(r.k) AS BIGINT) AS kk
+       FROM m r LEFT JOIN m c ON c.path = r.path AND c.seq = r.corr WHERE r.kind = 'tool_result' AND NOT r.bad GROUP BY ALL""",
+    _raw_events(lambda e: facts.fact_lines(e).where("key = 'kk'").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("kk"))),
 )
 
 
 def _streak_scores(events: DataFrame) -> DataFrame:
-    """Labelled spans are runs of failed results by themselves; detections are the streaks."""
-    streaks = detectors.error_streaks(events, STREAK)
-    spans = streaks.select("path", F.lit("error_streak").alias("kind"), F.col("detected_at_seq").alias("lo"), F.coalesce("cleared_at_seq", F.col("detected_at_seq")).alias("hi"))
-    found = streaks.where("length > 3").select("path", F.lit("error_streak").alias("kind"), "detected_at_seq", F.array("detected_at_seq").alias("evidence"))
-    return evaluation.detection_scores(spans, found, slack=0).select("kind", "tp", "fp", "fn")
+    """Detections of the fold against labels by another rule: runs of failed results, of which those of exactly STREAK are
+    left unlabelled (so their detection is false) and those one shorter are labelled (so they are missed)."""
+    results = events.where("agent_id is null and kind = 'tool_result'").select("path", "seq", F.col("payload.is_error").alias("bad"))
+    nth = F.row_number().over(W.partitionBy("path").orderBy("seq"))
+    same = F.row_number().over(W.partitionBy("path", "bad").orderBy("seq"))
+    runs = results.withColumn("run", nth - same).where("bad").groupBy("path", "run").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n"))
+    spans = runs.where((F.col("n") > STREAK) | (F.col("n") == STREAK - 1)).select("path", F.lit("error_streak").alias("kind"), "lo", "hi")
+    found = fold.anomalies(_fold(events)).where("kind = 'error_streak'")
+    scores = evaluation.detection_scores(spans, found, slack=0)
+    millionths = lambda c: F.round(F.col(c) * 1_000_000).cast("long").alias(f"{c}_millionths")
+    return scores.select("kind", "tp", "fp", "fn", millionths("precision"), millionths("recall"), millionths("mean_lead"))
 
 
 user(
     "detection_scores",
-    f"""SELECT 'error_streak' AS kind, count(*) FILTER (WHERE n > {STREAK}) AS tp, CAST(0 AS BIGINT) AS fp, count(*) FILTER (WHERE n = {STREAK}) AS fn FROM (
-         SELECT path, grp, count(*) AS n FROM (SELECT path, bad, sum(CAST(NOT bad AS INT)) OVER (PARTITION BY path ORDER BY seq) AS grp FROM m WHERE kind = 'tool_result')
-         WHERE bad GROUP BY path, grp HAVING count(*) >= {STREAK})""",
+    f"""SELECT 'error_streak' AS kind, tp, fp, fn, CAST(round(tp * 1000000.0 / (tp + fp)) AS BIGINT) AS precision_millionths,
+         CAST(round(tp * 1000000.0 / (tp + fn)) AS BIGINT) AS recall_millionths, CAST(round(lead * 1000000) AS BIGINT) AS mean_lead_millionths FROM (
+         SELECT count(*) FILTER (WHERE n > {STREAK}) AS tp, count(*) FILTER (WHERE n = {STREAK}) AS fp, count(*) FILTER (WHERE n = {STREAK - 1}) AS fn,
+                avg(hi - third) FILTER (WHERE n > {STREAK}) AS lead FROM (
+           SELECT path, grp, count(*) AS n, max(seq) AS hi, max(CASE WHEN k = {STREAK} THEN seq END) AS third FROM (
+             SELECT path, seq, grp, row_number() OVER (PARTITION BY path, grp ORDER BY seq) AS k FROM (
+               SELECT path, seq, bad, sum(CAST(NOT bad AS INT)) OVER (PARTITION BY path ORDER BY seq) AS grp FROM m WHERE kind = 'tool_result') WHERE bad)
+           GROUP BY path, grp))""",
     _streak_scores,
 )
 
@@ -423,6 +499,78 @@ _register(
 )
 
 
+def _label_spans(events: DataFrame) -> DataFrame:
+    """Labels on lines 3 to 7 and 10 to 2000 of each session."""
+    marks = F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.lit(3).alias("start"), F.lit(7).alias("end")), F.struct(F.lit("b").alias("kind"), F.lit(10).alias("start"), F.lit(2000).alias("end"))))
+    labels = events.select("path").distinct().select("path", marks.alias("x")).select("path", "x.kind", F.col("x.start").alias("start_line"), F.col("x.end").alias("end_line"))
+    return evaluation.label_spans(labels, events.where("seq % 3 <> 0")).select("path", "kind", "lo", "hi")
+
+
+user(
+    "label_spans",
+    """SELECT path, l.kind, min(seq) AS lo, max(seq) AS hi FROM e JOIN (VALUES ('a', 3, 7), ('b', 10, 2000)) l(kind, first, last) ON seq + 1 BETWEEN first AND last
+       WHERE seq % 3 <> 0 GROUP BY path, l.kind""",
+    _label_spans,
+)
+
+
+def _evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of even keys get a second version, which depends on nothing."""
+    versions = _geography(spark, sf_dir).withColumn("created_at_seq", F.lit(0).cast("long")).withColumn("supersedes", F.lit(None).cast("string"))
+    updates = versions.where("node_id like 'n%' and covered_lo % 2 = 0").select("node_id", F.lit(9).cast("long").alias("created_at_seq"), F.array().cast("array<string>").alias("dependencies"))
+    return nodes.evolve(versions, updates)
+
+
+_register(
+    "node_evolve",
+    """WITH v AS (SELECT 'r' || r_regionkey AS node_id, 1 AS version, 0 AS created_at_seq, NULL AS supersedes, '' AS deps FROM region
+         UNION ALL SELECT 'n' || n_nationkey, 1, 0, NULL, 'r' || n_regionkey || '@1' FROM nation UNION ALL SELECT 's' || s_suppkey, 1, 0, NULL, 'n' || s_nationkey FROM supplier
+         UNION ALL SELECT 'n' || n_nationkey, 2, 9, 'n' || n_nationkey || '@1', '' FROM nation WHERE n_nationkey % 2 = 0)
+       SELECT node_id, CAST(version AS BIGINT) AS version, CAST(created_at_seq AS BIGINT) AS created_at_seq, CAST(supersedes AS VARCHAR) AS supersedes, deps FROM v""",
+    lambda spark, sf_dir: _evolved(spark, sf_dir).select("node_id", F.col("version").cast("long"), "created_at_seq", "supersedes", F.array_join("dependencies", ",").alias("deps")),
+)
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes are told to become stale, or current where their key divides by three; then the old versions invalid; then all current."""
+    versions = _evolved(spark, sf_dir)
+    state = nodes.initial_validity(versions)
+    told = versions.select(nodes.ref().alias("ref"), F.when(F.col("covered_lo") % 3 == 0, "current").otherwise("suspected_stale").alias("to"))
+    state = nodes.transition(state, told)
+    state = nodes.transition(state, state.where("validity = 'superseded'").select("ref", F.lit("invalidated").alias("to")))
+    return nodes.transition(state, state.where("ref like 'n%'").select("ref", F.lit("current").alias("to")))
+
+
+_register(
+    "validity_guard",
+    """SELECT 'r' || r_regionkey || '@1' AS ref, CASE WHEN r_regionkey % 3 = 0 THEN 'current' ELSE 'suspected_stale' END AS validity FROM region
+       UNION ALL SELECT 'n' || n_nationkey || '@1', CASE WHEN n_nationkey % 2 = 0 THEN 'invalidated' ELSE 'current' END FROM nation
+       UNION ALL SELECT 'n' || n_nationkey || '@2', 'current' FROM nation WHERE n_nationkey % 2 = 0
+       UNION ALL SELECT 's' || s_suppkey || '@1', CASE WHEN s_suppkey % 3 = 0 THEN 'current' ELSE 'suspected_stale' END FROM supplier""",
+    _guarded,
+)
+_register(
+    "spend_check",
+    """SELECT event_type AS purpose, CAST(round(sum(value) * 100) AS BIGINT) AS cents, sum(value) >= 5000 AS over FROM events GROUP BY event_type
+       UNION ALL SELECT 'all', CAST(round(sum(value) * 100) AS BIGINT), sum(value) >= 5000 FROM events""",
+    lambda spark, sf_dir: _spent(adapters.table(spark, sf_dir, "events").select(F.col("event_type").alias("purpose"), F.col("value").alias("cost_usd"))),
+)
+
+
+def _spent(spend: DataFrame) -> DataFrame:
+    """Spend by purpose and of all, in cents, and whether it has reached the cap."""
+    of = lambda rows, name: evaluation.spend_check(rows).select(F.lit(name).alias("purpose"), F.round(F.col("total_usd") * 100).cast("long").alias("cents"), "over")
+    by = spend.groupBy("purpose").agg(F.sum("cost_usd").alias("total")).select("purpose", F.round(F.col("total") * 100).cast("long").alias("cents"), (F.col("total") >= 5000.0).alias("over"))
+    return by.unionByName(of(spend, "all"))
+
+
+_register(
+    "tail_chars",
+    "SELECT doc_id, right(text, 500) AS tail FROM documents",
+    lambda spark, sf_dir: adapters.table(spark, sf_dir, "documents").select("doc_id", contexts.tail_chars(F.col("text"), 500).alias("tail")),
+)
+
+
 # ---------------------------------------------------------------- the exact fold
 
 LIMITS = fold.Limits(stall_s=STALL_S, flood_cap=FLOOD_CAP, loop_repeats=LOOP, loop_window=WINDOW, streak=STREAK, **BUDGET)
@@ -432,8 +580,28 @@ def _fold(events: DataFrame) -> DataFrame:
     return fold.fold(events, LIMITS)
 
 
-user("run_state", """SELECT path, count(*) AS n_events, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls,
-       count(*) FILTER (WHERE NOT side AND bad) AS n_tool_errors, max(seq) AS observed_seq FROM e GROUP BY path""", lambda e: _fold(e).select("path", "n_events", "n_turns", "n_tool_calls", "n_tool_errors", "observed_seq"))
+def _listed(counts: str) -> F.Column:
+    return F.array_join(F.array_sort(F.transform(counts, lambda x: F.concat_ws("=", x["name"], x["n"].cast("string")))), ";")
+
+
+user(
+    "run_state",
+    """, spent AS (SELECT path, CAST(sum(k) AS BIGINT) AS input_tokens, CAST(sum(cents) AS BIGINT) AS output_tokens, CAST(sum(micros) AS BIGINT) AS micros FROM priced GROUP BY path),
+       seen AS (SELECT path, string_agg(model || '=' || n, ';' ORDER BY model) AS models FROM (SELECT path, model, count(*) AS n FROM usage WHERE model IS NOT NULL GROUP BY ALL) GROUP BY path),
+       named AS (SELECT path, string_agg(tool || '=' || n, ';' ORDER BY tool) AS tools FROM (SELECT path, tool, count(*) AS n FROM calls GROUP BY ALL) GROUP BY path),
+       open AS (SELECT path, string_agg(CAST(corr AS VARCHAR), ';' ORDER BY CAST(corr AS VARCHAR)) AS pending FROM calls c WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.path = c.path AND a.corr = c.corr) GROUP BY path),
+       counted AS (SELECT path, count(*) AS n_events, count(*) FILTER (WHERE side) AS sidechain_events, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls,
+                   count(*) FILTER (WHERE NOT side AND bad) AS n_tool_errors, max(seq) AS observed_seq, min_by(us, seq) AS started_us, max_by(us, seq) AS last_us FROM e GROUP BY path)
+       SELECT counted.*, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens, coalesce(micros, 0) AS micros, coalesce(models, '') AS models,
+              coalesce(tools, '') AS tools, coalesce(pending, '') AS pending
+       FROM counted LEFT JOIN spent USING (path) LEFT JOIN seen USING (path) LEFT JOIN named USING (path) LEFT JOIN open USING (path)""",
+    lambda e: _fold(e).select(
+        "path", "n_events", "sidechain_events", "n_turns", "n_tool_calls", "n_tool_errors", "observed_seq", "started_us", "last_us",
+        F.col("tokens")[0].alias("input_tokens"), F.col("tokens")[1].alias("output_tokens"), F.round(F.col("cost_usd") * 1_000_000).cast("long").alias("micros"),
+        _listed("models").alias("models"), _listed("tools").alias("tools"),
+        F.array_join(F.array_sort(F.transform("pending", lambda p: p["correlation_id"])), ";").alias("pending"),
+    ),
+)
 user(
     "anomaly_islands",
     ORACLE_SQL["error_streaks"].removeprefix(f"WITH {USER_SQL}\n"),
@@ -456,7 +624,11 @@ user(
 )
 user(
     "fact_eviction_fold",
-    None,
+    # The two oldest facts are the first `cents` and the first `kk`. The eleventh fact evicts the former, after which no `cents`
+    # is taken up; the next new `kk` evicts the latter, after which nothing is.
+    FACT_SQL + """SELECT path, base, CAST(1 AS BIGINT) AS n, value AS total, CAST(1 AS BIGINT) AS keys FROM named f
+       WHERE (nth = 1 AND EXISTS (SELECT 1 FROM named g WHERE g.path = f.path AND g.nth > 10))
+          OR (nth = 2 AND EXISTS (SELECT 1 FROM named g WHERE g.path = f.path AND g.nth > 11 AND g.base = 'kk'))""",
     lambda e: fold.fold(e, fold.Limits(max_facts=10)).select("path", F.explode("aggregates").alias("a")).select("path", "a.base", "a.n", "a.total", F.size("a.keys").alias("keys")),
 )
 user("text_view", None, lambda e: views.text_view(_fold(e)))
@@ -465,8 +637,37 @@ user(
     """SELECT path, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls FROM e GROUP BY path""",
     lambda e: views.fleet(_fold(e)).select("path", "n_turns", "n_tool_calls"),
 )
-user("questions", None, lambda e: views.questions(_fold(e), e))
-user("graded_answers", None, lambda e: evaluation.grade(views.questions(_fold(e), e).withColumn("answer", F.array_join("truth", "; "))).groupBy("qid").agg(F.avg("score").alias("score"), F.count("*").alias("n")))
+user(
+    "questions",
+    """, t AS (SELECT path, event_type AS tool, count(*) AS n, min(seq) AS f FROM m WHERE kind = 'tool_call' GROUP BY ALL),
+       last AS (SELECT path, max_by('cents = ' || cents || chr(10) || 'kk = ' || k, seq) AS said FROM m WHERE bad GROUP BY path),
+       open AS (SELECT DISTINCT path, tool FROM calls c WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.path = c.path AND a.corr = c.corr))
+       SELECT path, 'latest_ask' AS qid, 'substring_of_truth' AS kind, 'signup' AS truth FROM e GROUP BY path HAVING count(*) FILTER (WHERE turn) > 0
+       UNION ALL SELECT path, 'n_turns', 'exact_int', CAST(count(*) FILTER (WHERE turn) AS VARCHAR) FROM e GROUP BY path
+       UNION ALL SELECT path, 'top_tool', 'exact_str', tool FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, f) AS r FROM t) WHERE r = 1
+       UNION ALL SELECT path, 'last_error', 'substring_of_truth', said FROM last
+       UNION ALL SELECT p.path, 'dangling', 'set_f1_or_none', coalesce(string_agg(tool, ';' ORDER BY tool), '') FROM (SELECT DISTINCT path FROM e) p LEFT JOIN open USING (path) GROUP BY p.path""",
+    lambda e: views.questions(_fold(e), e).select("path", "qid", "kind", F.array_join("truth", ";").alias("truth")),
+)
+user(
+    "active_anomaly_intervals",
+    f""", flood AS (SELECT path, min(seq) AS seq FROM (SELECT path, seq, row_number() OVER (PARTITION BY path, event_type ORDER BY seq) AS n FROM m WHERE kind = 'tool_call') WHERE n >= {FLOOD_CAP} GROUP BY path),
+       cost AS (SELECT path, min(seq) FILTER (WHERE sofar >= 500000) AS seq, max(sofar) >= 1000000 AS much FROM (
+         SELECT e.path, e.seq, e.side, sum(coalesce(p.micros, 0)) OVER (PARTITION BY e.path ORDER BY e.seq) AS sofar FROM e LEFT JOIN priced p ON p.path = e.path AND p.seq = e.seq) WHERE NOT side GROUP BY path),
+       streak AS (SELECT path, max(CASE WHEN n = {STREAK} THEN seq END) AS seq FROM (
+         SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY seq) AS n FROM (
+           SELECT path, seq, bad, max(CASE WHEN NOT bad THEN seq END) OVER (PARTITION BY path) AS good FROM m WHERE kind = 'tool_result') WHERE bad AND seq > coalesce(good, -1)) GROUP BY path),
+       gaps AS (SELECT path, seq, us - lag(us) OVER (PARTITION BY path ORDER BY seq) AS gap, max(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY path) AS asked FROM m),
+       stall AS (SELECT g.path, min(g.seq) AS seq FROM gaps g JOIN calls c ON c.path = g.path AND c.call_seq < g.seq AND c.call_seq > coalesce(g.asked, -1)
+         LEFT JOIN answers a ON a.path = c.path AND a.corr = c.corr AND a.nth = 1
+         WHERE g.seq > coalesce(g.asked, -1) AND g.gap >= {int(STALL_S * 1_000_000)} AND (a.seq IS NULL OR a.seq >= g.seq) GROUP BY g.path)
+       SELECT path, 'tool_flood' AS kind, 'warn' AS severity, seq AS detected_at_seq FROM flood
+       UNION ALL SELECT path, 'budget', CASE WHEN much THEN 'critical' ELSE 'warn' END, seq FROM cost WHERE seq IS NOT NULL
+       UNION ALL SELECT path, 'error_streak', 'critical', seq FROM streak WHERE seq IS NOT NULL
+       UNION ALL SELECT path, 'stall', 'warn', seq FROM stall""",
+    lambda e: fold.active_anomalies(_fold(e)).where("kind <> 'loop'").select("path", "kind", "severity", "detected_at_seq"),
+)
+user("graded_answers", "SELECT unnest(['dangling', 'last_error', 'latest_ask', 'n_turns', 'top_tool']) AS qid, CAST(1 AS DOUBLE) AS score, unnest([(SELECT count(DISTINCT path) FROM e), (SELECT count(DISTINCT path) FROM m WHERE bad), (SELECT count(DISTINCT path) FROM e WHERE turn), (SELECT count(DISTINCT path) FROM e), (SELECT count(DISTINCT path) FROM calls)]) AS n", lambda e: evaluation.grade(views.questions(_fold(e), e).withColumn("answer", F.array_join("truth", "; "))).groupBy("qid").agg(F.avg("score").alias("score"), F.count("*").alias("n")))
 
 # ---------------------------------------------------------------- transcripts
 
@@ -520,7 +721,9 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "live")
     query = live.follow(spark, _transcripts(spark, sf_dir).removeprefix("file://"), scratch_path(spark, "checkpoint"), lambda df, _: df.write.mode("append").parquet(out))
     query.awaitTermination()
-    return spark.read.schema(fold.STATE).parquet(out).agg(F.sum("n_events").alias("n_events"), F.sum("n_turns").alias("n_turns"))
+    states = spark.read.schema(fold.STATE).parquet(out)
+    last = states.groupBy("path").agg(F.max_by(F.struct("n_events", "n_turns"), "n_events").alias("s"))
+    return last.agg(F.sum("s.n_events").alias("n_events"), F.sum("s.n_turns").alias("n_turns"))
 
 
 _register(

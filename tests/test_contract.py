@@ -3,6 +3,7 @@
 import importlib
 import math
 import os
+import shutil
 import subprocess
 import sys
 
@@ -61,15 +62,44 @@ def test_entry(spark):
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_the_engine_stands_without_the_corpus_operators(tmp_path):
-    """A copy without the llm folders and the pipeline still imports and has the other queries."""
-    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
-    import shutil
+ROOT = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+LLM = os.path.join("runloom", "llm")
 
-    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "copy", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+
+def in_a_copy(tmp_path, without, code):
+    """What a program prints in a copy of the repository without some files and folders."""
+    gone = {os.path.join(ROOT, x) for x in without}
+    skip = lambda folder, names: [n for n in names if n in (".git", "__pycache__") or os.path.join(folder, n) in gone]
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=skip)
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "copy")})
     assert said.returncode == 0, said.stderr
-    assert said.stdout.split() == [str(len(catalogue.QUERIES)), str(len(catalogue.ORACLE_SQL))]
+    return said.stdout.split()
+
+
+NAMES = "import __spark_entry__ as e; print(*sorted(e.queries()), '/', *sorted(e.oracle_sql()))"
+
+
+@pytest.mark.parametrize("without", [[LLM, os.path.join("tests", "llm"), "corpus_pipeline.py"], [LLM, os.path.join("tests", "llm")]])
+def test_the_engine_stands_without_the_corpus_operators(tmp_path, without):
+    assert in_a_copy(tmp_path, without, NAMES) == [*sorted(catalogue.QUERIES), "/", *sorted(catalogue.ORACLE_SQL)]
+
+
+def test_other_queries_run_without_the_corpus_operators(tmp_path):
+    code = "from runloom.session import build_session; import __spark_entry__ as e; print('rows', e.entry(build_session(**{'spark.master': 'local[2]', 'spark.ui.enabled': 'false'})).count())"
+    assert in_a_copy(tmp_path, [LLM, os.path.join("tests", "llm"), "corpus_pipeline.py"], code)[-2:] == ["rows", "15"]
+
+
+@pytest.mark.skipif(not os.path.isdir(os.path.join(ROOT, LLM)), reason="the corpus operators have been removed")
+def test_the_operators_stand_without_the_pipeline(tmp_path):
+    names = in_a_copy(tmp_path, ["corpus_pipeline.py"], NAMES)
+    assert "pipeline" not in names and {"op1_chat_format", "op10_simhash_near_dedup"} <= set(names)
+
+
+@pytest.mark.skipif(not os.path.isdir(os.path.join(ROOT, LLM)), reason="the corpus operators have been removed")
+def test_what_an_operator_lacks_is_an_error(tmp_path):
+    """The guard is for modules that have been removed, not for what is missing within them."""
+    code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e\ntry: e.queries()\nexcept ImportError as x: print('raised', x.name)"
+    assert in_a_copy(tmp_path, [], code) == ["raised", "xxhash"]
 
 
 def test_nothing_else_imports_the_corpus_operators():
