@@ -187,3 +187,19 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the mix that SQL can say: (doc_id, size, source_size, target in thousandths of a word) of every document."""
+    return op5_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round(F.col("target") * 1000).cast("long").alias("target_thousandths"))
+
+
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE k % 3 WHEN 1 THEN 5.0 WHEN 2 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+l AS (SELECT *, 2 * source_size / weight AS level FROM w),
+f AS (SELECT *, sum(2 * source_size) OVER rising + level * (sum(weight) OVER () - sum(weight) OVER rising) <= budget AS is_full FROM l WINDOW rising AS (ORDER BY level, k)),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN 2.0 * source_size ELSE (budget - sum(CASE WHEN is_full THEN 2 * source_size ELSE 0 END) OVER ()) / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () * weight END AS target FROM f)
+SELECT d.doc_id, d.size, t.source_size, CAST(round(t.target * 1000) AS BIGINT) AS target_thousandths FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

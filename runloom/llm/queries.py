@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "mixing_targets": mixing.mixing_targets,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
@@ -20,5 +21,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "mixing_targets": mixing.TARGETS_SQL,
     "op8_warc": warc.OP8_SQL,
 }
