@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
 
-MAX_EPISODES, SHOWN_FAILURES, SHOWN_TOOLS, LEAST_SUMMED = 30, 5, 8, 3
+SHOWN_FAILURES, SHOWN_TOOLS, LEAST_SUMMED = 5, 8, 3
 
 #: The lines of the text view.
 LINES = {
@@ -33,23 +33,29 @@ LINES = {
 }
 
 
-def heads(state: DataFrame) -> DataFrame:
-    """(path, episodes): the last version of each episode, in order, at most MAX_EPISODES of the latest."""
-    rows = state.select("path", F.explode("versions").alias("v")).groupBy("path", "v.node_id").agg(F.max_by("v", "v.version").alias("v"))
-    order = F.array_sort(F.collect_list(F.struct(F.col("v.covered_lo").alias("lo"), F.col("v").alias("v"))))
-    return rows.groupBy("path").agg(F.slice(F.reverse(order), 1, MAX_EPISODES).alias("e")).select("path", F.reverse(F.transform("e", lambda x: x["v"])).alias("episodes"))
+def _groups() -> F.Column:
+    """array<struct<base, n, folded, total, through>> of the groups of a state's live facts that are all whole numbers, by base,
+    with what was evicted. A state has at most MAX_FACTS facts, so no group leaves its row."""
+    zero = F.lit(0).cast("decimal(38,0)")
+    named = F.transform("facts", lambda f: F.struct(X.base_key(f["key"]).alias("base"), f["key"].alias("key"), X.whole_number(f["value"]).alias("number")))
+
+    def group(base: F.Column) -> F.Column:
+        live = F.filter(named, lambda f: f["base"] == base)
+        gone = F.get(F.filter("aggregates", lambda a: a["base"] == base), F.lit(0))
+        total = F.aggregate(live, zero, lambda a, f: (a + F.coalesce(f["number"], zero)).cast("decimal(38,0)")) + F.coalesce(gone["total"].cast("decimal(38,0)"), zero)
+        n, folded = F.size(live).cast("long"), F.coalesce(gone["n"], F.lit(0).cast("long"))
+        return F.struct(
+            base.alias("base"), (n + folded).alias("n"), folded.alias("folded"), total.cast("decimal(38,0)").cast("string").alias("total"),
+            F.element_at(live, -1)["key"].alias("through"), F.forall(live, lambda f: f["number"].isNotNull()).alias("whole"),
+        )
+
+    bases = F.array_sort(F.array_distinct(F.transform(named, lambda f: f["base"])))
+    return F.filter(F.transform(bases, group), lambda g: g["whole"] & (g["n"] >= LEAST_SUMMED))
 
 
 def fact_groups(state: DataFrame) -> DataFrame:
     """(path, base, n, folded, total, through) of the groups of live facts that are all whole numbers, with what was evicted."""
-    live = state.select("path", F.posexplode("facts").alias("nth", "f")).select("path", "nth", "f.*").withColumn("base", X.base_key(F.col("key")))
-    number = X.whole_number(F.col("value"))
-    groups = live.groupBy("path", "base").agg(F.count("*").alias("n"), F.sum(number).alias("total"), F.bool_and(number.isNotNull()).alias("whole"), F.max_by("key", "nth").alias("through"))
-    gone = state.select("path", F.explode("aggregates").alias("a")).select("path", "a.base", F.col("a.n").alias("folded"), F.col("a.total").cast("decimal(38,0)").alias("folded_total"))
-    both = groups.where("whole").join(gone, ["path", "base"], "left").na.fill(0, ["folded"])
-    n = F.col("n") + F.col("folded")
-    total = F.col("total") + F.coalesce("folded_total", F.lit(0).cast("decimal(38,0)"))
-    return both.select("path", "base", n.alias("n"), "folded", total.cast("string").alias("total"), "through").where(F.col("n") >= LEAST_SUMMED)
+    return state.select("path", F.explode(_groups()).alias("g")).select("path", "g.base", "g.n", "g.folded", "g.total", "g.through")
 
 
 def _say(name: str, **values: F.Column) -> F.Column:
@@ -65,9 +71,7 @@ def _say(name: str, **values: F.Column) -> F.Column:
 
 
 def text_view(state: DataFrame) -> DataFrame:
-    """(path, view): the compact text of each session, put together natively."""
-    groups = fact_groups(state).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("base", F.struct("n", "folded", "total", "through").alias("g")))).alias("groups"))
-    rows = state.join(groups, "path", "left").join(heads(state), "path", "left")
+    """(path, view): the compact text of each session, put together natively and row by row: nothing is shuffled."""
     empty = F.array().cast("array<string>")
     when = lambda c, x: F.when(c, x).otherwise(empty)
     top = F.slice(F.array_sort(F.col("tools"), lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).otherwise(F.array_position("tools", a).cast("int") - F.array_position("tools", b).cast("int"))), 1, SHOWN_TOOLS)
@@ -75,12 +79,10 @@ def text_view(state: DataFrame) -> DataFrame:
     by_base = F.array_sort(F.transform("facts", lambda f: F.struct(X.base_key(f["key"]).alias("base"), f["key"].alias("key"), f["value"].alias("value"))))
     folded = F.aggregate("aggregates", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     fact_lines = F.concat(F.array(_say("facts", live=F.size("facts"), all=F.size("facts") + folded)), F.transform(by_base, lambda f: _say("fact", key=f["key"], value=f["value"])))
-    bases = F.array_distinct(F.transform(by_base, lambda f: f["base"]))
-    summed = F.filter(bases, lambda b: F.coalesce(F.map_contains_key("groups", b), F.lit(False)))
-    sums = F.transform(summed, lambda b: _sum_line(b))
+    sums = F.transform(_groups(), lambda g: _say("sum", base=g["base"], n=g["n"], folded=g["folded"], total=g["total"], through=g["through"]))
     failures = F.slice(F.col("recent_failures"), F.greatest(F.size("recent_failures") - SHOWN_FAILURES + 1, F.lit(1)), SHOWN_FAILURES)
     active = F.filter("anomalies", lambda a: a["cleared_at_seq"].isNull())
-    told = F.transform(F.coalesce("episodes", F.array().cast(rows.schema["episodes"].dataType)), lambda e: F.concat(_say("episode", status=e["status"], ask=F.substring(e["ask"], 1, 120)), F.lit("\n"), _say("content", content=e["content"])))
+    told = F.transform("episodes", lambda e: F.concat(_say("episode", status=e["status"], ask=F.substring(e["ask"], 1, 120)), F.lit("\n"), _say("content", content=e["content"])))
     lines = F.concat(
         F.array(
             _say("head", id=F.substring("session_id", 1, 8)),
@@ -100,12 +102,7 @@ def text_view(state: DataFrame) -> DataFrame:
         F.array(F.lit(""), F.lit(LINES["episodes"])),
         told,
     )
-    return rows.select("path", F.array_join(lines, "\n").alias("view"))
-
-
-def _sum_line(base: F.Column) -> F.Column:
-    g = F.try_element_at(F.col("groups"), base)
-    return _say("sum", base=base, n=g["n"], folded=g["folded"], total=g["total"], through=g["through"])
+    return state.select("path", F.array_join(lines, "\n").alias("view"))
 
 
 def page(state: Row, view: str, refresh_s: float | None = None) -> str:
@@ -113,10 +110,10 @@ def page(state: Row, view: str, refresh_s: float | None = None) -> str:
     e = lambda x: html.escape(str(x if x is not None else ""))
     meta = f'<meta http-equiv="refresh" content="{max(2, round(refresh_s))}">' if refresh_s else ""
     alarms = "".join(f"<li class={e(a['severity'])}>{e(a['kind'])}: {e(a['message'])} (from {a['detected_at_seq']}{'' if a['cleared_at_seq'] is None else f' to {a["cleared_at_seq"]}'})</li>" for a in state["anomalies"])
-    steps = "".join(f"<tr><td>{e(v['node_id'])}@{v['version']}</td><td>{e(v['status'])}</td><td>{e(v['title'])}</td><td>{e(v['content'])}</td><td>{e(v['producer'])}</td></tr>" for v in state["versions"])
+    rows = lambda versions: "".join(f"<tr><td>{e(v['node_id'])}@{v['version']}</td><td>{e(v['status'])}</td><td>{e(v['title'])}</td><td>{e(v['content'])}</td><td>{e(v['producer'])}</td></tr>" for v in versions)
     return (
         f'<!DOCTYPE html><html><head><meta charset="utf-8">{meta}<title>{e(state["session_id"])}</title></head><body>'
-        f"<p>Observed up to event {state['observed_seq']}.</p><pre>{e(view)}</pre><h2>Anomalies</h2><ul>{alarms}</ul><h2>Episode versions</h2><table>{steps}</table></body></html>"
+        f"<p>Observed up to event {state['observed_seq']}.</p><pre>{e(view)}</pre><h2>Anomalies</h2><ul>{alarms}</ul><h2>Episodes</h2><table>{rows(state['episodes'])}</table><h2>Versions{' since the last change' if refresh_s else ''}</h2><table>{rows(state['versions'])}</table></body></html>"
     )
 
 
