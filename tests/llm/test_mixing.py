@@ -89,6 +89,31 @@ def test_running_sums_spread_one_group(spark):
     assert not re.search(r"hashpartitioning\(g#\d+, \d", plan)
 
 
+def test_rates_against_bisection(mixed):
+    """For each source the multiplier is found by halving, over its documents one by one; a full source has its cap."""
+    import math
+
+    rows, got, _ = mixed
+    source = {r[0]: r[3] for r in rows if r[0] is not None} | {None: rows[-1][3]}
+    by: dict = {}
+    for r in got:
+        by.setdefault(source[r["doc_id"]], []).append(r)
+    for some in by.values():
+        target, mean = some[0]["target"], [r["size"] for r in some if r["size"]]
+        if not mean:
+            continue
+        mean = sum(mean) / len(mean)
+        rate = lambda m, size: 2 / (1 + math.exp(-m * size / mean))
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            at = (low + high) / 2
+            low, high = (at, high) if sum(r["size"] * rate(at, r["size"]) for r in some) < target else (low, at)
+        full = target >= 2 * some[0]["source_size"] * (1 - 1e-12)
+        for r in some:
+            if r["size"]:
+                assert r["rate"] == pytest.approx(2.0 if full else rate(at, r["size"]), abs=1e-4)
+
+
 def test_copies_follow_the_rates(mixed):
     """Systematic rounding: every document gets its rate rounded up or down."""
     _, got, _ = mixed

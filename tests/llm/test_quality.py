@@ -110,3 +110,30 @@ def test_query(spark, corpus, tmp_path):
     out = Q.op6_quality_classifier(spark, str(tmp_path))
     assert out.dtypes == [("doc_id", "bigint"), ("quality_score", "double"), ("kept", "boolean")] and out.count() == len(rows)
     assert all(0 <= r["quality_score"] <= 1 and r["kept"] == (r["quality_score"] >= 0.5) for r in out.collect())
+
+
+def test_scores_against_plain_loops(corpus):
+    """Features counted n-gram by n-gram, the posterior as a product of probabilities, the score as a plain sum."""
+    rows, df = corpus
+    model, scorer = Q.fit_quality(df, sample=200)
+    got = {r["doc_id"]: r["quality_score"] for r in Q.score_quality(df, scorer).collect()}
+    for i, text, _, _ in rows[:60]:
+        data = text.encode()
+        x = [0.0] * (Q.FEATURES + 256)
+        for at in range(len(data) - Q.GRAM + 1):
+            h = 0
+            for b in data[at : at + Q.GRAM]:
+                h = (h * 257 + b) % 2**32
+            x[(h * 2654435761 % 2**32) >> 21] += 1 / (len(data) - Q.GRAM + 1)
+        repeats = sum(v * v for v in x)
+        for b in data:
+            x[Q.FEATURES + b] += 1 / len(data)
+        words = data.split()
+        runs = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+        z = sum(float(w) * v**0.5 for w, v in zip(scorer.weights, [*x, runs, repeats])) + scorer.bias
+        if i not in (0, None):
+            assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+        good_, bad_ = model.good, 1 - model.good
+        for at, vote in enumerate(Q.votes(text)):
+            good_, bad_ = good_ * model.of_good[at][vote + 1], bad_ * model.of_bad[at][vote + 1]
+        assert model.posterior(np.array([Q.pattern_of(Q.votes(text))]))[0] == pytest.approx(good_ / (good_ + bad_), rel=1e-6)
