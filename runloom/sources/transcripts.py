@@ -197,10 +197,10 @@ class TranscriptSource(DataSource):
         return RANGED
 
     def reader(self, schema) -> DataSourceReader:
-        return _BatchReader(dict(self.options))
+        return _BatchReader(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _TailReader(dict(self.options))
+        return _TailReader(self.options)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], split: int = SPLIT) -> DataFrame:

@@ -69,8 +69,9 @@ def _plain(row: dict) -> dict:
     return out
 
 
-def follow(spark: SparkSession, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None], limits: Limits | None = None, every: str | None = None) -> StreamingQuery:
-    """Tail the transcripts under path; on_batch gets the changed states. Without `every`, it stops when all that is there is read."""
-    states = live_state(to_events(decode(stream_lines(spark, path)), with_seq=False), limits)
+def follow(spark: SparkSession, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None], limits: Limits | None = None, every: str | None = None, max_bytes: int = 1 << 30) -> StreamingQuery:
+    """Tail the transcripts under path; on_batch gets the changed states. Without `every`, it stops when all that is there is
+    read, in one batch over as many tasks as it needs; with it, a batch has max_bytes at most beyond the one before."""
+    states = live_state(to_events(decode(stream_lines(spark, path, **({"maxBytes": max_bytes} if every else {}))), with_seq=False), limits)
     writer = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -132,7 +132,7 @@ def test_small_files_share_a_task_and_large_ones_are_cut():
 
 def test_a_batch_of_a_stream_can_be_bounded(tmp_path):
     (tmp_path / "a.jsonl").write_bytes(b"x\n" * 100)
-    reader = transcripts._TailReader({"path": str(tmp_path), "maxBytes": "30"})
+    reader = transcripts.TranscriptSource({"path": str(tmp_path), "maxBytes": "30"}).streamReader(None)
     offset, seen = {str(tmp_path / "a.jsonl"): 0}, 0
     reader.partitions({}, offset)
     while offset != (end := reader.latestOffset()):
