@@ -740,3 +740,27 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("snapshot", "SELECT CASE WHEN role IN ('user', 'assistant') THEN 'message' ELSE 'session_meta' END AS kind, count(*) AS n FROM conversations GROUP BY 1", _snapshot)
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks written beside a snapshot and read back, summed over the transcripts."""
+    lines = transcripts.read_lines(spark, _transcripts(spark, sf_dir))
+    decoded, path = transcripts.decode(lines), scratch_path(spark, "marked")
+    transcripts.write_snapshot(transcripts.to_events(decoded), path, transcripts.marks(lines, decoded))
+    kept = spark.read.parquet(f"{path}/marks")
+    unknown = F.sum(F.aggregate(F.map_values("unknown_types"), F.lit(0).cast("long"), lambda a, n: a + n))
+    return kept.agg(F.sum(F.col("observed_seq") + 1).alias("events"), F.sum("source_line").alias("lines"), F.sum("malformed").alias("malformed"), unknown.alias("unknown"))
+
+
+_register(
+    "snapshot_marks",
+    "SELECT count(*) AS events, count(*) AS lines, CAST(0 AS BIGINT) AS malformed, count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) AS unknown FROM conversations",
+    _marks,
+)
+_register(
+    "event_children",
+    "SELECT 'n' || n_nationkey AS event_id FROM nation WHERE n_regionkey = 1",
+    lambda spark, sf_dir: counters.children_of(
+        adapters.canonical(adapters.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("event_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_event_id"))), "r1"
+    ).select("event_id"),
+)
