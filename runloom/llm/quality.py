@@ -8,10 +8,11 @@ which there are at most 3 ** len(LABELLERS). Posteriors are the soft labels of a
 logistic scorer over hashed byte n-grams, fitted on a bounded sample
 (``sample`` documents that differ) and applied to whole texts.
 
-The labellers know faults of prose in general: too few letters, too many
-symbols, digits or capitals, words or lines that repeat, tokens that are no
-words, lines that do not end. They need not know a kind of junk each; the
-scorer learns from all of them.
+The labellers know faults of prose: too few letters, too many symbols, digits or
+capitals, words or lines that repeat, tokens that are no words, lines that do not
+end; ``bars``, ``shouts``, ``marked`` and ``runs`` name single kinds of junk. The
+scorer learns the kinds that its sample holds; of others it knows little (README
+has figures).
 
 Defined cases: a null text counts as empty; a text without words is no good
 text (score 0); equal rows stay and count in the statistics as often as they
