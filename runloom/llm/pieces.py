@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The text is read one character at a time. The search keeps a window of the last
-boundaries from which a piece may still grow (at most as many as the longest
-piece has characters), each with its best score and the path by which it is
-reached. A boundary whose pieces have all ended and that no later one is reached
-by is forgotten at once. As soon as all paths pass one boundary, the ids up to
-it are final: they are committed and the path before is let go. So what is held
-is the window and the part that is still undecided, however long the text. (A
-run of one letter can be undecided to its end, as ways that cut it at other
-places never meet; there the held part is the run.)
+The text is read one character at a time. The search keeps a window of the
+places from which a piece may still grow (at most as many as the longest piece
+has characters), each with its best score and a link to the ids before it. Where
+no piece grows on, there is one path, and its ids are final. Elsewhere the links
+of all survivors are followed back, at the latest when the window has moved by
+its whole width: the ids up to the boundary that they all pass are final. Final
+ids are committed and the links before them are cut, so what is held is the
+window and the part that is still undecided, however long the text. (A run of
+one letter can be undecided to its end, as ways that cut it at other places
+never meet; there the held part is the run.)
 
 No piece goes on from another character into the space mark, so all paths
 converge where a space follows a word (this is verified when the vocabulary is
@@ -40,7 +41,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,19 +57,12 @@ SHORT, REMEMBERED = 48, 200_000
 UNKNOWN_PENALTY = 10.0
 #: Zipf-Mandelbrot offset that turns the rank of a piece into a log probability.
 ZIPF_OFFSET = 100.0
+#: Where no piece begins.
+NOTHING = ({}, None, ())
 #: Weights are whole multiples of 1 / UNIT.
 UNIT = 1 << 20
 
 
-class Boundary:
-    """A place between two characters: its best score, the last ids on the way to it, and the boundaries before and after."""
-
-    __slots__ = ("score", "ids", "before", "after", "grows")
-
-    def __init__(self, score: float, ids: tuple[int, ...], before: Boundary | None):
-        self.score, self.ids, self.before, self.after, self.grows = score, ids, before, [], True
-
-
 class Vocabulary:
     """Pieces of a SentencePiece model as a trie; no piece may go from another character into the space mark."""
 
@@ -82,7 +76,9 @@ class Vocabulary:
             raise ValueError("a model that changes texts before it cuts them is not supported")
         self.prefix = " " if rules.add_dummy_prefix else ""
         reader = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.trie: dict = {}
+        #: A node: the nodes after it by character, and the weight and id of the piece that ends with it.
+        self.trie: list = [{}, None, ()]
+        self.longest = 1
         self.byte_ids = [0] * 256
         self.bytes_of: list[bytes] = []
         scores = []
@@ -104,8 +100,9 @@ class Vocabulary:
             self.bytes_of.append(piece.replace(MARK, " ").encode())
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = (weight(i), i)
+                node = node[0].setdefault(c, [{}, None, ()])
+            node[1:] = weight(i), (i,)
+            self.longest = max(self.longest, len(piece))
             scores.append(weight(i))
         self.unknown = min(scores, default=0.0) - UNKNOWN_PENALTY * UNIT
         self.recent: dict[str, bytes] = {}
@@ -114,46 +111,41 @@ class Vocabulary:
     def spell(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
 
-    def stream(self, chars: Iterator[str]) -> Iterator[tuple[int, ...]]:
-        """Ids, each final when it is given out; joined, they are the ids of the whole text."""
-        trie, unknown = self.trie, self.unknown
-        root = newest = Boundary(0.0, (), None)
-        growing: list[tuple[dict, Boundary]] = []  # the window: nodes of the trie and where their pieces begin
+    def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
+        """Lists of ids, each final when it is given out; joined, they are the ids of the whole text."""
+        root, unknown, longest = self.trie[0], self.unknown, self.longest
+        # A link: [boundary, ids, link before]; of a survivor: nodes after its piece so far, score before the piece, link.
+        score, link, at, checked = 0.0, [0, (), None], 0, 0
+        growing: list[tuple[dict, float, list]] = []
         for c in chars:
-            growing.append((trie, newest))
-            best, ids, way, one, ended, grown = -math.inf, (), newest, False, [], []
-            for node, start in growing:
-                node = node.get(c)
-                if node is None:
-                    ended.append(start)
-                    continue
-                end = node.get("")
-                if end is not None:
-                    one = one or start is newest
-                    if start.score + end[0] > best:
-                        best, ids, way = start.score + end[0], (end[1],), start
-                    if len(node) == 1:
-                        ended.append(start)
-                        continue
-                grown.append((node, start))
-            if not one and newest.score + unknown > best:
-                best, ids, way = newest.score + unknown, self.spell(c), newest
-            growing, newest = grown, Boundary(best, ids, way)
-            way.after.append(newest)
-            for gone in ended:
-                gone.grows = False
-                while not gone.grows and not gone.after and gone is not root:
-                    gone.before.after.remove(gone)
-                    gone = gone.before
-            while not root.grows and len(root.after) == 1:
-                root = root.after[0]
-                root.before = None
-                yield root.ids
-        rest = []
-        while newest is not root:
-            rest.append(newest.ids)
-            newest = newest.before
-        yield from reversed(rest)
+            at += 1
+            best, ids, way, grown = -math.inf, (), link, []
+            for after, before, back in growing:  # the longest first
+                node = after.get(c)
+                if node is not None:
+                    after, weight, own = node
+                    if weight is not None and before + weight > best:
+                        best, ids, way = before + weight, own, back
+                    if after:
+                        grown.append((after, before, back))
+            after, weight, own = root.get(c, NOTHING)
+            if weight is None:
+                weight, own = unknown, None
+            if score + weight > best:
+                best, ids, way = score + weight, self.spell(c) if own is None else own, link
+            if after:
+                grown.append((after, score, link))
+            growing, score, link = grown, best, [at, ids, way]
+            if not grown:
+                yield _ids(link)
+                link, checked = [at, (), None], at
+            elif at - checked >= longest:
+                checked = at
+                common = _common([link, *(back for _, _, back in grown)])
+                if common[2] is not None:
+                    yield _ids(common)
+                    common[1:] = (), None  # the way to it is let go
+        yield _ids(link)
 
     def stretch(self, text: str) -> bytes:
         """Ids (int32) of a stretch between boundaries where all paths converge."""
@@ -166,7 +158,7 @@ class Vocabulary:
             found = array("i", self.spell(MARK)).tobytes()  # a mark of the text itself is no space
         else:
             held = array("i")
-            for ids in self.stream(iter(text.replace(" ", MARK))):
+            for ids in self.stream(text.replace(" ", MARK)):
                 held.extend(ids)
             found = held.tobytes()
         if len(text) <= SHORT:
@@ -197,6 +189,24 @@ class Vocabulary:
 STRETCH = re.compile(f" *[^ {MARK}]+| +|{MARK}")
 
 
+def _ids(link: list | None) -> list[int]:
+    """The ids on the way to a link."""
+    parts = []
+    while link is not None:
+        parts.append(link[1])
+        link = link[2]
+    return [i for part in reversed(parts) for i in part]
+
+
+def _common(links: list[list]) -> list:
+    """The last link that the ways to all of the links pass: those that lie farthest go back until they meet."""
+    while True:
+        far = max(x[0] for x in links)
+        if all(x[0] == far for x in links):
+            return links[0]  # one boundary has one link
+        links = [x[2] if x[0] == far else x for x in links]
+
+
 _LOADED: dict[int, Vocabulary] = {}
 
 

@@ -24,14 +24,13 @@ def brute(text):
         for i in range(max(0, j - 20), j):
             node = v.trie
             for c in s[i:j]:
-                node = node.get(c)
+                node = node[0].get(c)
                 if node is None:
                     break
-            end = node.get("") if node else None
-            if end:
+            if node and node[1] is not None:
                 alone = alone or i == j - 1
-                if best[i] + end[0] > best[j]:
-                    best[j], back[j] = best[i] + end[0], (i, (end[1],))
+                if best[i] + node[1] > best[j]:
+                    best[j], back[j] = best[i] + node[1], (i, node[2])
         if not alone and best[j - 1] + v.unknown > best[j]:
             best[j], back[j] = best[j - 1] + v.unknown, (j - 1, v.spell(s[j - 1]))
     out, j = [], len(s)
@@ -53,14 +52,14 @@ def test_best_path_and_round_trip(text):
 
 
 def held(text):
-    """Most boundaries that are reachable at once while the search reads a stretch, and the ids."""
+    """Most links that are reachable at once while the search reads a stretch, and the ids."""
     import gc
 
     most, ids = 0, []
     for i, part in enumerate(VOCABULARY.stream(iter(text))):
         ids += part
         if i % 500 == 0:
-            most = max(most, sum(isinstance(x, P.Boundary) for x in gc.get_objects()))
+            most = max(most, sum(type(x) is list and len(x) == 3 and type(x[0]) is int and type(x[1]) is tuple for x in gc.get_objects()))
     return most, ids
 
 
