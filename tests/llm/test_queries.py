@@ -19,7 +19,7 @@ def test_one_query_for_each_operator():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_rows_are_those_of_the_sql(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "documents", "pages"):
+    for t in ("conversations", "documents", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     done = con.execute(queries.ORACLE_SQL[name])
     names = sorted(d[0] for d in done.description)
