@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runloom.llm import ann, audit, chat, exact_dedup, language, lines, mixing, pieces, quality, simhash, warc
+from runloom.llm import ann, audit, chat, exact_dedup, language, lines, mixing, phrases, pieces, quality, simhash, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_phrase_collocations": phrases.op11_phrase_collocations,
     "op12_filter_audit": audit.op12_filter_audit,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_phrase_collocations": phrases.OP11_SQL,
     "op12_filter_audit": audit.OP12_SQL,
 }
