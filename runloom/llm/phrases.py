@@ -51,7 +51,7 @@ UNDETERMINED = "und"
 #: Frequent words with numbers of their own: about 100 bytes each in a worker.
 DICTIONARY = 1 << 19
 #: Bytes of text that are split at once; words whose suffixes are merged at once; different words counted at once.
-CHUNK, GATHERED, COUNTED = 1 << 22, 1 << 20, 1 << 18
+CHUNK, GATHERED, COUNTED = 1 << 20, 1 << 18, 1 << 18
 #: Words of the documents whose suffixes place the cuts, and suffixes that a task gives of them.
 SAMPLED, QUANTILES = 1 << 21, 1024
 #: Words for each range.
