@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runloom.llm import ann, audit, chat, exact_dedup, language, lines, mixing, phrases, pieces, quality, simhash, warc
+from runloom.llm import ann, audit, chat, exact_dedup, language, lines, lm, mixing, phrases, pieces, quality, simhash, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -18,6 +18,8 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_phrase_collocations": phrases.op11_phrase_collocations,
     "op12_filter_audit": audit.op12_filter_audit,
+    "op13_lm_scoring": lm.op13_lm_scoring,
+    "lm_base_scores": lm.lm_base_scores,
 }
 
 ORACLE_SQL = {
@@ -27,4 +29,5 @@ ORACLE_SQL = {
     "op8_warc": warc.OP8_SQL,
     "op11_phrase_collocations": phrases.OP11_SQL,
     "op12_filter_audit": audit.OP12_SQL,
+    "lm_base_scores": lm.BASE_SQL,
 }
