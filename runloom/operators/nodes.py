@@ -3,13 +3,13 @@ validity(ref, validity). A ref is node_id@version."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.session import scratch_path
 
-#: States of a version; from each, those it may go to.
+#: States of a version, the graver the later; from each, those it may go to.
 TRANSITIONS = {
     "current": ("current", "suspected_stale", "superseded", "invalidated"),
     "suspected_stale": ("current", "suspected_stale", "superseded", "invalidated"),
@@ -42,14 +42,30 @@ def chain_errors(versions: DataFrame) -> DataFrame:
     return rows.where(gap | (F.col("supersedes").isNotNull() & F.col("known").isNull())).select("node_id", "version", "supersedes")
 
 
+def _first(rows: DataFrame, column: str, most: int = 5) -> list[str]:
+    return sorted(str(r[0]) for r in rows.select(column).distinct().limit(most).collect())
+
+
 def evolve(versions: DataFrame, updates: DataFrame) -> DataFrame:
-    """versions with the next version of each node in updates(node_id, created_at_seq, ...); its other columns replace the head's."""
+    """versions with a next version for each row of updates(node_id, created_at_seq, ...), one after another by created_at_seq.
+
+    The other columns of an update replace the head's, and stay for later versions of its node; each version supersedes
+    the one before it. Updates of one seq follow the order of their other columns; equal rows make versions of their own.
+    Versions that do not follow each other, and updates of nodes that have none, are errors.
+    """
+    if broken := _first(chain_errors(versions), "node_id"):
+        raise ValueError(f"versions of {', '.join(broken)} do not follow each other")
     head = heads(versions)
+    if unknown := _first(updates.join(head, "node_id", "left_anti"), "node_id"):
+        raise KeyError(f"no such node: {', '.join(unknown)}")
+    others = [F.col(c) for c in updates.columns if c not in ("node_id", "created_at_seq")]
+    after = W.partitionBy("node_id").orderBy("created_at_seq", *others)
+    nth = updates.withColumn("_nth", F.row_number().over(after))
     new = {c: F.col(f"u.{c}") if c in updates.columns else F.col(f"h.{c}") for c in versions.columns}
-    new["version"] = F.col("h.version") + 1
+    new["version"] = F.col("h.version") + F.col("u._nth")
     if "supersedes" in versions.columns:
-        new["supersedes"] = F.concat_ws("@", "h.node_id", "h.version")
-    grown = head.alias("h").join(updates.alias("u"), F.col("h.node_id") == F.col("u.node_id")).select(*[v.cast(versions.schema[c].dataType).alias(c) for c, v in new.items()])
+        new["supersedes"] = F.concat_ws("@", "h.node_id", F.col("h.version") + F.col("u._nth") - 1)
+    grown = head.alias("h").join(nth.alias("u"), F.col("h.node_id") == F.col("u.node_id")).select(*[v.cast(versions.schema[c].dataType).alias(c) for c, v in new.items()])
     return versions.unionByName(grown)
 
 
@@ -60,13 +76,52 @@ def initial_validity(versions: DataFrame) -> DataFrame:
     return versions.select(ref().alias("ref"), now.alias("validity"))
 
 
+def _in_order(changes: DataFrame) -> DataFrame:
+    """(ref, at_seq, to) of changes(ref, to) or changes(ref, to, at_seq); without a seq all happen at once."""
+    at = F.col("at_seq") if "at_seq" in changes.columns else F.lit(0)
+    return changes.select("ref", at.cast("long").alias("at_seq"), "to")
+
+
+def _settled(before: Column, invalid: Column, superseded: Column, last: Column) -> Column:
+    """The state after changes of which some (or none) were to invalidated, to superseded, and the last to one of the open states.
+
+    Invalidated is reached from any state and is left for none; superseded is left for that alone; the open ones give way to any.
+    """
+    closed = F.when(invalid | (before == "invalidated"), "invalidated").when(superseded | (before == "superseded"), "superseded")
+    return closed.otherwise(F.coalesce(last, before))
+
+
+def _open(to: Column) -> Column:
+    return to.isin("current", "suspected_stale")
+
+
 def transition(validity: DataFrame, changes: DataFrame) -> DataFrame:
-    """validity after changes(ref, to); a change that the states do not allow leaves the old one."""
-    allowed = F.lit(False)
-    for state, into in TRANSITIONS.items():
-        allowed = allowed | ((F.col("validity") == state) & F.col("to").isin(*into))
-    joined = validity.join(changes, "ref", "left")
-    return joined.select("ref", F.when(allowed, F.col("to")).otherwise(F.col("validity")).alias("validity"))
+    """validity after changes(ref, to, at_seq) in order; those that the states do not allow change nothing.
+
+    Of changes at one seq the graver counts. Changes of a ref are only summed up, so a ref may have any number of them.
+    A ref without a validity is an error.
+    """
+    if unknown := _first(changes.join(validity, "ref", "left_anti"), "ref"):
+        raise KeyError(f"no such ref: {', '.join(unknown)}")
+    when = lambda c: F.coalesce(c, F.lit(False))
+    told = _in_order(changes).groupBy("ref").agg(
+        F.bool_or(F.col("to") == "invalidated").alias("invalid"), F.bool_or(F.col("to") == "superseded").alias("replaced"),
+        F.max(F.when(_open(F.col("to")), F.struct("at_seq", "to"))).alias("last"),
+    )
+    joined = validity.join(told, "ref", "left")
+    return joined.select("ref", _settled(F.col("validity"), when(F.col("invalid")), when(F.col("replaced")), F.col("last.to")).alias("validity"))
+
+
+def audit(validity: DataFrame, changes: DataFrame) -> DataFrame:
+    """(ref, transition, at_seq): the changes(ref, to, at_seq) that had an effect on validity, by the rules of transition."""
+    before = W.partitionBy("ref").orderBy("at_seq", "grave", "to").rowsBetween(W.unboundedPreceding, -1)
+    grave = F.array_position(F.array(*[F.lit(x) for x in TRANSITIONS]), F.col("to"))
+    rows = _in_order(changes).where(F.col("to").isin(*TRANSITIONS)).withColumn("grave", grave).join(validity, "ref")
+    seen = lambda x: F.coalesce(F.max(F.col("to") == x).over(before), F.lit(False))
+    last = F.last(F.when(_open(F.col("to")), F.col("to")), ignorenulls=True).over(before)
+    rows = rows.withColumn("was", _settled(F.col("validity"), seen("invalidated"), seen("superseded"), last))
+    now = _settled(F.col("was"), F.col("to") == "invalidated", F.col("to") == "superseded", F.when(_open(F.col("to")), F.col("to")))
+    return rows.where(F.col("was") != now).select("ref", F.col("to").alias("transition"), "at_seq")
 
 
 def dependency_edges(versions: DataFrame) -> DataFrame:
@@ -78,7 +133,8 @@ def stale_closure(versions: DataFrame, roots: DataFrame, max_rounds: int = 10_00
     """(ref, depth): heads that depend on roots(ref), directly or through other heads, whatever their own state.
 
     Each round joins the frontier on equality (exact ref, bare id) and stops when nothing new is met. Edges and rounds
-    are tables in the shared folder, so no plan grows with the rounds and a lost executor costs no round before it.
+    are tables in the shared folder, so no plan grows with the rounds and a lost executor costs no round before it. A chain
+    of more than max_rounds links is an error.
     """
     spark = versions.sparkSession
     folder = scratch_path(spark, "closure")
@@ -96,6 +152,8 @@ def stale_closure(versions: DataFrame, roots: DataFrame, max_rounds: int = 10_00
         frontier = written(keys.join(edges, "on").select("ref").distinct().join(known, "ref", "left_anti").withColumn("depth", F.lit(depth)), f"met/round={depth}")
         if not frontier.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the closure was not complete after {max_rounds} rounds")
     return spark.read.schema(seen).parquet(f"{folder}/met").where("depth > 0").select("ref", "depth")
 
 

@@ -515,40 +515,63 @@ user(
 
 
 def _evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations of even keys get a second version, which depends on nothing."""
+    """Nations of even keys get a second version, which depends on nothing, and a third, which depends on region 0."""
     versions = _geography(spark, sf_dir).withColumn("created_at_seq", F.lit(0).cast("long")).withColumn("supersedes", F.lit(None).cast("string"))
-    updates = versions.where("node_id like 'n%' and covered_lo % 2 = 0").select("node_id", F.lit(9).cast("long").alias("created_at_seq"), F.array().cast("array<string>").alias("dependencies"))
-    return nodes.evolve(versions, updates)
+    told = lambda seq, *deps: versions.where("node_id like 'n%' and covered_lo % 2 = 0").select("node_id", F.lit(seq).cast("long").alias("created_at_seq"), F.array(*map(F.lit, deps)).cast("array<string>").alias("dependencies"))
+    return nodes.evolve(versions, told(12, "r0").union(told(9)))
 
 
 _register(
     "node_evolve",
     """WITH v AS (SELECT 'r' || r_regionkey AS node_id, 1 AS version, 0 AS created_at_seq, NULL AS supersedes, '' AS deps FROM region
          UNION ALL SELECT 'n' || n_nationkey, 1, 0, NULL, 'r' || n_regionkey || '@1' FROM nation UNION ALL SELECT 's' || s_suppkey, 1, 0, NULL, 'n' || s_nationkey FROM supplier
-         UNION ALL SELECT 'n' || n_nationkey, 2, 9, 'n' || n_nationkey || '@1', '' FROM nation WHERE n_nationkey % 2 = 0)
+         UNION ALL SELECT 'n' || n_nationkey, 2, 9, 'n' || n_nationkey || '@1', '' FROM nation WHERE n_nationkey % 2 = 0
+         UNION ALL SELECT 'n' || n_nationkey, 3, 12, 'n' || n_nationkey || '@2', 'r0' FROM nation WHERE n_nationkey % 2 = 0)
        SELECT node_id, CAST(version AS BIGINT) AS version, CAST(created_at_seq AS BIGINT) AS created_at_seq, CAST(supersedes AS VARCHAR) AS supersedes, deps FROM v""",
     lambda spark, sf_dir: _evolved(spark, sf_dir).select("node_id", F.col("version").cast("long"), "created_at_seq", "supersedes", F.array_join("dependencies", ",").alias("deps")),
 )
 
 
+def _told(versions: DataFrame) -> DataFrame:
+    """Changes of every version, out of order: stale at 5, current at 7 where the key divides by three; of nations, first versions
+    invalid at 6, then all current at 8."""
+    every, key = versions.select(nodes.ref().alias("ref"), "node_id", "version", "covered_lo"), F.col("covered_lo")
+    at = lambda rows, seq, to: rows.select("ref", F.lit(to).alias("to"), F.lit(seq).cast("long").alias("at_seq"))
+    nation = every.where("node_id like 'n%'")
+    return at(nation, 8, "current").union(at(every.where(key % 3 == 0), 7, "current")).union(at(nation.where("version = 1"), 6, "invalidated")).union(at(every, 5, "suspected_stale"))
+
+
+_TOLD_SQL = """WITH v AS (SELECT 'r' || r_regionkey || '@1' AS ref, r_regionkey AS k, 'current' AS was, 'r' AS kind, 1 AS version FROM region
+         UNION ALL SELECT 's' || s_suppkey || '@1', s_suppkey, 'current', 's', 1 FROM supplier
+         UNION ALL SELECT 'n' || n_nationkey || '@' || version, n_nationkey, CASE WHEN version = 3 OR n_nationkey % 2 = 1 THEN 'current' ELSE 'superseded' END, 'n', version
+           FROM nation, (VALUES (1), (2), (3)) x(version) WHERE version = 1 OR n_nationkey % 2 = 0)"""
+
+
 def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nodes are told to become stale, or current where their key divides by three; then the old versions invalid; then all current."""
     versions = _evolved(spark, sf_dir)
-    state = nodes.initial_validity(versions)
-    told = versions.select(nodes.ref().alias("ref"), F.when(F.col("covered_lo") % 3 == 0, "current").otherwise("suspected_stale").alias("to"))
-    state = nodes.transition(state, told)
-    state = nodes.transition(state, state.where("validity = 'superseded'").select("ref", F.lit("invalidated").alias("to")))
-    return nodes.transition(state, state.where("ref like 'n%'").select("ref", F.lit("current").alias("to")))
+    return nodes.transition(nodes.initial_validity(versions), _told(versions))
 
 
 _register(
     "validity_guard",
-    """SELECT 'r' || r_regionkey || '@1' AS ref, CASE WHEN r_regionkey % 3 = 0 THEN 'current' ELSE 'suspected_stale' END AS validity FROM region
-       UNION ALL SELECT 'n' || n_nationkey || '@1', CASE WHEN n_nationkey % 2 = 0 THEN 'invalidated' ELSE 'current' END FROM nation
-       UNION ALL SELECT 'n' || n_nationkey || '@2', 'current' FROM nation WHERE n_nationkey % 2 = 0
-       UNION ALL SELECT 's' || s_suppkey || '@1', CASE WHEN s_suppkey % 3 = 0 THEN 'current' ELSE 'suspected_stale' END FROM supplier""",
+    _TOLD_SQL + """ SELECT ref, CASE WHEN kind = 'n' AND version = 1 THEN 'invalidated' WHEN was = 'superseded' THEN was WHEN kind = 'n' OR k % 3 = 0 THEN 'current' ELSE 'suspected_stale' END AS validity FROM v""",
     _guarded,
 )
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = _evolved(spark, sf_dir)
+    return nodes.audit(nodes.initial_validity(versions), _told(versions))
+
+
+_register(
+    "node_audit",
+    _TOLD_SQL + """ SELECT ref, 'suspected_stale' AS transition, 5 AS at_seq FROM v WHERE was = 'current'
+         UNION ALL SELECT ref, 'invalidated', 6 FROM v WHERE kind = 'n' AND version = 1
+         UNION ALL SELECT ref, 'current', 7 FROM v WHERE was = 'current' AND k % 3 = 0 AND NOT (kind = 'n' AND version = 1)
+         UNION ALL SELECT ref, 'current', 8 FROM v WHERE was = 'current' AND kind = 'n' AND k % 3 <> 0 AND version > 1""",
+    lambda spark, sf_dir: _audited(spark, sf_dir),
+)
 _register(
     "spend_check",
     """SELECT event_type AS purpose, CAST(round(sum(value) * 100) AS BIGINT) AS cents, sum(value) >= 5000 AS over FROM events GROUP BY event_type
