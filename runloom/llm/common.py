@@ -97,3 +97,24 @@ def column(name: str) -> Column:
 def place_of(h: Column) -> Column:
     """A 64-bit hash as its place from 0 to 1."""
     return (h.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+
+
+#: Counts below this have bins of their own; beyond, each doubling has as many as the second.
+FINE, BINS = 1024, 64
+
+
+def commonest(counts: DataFrame, most: int) -> list:
+    """Rows of counts(n, ...) with the largest n, at most `most` of them: all those from some n on.
+
+    A histogram of some thousand bins tells which n that is, so no more rows than these reach the driver.
+    """
+    n = F.col("n")
+    bin_of = F.when(n < FINE, n).otherwise(FINE + F.floor(F.log2(n / FINE) * BINS)).cast("long")
+    found = sorted(counts.groupBy(bin_of.alias("b")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect(), key=lambda r: -r["b"])
+    least, rows = None, 0
+    for r in found:
+        rows += r["rows"]
+        if rows > most:
+            break
+        least = r["least"]
+    return [] if least is None else counts.where(n >= least).collect()

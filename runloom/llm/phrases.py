@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.llm.common import LOWER_AZ, bounded_broadcast, place_of, table, written
+from runloom.llm.common import LOWER_AZ, bounded_broadcast, commonest, place_of, table, written
 
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Lower-cases A-Z and makes every end of a piece a full stop, which no word holds.
@@ -147,9 +147,8 @@ class Vocabulary:
 def numbered(words: DataFrame, least: int, dictionary: int, bits: int) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary, and (id, lang, word, n) of the frequent words of words(lang, word, n)."""
     frequent = words.where(F.col("n") >= least)
-    rows = frequent.orderBy(F.desc("n"), "lang", "word").limit(dictionary + 1).collect()
-    whole = len(rows) <= dictionary
-    rows = rows[:dictionary]
+    rows = sorted(commonest(frequent, dictionary), key=lambda r: (-r["n"], r["lang"], bytes(r["word"])))
+    whole = not frequent.where(F.col("n") < (rows[-1]["n"] if rows else 1 << 62)).limit(1).count()
     known: dict[str, dict[bytes, int]] = {}
     if not whole:
         taken = words.sparkSession.createDataFrame([(r["lang"], r["word"]) for r in rows], "lang string, word binary")
