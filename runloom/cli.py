@@ -15,7 +15,7 @@ from runloom.operators import evaluation, recount, views
 from runloom.operators.fold import Limits, anomalies, fold
 from runloom.session import build_session, scratch_path
 from runloom.sources import fixtures, transcripts
-from runloom.streaming.live import follow
+from runloom.streaming.live import current, follow, keep, kept_changes
 
 
 def _write(path: str, text: str) -> None:
@@ -37,14 +37,25 @@ def render(spark: SparkSession, session: str, out: str | None = None) -> str:
 
 
 def watch(spark: SparkSession, session: str, out: str, poll: float = 2.0, once: bool = False, checkpoint: str | None = None):
-    """Renew a page while a session grows. Where it stands is kept beside the page, so a restart goes on from there."""
-
-    def show(states: DataFrame, _: int) -> None:
-        row = states.persist().first()
+    """Renew a page while a session grows.
+
+    Where it stands, and the log of its changes, are kept under `checkpoint` (in the session's shared folder by a name that
+    follows from the page's; on one host without such a folder, beside the page), so a restart goes on from there.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    beside = f"{shared.rstrip('/')}/watch-{os.path.abspath(out).strip('/').replace('/', '-')}" if shared else f"{os.path.abspath(out)}.checkpoint"
+    folder = checkpoint or beside
+    log = f"{folder}-changes"
+
+    def show(changes: DataFrame, batch: int) -> None:
+        keep(log)(changes, batch)
+        states = current(kept_changes(spark, log)).persist()
+        row = states.first()
         if row is not None:
             _write(out, views.page(row, views.text_view(states).first()["view"], refresh_s=poll))
+        states.unpersist()
 
-    return follow(spark, session, checkpoint or f"{os.path.abspath(out)}.checkpoint", show, every=None if once else f"{poll} seconds")
+    return follow(spark, session, folder, show, every=None if once else f"{poll} seconds")
 
 
 #: Seconds since its last change for which a session counts as live.
@@ -125,7 +136,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("session")
     p.add_argument("--out", default="watch.html")
     p.add_argument("--poll", type=float, default=2.0)
-    p.add_argument("--checkpoint", help="folder that keeps where the page stands (beside the page by default)")
+    p.add_argument("--checkpoint", help="folder that keeps where the page stands (in spark.checkpoint.dir, else beside the page, by default)")
     p = sub.add_parser("sessions", help="the latest sessions under a folder")
     p.add_argument("folder")
     p.add_argument("-n", type=int, default=15)

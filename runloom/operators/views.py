@@ -113,7 +113,7 @@ def page(state: Row, view: str, refresh_s: float | None = None) -> str:
     rows = lambda versions: "".join(f"<tr><td>{e(v['node_id'])}@{v['version']}</td><td>{e(v['status'])}</td><td>{e(v['title'])}</td><td>{e(v['content'])}</td><td>{e(v['producer'])}</td></tr>" for v in versions)
     return (
         f'<!DOCTYPE html><html><head><meta charset="utf-8">{meta}<title>{e(state["session_id"])}</title></head><body>'
-        f"<p>Observed up to event {state['observed_seq']}.</p><pre>{e(view)}</pre><h2>Anomalies</h2><ul>{alarms}</ul><h2>Episodes</h2><table>{rows(state['episodes'])}</table><h2>Versions{' since the last change' if refresh_s else ''}</h2><table>{rows(state['versions'])}</table></body></html>"
+        f"<p>Observed up to event {state['observed_seq']}.</p><pre>{e(view)}</pre><h2>Anomalies</h2><ul>{alarms}</ul><h2>Episodes</h2><table>{rows(state['episodes'])}</table><h2>Versions</h2><table>{rows(state['versions'])}</table></body></html>"
     )
 
 

@@ -351,8 +351,9 @@ def _steps(events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- evaluation and nodes
 
 
-def _user_transcripts(spark: SparkSession, sf_dir: str) -> str:
-    """`events` written as transcripts by Spark: messages, calls (views read a file) with usage, results with facts, side chains."""
+def _user_transcripts(spark: SparkSession, sf_dir: str, apart: bool = False) -> str:
+    """`events` written as transcripts by Spark: messages, calls (views read a file) with usage, results with facts, side chains.
+    Each task writes its users to one file or, `apart`, to one for each in a folder user=<id>."""
     e = adapters.user_events(spark, sf_dir)
     who, k = F.col("path"), F.get_json_object("payload.text", "$.k")
     kind = F.col("kind")
@@ -366,11 +367,13 @@ def _user_transcripts(spark: SparkSession, sf_dir: str) -> str:
     message = message.otherwise(F.to_json(F.struct(F.array(result).alias("content"))))
     head = F.to_json(F.struct(
         F.when(kind == "tool_call", "assistant").otherwise("user").alias("type"), F.concat_ws(":", who, "seq").alias("uuid"), who.alias("sessionId"), F.col("agent_id").isNotNull().alias("isSidechain"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
     ))
     line = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(', "message": '), "message", F.lit("}"))
     path = scratch_path(spark, "user-transcripts")
-    rows = e.select("path", "seq", head.alias("head"), message.alias("message"))
-    rows.repartition("path").sortWithinPartitions("path", "seq").select(line.alias("value")).write.text(path)
+    rows = e.select("path", "seq", "ts", head.alias("head"), message.alias("message"))
+    writer = rows.repartition("path").sortWithinPartitions("path", "seq").select(*[who.alias("user")] * apart, line.alias("value")).write
+    (writer.partitionBy("user") if apart else writer).text(path)
     return path
 
 
@@ -695,8 +698,9 @@ user("graded_answers", "SELECT unnest(['dangling', 'last_error', 'latest_ask', '
 # ---------------------------------------------------------------- transcripts
 
 
-def _transcripts(spark: SparkSession, sf_dir: str) -> str:
-    """`conversations` written as transcripts (a record a line) by Spark; system rows become records of an unknown type."""
+def _transcripts(spark: SparkSession, sf_dir: str, odd: bool = False) -> str:
+    """`conversations` written as transcripts (a record a line) by Spark; system rows become records of an unknown type.
+    With `odd`, some lines are cut off in the middle and some records of agents have a number as their message."""
     rows = adapters.table(spark, sf_dir, "conversations")
     kind = F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise(F.concat(F.lit("x-"), F.col("role")))
     record = F.struct(
@@ -704,7 +708,12 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> str:
         F.struct(F.col("role"), F.col("text").alias("content")).alias("message"),
     )
     path = scratch_path(spark, "transcripts")
-    rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    line, place = F.to_json(record, {"ignoreNullFields": "false"}), F.col("conv_id") + F.col("turn")
+    if odd:
+        wrong = F.to_json(F.struct(kind.alias("type"), F.lit(5).alias("message")))
+        line = F.when(place % 7 == 3, F.expr("substring(value, 1, length(value) - 9)")).when((place % 11 == 5) & (F.col("role") == "assistant"), wrong).otherwise(F.col("value"))
+        rows = rows.withColumn("value", F.to_json(record, {"ignoreNullFields": "false"}))
+    rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select(line.alias("value")).write.text(path)
     return path
 
 
@@ -739,23 +748,64 @@ _register(
 )
 
 
+def _followed(spark: SparkSession, source: str, parsed: live.Parsed | None = None) -> DataFrame:
+    """The log of changes of the transcripts under a folder, followed as a stream."""
+    log = scratch_path(spark, "live")
+    live.follow(spark, source.removeprefix("file://"), scratch_path(spark, "checkpoint"), live.keep(log), LIMITS, parsed=parsed).awaitTermination()
+    return live.kept_changes(spark, log)
+
+
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transcripts read as a stream, their states folded in Spark's state store and written batch by batch."""
-    out = scratch_path(spark, "live")
-    query = live.follow(spark, _transcripts(spark, sf_dir).removeprefix("file://"), scratch_path(spark, "checkpoint"), lambda df, _: df.write.mode("append").parquet(out))
-    query.awaitTermination()
-    states = spark.read.schema(fold.STATE).parquet(out)
-    last = states.groupBy("path").agg(F.max_by(F.struct("n_events", "n_turns"), "n_events").alias("s"))
-    return last.agg(F.sum("s.n_events").alias("n_events"), F.sum("s.n_turns").alias("n_turns"))
+    """The transcripts of users read as a stream, their keyed state kept by Spark's state store: every field of run_state, and files."""
+    state = live.current(_followed(spark, _user_transcripts(spark, sf_dir, apart=True)))
+    files = F.array_join(F.array_sort(F.transform("files", lambda f: F.concat_ws("=", f["name"], f["n"].cast("string")))), ";")
+    return state.select(
+        F.col("session_id").alias("path"), "n_events", "sidechain_events", "n_turns", "n_tool_calls", "n_tool_errors", "observed_seq", "started_us", "last_us",
+        F.col("tokens")[0].alias("input_tokens"), F.col("tokens")[1].alias("output_tokens"), F.col("tokens")[2].alias("cache_read_tokens"), F.round(F.col("cost_usd") * 10_000_000).cast("long").alias("tenths"),
+        _listed("models").alias("models"), _listed("tools").alias("tools"), files.alias("files"),
+        F.array_join(F.array_sort(F.transform("pending", lambda p: p["correlation_id"])), ";").alias("pending"),
+    )
 
 
 _register(
     "live_fold",
-    f"WITH {TALK_SQL} SELECT count(*) AS n_events, count(*) FILTER (WHERE turn) AS n_turns FROM t",
+    f"""WITH {USER_SQL}, spent AS (SELECT path, CAST(sum(k) AS BIGINT) AS input_tokens, CAST(sum(cents) AS BIGINT) AS output_tokens, 3 * count(*) AS cache_read_tokens,
+         CAST(sum(10 * micros + CASE WHEN model = 'test-premium' THEN 45 ELSE 9 END) AS BIGINT) AS tenths FROM priced GROUP BY path),
+       seen AS (SELECT path, string_agg(model || '=' || n, ';' ORDER BY model) AS models FROM (SELECT path, model, count(*) AS n FROM usage WHERE model IS NOT NULL GROUP BY ALL) GROUP BY path),
+       named AS (SELECT path, string_agg(tool || '=' || n, ';' ORDER BY tool) AS tools FROM (SELECT path, CASE tool WHEN 'view' THEN 'Read' ELSE 'Click' END AS tool, count(*) AS n FROM calls GROUP BY ALL) GROUP BY path),
+       read AS (SELECT path, string_agg(file || '=' || n, ';' ORDER BY file || '=' || n) AS files FROM (SELECT path, '/u' || path || '/' || (k % 5) || '.txt' AS file, count(*) AS n FROM m WHERE event_type = 'view' GROUP BY ALL) GROUP BY path),
+       open AS (SELECT path, string_agg(path || '-' || corr, ';' ORDER BY path || '-' || corr) AS pending FROM calls c WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.path = c.path AND a.corr = c.corr) GROUP BY path),
+       counted AS (SELECT path, count(*) AS n_events, count(*) FILTER (WHERE side) AS sidechain_events, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls,
+                   count(*) FILTER (WHERE NOT side AND bad) AS n_tool_errors, max(seq) AS observed_seq, min_by(us, seq) AS started_us, max_by(us, seq) AS last_us FROM e GROUP BY path)
+       SELECT counted.*, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens, coalesce(cache_read_tokens, 0) AS cache_read_tokens, coalesce(tenths, 0) AS tenths,
+              coalesce(models, '') AS models, coalesce(tools, '') AS tools, coalesce(files, '') AS files, coalesce(pending, '') AS pending
+       FROM counted LEFT JOIN spent USING (path) LEFT JOIN seen USING (path) LEFT JOIN named USING (path) LEFT JOIN read USING (path) LEFT JOIN open USING (path)""",
     _live,
 )
 
 
+def _live_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse statistics that a stream of the conversations' transcripts observes batch by batch, some lines cut or of a wrong type."""
+    source = _transcripts(spark, sf_dir, odd=True)
+    parsed = live.Parsed("parsed")
+    try:
+        _followed(spark, source, parsed)
+        events = transcripts.decode(transcripts.read_lines(spark, source)).where("outcome = 'event'").count()
+        total = live.told(spark, parsed, events)
+    finally:
+        parsed.stop(spark)
+    return spark.createDataFrame([tuple(total.values())], ", ".join(f"{k} long" for k in total))
+
+
+_register(
+    "live_parse_statistics",
+    """SELECT count(*) AS lines, count(*) FILTER (WHERE odd > 1) AS events, count(*) FILTER (WHERE odd = 0) AS malformed, count(*) FILTER (WHERE odd = 1) AS rejected,
+              CAST(0 AS BIGINT) AS blank, count(*) FILTER (WHERE odd > 1 AND role NOT IN ('user', 'assistant')) AS unknown
+       FROM (SELECT role, CASE WHEN (conv_id + turn) % 7 = 3 THEN 0 WHEN (conv_id + turn) % 11 = 5 AND role = 'assistant' THEN 1 ELSE 2 END AS odd FROM conversations)""",
+    _live_statistics,
+)
+
+
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "snapshot")
     transcripts.write_snapshot(adapters.conversation_events(spark, sf_dir), path)

@@ -92,17 +92,17 @@ def test_facts_versions_eviction_and_reread():
     note = Facts(3)
     for value in ("1", "2", "1", "2"):
         note.note("f", "k", value)
-    assert dict(note.live) == {"f:k": "1", "f:k#2": "2"}
+    assert {k: v for k, (v, _) in note.live.items()} == {"f:k": "1", "f:k#2": "2"}
     for i in range(3):
         note.note(f"g{i}", "k", str(10 + i))
     assert list(note.live) == ["g0:k", "g1:k", "g2:k"]
-    assert note.folded["k"]["n"] == 2 and note.folded["k"]["total"] == 3 and list(note.folded["k"]["keys"]) == ["f:k", "f:k#2"]
+    assert note.folded["k"][:2] == (2, 3) and list(note.keys) == ["f:k", "f:k#2"]
     note.note("f", "k", "1")  # an evicted key is read again, and with a new value: both change nothing
     note.note("f", "k", "7")
-    assert note.folded["k"]["total"] == 3 and list(note.live) == ["g0:k", "g1:k", "g2:k"]
+    assert note.folded["k"][1] == 3 and list(note.live) == ["g0:k", "g1:k", "g2:k"]
     for i in range(4):
         note.note(None, f"t{i}", "no number")
-    assert "t0" not in note.folded and note.folded["k"]["n"] == 5
+    assert "t0" not in note.folded and note.folded["k"][0] == 5
 
 
 @pytest.mark.parametrize("n", [120, 121, 150])

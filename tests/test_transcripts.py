@@ -142,23 +142,6 @@ def test_a_batch_of_a_stream_can_be_bounded(tmp_path):
     assert seen == 100
 
 
-def test_following_a_file_gives_the_state_of_the_whole(spark, tmp_path):
-    """Appended in parts, over restarts of the query: the last state is that of one batch, and the batches' versions are its versions."""
-    lines = fixtures.session_trace(5, 6).lines().encode()
-    src, out = tmp_path / "in", tmp_path / "out"
-    src.mkdir()
-    for cut in (len(lines) // 3, len(lines) // 3 + 40, len(lines)):
-        (src / "s.jsonl").write_bytes(lines[:cut])
-        live.follow(spark, str(src), str(tmp_path / "ck"), lambda df, _: df.write.mode("append").parquet(str(out))).awaitTermination()
-    states = spark.read.parquet(str(out)).orderBy("observed_seq").collect()
-    last = states[-1]
-    want = fold(transcripts.read_events(spark, str(src))).first()
-    for name in ("n_events", "n_turns", "n_tool_calls", "n_tool_errors", "facts", "pending", "anomalies", "tokens", "frontier", "goal_text"):
-        assert last[name] == want[name], name
-    versions = [v for r in states for v in r["versions"]]
-    assert len(states) > 1 and versions and want["versions"][: len(versions)] == versions
-
-
 def test_generated_truth(spark, tmp_path):
     traces = [fixtures.session_trace(i) for i in range(4)]
     for t in traces:
