@@ -1,13 +1,16 @@
-"""Anomaly tests over each session as native windows; the fold (operators.fold) has the full life cycle."""
+"""Anomalies of each session as native windows: where they are raised, and their life cycles. The fold (operators.fold) also has their evidence and messages."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
 from runloom.operators.counters import usage_key
+from runloom.operators.fold import Limits
 
 
 def loop_hits(events: DataFrame, repeats: int = 4, window: int = 24) -> DataFrame:
@@ -58,26 +61,72 @@ def budget_crossings(events: DataFrame, warn_usd: float = 50.0, critical_usd: fl
 
 
 def stall_gaps(events: DataFrame, gap_s: float = 600.0) -> DataFrame:
-    """Gaps of at least gap_s between timestamps of the main thread while a call was open.
+    """Gaps of at least gap_s between timestamps of the main thread while a call was open, and the user messages before them.
 
-    Exact where no session gives one id to two calls; otherwise use the fold.
+    An id is open from a call to its next result or to the next user message, however often it is called: each row
+    changes by one, or not at all, how many ids are open, and the changes add up within the part between user messages.
     """
     order = W.partitionBy("path").orderBy("seq")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     said = (F.col("kind") == "message") & (F.col("source") == "user")
     rows = events.where(X.main_thread()).select("path", "seq", "kind", F.coalesce("correlation_id", F.lit("")).alias("id"), X.micros(F.col("ts")).alias("us"), said.alias("said"))
-    rows = rows.withColumn("part", F.coalesce(F.sum(F.col("said").cast("int")).over(before), F.lit(0)) + F.col("said").cast("int"))
+    rows = rows.withColumn("part", F.coalesce(F.sum(F.col("said").cast("int")).over(before), F.lit(0)))
+    # What is open after a row of an id follows from that row alone.
+    opens = F.when((F.col("id") != "") & F.col("kind").isin("tool_call", "tool_result"), (F.col("kind") == "tool_call").cast("int"))
+    rows = rows.withColumn("opens", opens)
     of_id = W.partitionBy("path", "part", "id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    opens = (F.col("kind") == "tool_call") & (F.col("id") != "")
-    result = (F.col("kind") == "tool_result") & (F.col("id") != "")
-    calls_before = F.coalesce(F.sum(opens.cast("int")).over(of_id), F.lit(0))
-    rows = rows.withColumn("called", calls_before > 0)
-    closing = result & F.col("called")
-    rows = rows.withColumn("closes", closing & (F.coalesce(F.sum(closing.cast("int")).over(of_id), F.lit(0)) == 0))
+    rows = rows.withColumn("change", F.coalesce(F.col("opens") - F.coalesce(F.last("opens", ignorenulls=True).over(of_id), F.lit(0)), F.lit(0)))
     in_part = W.partitionBy("path", "part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("open_before", F.coalesce(F.sum(opens.cast("int") - F.col("closes").cast("int")).over(in_part), F.lit(0)))
-    # A user message ends the part before it: what was open there still counts for the gap that it reveals.
-    last_open = F.lag(F.col("open_before") + opens.cast("int") - F.col("closes").cast("int"), 1, 0).over(order)
-    rows = rows.withColumn("open_before", F.when(F.col("said"), last_open).otherwise(F.col("open_before")))
+    rows = rows.withColumn("open_before", F.coalesce(F.sum("change").over(in_part), F.lit(0)))
     rows = rows.withColumn("gap_us", F.col("us") - F.last("us", ignorenulls=True).over(before))
-    return rows.where((F.col("gap_us") >= int(gap_s * 1_000_000)) & (F.col("open_before") > 0)).select("path", "seq", "gap_us", F.col("open_before").cast("long").alias("open_calls"))
+    return rows.where((F.col("gap_us") >= int(gap_s * 1_000_000)) & (F.col("open_before") > 0)).select("path", "seq", "gap_us", F.col("open_before").cast("long").alias("open_calls"), F.col("part").cast("long").alias("part"))
+
+
+def loops(events: DataFrame, repeats: int = 4, window: int = 24, clear_after: int = 6) -> DataFrame:
+    """(path, severity, detected_at_seq, cleared_at_seq) of each loop.
+
+    A hit begins a segment, up to the next hit. Of a segment's calls those that differ from its hit diverge, and the
+    clear_after-th of them clears the loop; so a hit begins a new loop if the segment before it was cleared.
+    """
+    calls = events.where(X.is_call()).select("path", "seq", X.tool("?").alias("tool"), F.coalesce("payload.sha256", F.lit("")).alias("sha256"))
+    order = W.partitionBy("path").orderBy("seq")
+    calls = calls.withColumn("no", F.row_number().over(order))
+    same = W.partitionBy("path", "tool", "sha256").orderBy("no").rangeBetween(1 - window, 0)
+    calls = calls.withColumn("hits", F.count("*").over(same)).withColumn("hit", F.col("hits") >= repeats)
+    calls = calls.withColumn("segment", F.sum(F.col("hit").cast("int")).over(order)).where("segment > 0")
+    segment = W.partitionBy("path", "segment").orderBy("seq")
+    sign = F.struct("tool", "sha256")
+    calls = calls.withColumn("differs", ~F.col("hit") & (sign != F.first(sign).over(segment)))
+    calls = calls.withColumn("nth", F.sum(F.col("differs").cast("int")).over(segment))
+    ends = calls.groupBy("path", "segment").agg(
+        F.min("seq").alias("seq"), F.max(F.when(F.col("hit"), F.col("hits"))).alias("hits"), F.min(F.when(F.col("differs") & (F.col("nth") == clear_after), F.col("seq"))).alias("cleared")
+    )
+    by_segment = W.partitionBy("path").orderBy("segment")
+    ends = ends.withColumn("loop", F.coalesce(F.sum(F.col("cleared").isNotNull().cast("int")).over(by_segment.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    severity = F.when(F.max_by("hits", "segment") > repeats, "critical").otherwise("warn")
+    return ends.groupBy("path", "loop").agg(severity.alias("severity"), F.min("seq").alias("detected_at_seq"), F.max("cleared").alias("cleared_at_seq")).drop("loop")
+
+
+def stalls(events: DataFrame, gap_s: float = 600.0) -> DataFrame:
+    """(path, severity, detected_at_seq, cleared_at_seq) of each stall: from the first gap between two user messages to the latter of them."""
+    gaps = stall_gaps(events, gap_s).groupBy("path", "part").agg(F.min("seq").alias("detected_at_seq"))
+    said = events.where(X.main_thread() & (F.col("kind") == "message") & (F.col("source") == "user")).select("path", "seq")
+    said = said.withColumn("part", (F.row_number().over(W.partitionBy("path").orderBy("seq")) - 1).cast("long"))
+    ends = said.select("path", "part", F.col("seq").alias("cleared_at_seq"))
+    return gaps.join(ends, ["path", "part"], "left").select("path", F.lit("warn").alias("severity"), "detected_at_seq", "cleared_at_seq")
+
+
+def life_cycles(events: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """(path, kind, severity, detected_at_seq, cleared_at_seq) of every anomaly: the intervals of the fold, as native plans.
+
+    Severity is that of the last time it was raised. Floods and budgets are never cleared.
+    """
+    at = limits or Limits()
+    never = F.lit(None).cast("long")
+    streaks = error_streaks(events, at.streak).select("path", F.lit("critical").alias("severity"), "detected_at_seq", "cleared_at_seq")
+    floods = tool_flood(events, at.flood_cap, at.flood_caps).groupBy("path").agg(F.min("seq").alias("detected_at_seq")).select("path", F.lit("warn").alias("severity"), "detected_at_seq", never.alias("cleared_at_seq"))
+    crossed = budget_crossings(events, at.warn_usd, at.critical_usd).groupBy("path").agg(F.min("seq").alias("detected_at_seq"), F.min("severity").alias("severity"))
+    budgets = crossed.select("path", "severity", "detected_at_seq", never.alias("cleared_at_seq"))
+    kinds = {"loop": loops(events, at.loop_repeats, at.loop_window, at.loop_clear_after), "error_streak": streaks, "tool_flood": floods, "budget": budgets, "stall": stalls(events, at.stall_s)}
+    parts = [rows.select("path", F.lit(kind).alias("kind"), "severity", "detected_at_seq", "cleared_at_seq") for kind, rows in kinds.items()]
+    return functools.reduce(DataFrame.unionByName, parts)

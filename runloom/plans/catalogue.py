@@ -216,7 +216,7 @@ user(
        JOIN calls c ON c.path = x.path AND c.call_seq < x.seq AND c.call_seq > x.since
        LEFT JOIN answers a ON a.path = c.path AND a.corr = c.corr AND a.nth = 1
        WHERE x.gap_us >= {int(STALL_S * 1_000_000)} AND (a.seq IS NULL OR a.seq >= x.seq) GROUP BY ALL""",
-    lambda e: detectors.stall_gaps(e, STALL_S),
+    lambda e: detectors.stall_gaps(e, STALL_S).drop("part"),
 )
 
 # ---------------------------------------------------------------- episodes
@@ -633,8 +633,37 @@ user(
     ORACLE_SQL["error_streaks"].removeprefix(f"WITH {USER_SQL}\n"),
     lambda e: fold.anomalies(_fold(e)).where("kind = 'error_streak'").select("path", "detected_at_seq", F.regexp_extract("message", "^[0-9]+", 0).cast("long").alias("length"), "cleared_at_seq"),
 )
-user("anomaly_life_cycles", None, lambda e: fold.anomalies(_fold(e)))
-user("active_anomalies", None, lambda e: fold.active_anomalies(_fold(e)))
+LIFE_SQL = f"""
+, hits AS (SELECT *, count(*) OVER (PARTITION BY path, tool, sig ORDER BY no RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS n FROM (
+    SELECT path, seq, event_type AS tool, k % 5 AS sig, row_number() OVER (PARTITION BY path ORDER BY seq) AS no FROM m WHERE kind = 'tool_call')),
+raised AS (SELECT *, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS until FROM hits WHERE n >= {LOOP}),
+after AS (SELECT r.path, r.seq, r.n, (list(h.seq ORDER BY h.seq) FILTER (WHERE h.tool <> r.tool OR h.sig <> r.sig))[6] AS cleared
+          FROM raised r LEFT JOIN hits h ON h.path = r.path AND h.seq > r.seq AND (r.until IS NULL OR h.seq < r.until) GROUP BY r.path, r.seq, r.n),
+numbered AS (SELECT *, coalesce(sum(CAST(cleared IS NOT NULL AS INT)) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS loop FROM after),
+loops AS (SELECT path, CASE WHEN max_by(n, seq) > {LOOP} THEN 'critical' ELSE 'warn' END AS severity, min(seq) AS detected, max(cleared) AS cleared FROM numbered GROUP BY path, loop),
+runs AS (SELECT path, max(CASE WHEN n = {STREAK} THEN seq END) AS detected, any_value(cleared) AS cleared FROM (
+    SELECT *, row_number() OVER (PARTITION BY path, grp ORDER BY seq) AS n FROM (
+      SELECT path, seq, bad, sum(CAST(NOT bad AS INT)) OVER (PARTITION BY path ORDER BY seq) AS grp,
+             min(CASE WHEN NOT bad THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cleared
+      FROM m WHERE kind = 'tool_result') WHERE bad) GROUP BY path, grp HAVING max(n) >= {STREAK}),
+flood AS (SELECT path, min(seq) AS detected FROM (SELECT path, seq, row_number() OVER (PARTITION BY path, event_type ORDER BY seq) AS n FROM m WHERE kind = 'tool_call') WHERE n >= {FLOOD_CAP} GROUP BY path),
+cost AS (SELECT path, min(seq) FILTER (WHERE sofar >= 500000) AS detected, max(sofar) >= 1000000 AS much FROM (
+    SELECT e.path, e.seq, e.side, sum(coalesce(p.micros, 0)) OVER (PARTITION BY e.path ORDER BY e.seq) AS sofar FROM e LEFT JOIN priced p ON p.path = e.path AND p.seq = e.seq) WHERE NOT side GROUP BY path),
+gaps AS (SELECT path, seq, us - lag(us) OVER (PARTITION BY path ORDER BY seq) AS gap,
+           coalesce(max(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS since,
+           min(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS until FROM m),
+stall AS (SELECT g.path, g.until AS cleared, min(g.seq) AS detected FROM gaps g JOIN calls c ON c.path = g.path AND c.call_seq < g.seq AND c.call_seq > g.since
+    LEFT JOIN answers a ON a.path = c.path AND a.corr = c.corr AND a.nth = 1
+    WHERE g.gap >= {int(STALL_S * 1_000_000)} AND (a.seq IS NULL OR a.seq >= g.seq) GROUP BY g.path, g.since, g.until),
+lives AS (SELECT path, 'loop' AS kind, severity, detected AS detected_at_seq, cleared AS cleared_at_seq FROM loops
+    UNION ALL SELECT path, 'error_streak', 'critical', detected, cleared FROM runs UNION ALL SELECT path, 'tool_flood', 'warn', detected, NULL FROM flood
+    UNION ALL SELECT path, 'budget', CASE WHEN much THEN 'critical' ELSE 'warn' END, detected, NULL FROM cost WHERE detected IS NOT NULL
+    UNION ALL SELECT path, 'stall', 'warn', detected, cleared FROM stall)
+"""
+_LIFE = ["path", "kind", "severity", "detected_at_seq", "cleared_at_seq"]
+user("anomaly_life_cycles", LIFE_SQL + "SELECT * FROM lives", lambda e: detectors.life_cycles(e, LIMITS))
+user("active_anomalies", LIFE_SQL + "SELECT * EXCLUDE (cleared_at_seq) FROM lives WHERE cleared_at_seq IS NULL", lambda e: detectors.life_cycles(e, LIMITS).where("cleared_at_seq IS NULL").drop("cleared_at_seq"))
+user("fold_life_cycles", LIFE_SQL + "SELECT * FROM lives", lambda e: fold.anomalies(_fold(e)).select(*_LIFE))
 user(
     "fold_episode_status",
     ORACLE_SQL["episode_status"].removeprefix(f"WITH {USER_SQL}\n"),
