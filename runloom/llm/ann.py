@@ -1,18 +1,24 @@
 """Approximate nearest neighbours by largest inner product: adaptive dimension scan over inverted lists.
 
-Inner products become distances by one more component that lifts every vector
-to the largest norm. Vectors are turned by a random orthogonal matrix, so any
-leading part of them is a random sample of their dimensions, and dealt into
-lists around centroids fitted on a bounded sample. A block holds up to BLOCK
-vectors of a group of lists in column blocks of dimensions.
-
-A query probes the lists nearest to it. Within each, partial distances grow by
-one column block at a time; after each, a candidate is abandoned if its partial
-distance, scaled to all dimensions, exceeds the query's bound by more than
-EPSILON standard errors (of a sample of so many of the dimensions without
-replacement). The bound is the distance of the k-th nearest vector of the
-sample, which the k-th nearest of all never exceeds. What survives all blocks is
-scored in double precision on the original vectors.
+Vectors are cut into bands of norm (a band's norms differ by less than a factor of
+two). Within a band, inner products become distances: vectors are divided by the
+band's largest norm and lifted by one more component to length one, queries are
+divided by their own norm. So a few very long vectors change nothing for the
+others, and what is compared in single precision lies between zero and four
+whatever the norms. Lifted vectors are turned by a random orthogonal matrix, so any
+leading part of them is a random sample of their dimensions, and dealt into lists
+around centroids of their band, fitted on a bounded sample. A block holds up to
+BLOCK vectors of a group of lists in column blocks of dimensions.
+
+A query probes, in each band, the lists nearest to it. Within each, partial
+distances grow by one column block at a time; after each, a candidate is abandoned
+if its partial distance, scaled to all dimensions, exceeds what the query's bound
+allows by more than EPSILON standard errors (of a sample of so many of the
+dimensions without replacement). The bound is a score, in double precision, that
+the k-th best reaches at least: first that of the sample. In a band it allows a
+distance of 2 - 2 bound / (norm of the query * largest norm of the band), so by
+Cauchy and Schwarz a band whose vectors are too short is left out whole. What
+survives all blocks is scored in double precision on the original vectors.
 
 Blocks are stored once, their vectors turned and cut into column blocks beside
 the original ones. They are dealt by group and salt, so that a key holds SALTED
@@ -22,15 +28,17 @@ finds bounds the search of the others, in which a list is left out for a query
 if no vector so near can lie in it (by the triangle inequality on its radius).
 Within a meeting, what is found bounds the lists after it. Each meeting gives at
 most k rows a query, and no task holds a whole list. At least ``least_probes``
-lists and ``probe_share`` of all are probed (README has the recall).
+lists and ``probe_share`` of all of a band are probed (README has the recall); a
+band that the sample hardly has is one list, and so searched whole.
 
 Defined cases: vectors that are null, zero, of another length than the sample's
 most common one, or hold null or non-finite components, and rows without an id,
-take no part; rows with the query's own id are no candidates; of rows with one
-id, the best counts; with fewer than k candidates all are returned; vectors of
-any length are one value each and go to Python in bounded batches; an empty table
-gives an empty result. Only the id and the vector are read, so other columns cannot
-clash.
+take no part; norms may be of any size (a score beyond the range of doubles is
+infinite, and such scores tie); rows with the query's own id are no candidates; of
+rows with one id, the best counts; with fewer than k candidates all are returned;
+vectors of any length are one value each and go to Python in bounded batches; an
+empty table gives an empty result. Only the id and the vector are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -73,40 +81,60 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    """Euclidean norms of the rows, none of whose squares leaves the range of doubles."""
+    most = np.abs(x).max(axis=1, initial=0.0)
+    scaled = x / np.where(most > 0, most, 1.0)[:, None]
+    return most * np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
+
+
 class Index:
-    """Rotation, centroids and the sample's vectors; everything here has a fixed bound."""
+    """Rotation, bands, centroids and the sample's vectors; everything here has a fixed bound.
 
-    def __init__(self, sample_ids: np.ndarray, sample: np.ndarray, rows: int, largest: float, distinct: bool, probe_share: float, least_probes: int, seed: int = 3):
+    bands has, in order, the largest norm and the number of vectors of each (some two thousand at most, as doubles have so
+    many powers of two).
+    """
+
+    def __init__(self, sample_ids: np.ndarray, sample: np.ndarray, bands: list[tuple[float, int]], distinct: bool, probe_share: float, least_probes: int, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.width, self.largest = sample.shape[1], largest
+        self.width, self.distinct = sample.shape[1], distinct
+        self.tops = np.array([top for top, _ in bands])
         full = self.width + 1
         self.rotation = np.linalg.qr(rng.normal(size=(full, full)))[0]
-        self.sample_ids, self.sample = sample_ids, self.turn(self.lift(sample))
-        lists = max(1, min(int(np.ceil(np.sqrt(rows))), len(sample) // 8 or 1))
-        self.centroids = self._fit(lists, rng)
-        self.sample_lists = self.nearest(self.sample, self.centroids)
-        self.probes = min(lists, max(least_probes, int(np.ceil(probe_share * lists))))
+        self.sample_ids, self.sample = sample_ids, sample
+        turned, of = self.turned(sample)
+        centroids, self.of_band, self.probes = [], [], []
+        for b, (_, rows) in enumerate(bands):
+            mine = turned[of == b]
+            lists = max(1, min(int(np.ceil(np.sqrt(rows))), len(mine) // 8))
+            centroids.append(self._fit(mine, lists, rng) if len(mine) else self.rotation[-1:].astype(np.float32))
+            self.of_band += [b] * lists
+            self.probes.append(min(lists, max(least_probes, int(np.ceil(probe_share * lists)))))
+        self.centroids, self.of_band = np.concatenate(centroids), np.array(self.of_band)
+        self.starts = np.searchsorted(self.of_band, np.arange(len(bands) + 1))
+        self.sample_lists = self.lists_of(turned, of)
+        lists = len(self.of_band)
         self.groups = min(GROUPS, lists)
-        self.salts = max(1, rows // (self.groups * SALTED))
-        self.distinct = distinct
-
-    def lift(self, x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(0.0, self.largest - np.einsum("ij,ij->i", x, x)))
-        return np.concatenate([x, rest[:, None]], axis=1)
+        self.salts = max(1, sum(rows for _, rows in bands) // (self.groups * SALTED))
 
-    def turn(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.rotation).astype(np.float32)
+    def turned(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors in the scale of their band, lifted and turned; and their bands."""
+        band = np.minimum(np.searchsorted(self.tops, norms(x)), len(self.tops) - 1)
+        unit = x / self.tops[band][:, None]
+        rest = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", unit, unit)))
+        return (np.concatenate([unit, rest[:, None]], axis=1) @ self.rotation).astype(np.float32), band
 
     def queries(self, x: np.ndarray) -> np.ndarray:
-        return self.turn(np.concatenate([x, np.zeros((len(x), 1))], axis=1))
+        unit = x / norms(x)[:, None]
+        return (np.concatenate([unit, np.zeros((len(x), 1))], axis=1) @ self.rotation).astype(np.float32)
 
-    def _fit(self, lists: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-        centroids = self.sample[np.sort(rng.choice(len(self.sample), lists, replace=False))].copy()
+    def _fit(self, sample: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+        centroids = sample[np.sort(rng.choice(len(sample), lists, replace=False))].copy()
         for _ in range(rounds):
-            of = self.nearest(self.sample, centroids)
+            of = self.nearest(sample, centroids)
             order = np.argsort(of, kind="stable")
             starts = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) > 0]))
-            sums = np.add.reduceat(self.sample[order].astype(np.float64), starts, axis=0)
+            sums = np.add.reduceat(sample[order].astype(np.float64), starts, axis=0)
             sizes = np.diff(np.append(starts, len(order)))
             centroids[of[order][starts]] = sums / sizes[:, None]
         return centroids
@@ -116,6 +144,14 @@ class Index:
         half = 0.5 * np.einsum("ij,ij->i", centroids, centroids)
         return np.concatenate([np.argmin(half - x[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
+    def lists_of(self, turned: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The list of each vector, of those of its band."""
+        out = np.zeros(len(turned), np.int64)
+        for b in np.unique(band):
+            own = band == b
+            out[own] = self.starts[b] + self.nearest(turned[own], self.centroids[self.starts[b] : self.starts[b + 1]])
+        return out
+
     def distances(self, q: np.ndarray) -> np.ndarray:
         """[queries, lists]: distance of each turned query from each centroid."""
         c = self.centroids.astype(np.float64)
@@ -125,18 +161,26 @@ class Index:
     def probed(self, q: np.ndarray, first: bool) -> np.ndarray:
         """[queries, lists]: whether a query probes a list, first or afterwards."""
         far = self.distances(q)
-        early = min(self.probes, max(1, int(np.ceil(FIRST * self.probes))))
-        out, order = np.zeros(far.shape, bool), np.argsort(far, axis=1, kind="stable")
-        np.put_along_axis(out, order[:, :early] if first else order[:, early : self.probes], True, axis=1)
+        out = np.zeros(far.shape, bool)
+        for a, b, probes in zip(self.starts, self.starts[1:], self.probes):
+            early = min(probes, max(1, int(np.ceil(FIRST * probes))))
+            order = a + np.argsort(far[:, a:b], axis=1, kind="stable")
+            np.put_along_axis(out, order[:, :early] if first else order[:, early:probes], True, axis=1)
         return out
 
-    def bounds(self, ids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
-        """Squared distance of each query's k-th nearest vector of the sample in the given lists, itself left out."""
-        if len(self.sample) <= k:
-            return np.full(len(q), np.inf, np.float32)
-        d = np.einsum("ij,ij->i", self.sample, self.sample) - 2 * (q @ self.sample.T) + np.einsum("ij,ij->i", q, q)[:, None]
-        d[(ids[:, None] == self.sample_ids[None, :]) | ~probed[:, self.sample_lists]] = np.inf
-        return np.partition(d, k - 1, axis=1)[:, k - 1]
+    def bounds(self, ids: np.ndarray, x: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+        """Score of each query's k-th best vector of the sample in the given lists, itself left out; without so many, none."""
+        if len(self.sample) < k:
+            return np.full(len(x), -np.inf)
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = np.nan_to_num(x @ self.sample.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        s[(ids[:, None] == self.sample_ids[None, :]) | ~probed[:, self.sample_lists]] = -np.inf
+        return np.partition(s, len(self.sample) - k, axis=1)[:, len(self.sample) - k]
+
+    def allowed(self, scores: np.ndarray, sizes: np.ndarray, band: int) -> np.ndarray:
+        """Squared distance in a band beyond which a vector scores less, for queries of such norms."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return 2.0 - 2.0 * (scores / sizes / self.tops[band])
 
 
 def fit_index(vectors: DataFrame, probe_share: float = 0.65, least_probes: int = 32, sample: int = SAMPLE) -> Index | None:
@@ -147,10 +191,12 @@ def fit_index(vectors: DataFrame, probe_share: float = 0.65, least_probes: int =
     width = Counter(len(r["vector"]) for r in rows).most_common(1)[0][0]
     rows = [r for r in rows if len(r["vector"]) == width]
     fitting = vectors.where(F.size("vector") == width)
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    seen = fitting.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
+    most = F.array_max(F.transform("vector", F.abs))
+    norm = F.col("most") * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most"))))
+    sized = fitting.withColumn("most", most).select(norm.alias("norm"))
+    bands = sized.groupBy(F.floor(F.log2("norm")).alias("b")).agg(F.max("norm").alias("top"), F.count("*").alias("n")).collect()
     distinct = not fitting.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return Index(np.array([r["vec_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64), seen["n"], seen["largest"], distinct, probe_share, least_probes)
+    return Index(np.array([r["vec_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64), sorted((r["top"], r["n"]) for r in bands), distinct, probe_share, least_probes)
 
 
 def column_blocks(turned: np.ndarray) -> list[np.ndarray]:
@@ -162,7 +208,7 @@ def _stored(index: Index, grp: int, salt: int, ids: np.ndarray, lists: np.ndarra
     """A row of BLOCKS: vectors in order of their lists, with the lists' radii in this block."""
     order = np.argsort(lists, kind="stable")
     ids, lists, x = ids[order], lists[order], x[order]
-    turned = index.turn(index.lift(x))
+    turned, _ = index.turned(x)
     step = turned.astype(np.float64) - index.centroids[lists]
     far = np.sqrt(np.einsum("ij,ij->i", step, step))
     starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
@@ -196,7 +242,7 @@ def blocks(vectors: DataFrame, index: Index) -> DataFrame:
         """Every HELD vectors as small blocks of groups; they have one salt, by a hash of their ids."""
         index = shared.value
         for ids, x in _gathered(batches, index.width):
-            lists = Index.nearest(index.turn(index.lift(x)), index.centroids)
+            lists = index.lists_of(*index.turned(x))
             salt = int(np.bitwise_xor.reduce(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % index.salts
             of = [(g, np.flatnonzero(lists % index.groups == g)) for g in np.unique(lists % index.groups)]
             out = [{"grp": int(g), "salt": salt, "n": len(r), "ids": ids[r].astype("<i8").tobytes(), "lists": lists[r].astype("<i4").tobytes(), "x": x[r].astype("<f8").tobytes()} for g, o in of for r in (o[i : i + BLOCK] for i in range(0, len(o), BLOCK))]
@@ -242,12 +288,9 @@ def query_batches(queries: DataFrame, index: Index, k: int, found: DataFrame | N
                 ids, x = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), index.width)
                 q = index.queries(x)
                 probed = index.probed(q, first)
-                bounds = index.bounds(ids, q, probed, k + k // 2).astype("<f8")
+                bounds = index.bounds(ids, x, probed, k + k // 2).astype("<f8")
                 if not first:
-                    # The lift makes |q - x|^2 = |q|^2 + largest - 2 score.
-                    score = part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-                    known = np.einsum("ij,ij->i", x, x) + index.largest - 2 * score
-                    bounds = np.fmin(bounds, np.where(np.isnan(known), np.inf, known))
+                    bounds = np.fmax(bounds, part.column(2).to_numpy(zero_copy_only=False).astype(np.float64))
                 out = []
                 for g in range(index.groups):
                     of = np.flatnonzero(probed[:, g :: index.groups].any(axis=1))
@@ -303,17 +346,19 @@ def meet_block(index: Index, block: dict, batch: dict, first: bool, k: int) -> t
         width = min(COLUMNS, index.width + 1 - a)
         columns.append(np.frombuffer(block["turned"], "<f4", len(ids) * width, at).reshape(-1, width))
         at += columns[-1].nbytes
-    turned_q, far = column_blocks(asking), index.distances(asking)
+    turned_q, far, sizes = column_blocks(asking), index.distances(asking), norms(q)
     probed = index.probed(asking, first)
-    best = np.full((len(qids), k), np.inf)
+    best = np.full((len(qids), k), -np.inf)
     found_q, found_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     edges = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
     for a, b, radius in zip(edges, edges[1:], radii):
-        near = np.maximum(far[:, lists[a]] - radius, 0) ** 2 <= bounds * (1 + SLACK) + SLACK
+        band = index.of_band[lists[a]]
+        allowed = index.allowed(bounds, sizes, band)
+        near = np.maximum(far[:, lists[a]] - radius, 0) ** 2 <= allowed * (1 + SLACK) + SLACK
         who = np.flatnonzero(probed[:, lists[a]] & near)
         if not len(who):
             continue
-        qi, xi, d = scan([c[who] for c in turned_q], [c[a:b] for c in columns], bounds[who])
+        qi, xi, d = scan([c[who] for c in turned_q], [c[a:b] for c in columns], allowed[who])
         qi, xi = who[qi], a + xi
         other = qids[qi] != ids[xi]
         qi, xi, d = qi[other], xi[other], d[other]
@@ -323,12 +368,14 @@ def meet_block(index: Index, block: dict, batch: dict, first: bool, k: int) -> t
         if index.distinct and len(qi):
             some = _first_of(qi, d, xi, k)
             rank = np.arange(len(some)) - np.searchsorted(qi[some], qi[some], side="left")
-            more = np.full((len(qids), k), np.inf)
-            more[qi[some], rank] = d[some]
-            best = np.partition(np.concatenate([best, more], axis=1), k - 1, axis=1)[:, :k]
-            bounds = np.minimum(bounds, best.max(axis=1))
+            more = np.full((len(qids), k), -np.inf)
+            with np.errstate(over="ignore"):
+                more[qi[some], rank] = (1 - 0.5 * d[some] - SLACK) * sizes[qi[some]] * index.tops[band]
+            best = np.partition(np.concatenate([best, more], axis=1), k, axis=1)[:, k:]
+            bounds = np.maximum(bounds, best.min(axis=1))
     qi, xi = np.concatenate(found_q), np.concatenate(found_x)
-    score = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", q[qi[j : j + 65536]], x[xi[j : j + 65536]]) for j in range(0, len(qi), 65536)])
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", q[qi[j : j + 65536]], x[xi[j : j + 65536]]) for j in range(0, len(qi), 65536)])
     some = _first_of(qi, -score, ids[xi], k)
     return qids[qi[some]], ids[xi[some]], score[some]
 

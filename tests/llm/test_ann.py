@@ -52,18 +52,24 @@ def test_exact_when_every_list_is_probed(spark, rows):
     assert hits / sum(map(len, want.values())) > 0.97
 
 
-@pytest.mark.parametrize("kind", ["clustered", "unclustered"])
+@pytest.mark.parametrize("kind", ["clustered", "unclustered", "one of norm 1e4", "one of norm 1e20", "lognormal", "far apart"])
 def test_recall_at_production_settings(spark, kind):
-    """More lists than are probed; clustered vectors and such of no structure at all."""
+    """More lists than are probed; clustered vectors and such of no structure at all; norms that differ."""
     rng = np.random.default_rng(8)
     n, width = 3600, 24
     x = rng.normal(size=(n, width))
     if kind == "clustered":
         x = 4 * rng.normal(size=(60, width))[rng.integers(0, 60, n)] + x
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind.startswith("one"):
+        x[7] *= float(kind.split()[-1])
+    elif kind == "lognormal":
+        x *= np.exp(rng.normal(size=n))[:, None]
+    elif kind == "far apart":
+        x *= 10.0 ** rng.choice([-30, 0, 30], n)[:, None]
     df, asked = frames(spark, [(i, v.tolist()) for i, v in enumerate(x)])
     index = ann.fit_index(df.select("vec_id", "vector"))
-    assert index.probes < len(index.centroids)
+    assert kind == "lognormal" or sum(index.probes) < len(index.centroids)  # bands of few lists are probed whole
     score = x[::20] @ x.T
     score[np.arange(len(score)), np.arange(0, n, 20)] = -np.inf
     want = {(20 * q, int(i)) for q, row in enumerate(score) for i in np.argsort(-row, kind="stable")[:20]}
@@ -87,27 +93,44 @@ def test_meetings_bound_later_lists(spark):
     rng = np.random.default_rng(3)
     centres = 20 * rng.normal(size=(16, 12))
     x = centres[rng.integers(0, 16, 2000)] + rng.normal(size=(2000, 12))
-    index = ann.Index(np.arange(2000), x, 2000, float((x * x).sum(axis=1).max()), True, 1.0, 32)
-    lists = ann.Index.nearest(index.turn(index.lift(x)), index.centroids)
+    index = ann.Index(np.arange(2000), x, [(float(ann.norms(x).max()), 2000)], True, 1.0, 32)
+    lists = index.lists_of(*index.turned(x))
     block = ann._stored(index, 0, 0, np.arange(2000), lists, x)
     seen = []
     scan = ann.scan
     ann.scan = lambda q, x, b: seen.append(len(q[0]) * len(x[0])) or scan(q, x, b)
     try:
-        batch = {"qids": np.arange(50).astype("<i8").tobytes(), "q": x[:50].tobytes(), "bounds": np.full(50, np.inf).tobytes()}
+        batch = {"qids": np.arange(50).astype("<i8").tobytes(), "q": x[:50].tobytes(), "bounds": np.full(50, -np.inf).tobytes()}
         index.probed = lambda q, first: np.ones((len(q), len(index.centroids)), bool)
         ann.meet_block(index, block, batch, False, 5)
         loose = sum(seen)
         seen.clear()
-        exact = ((index.queries(x[:50])[:, None].astype(float) - index.turn(index.lift(x))[None]) ** 2).sum(axis=2)
-        exact[np.arange(50), np.arange(50)] = np.inf
-        batch["bounds"] = np.sort(exact, axis=1)[:, 4].tobytes()
+        exact = x[:50] @ x.T
+        exact[np.arange(50), np.arange(50)] = -np.inf
+        batch["bounds"] = np.sort(exact, axis=1)[:, -5].tobytes()
         ann.meet_block(index, block, batch, False, 5)
     finally:
         ann.scan = scan
     assert sum(seen) < loose < 50 * 2000
 
 
+def test_bands_that_are_too_short_are_left_out():
+    """By Cauchy and Schwarz: once enough long vectors are found, no list of short ones is looked at."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:200] = np.abs(x[:200]) * 1e6
+    index = ann.Index(np.arange(600), x, [(float(ann.norms(x[200:]).max()), 400), (float(ann.norms(x[:200]).max()), 200)], True, 1.0, 32)
+    bound, size = np.array([1e5]), ann.norms(x[:1])
+    assert index.allowed(bound, np.array([1.0]), 0)[0] < 0 < index.allowed(bound, np.array([1.0]), 1)[0]
+    assert set(index.turned(x)[1][:200]) == {1} and set(index.turned(x)[1][200:]) == {0} and size > 1e5
+
+
+def test_norms_keep_to_the_range_of_doubles():
+    x = np.array([[3e200, 4e200], [3e-200, 4e-200], [0.0, 0.0], [3.0, 4.0]])
+    assert np.allclose(ann.norms(x), [5e200, 5e-200, 0, 5], rtol=1e-12)
+
+
 def test_query(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(200)] + [(400, None), (420, [0.0] * 8)]
