@@ -55,6 +55,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that `written` made, once nothing that is still to run reads it."""
+    paths = table.inputFiles()
+    if paths:
+        drop_path(table.sparkSession, paths[0].rsplit("/", 1)[0])
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows

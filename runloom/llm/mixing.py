@@ -9,16 +9,21 @@ rates exponentially in the document's size:
 
     rate = cap * e / (e + cap - 1),   e = exp(multiplier * size / mean size)
 
-Newton steps (bisected where they leave the bracket) find the multipliers. The
-sums of each step run over a histogram (source, size, count) in the cluster;
-they are decimals of fixed scale, so their order cannot change a result.
+Newton steps find the multipliers. Each step is one job, in which PROBES
+multipliers are tried for each source at once: Newton's own, and others at growing
+distances from it or, between two that enclose the solution, spread over what lies
+between them. So the solution is enclosed after a few steps however far it is, and
+each step shrinks what encloses it at least by the number of probes. The sums run
+over a histogram (source, size, count) in the cluster; they are decimals of fixed
+scale, so their order cannot change a result.
 
 Rates become copies by systematic rounding in order of size: the running sum of
 rates, shifted by an offset, crosses as many whole numbers as a document gets
 copies. A source's total then strays from its target by at most one document of
 the largest size; of OFFSETS offsets, the one with the least error is taken.
 Documents of one size in one source are dealt into buckets of BUCKET by a hash
-of their id, so no task ranks more than a bucket. The running sums over a
+of their id and text, so no task ranks more than a bucket (but for rows that are
+equal in both). The running sums over a
 source's buckets are taken in two levels: buckets are cut by range into parts,
 parts are summed, and their sums run before those within each part; so one
 source, however large, is spread over all tasks. Only one row of sums for each
@@ -36,23 +41,26 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.llm.common import bounded_broadcast, column, table, unused, written
+from runloom.llm.common import bounded_broadcast, column, discard, table, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCALE = 10**9
 OFFSETS = 32
 BUCKET = 256
+#: Multipliers tried at once (an odd number), and how much farther from Newton's each next pair is.
+PROBES, SPREAD = 9, 8.0
 #: Rows of (source, size, ...) that may be broadcast: under 100 bytes each, 20 MB in all.
 BROADCAST_ROWS = 200_000
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, src, size); src is 's' and the source, or 'z' for null, which keeps the order with null last."""
+    """(doc_id, src, size, th); src is 's' and the source, or 'z' for null, which keeps the order with null last; th is a hash of the text."""
     source = F.col(source_col).cast("string")
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.when(source.isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), source)).alias("src"),
         F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("th"),
     )
 
 
@@ -83,6 +91,18 @@ def _rate(multiplier: Column, x: Column, cap: float) -> Column:
     return F.lit(float(cap)) * tilt / (tilt + F.lit(float(cap) - 1.0))
 
 
+def _probes(state: DataFrame) -> DataFrame:
+    """state(src, ..., at, low, high) with a row for each multiplier `x` to try: `at`, and others around it."""
+    half = PROBES // 2
+    at, low, high = F.col("at"), F.col("low"), F.col("high")
+    reach = F.greatest(F.abs(at), F.lit(1.0))
+    steps = [SPREAD ** (k - half) for k in range(1, 2 * half, 2)]
+    # Below at, towards low; above it, towards high. Where there is no such end yet, ever farther.
+    below = [F.when(low.isNull(), at - reach * F.lit(step)).otherwise(low + (at - low) * F.lit(i / half)) for i, step in enumerate(steps)]
+    above = [F.when(high.isNull(), at + reach * F.lit(step)).otherwise(high - (high - at) * F.lit(i / half)) for i, step in enumerate(steps)]
+    return state.withColumn("x", F.explode(F.array_distinct(F.array(at, *below, *above))))
+
+
 def multipliers(histogram: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, max_steps: int = 60) -> DataFrame:
     """(src, mean, multiplier) that meet every target below cap times its source's size, by distributed Newton steps.
 
@@ -94,26 +114,31 @@ def multipliers(histogram: DataFrame, targets: DataFrame, cap: float, tolerance:
     none = F.lit(None).cast("double")
     state = written(targets.where("not full and source_size > 0").join(mean, "src").select("src", "target", "mean", F.lit(0.0).alias("at"), none.alias("low"), none.alias("high")), "newton")
     for _ in range(max_steps):
-        x = F.col("size") / F.col("mean")
-        rate = _rate(F.col("at"), x, cap)
+        size = F.col("size") / F.col("mean")
+        rate = _rate(F.col("x"), size, cap)
         words = (F.col("n") * F.col("size")).cast("decimal(22,0)")
-        slope = rate * (1 - rate / cap) * x
+        slope = rate * (1 - rate / cap) * size
         sums = (
-            rows.join(state, "src")
-            .groupBy("src")
+            rows.join(_probes(state).select("src", "mean", "x"), "src")
+            .groupBy("src", "x")
             .agg(F.sum(words * _units(rate).cast("decimal(12,0)")).cast("double").alias("got"), F.sum(words * _units(slope).cast("decimal(15,0)")).cast("double").alias("slope"))
         )
-        step = state.join(sums, "src").withColumn("miss", F.col("got") / SCALE - F.col("target"))
-        step = step.withColumn("high", F.when(F.col("miss") > 0, F.col("at")).otherwise(F.col("high"))).withColumn("low", F.when(F.col("miss") <= 0, F.col("at")).otherwise(F.col("low")))
-        new = F.col("at") - F.col("miss") * SCALE / F.greatest(F.col("slope"), F.lit(1e-300))
-        new = F.least(F.greatest(new, F.col("at") - 8.0), F.col("at") + 8.0)
-        outside = (F.col("low").isNotNull() & (new <= F.col("low"))) | (F.col("high").isNotNull() & (new >= F.col("high")))
-        middle = (F.col("low") + F.col("high")) / 2
-        moved = F.when(outside & middle.isNotNull(), middle).otherwise(new)
-        settled = F.abs("miss") <= tolerance * F.col("target") + 0.01
-        step = step.select("src", "target", "mean", F.when(settled, F.col("at")).otherwise(moved).alias("at"), "low", "high", settled.alias("settled"))
+        tried = state.select("src", "target", "mean", "low", "high").join(sums, "src").withColumn("miss", F.col("got") / SCALE - F.col("target"))
+        best = F.min(F.struct(F.abs("miss").alias("off"), F.col("x"), F.col("miss"), F.col("slope"))).alias("best")
+        step = tried.groupBy("src", "target", "mean").agg(
+            best, F.max(F.when(F.col("miss") <= 0, F.col("x"))).alias("under"), F.min(F.when(F.col("miss") > 0, F.col("x"))).alias("over"), F.first("low").alias("low"), F.first("high").alias("high")
+        )
+        step = step.withColumn("low", F.greatest("low", "under")).withColumn("high", F.least("high", "over"))
+        settled = F.col("best.off") <= tolerance * F.col("target") + 0.01
+        new = F.col("best.x") - F.col("best.miss") * SCALE / F.greatest(F.col("best.slope"), F.lit(1e-300))
+        outside = new.isNull() | F.isnan(new) | (new <= F.col("low")) | (new >= F.col("high"))
+        # Without an end on the side to which it must go, from the outermost that was tried.
+        open_end = F.when(F.col("high").isNull(), F.col("low")).when(F.col("low").isNull(), F.col("high"))
+        moved = F.when(open_end.isNotNull(), F.when(F.abs(new - open_end) <= F.greatest(F.abs(open_end), F.lit(1.0)) * SPREAD, new).otherwise(open_end)).when(outside, (F.col("low") + F.col("high")) / 2).otherwise(new)
+        step = step.select("src", "target", "mean", F.when(settled, F.col("best.x")).otherwise(moved).alias("at"), "low", "high", settled.alias("settled"))
         counted = Observation()
-        state = written(step.observe(counted, F.count_if(~F.col("settled")).alias("open")), "newton").drop("settled")
+        last, state = state, written(step.observe(counted, F.count_if(~F.col("settled")).alias("open")), "newton").drop("settled")
+        discard(last)
         if not counted.get.get("open"):
             return state.select("src", "mean", F.col("at").alias("multiplier"))
     raise RuntimeError(f"{counted.get['open']} sources did not reach their targets in {max_steps} steps")
@@ -153,8 +178,8 @@ def mix(
     rated = histogram.join(targets, "src").join(solved, "src", "left")
     rate = F.when(F.col("full"), F.lit(float(cap))).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("mean"), cap))
     rated = rated.select("src", "size", F.ceil(F.col("n") / BUCKET).cast("long").alias("buckets"), "source_size", "target", _units(F.coalesce(rate, F.lit(0.0))).alias("units"))
-    dealt = sizes.join(bounded_broadcast(rated, BROADCAST_ROWS), ["src", "size"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
-    dealt = written(dealt.select("doc_id", "src", "size", "bucket", "source_size", "target", "units"), "dealt")
+    dealt = sizes.join(bounded_broadcast(rated, BROADCAST_ROWS), ["src", "size"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th"), F.col("buckets")))
+    dealt = written(dealt.select("doc_id", "th", "src", "size", "bucket", "source_size", "target", "units"), "dealt")
     cells = dealt.groupBy("src", "size", "bucket", "units", "target").agg(F.count("*").cast("decimal(20,0)").alias("n"))
     cells = cells.withColumn("rates", (F.col("n") * F.col("units").cast("decimal(11,0)")).cast("decimal(38,0)"))
     cells = running_sums(cells, "src", [F.desc("size"), F.col("bucket")], "rates")
@@ -166,7 +191,7 @@ def mix(
     best = F.array_min(F.array(*[F.struct(F.col(f"e{i}").alias("error"), F.lit(u).cast("long").alias("offset")) for i, u in enumerate(offsets)]))
     best = errors.select("src", best["offset"].alias("offset"))
     places = cells.select("src", "size", "bucket", "before").join(best, "src")
-    ranked = dealt.withColumn("k", F.row_number().over(W.partitionBy("src", "size", "bucket").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")))
+    ranked = dealt.withColumn("k", F.row_number().over(W.partitionBy("src", "size", "bucket").orderBy(F.xxhash64("doc_id", "th", F.lit(7)), "doc_id", "th")))
     out = ranked.join(bounded_broadcast(places, BROADCAST_ROWS), ["src", "size", "bucket"])
     copies = F.expr(f"((before + offset + k * units) div {SCALE}) - ((before + offset + (k - 1) * units) div {SCALE})")
     return out.withColumn("copies", copies.cast("long")).select(

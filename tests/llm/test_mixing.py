@@ -75,6 +75,25 @@ def test_sources_that_do_not_settle_are_an_error(spark):
         M.multipliers(hist, targets, 2.0, max_steps=1)
 
 
+@pytest.mark.parametrize("share", [0.001, 0.5, 1.0, 1.9995, 1.99999])
+def test_unequal_sizes_settle_however_near_the_cap(spark, share, monkeypatch):
+    """200 texts of one word and one of 200,000: multipliers of tens of thousands; and few steps, each of which is a table."""
+    docs = spark.createDataFrame([(i, "w", "a") for i in range(200)] + [(1000, "w " * 200_000, "a")], "doc_id long, text string, source string")
+    steps, written = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, label: steps.append(label) or written(df, label))
+    got = M.mix(docs, share=share).collect()
+    target = share * 200_200
+    assert abs(sum(r["rate"] * r["size"] for r in got) - target) <= 1e-9 * target + 0.02
+    assert abs(sum(r["taken"] for r in got) - target) <= 200_000
+    assert all(0 <= r["rate"] <= 2 for r in got) and steps.count("newton") <= 16
+
+
+def test_one_id_does_not_make_one_bucket(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), F.lit("a").alias("source"))
+    got = M.mix(docs, share=0.5).collect()
+    assert abs(sum(r["taken"] for r in got) - 1500) <= 1
+
+
 def test_running_sums_spread_one_group(spark):
     """One group over several parts, sums beyond 64 bits, groups that begin within a part."""
     rows = [("one", i * 7919 % 3001, 10**18 + i) for i in range(3000)] + [("two", i, i) for i in range(50)]
