@@ -17,9 +17,10 @@ HAS_ID = "coalesce(correlation_id, '') <> ''"
 
 def with_calls(events: DataFrame) -> DataFrame:
     """Main-thread events with the call (call_seq, call_ts, tool_name, input) that each result answers, null for others."""
-    before = W.partitionBy("path", "correlation_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    here = F.struct(F.col("seq").alias("call_seq"), F.col("ts").alias("call_ts"), X.tool().alias("tool_name"), F.substring(X.text(), 1, 200).alias("input"))
+    # Rows without an id lie apart, so that they are not sorted as one.
     known = F.expr(HAS_ID)
+    before = W.partitionBy("path", "correlation_id", F.when(~known, F.col("seq"))).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    here = F.struct(F.col("seq").alias("call_seq"), F.col("ts").alias("call_ts"), X.tool().alias("tool_name"), F.substring(X.text(), 1, 200).alias("input"))
     latest = F.last(F.when((F.col("kind") == "tool_call") & known, here), ignorenulls=True).over(before)
     return events.where(X.main_thread()).withColumn("call", F.when((F.col("kind") == "tool_result") & known, latest))
 

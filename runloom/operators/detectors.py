@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runloom.functions import expressions as X
 from runloom.operators.counters import usage_key
 from runloom.operators.fold import Limits
+from runloom.operators.ranges import range_of, running
 
 
 def loop_hits(events: DataFrame, repeats: int = 4, window: int = 24) -> DataFrame:
@@ -22,111 +23,116 @@ def loop_hits(events: DataFrame, repeats: int = 4, window: int = 24) -> DataFram
     return hits.withColumn("severity", F.when(F.col("hits") == repeats, "warn").otherwise("critical")).drop("sha256")
 
 
-def error_streaks(events: DataFrame, streak: int = 3) -> DataFrame:
+def error_streaks(events: DataFrame, streak: int = 3, size: int | None = None) -> DataFrame:
     """Each maximal run of at least `streak` failed results: where it was raised, its length and where a success cleared it."""
     results = events.where(X.is_result()).select("path", "seq", X.failed().alias("bad"))
-    order = W.partitionBy("path").orderBy("seq")
-    # A success closes the run of failures before it, so both have one number.
-    closed = F.coalesce(F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    results = results.withColumn("run", closed)
-    rows = results.withColumn("k", F.row_number().over(W.partitionBy("path", "run").orderBy("seq")))
-    runs = rows.groupBy("path", "run").agg(
-        F.min(F.when(F.col("bad") & (F.col("k") == streak), F.col("seq"))).alias("detected_at_seq"), F.count_if("bad").alias("length"), F.max(F.when(~F.col("bad"), F.col("seq"))).alias("cleared_at_seq")
-    )
+    # A success closes the run of failures before it, so both have one number; failures are counted from the success before.
+    rows = running(results, size, sums={"run": (~F.col("bad")).cast("int"), "n": F.col("bad").cast("int")})
+    rows = running(rows, size, lasts={"since": F.when(~F.col("bad"), F.col("n"))})
+    third = F.col("bad") & (F.col("n") - F.coalesce("since", F.lit(0)) == streak - 1)
+    runs = rows.groupBy("path", "run").agg(F.min(F.when(third, F.col("seq"))).alias("detected_at_seq"), F.count_if("bad").alias("length"), F.max(F.when(~F.col("bad"), F.col("seq"))).alias("cleared_at_seq"))
     return runs.where(F.col("length") >= streak).select("path", "detected_at_seq", "length", "cleared_at_seq")
 
 
-def tool_flood(events: DataFrame, cap: int = 100, caps: dict[str, int] | None = None) -> DataFrame:
+def tool_flood(events: DataFrame, cap: int = 100, caps: dict[str, int] | None = None, size: int | None = None) -> DataFrame:
     """Calls of a named tool from its cap on."""
     name = F.col("payload.tool_name")
     most = F.lit(cap)
     for tool, n in (caps or {}).items():
         most = F.when(name == tool, F.lit(n)).otherwise(most)
     calls = events.where(X.is_call() & (F.coalesce(name, F.lit("")) != "")).select("path", "seq", name.alias("tool_name"), most.alias("cap"))
-    calls = calls.withColumn("n", F.row_number().over(W.partitionBy("path", "tool_name").orderBy("seq")))
+    calls = running(calls, size, key=("path", "tool_name"), sums={"n": F.lit(1)}).withColumn("n", F.col("n") + 1)
     return calls.where("n >= cap").drop("cap")
 
 
-def budget_crossings(events: DataFrame, warn_usd: float = 50.0, critical_usd: float = 200.0) -> DataFrame:
+def budget_crossings(events: DataFrame, warn_usd: float = 50.0, critical_usd: float = 200.0, size: int | None = None) -> DataFrame:
     """The first main-thread event of each session at which its cost so far reaches each limit."""
+    # The first row of each key pays; rows without usage are no key, and lie apart so that they are not sorted as one.
     used = F.col("usage").isNotNull()
-    nth = F.row_number().over(W.partitionBy("path", F.when(used, usage_key())).orderBy("seq"))
+    nth = F.row_number().over(W.partitionBy("path", F.when(used, usage_key()), F.when(~used, F.col("seq"))).orderBy("seq"))
     paid = F.when(used & (nth == 1), X.cost_micros())
-    rows = events.select("path", "seq", X.main_thread().alias("main"), paid.alias("micros"))
-    so_far = W.partitionBy("path").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("micros", F.sum(F.coalesce("micros", F.lit(0).cast("decimal(38,4)"))).over(so_far)).where("main")
+    rows = events.select("path", "seq", X.main_thread().alias("main"), F.coalesce(paid, F.lit(0).cast("decimal(38,4)")).alias("paid"))
+    rows = running(rows, size, sums={"before": F.col("paid")}).where("main").withColumn("micros", (F.col("before") + F.col("paid")).cast("decimal(38,4)"))
     reach = [F.struct(F.lit(name).alias("severity"), F.lit(round(usd * 1e6)).cast("decimal(38,4)").alias("limit")) for name, usd in (("warn", warn_usd), ("critical", critical_usd))]
     reached = rows.withColumn("of", F.explode(F.array(*reach))).where("micros >= of.limit")
     return reached.groupBy("path", F.col("of.severity").alias("severity")).agg(F.min("seq").alias("seq"), F.min_by("micros", "seq").alias("cost_micros"))
 
 
-def stall_gaps(events: DataFrame, gap_s: float = 600.0) -> DataFrame:
+def stall_gaps(events: DataFrame, gap_s: float = 600.0, size: int | None = None) -> DataFrame:
     """Gaps of at least gap_s between timestamps of the main thread while a call was open, and the user messages before them.
 
     An id is open from a call to its next result or to the next user message, however often it is called: each row
     changes by one, or not at all, how many ids are open, and the changes add up within the part between user messages.
     """
-    order = W.partitionBy("path").orderBy("seq")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
     said = (F.col("kind") == "message") & (F.col("source") == "user")
     rows = events.where(X.main_thread()).select("path", "seq", "kind", F.coalesce("correlation_id", F.lit("")).alias("id"), X.micros(F.col("ts")).alias("us"), said.alias("said"))
-    rows = rows.withColumn("part", F.coalesce(F.sum(F.col("said").cast("int")).over(before), F.lit(0)))
-    # What is open after a row of an id follows from that row alone.
-    opens = F.when((F.col("id") != "") & F.col("kind").isin("tool_call", "tool_result"), (F.col("kind") == "tool_call").cast("int"))
+    rows = running(rows, size, sums={"part": F.col("said").cast("long")}, lasts={"before_us": F.col("us"), "said_before": F.col("said")})
+    # What is open after a row of an id follows from that row alone. Other rows lie apart, so that they are not sorted as one id.
+    opens = F.when((F.col("id") != "") & F.col("kind").isin("tool_call", "tool_result"), (F.col("kind") == "tool_call").cast("long"))
     rows = rows.withColumn("opens", opens)
-    of_id = W.partitionBy("path", "part", "id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("change", F.coalesce(F.col("opens") - F.coalesce(F.last("opens", ignorenulls=True).over(of_id), F.lit(0)), F.lit(0)))
-    in_part = W.partitionBy("path", "part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("open_before", F.coalesce(F.sum("change").over(in_part), F.lit(0)))
-    rows = rows.withColumn("gap_us", F.col("us") - F.last("us", ignorenulls=True).over(before))
-    return rows.where((F.col("gap_us") >= int(gap_s * 1_000_000)) & (F.col("open_before") > 0)).select("path", "seq", "gap_us", F.col("open_before").cast("long").alias("open_calls"), F.col("part").cast("long").alias("part"))
-
-
-def loops(events: DataFrame, repeats: int = 4, window: int = 24, clear_after: int = 6) -> DataFrame:
+    of_id = W.partitionBy("path", "part", "id", F.when(F.col("opens").isNull(), F.col("seq"))).orderBy("seq")
+    rows = rows.withColumn("change", F.coalesce(F.col("opens") - F.lag("opens", 1, 0).over(of_id), F.lit(0)))
+    rows = running(rows, size, sums={"changed": F.col("change")})
+    # The count begins anew after a user message.
+    begins = F.coalesce("said_before", F.lit(True))
+    rows = running(rows, size, lasts={"at_start": F.when(begins, F.col("changed"))})
+    rows = rows.withColumn("open_before", F.when(begins, F.lit(0)).otherwise(F.col("changed") - F.col("at_start")))
+    rows = rows.withColumn("gap_us", F.col("us") - F.col("before_us"))
+    return rows.where((F.col("gap_us") >= int(gap_s * 1_000_000)) & (F.col("open_before") > 0)).select("path", "seq", "gap_us", F.col("open_before").alias("open_calls"), "part")
+
+
+def loops(events: DataFrame, repeats: int = 4, window: int = 24, clear_after: int = 6, size: int | None = None) -> DataFrame:
     """(path, severity, detected_at_seq, cleared_at_seq) of each loop.
 
     A hit begins a segment, up to the next hit. Of a segment's calls those that differ from its hit diverge, and the
     clear_after-th of them clears the loop; so a hit begins a new loop if the segment before it was cleared.
     """
     calls = events.where(X.is_call()).select("path", "seq", X.tool("?").alias("tool"), F.coalesce("payload.sha256", F.lit("")).alias("sha256"))
-    order = W.partitionBy("path").orderBy("seq")
-    calls = calls.withColumn("no", F.row_number().over(order))
-    same = W.partitionBy("path", "tool", "sha256").orderBy("no").rangeBetween(1 - window, 0)
+    calls = running(calls, size, sums={"no": F.lit(1)})
+    by = ["path", "tool", "sha256"]
+    if size is not None:
+        # Ranges of calls, each with those before it that its windows reach.
+        wide = max(size, window)
+        part = range_of("no", wide)
+        calls = calls.withColumn("part", F.explode(F.array_compact(F.array(part, F.when(F.col("no") % wide > wide - window, part + 1)))))
+        by = [*by, "part"]
+    same = W.partitionBy(*by).orderBy("no").rangeBetween(1 - window, 0)
     calls = calls.withColumn("hits", F.count("*").over(same)).withColumn("hit", F.col("hits") >= repeats)
-    calls = calls.withColumn("segment", F.sum(F.col("hit").cast("int")).over(order)).where("segment > 0")
-    segment = W.partitionBy("path", "segment").orderBy("seq")
+    if size is not None:
+        calls = calls.where(range_of("no", wide) == F.col("part")).drop("part")
     sign = F.struct("tool", "sha256")
-    calls = calls.withColumn("differs", ~F.col("hit") & (sign != F.first(sign).over(segment)))
-    calls = calls.withColumn("nth", F.sum(F.col("differs").cast("int")).over(segment))
-    ends = calls.groupBy("path", "segment").agg(
-        F.min("seq").alias("seq"), F.max(F.when(F.col("hit"), F.col("hits"))).alias("hits"), F.min(F.when(F.col("differs") & (F.col("nth") == clear_after), F.col("seq"))).alias("cleared")
-    )
-    by_segment = W.partitionBy("path").orderBy("segment")
-    ends = ends.withColumn("loop", F.coalesce(F.sum(F.col("cleared").isNotNull().cast("int")).over(by_segment.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    calls = running(calls, size, sums={"segment": F.col("hit").cast("long")}, lasts={"looping": F.when(F.col("hit"), sign)})
+    calls = calls.withColumn("segment", F.col("segment") + F.col("hit").cast("long")).where("segment > 0")
+    calls = calls.withColumn("differs", ~F.col("hit") & (sign != F.col("looping")))
+    calls = running(calls, size, sums={"diverged": F.col("differs").cast("long")})
+    calls = running(calls, size, lasts={"at_hit": F.when(F.col("hit"), F.col("diverged"))})
+    cleared = F.col("differs") & (F.col("diverged") - F.col("at_hit") == clear_after - 1)
+    ends = calls.groupBy("path", "segment").agg(F.min("seq").alias("seq"), F.max(F.when(F.col("hit"), F.col("hits"))).alias("hits"), F.min(F.when(cleared, F.col("seq"))).alias("cleared"))
+    ends = running(ends, size, order="segment", sums={"loop": F.col("cleared").isNotNull().cast("long")})
     severity = F.when(F.max_by("hits", "segment") > repeats, "critical").otherwise("warn")
     return ends.groupBy("path", "loop").agg(severity.alias("severity"), F.min("seq").alias("detected_at_seq"), F.max("cleared").alias("cleared_at_seq")).drop("loop")
 
 
-def stalls(events: DataFrame, gap_s: float = 600.0) -> DataFrame:
+def stalls(events: DataFrame, gap_s: float = 600.0, size: int | None = None) -> DataFrame:
     """(path, severity, detected_at_seq, cleared_at_seq) of each stall: from the first gap between two user messages to the latter of them."""
-    gaps = stall_gaps(events, gap_s).groupBy("path", "part").agg(F.min("seq").alias("detected_at_seq"))
+    gaps = stall_gaps(events, gap_s, size).groupBy("path", "part").agg(F.min("seq").alias("detected_at_seq"))
     said = events.where(X.main_thread() & (F.col("kind") == "message") & (F.col("source") == "user")).select("path", "seq")
-    said = said.withColumn("part", (F.row_number().over(W.partitionBy("path").orderBy("seq")) - 1).cast("long"))
-    ends = said.select("path", "part", F.col("seq").alias("cleared_at_seq"))
+    ends = running(said, size, sums={"part": F.lit(1)}).select("path", F.col("part").cast("long").alias("part"), F.col("seq").alias("cleared_at_seq"))
     return gaps.join(ends, ["path", "part"], "left").select("path", F.lit("warn").alias("severity"), "detected_at_seq", "cleared_at_seq")
 
 
-def life_cycles(events: DataFrame, limits: Limits | None = None) -> DataFrame:
+def life_cycles(events: DataFrame, limits: Limits | None = None, size: int | None = None) -> DataFrame:
     """(path, kind, severity, detected_at_seq, cleared_at_seq) of every anomaly: the intervals of the fold, as native plans.
 
-    Severity is that of the last time it was raised. Floods and budgets are never cleared.
+    Severity is that of the last time it was raised. Floods and budgets are never cleared. With a size, sessions are cut
+    into ranges of so many places (see ranges).
     """
     at = limits or Limits()
     never = F.lit(None).cast("long")
-    streaks = error_streaks(events, at.streak).select("path", F.lit("critical").alias("severity"), "detected_at_seq", "cleared_at_seq")
-    floods = tool_flood(events, at.flood_cap, at.flood_caps).groupBy("path").agg(F.min("seq").alias("detected_at_seq")).select("path", F.lit("warn").alias("severity"), "detected_at_seq", never.alias("cleared_at_seq"))
-    crossed = budget_crossings(events, at.warn_usd, at.critical_usd).groupBy("path").agg(F.min("seq").alias("detected_at_seq"), F.min("severity").alias("severity"))
+    streaks = error_streaks(events, at.streak, size).select("path", F.lit("critical").alias("severity"), "detected_at_seq", "cleared_at_seq")
+    floods = tool_flood(events, at.flood_cap, at.flood_caps, size).groupBy("path").agg(F.min("seq").alias("detected_at_seq")).select("path", F.lit("warn").alias("severity"), "detected_at_seq", never.alias("cleared_at_seq"))
+    crossed = budget_crossings(events, at.warn_usd, at.critical_usd, size).groupBy("path").agg(F.min("seq").alias("detected_at_seq"), F.min("severity").alias("severity"))
     budgets = crossed.select("path", "severity", "detected_at_seq", never.alias("cleared_at_seq"))
-    kinds = {"loop": loops(events, at.loop_repeats, at.loop_window, at.loop_clear_after), "error_streak": streaks, "tool_flood": floods, "budget": budgets, "stall": stalls(events, at.stall_s)}
+    kinds = {"loop": loops(events, at.loop_repeats, at.loop_window, at.loop_clear_after, size), "error_streak": streaks, "tool_flood": floods, "budget": budgets, "stall": stalls(events, at.stall_s, size)}
     parts = [rows.select("path", F.lit(kind).alias("kind"), "severity", "detected_at_seq", "cleared_at_seq") for kind, rows in kinds.items()]
     return functools.reduce(DataFrame.unionByName, parts)

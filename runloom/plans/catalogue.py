@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
-from runloom.operators import contexts, correlation, counters, detectors, episodes, evaluation, facts, fold, nodes, recount, views
+from runloom.operators import contexts, correlation, counters, detectors, episodes, evaluation, facts, fold, nodes, ranges, recount, views
 from runloom.session import scratch_path
 from runloom.sources import adapters, transcripts
 from runloom.streaming import live
@@ -628,6 +628,18 @@ user(
         F.array_join(F.array_sort(F.transform("pending", lambda p: p["correlation_id"])), ";").alias("pending"),
     ),
 )
+#: Places of a range, so few that the sessions of the small tables have several.
+RANGE = 16
+user(
+    "ranged_state",
+    ORACLE_SQL["run_state"].removeprefix(f"WITH {USER_SQL}\n"),
+    lambda e: ranges.state(e, fold.Limits(**{**vars(LIMITS), "max_facts": 1 << 30}), RANGE).select(
+        "path", "n_events", "sidechain_events", "n_turns", "n_tool_calls", "n_tool_errors", "observed_seq", "started_us", "last_us",
+        F.col("tokens")[0].alias("input_tokens"), F.col("tokens")[1].alias("output_tokens"), F.round(F.col("cost_usd") * 1_000_000).cast("long").alias("micros"),
+        _listed("models").alias("models"), _listed("tools").alias("tools"),
+        F.array_join(F.array_sort(F.transform("pending", lambda p: p["correlation_id"])), ";").alias("pending"),
+    ),
+)
 user(
     "anomaly_islands",
     ORACLE_SQL["error_streaks"].removeprefix(f"WITH {USER_SQL}\n"),
@@ -663,6 +675,7 @@ lives AS (SELECT path, 'loop' AS kind, severity, detected AS detected_at_seq, cl
 _LIFE = ["path", "kind", "severity", "detected_at_seq", "cleared_at_seq"]
 user("anomaly_life_cycles", LIFE_SQL + "SELECT * FROM lives", lambda e: detectors.life_cycles(e, LIMITS))
 user("active_anomalies", LIFE_SQL + "SELECT * EXCLUDE (cleared_at_seq) FROM lives WHERE cleared_at_seq IS NULL", lambda e: detectors.life_cycles(e, LIMITS).where("cleared_at_seq IS NULL").drop("cleared_at_seq"))
+user("ranged_life_cycles", LIFE_SQL + "SELECT * FROM lives", lambda e: detectors.life_cycles(e, LIMITS, RANGE))
 user("fold_life_cycles", LIFE_SQL + "SELECT * FROM lives", lambda e: fold.anomalies(_fold(e)).select(*_LIFE))
 user(
     "fold_episode_status",

@@ -14,7 +14,7 @@ COLUMNS = ["path", "kind", "severity", "detected_at_seq", "cleared_at_seq"]
 @pytest.fixture(scope="module")
 def sessions(spark):
     rows = []
-    for seed in range(12):
+    for seed in range(8):
         rows += random_events(spark, seed, 220, unique=seed % 3 == 0).collect()
     return spark.createDataFrame(rows, EVENTS).persist()
 
