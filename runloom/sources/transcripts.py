@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from runloom.functions.expressions import payload
 from runloom.schema import EVENTS, SCHEMA_VERSION, schema_of
+from runloom.sources.manifest import Manifest
 
 #: part numbers a file's ranges, nth the lines of a range from 1.
 RANGED = "path string, part int, nth long, byte_offset long, raw binary, complete boolean"
@@ -145,6 +146,12 @@ class _BatchReader(DataSourceReader):
                 yield path, part, *row
 
 
+def _read_pieces(partition: Piece) -> Iterator[tuple]:
+    for path, part, start, end in partition.ranges:
+        for row in lines_of(path, start, end, False):
+            yield path, part, *row
+
+
 class _TailReader(DataSourceStreamReader):
     """Offsets are {path: bytes read}; appended bytes and new files are followed. A batch has the lines whose line feeds
     lie between two offsets, so a line that is still being written waits for a later one.
@@ -177,17 +184,38 @@ class _TailReader(DataSourceStreamReader):
         return pieces([(path, start.get(path, 0), stop) for path, stop in sorted(end.items()) if stop > start.get(path, 0)], self.split)
 
     def read(self, partition: Piece) -> Iterator[tuple]:
-        for path, part, start, end in partition.ranges:
-            for row in lines_of(path, start, end, False):
-                yield path, part, *row
+        return _read_pieces(partition)
 
     def commit(self, end: dict) -> None:
         pass
 
 
+class _ManifestReader(DataSourceStreamReader):
+    """As _TailReader, for many files: an offset is the number of a version in a manifest, whatever the number of files."""
+
+    def __init__(self, options: dict):
+        self.files, self.split = Manifest(options["manifest"], options["path"], int(options.get("maxBytes", 0))), int(options.get("split", SPLIT))
+
+    def initialOffset(self) -> dict:
+        return {"version": 0}
+
+    def latestOffset(self) -> dict:
+        return {"version": self.files.advance()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return pieces(self.files.between(start["version"], end["version"]), self.split)
+
+    def read(self, partition: Piece) -> Iterator[tuple]:
+        return _read_pieces(partition)
+
+    def commit(self, end: dict) -> None:
+        self.files.forget(end["version"])
+
+
 class TranscriptSource(DataSource):
     """Format "transcript"; option path: a file, folder or pattern (or paths: a JSON list of them); split: bytes of a range;
-    for streams, offsets: where to begin (resume_offsets), and maxBytes."""
+    for streams, manifest: a folder of any file system that keeps what is read of each file (for many files), or offsets: where
+    to begin (resume_offsets); and maxBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -200,7 +228,7 @@ class TranscriptSource(DataSource):
         return _BatchReader(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _TailReader(self.options)
+        return _ManifestReader(self.options) if "manifest" in self.options else _TailReader(self.options)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], split: int = SPLIT) -> DataFrame:

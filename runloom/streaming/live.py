@@ -365,9 +365,10 @@ def follow(spark: SparkSession, path: str, checkpoint: str, on_batch: Callable[[
     """Tail the transcripts under path; on_batch gets the changes of each batch. Without `every`, it stops when all that is there is
     read, in one batch over as many tasks as it needs; with it, a batch has max_bytes at most beyond the one before.
 
-    Keyed state needs the RocksDB state store, which is set in the session. parsed gets the parse statistics of each batch."""
+    What is read of each file is kept in a manifest beside the checkpoint, so offsets stay small and a restart keeps to
+    max_bytes too. Keyed state needs the RocksDB state store, which is set in the session. parsed gets the parse statistics of each batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    decoded = decode(stream_lines(spark, path, **({"maxBytes": max_bytes} if every else {})))
+    decoded = decode(stream_lines(spark, path, manifest=f"{checkpoint}-files", **({"maxBytes": max_bytes} if every else {})))
     if parsed is not None:
         decoded = observed(decoded, parsed.name)
         parsed.listen(spark)
