@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 import sys
@@ -11,10 +12,10 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.operators import evaluation, recount, views
+from runloom.operators import comprehension, evaluation, recount, views
 from runloom.operators.fold import Limits, anomalies, fold
 from runloom.session import build_session, scratch_path
-from runloom.sources import fixtures, transcripts
+from runloom.sources import fixtures, sinks, transcripts
 from runloom.streaming.live import current, follow, keep, kept_changes
 
 
@@ -63,15 +64,19 @@ LIVE_S = 300
 
 
 def fleet(spark: SparkSession, path: str, most: int = 25, out: str = "fleet") -> DataFrame:
-    """The index of the latest sessions, the live ones marked; one that cannot be read is a row that says so. Only their files are read."""
-    listed = transcripts.list_sessions(spark, path, most).select("path", F.col("modificationTime").cast("double").alias("changed")).collect()
-    changed = {r["path"].removeprefix("file:"): r["changed"] for r in listed}
-    decoded = transcripts.decode(transcripts.read_lines(spark, list(changed))).persist()
-    state = fold(transcripts.to_events(decoded))
+    """The index of the latest sessions, the live ones marked, and a page for each of them, which tasks write.
+
+    One that cannot be read is a row that says so. Only the files of these sessions are read."""
+    listed = transcripts.list_sessions(spark, path, most).select("path", F.col("modificationTime").cast("double").alias("changed"), F.col("length").alias("bytes")).collect()
+    known = {r["path"].removeprefix("file:"): (r["changed"], r["bytes"]) for r in listed}
+    decoded = transcripts.decode(transcripts.read_lines(spark, list(known))).persist()
+    state = fold(transcripts.to_events(decoded)).persist()
     good = decoded.groupBy("path").agg(F.count_if(F.col("outcome") == "event").alias("n")).where("n > 0").select("path")
-    named = spark.createDataFrame([(p, time.time() - t < LIVE_S) for p, t in changed.items()], "path string, live boolean")
+    now = time.time()
+    named = spark.createDataFrame([(p, now - t < LIVE_S, round((now - t) / 60, 1), n) for p, (t, n) in known.items()], "path string, live boolean, age_minutes double, bytes long")
     failed = named.select("path").join(good, "path", "left_anti").select("path", F.lit("no events").alias("reason"))
     rows = views.fleet(state, failed).join(named, "path").orderBy("path")
+    sinks.write_committed(views.pages(state).select(views.page_name(F.col("path")).alias("name"), "content"), out)
     _write(os.path.join(out, "index.html"), views.fleet_page(rows.collect()))
     return rows
 
@@ -123,6 +128,18 @@ def scoreboard(out: str, key: str, rows: list[dict]) -> None:
     _write(out, json.dumps(board | {key: rows}, indent=1))
 
 
+def comprehend_bench(spark: SparkSession, folder: str, readers: list[str]) -> DataFrame:
+    """Mean grades of readers (name=module:function, a function of a prompt) who are shown the transcripts under a folder in each way."""
+    panel = {}
+    for named in readers:
+        name, _, place = named.partition("=")
+        module, _, function = place.partition(":")
+        panel[name] = getattr(importlib.import_module(module), function)
+    lines = transcripts.read_lines(spark, folder)
+    events = transcripts.to_events(transcripts.decode(lines)).persist()
+    return comprehension.comprehension(fold(events).persist(), events, lines, panel)
+
+
 BENCHES = {"detect": detect_bench, "fidelity": fidelity_bench}
 
 
@@ -145,7 +162,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-n", type=int, default=25)
     p.add_argument("--out", default="fleet")
     p = sub.add_parser("bench", help="scores on generated traces: of the detectors, of the fold against raw JSON, or both")
-    p.add_argument("which", nargs="?", default="all", choices=[*BENCHES, "all"])
+    p.add_argument("which", nargs="?", default="all", choices=[*BENCHES, "all", "comprehend"])
+    p.add_argument("--folder", help="transcripts that readers are asked about (comprehend)")
+    p.add_argument("--reader", action="append", default=[], help="name=module:function, a function of a prompt (comprehend)")
     p.add_argument("--more", help="transcripts of one's own for the comparison with raw JSON")
     p.add_argument("--out", help="scoreboard to keep the scores in")
     args = parser.parse_args(argv)
@@ -160,6 +179,13 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "fleet":
         fleet(spark, args.folder, args.n, args.out)
         print(os.path.join(args.out, "index.html"))
+    elif args.which == "comprehend":
+        if not args.folder or not args.reader:
+            parser.error("comprehend needs --folder and at least one --reader")
+        scores = [r.asDict() for r in comprehend_bench(spark, args.folder, args.reader).collect()]
+        if args.out:
+            scoreboard(args.out, "comprehend", scores)
+        print(json.dumps({"comprehend": scores}, indent=1))
     else:
         for which in BENCHES if args.which == "all" else [args.which]:
             more = {"more": args.more} if which == "fidelity" else {}

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
+from runloom.operators import ranges
 
 
 def flat_log(events: DataFrame) -> DataFrame:
@@ -20,6 +21,23 @@ def tail_chars(text: F.Column, n: int = 100_000) -> F.Column:
     return F.right(text, F.lit(n))
 
 
+def tail(rows: DataFrame, order: str, text: str, most: int = 100_000, size: int | None = ranges.SIZE) -> DataFrame:
+    """(path, context): the last `most` characters of each path's texts, in order and joined by line feeds.
+
+    Sums of lengths, run in ranges, tell which texts the tail reaches; only these, the first of them cut, meet in one row,
+    so no value has more than `most` characters. A null text counts as empty.
+    """
+    rows = rows.select("path", F.col(order).alias("_at"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_n", F.length("_text") + 1)
+    whole = rows.groupBy("path").agg(F.sum("_n").alias("_all"))
+    rows = ranges.running(rows, size, order="_at", sums={"_before": F.col("_n")}).join(whole, "path")
+    after = F.col("_all") - F.col("_before") - F.col("_n")  # characters behind a text, the line feed before them included
+    reached = rows.withColumn("_left", F.lit(most) - after).where("_left > 0").select("path", "_at", "_before", F.right("_text", F.col("_left").cast("int")).alias("_text"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "\n")
+    earlier = F.when(F.min("_before") > 0, F.lit("\n")).otherwise(F.lit(""))  # the line feed before the first, where a text is before it
+    return reached.groupBy("path").agg(F.right(F.concat(earlier, parts), F.lit(most)).alias("context"))
+
+
 def masked_context(events: DataFrame, keep: int = 3, stub: str = "[omitted]") -> DataFrame:
     """All events, the texts of all but the last `keep` of each session replaced by a stub."""
     back = F.row_number().over(W.partitionBy("path").orderBy(F.desc("seq")))

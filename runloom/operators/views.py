@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -117,18 +119,45 @@ def page(state: Row, view: str, refresh_s: float | None = None) -> str:
     )
 
 
+def pages(state: DataFrame) -> DataFrame:
+    """(path, content): the static page of each session, made where its row is."""
+    shown = state.join(text_view(state), "path")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_pydict({"path": [r["path"] for r in rows], "content": [page(r, r["view"]) for r in rows]}, schema=pa.schema([("path", pa.string()), ("content", pa.string())]))
+
+    return shown.mapInArrow(each, "path string, content string")
+
+
+def page_name(path: F.Column) -> F.Column:
+    """The end of the folder's name and the file's, which tell sessions of one fleet apart."""
+    parts = F.split(path, "/")
+    folder = F.right(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")), F.lit(40))
+    plain = F.regexp_replace(F.concat(folder, F.lit("__"), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")), r"[^\w.=-]", "-")
+    return F.concat(F.regexp_replace(plain, "^[._]+", ""), F.lit(".html"))
+
+
 def fleet(state: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """A row for each session; failed(path, reason) are sessions that could not be read."""
-    active = F.size(F.filter("anomalies", lambda a: a["cleared_at_seq"].isNull()))
-    good = state.select("path", "session_id", F.lit("ok").alias("outcome"), "n_turns", "n_tool_calls", "n_tool_errors", "cost_usd", active.cast("long").alias("active_anomalies"), "goal_text")
+    active = F.array_sort(F.transform(F.filter("anomalies", lambda a: a["cleared_at_seq"].isNull()), lambda a: a["kind"]))
+    ask = F.substring(F.coalesce("latest_user_directive", "goal_text", F.lit("")), 1, 140)
+    good = state.select(
+        "path", "session_id", F.lit("ok").alias("outcome"), "n_turns", "n_tool_calls", "n_tool_errors", "cost_usd", F.size(active).cast("long").alias("active_anomalies"),
+        F.array_join(active, ", ").alias("anomalies"), ask.alias("ask"), "goal_text", page_name(F.col("path")).alias("page"),
+    )
     if failed is None:
         return good
     return good.unionByName(failed.select("path", F.concat(F.lit("parse-error: "), F.col("reason")).alias("outcome")), allowMissingColumns=True)
 
 
 def fleet_page(rows: list[Row]) -> str:
-    names = rows[0].__fields__ if rows else []
-    cells = "".join("<tr>" + "".join(f"<td>{html.escape(str('' if r[n] is None else r[n]))}</td>" for n in names) + "</tr>" for r in rows)
+    """An index of sessions, each with a link to its page where it has one."""
+    names = [n for n in (rows[0].__fields__ if rows else []) if n != "page"]
+    shown = lambda r, n: html.escape(str("" if r[n] is None else r[n]))
+    link = lambda r, n: f'<a href="{html.escape(r["page"])}">{shown(r, n)}</a>' if n == "path" and "page" in r and r["page"] else shown(r, n)
+    cells = "".join("<tr>" + "".join(f"<td>{link(r, n)}</td>" for n in names) + "</tr>" for r in rows)
     return f"<!DOCTYPE html><html><body><table><tr>{''.join(f'<th>{n}</th>' for n in names)}</tr>{cells}</table></body></html>"
 
 
@@ -154,17 +183,13 @@ def questions(state: DataFrame, events: DataFrame) -> DataFrame:
 def conditions(state: DataFrame, events: DataFrame, lines: DataFrame, most: int = 100_000) -> DataFrame:
     """(path, condition, context): what a reader is shown of each session: the tail of its raw lines, of its flat log, or its view.
 
-    lines(path, line_no, raw) are those of sources.transcripts; a session's log is one value and so is put together in one task.
+    lines(path, line_no, raw, complete) are those of sources.transcripts. Of a log, only the lines of its tail are put together.
     """
-    from runloom.operators.contexts import flat_log, tail_chars
-
-    def joined(rows: DataFrame, order: str, text: F.Column) -> DataFrame:
-        parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), text.alias("t"))))
-        return rows.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("all"))
+    from runloom.operators.contexts import flat_log, tail
 
-    raw = joined(lines.where("complete"), "line_no", F.col("raw").cast("string"))
-    flat = joined(flat_log(events), "seq", F.col("line"))
-    shown = [("raw", raw.select("path", tail_chars(F.col("all"), most).alias("context"))), ("flatlog", flat.select("path", tail_chars(F.col("all"), most).alias("context"))), ("view", text_view(state).select("path", F.col("view").alias("context")))]
+    raw = tail(lines.where("complete").select("path", "line_no", F.col("raw").cast("string").alias("line")), "line_no", "line", most)
+    flat = tail(flat_log(events), "seq", "line", most)
+    shown = [("raw", raw), ("flatlog", flat), ("view", text_view(state).select("path", F.col("view").alias("context")))]
     out = None
     for name, rows in shown:
         one = rows.select("path", F.lit(name).alias("condition"), "context")

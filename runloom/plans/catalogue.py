@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from runloom.functions import expressions as X
 from runloom.operators import contexts, correlation, counters, detectors, episodes, evaluation, facts, fold, nodes, ranges, recount, views
 from runloom.session import scratch_path
-from runloom.sources import adapters, transcripts
+from runloom.sources import adapters, sinks, transcripts
 from runloom.streaming import live
 
 #: Thresholds that the small user sessions reach.
@@ -597,6 +597,34 @@ _register(
 )
 
 
+LIFE_SQL = f"""
+, hits AS (SELECT *, count(*) OVER (PARTITION BY path, tool, sig ORDER BY no RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS n FROM (
+    SELECT path, seq, event_type AS tool, k % 5 AS sig, row_number() OVER (PARTITION BY path ORDER BY seq) AS no FROM m WHERE kind = 'tool_call')),
+raised AS (SELECT *, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS until FROM hits WHERE n >= {LOOP}),
+after AS (SELECT r.path, r.seq, r.n, (list(h.seq ORDER BY h.seq) FILTER (WHERE h.tool <> r.tool OR h.sig <> r.sig))[6] AS cleared
+          FROM raised r LEFT JOIN hits h ON h.path = r.path AND h.seq > r.seq AND (r.until IS NULL OR h.seq < r.until) GROUP BY r.path, r.seq, r.n),
+numbered AS (SELECT *, coalesce(sum(CAST(cleared IS NOT NULL AS INT)) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS loop FROM after),
+loops AS (SELECT path, CASE WHEN max_by(n, seq) > {LOOP} THEN 'critical' ELSE 'warn' END AS severity, min(seq) AS detected, max(cleared) AS cleared FROM numbered GROUP BY path, loop),
+runs AS (SELECT path, max(CASE WHEN n = {STREAK} THEN seq END) AS detected, any_value(cleared) AS cleared FROM (
+    SELECT *, row_number() OVER (PARTITION BY path, grp ORDER BY seq) AS n FROM (
+      SELECT path, seq, bad, sum(CAST(NOT bad AS INT)) OVER (PARTITION BY path ORDER BY seq) AS grp,
+             min(CASE WHEN NOT bad THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cleared
+      FROM m WHERE kind = 'tool_result') WHERE bad) GROUP BY path, grp HAVING max(n) >= {STREAK}),
+flood AS (SELECT path, min(seq) AS detected FROM (SELECT path, seq, row_number() OVER (PARTITION BY path, event_type ORDER BY seq) AS n FROM m WHERE kind = 'tool_call') WHERE n >= {FLOOD_CAP} GROUP BY path),
+cost AS (SELECT path, min(seq) FILTER (WHERE sofar >= 500000) AS detected, max(sofar) >= 1000000 AS much FROM (
+    SELECT e.path, e.seq, e.side, sum(coalesce(p.micros, 0)) OVER (PARTITION BY e.path ORDER BY e.seq) AS sofar FROM e LEFT JOIN priced p ON p.path = e.path AND p.seq = e.seq) WHERE NOT side GROUP BY path),
+gaps AS (SELECT path, seq, us - lag(us) OVER (PARTITION BY path ORDER BY seq) AS gap,
+           coalesce(max(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS since,
+           min(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS until FROM m),
+stall AS (SELECT g.path, g.until AS cleared, min(g.seq) AS detected FROM gaps g JOIN calls c ON c.path = g.path AND c.call_seq < g.seq AND c.call_seq > g.since
+    LEFT JOIN answers a ON a.path = c.path AND a.corr = c.corr AND a.nth = 1
+    WHERE g.gap >= {int(STALL_S * 1_000_000)} AND (a.seq IS NULL OR a.seq >= g.seq) GROUP BY g.path, g.since, g.until),
+lives AS (SELECT path, 'loop' AS kind, severity, detected AS detected_at_seq, cleared AS cleared_at_seq FROM loops
+    UNION ALL SELECT path, 'error_streak', 'critical', detected, cleared FROM runs UNION ALL SELECT path, 'tool_flood', 'warn', detected, NULL FROM flood
+    UNION ALL SELECT path, 'budget', CASE WHEN much THEN 'critical' ELSE 'warn' END, detected, NULL FROM cost WHERE detected IS NOT NULL
+    UNION ALL SELECT path, 'stall', 'warn', detected, cleared FROM stall)
+"""
+
 # ---------------------------------------------------------------- the exact fold
 
 LIMITS = fold.Limits(stall_s=STALL_S, flood_cap=FLOOD_CAP, loop_repeats=LOOP, loop_window=WINDOW, streak=STREAK, **BUDGET)
@@ -645,33 +673,6 @@ user(
     ORACLE_SQL["error_streaks"].removeprefix(f"WITH {USER_SQL}\n"),
     lambda e: fold.anomalies(_fold(e)).where("kind = 'error_streak'").select("path", "detected_at_seq", F.regexp_extract("message", "^[0-9]+", 0).cast("long").alias("length"), "cleared_at_seq"),
 )
-LIFE_SQL = f"""
-, hits AS (SELECT *, count(*) OVER (PARTITION BY path, tool, sig ORDER BY no RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS n FROM (
-    SELECT path, seq, event_type AS tool, k % 5 AS sig, row_number() OVER (PARTITION BY path ORDER BY seq) AS no FROM m WHERE kind = 'tool_call')),
-raised AS (SELECT *, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS until FROM hits WHERE n >= {LOOP}),
-after AS (SELECT r.path, r.seq, r.n, (list(h.seq ORDER BY h.seq) FILTER (WHERE h.tool <> r.tool OR h.sig <> r.sig))[6] AS cleared
-          FROM raised r LEFT JOIN hits h ON h.path = r.path AND h.seq > r.seq AND (r.until IS NULL OR h.seq < r.until) GROUP BY r.path, r.seq, r.n),
-numbered AS (SELECT *, coalesce(sum(CAST(cleared IS NOT NULL AS INT)) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS loop FROM after),
-loops AS (SELECT path, CASE WHEN max_by(n, seq) > {LOOP} THEN 'critical' ELSE 'warn' END AS severity, min(seq) AS detected, max(cleared) AS cleared FROM numbered GROUP BY path, loop),
-runs AS (SELECT path, max(CASE WHEN n = {STREAK} THEN seq END) AS detected, any_value(cleared) AS cleared FROM (
-    SELECT *, row_number() OVER (PARTITION BY path, grp ORDER BY seq) AS n FROM (
-      SELECT path, seq, bad, sum(CAST(NOT bad AS INT)) OVER (PARTITION BY path ORDER BY seq) AS grp,
-             min(CASE WHEN NOT bad THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cleared
-      FROM m WHERE kind = 'tool_result') WHERE bad) GROUP BY path, grp HAVING max(n) >= {STREAK}),
-flood AS (SELECT path, min(seq) AS detected FROM (SELECT path, seq, row_number() OVER (PARTITION BY path, event_type ORDER BY seq) AS n FROM m WHERE kind = 'tool_call') WHERE n >= {FLOOD_CAP} GROUP BY path),
-cost AS (SELECT path, min(seq) FILTER (WHERE sofar >= 500000) AS detected, max(sofar) >= 1000000 AS much FROM (
-    SELECT e.path, e.seq, e.side, sum(coalesce(p.micros, 0)) OVER (PARTITION BY e.path ORDER BY e.seq) AS sofar FROM e LEFT JOIN priced p ON p.path = e.path AND p.seq = e.seq) WHERE NOT side GROUP BY path),
-gaps AS (SELECT path, seq, us - lag(us) OVER (PARTITION BY path ORDER BY seq) AS gap,
-           coalesce(max(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS since,
-           min(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS until FROM m),
-stall AS (SELECT g.path, g.until AS cleared, min(g.seq) AS detected FROM gaps g JOIN calls c ON c.path = g.path AND c.call_seq < g.seq AND c.call_seq > g.since
-    LEFT JOIN answers a ON a.path = c.path AND a.corr = c.corr AND a.nth = 1
-    WHERE g.gap >= {int(STALL_S * 1_000_000)} AND (a.seq IS NULL OR a.seq >= g.seq) GROUP BY g.path, g.since, g.until),
-lives AS (SELECT path, 'loop' AS kind, severity, detected AS detected_at_seq, cleared AS cleared_at_seq FROM loops
-    UNION ALL SELECT path, 'error_streak', 'critical', detected, cleared FROM runs UNION ALL SELECT path, 'tool_flood', 'warn', detected, NULL FROM flood
-    UNION ALL SELECT path, 'budget', CASE WHEN much THEN 'critical' ELSE 'warn' END, detected, NULL FROM cost WHERE detected IS NOT NULL
-    UNION ALL SELECT path, 'stall', 'warn', detected, cleared FROM stall)
-"""
 _LIFE = ["path", "kind", "severity", "detected_at_seq", "cleared_at_seq"]
 user("anomaly_life_cycles", LIFE_SQL + "SELECT * FROM lives", lambda e: detectors.life_cycles(e, LIMITS))
 user("active_anomalies", LIFE_SQL + "SELECT * EXCLUDE (cleared_at_seq) FROM lives WHERE cleared_at_seq IS NULL", lambda e: detectors.life_cycles(e, LIMITS).where("cleared_at_seq IS NULL").drop("cleared_at_seq"))
@@ -700,10 +701,51 @@ user(
     lambda e: fold.fold(e, fold.Limits(max_facts=10)).select("path", F.explode("aggregates").alias("a")).select("path", "a.base", "a.n", "a.total", F.size("a.keys").alias("keys")),
 )
 user("text_view", None, lambda e: views.text_view(_fold(e)))
+FLEET_SQL = LIFE_SQL + """, active AS (SELECT path, string_agg(kind, ', ' ORDER BY kind) AS anomalies FROM lives WHERE cleared_at_seq IS NULL GROUP BY path),
+spent AS (SELECT path, CAST(sum(micros) AS BIGINT) AS micros FROM priced GROUP BY path)
+"""
 user(
     "fleet",
-    """SELECT path, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls FROM e GROUP BY path""",
-    lambda e: views.fleet(_fold(e)).select("path", "n_turns", "n_tool_calls"),
+    FLEET_SQL + """SELECT path, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls, count(*) FILTER (WHERE NOT side AND bad) AS n_tool_errors,
+         CASE WHEN count(*) FILTER (WHERE turn) > 0 THEN 'signup' ELSE '' END AS ask, any_value(coalesce(micros, 0)) AS micros, any_value(coalesce(anomalies, '')) AS anomalies
+       FROM e LEFT JOIN active USING (path) LEFT JOIN spent USING (path) GROUP BY path""",
+    lambda e: views.fleet(_fold(e)).select("path", "n_turns", "n_tool_calls", "n_tool_errors", "ask", F.round(F.col("cost_usd") * 1_000_000).cast("long").alias("micros"), "anomalies"),
+)
+
+
+def _fleet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each session, written by tasks and committed at once, read back."""
+    folder = scratch_path(spark, "fleet")
+    made = views.pages(_fold(adapters.user_events(spark, sf_dir)))
+    sinks.write_committed(made.select(F.concat(F.lit("user-"), "path", F.lit(".html")).alias("name"), "content"), folder)
+    read = spark.read.option("pathGlobFilter", "user-*.html").text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"user-(\d+)\.html", 1).alias("path"), "value")
+    told = lambda what: F.regexp_extract("value", rf"COUNTERS: .*?{what}=(\d+)", 1).cast("long")
+    return read.select("path", told("turns").alias("n_turns"), told("tool_calls").alias("n_tool_calls"), told("errors").alias("n_tool_errors"), F.regexp_count("value", F.lit(r"ANOMALY\[")).cast("long").alias("n_active"))
+
+
+_register(
+    "fleet_pages",
+    f"WITH {USER_SQL}" + LIFE_SQL + """, active AS (SELECT path, count(*) AS n FROM lives WHERE cleared_at_seq IS NULL GROUP BY path)
+       SELECT path, count(*) FILTER (WHERE turn) AS n_turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_tool_calls, count(*) FILTER (WHERE NOT side AND bad) AS n_tool_errors,
+         any_value(coalesce(n, 0)) AS n_active FROM e LEFT JOIN active USING (path) GROUP BY path""",
+    _fleet_pages,
+)
+SHOWN = 700
+
+
+def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers are shown of conversations: the tails of their raw texts and of their flat logs (and their views, which have no SQL)."""
+    events = adapters.conversation_events(spark, sf_dir)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    lines = adapters.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 1).alias("line_no"), raw.alias("raw"), F.lit(True).alias("complete"))
+    return views.conditions(_fold(events), events, lines, SHOWN).where("condition <> 'view'")
+
+
+_register(
+    "conditions",
+    f"""WITH {TALK_SQL} SELECT path, 'raw' AS condition, right(string_agg(text, chr(10) ORDER BY seq), {SHOWN}) AS context FROM m GROUP BY path
+       UNION ALL SELECT path, 'flatlog', right(string_agg('[' || seq || '] ' || source || '/' || kind || '  ' || replace(substr(text, 1, 200), chr(10), ' '), chr(10) ORDER BY seq), {SHOWN}) FROM m GROUP BY path""",
+    _conditions,
 )
 user(
     "questions",

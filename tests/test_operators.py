@@ -179,6 +179,12 @@ def test_comprehension_of_conditions(spark, session):
     assert {r["n"] for r in scores if r["qid"] == "n_turns"} == {2} and len([r for r in scores if r["qid"] is None]) == 6
 
 
+def test_comprehension_as_a_command(spark, session):
+    folder, _ = session
+    scores = cli.comprehend_bench(spark, str(folder / "one.jsonl"), ["plain=tests.test_operators:_reader", "broken=tests.test_operators:_broken"]).collect()
+    assert {r["condition"]: r["accuracy"] for r in scores if r["qid"] == "n_turns"} == {"flatlog": 0.5, "raw": 0.0, "view": 0.0}
+
+
 @pytest.fixture(scope="module")
 def session(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("s")
@@ -212,6 +218,8 @@ def test_commands(spark, session, tmp_path):
     assert 'http-equiv="refresh"' in (tmp_path / "w.html").read_text()
     rows = {r["path"].split("/")[-1]: r for r in cli.fleet(spark, str(folder), out=str(tmp_path / "fleet")).collect()}
     assert rows["one.jsonl"]["outcome"] == "ok" and rows["bad.jsonl"]["outcome"].startswith("parse-error")
+    page = (tmp_path / "fleet" / rows["one.jsonl"]["page"]).read_text()
+    assert "COUNTERS: " in page and rows["one.jsonl"]["page"] in (tmp_path / "fleet" / "index.html").read_text() and rows["one.jsonl"]["ask"]
     assert rows["one.jsonl"]["live"] and "live" in (tmp_path / "fleet" / "index.html").read_text()
     os.utime(folder / "bad.jsonl", (1e9, 1e9))
     assert [(r["path"].split("/")[-1], r["live"]) for r in cli.fleet(spark, str(folder), most=1, out=str(tmp_path / "fleet")).collect()] == [("one.jsonl", True)]
