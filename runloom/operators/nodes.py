@@ -157,6 +157,67 @@ def stale_closure(versions: DataFrame, roots: DataFrame, max_rounds: int = 10_00
     return spark.read.schema(seen).parquet(f"{folder}/met").where("depth > 0").select("ref", "depth")
 
 
+def _keys(refs: DataFrame) -> DataFrame:
+    """(on, depth): what a dependency on each of refs(ref, depth) may say: the ref, or its bare id."""
+    bare = F.substring_index("ref", "@", 1)
+    return refs.select(F.col("ref").alias("on"), "depth").union(refs.select(bare.alias("on"), "depth")).groupBy("on").agg(F.min("depth").alias("depth"))
+
+
+def advance_closure(kept: DataFrame, versions: DataFrame, added: DataFrame, roots: DataFrame, new_roots: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """The stale closure (ref, depth) of versions and added together, from the one that is kept of versions and roots(ref).
+
+    Only what the added versions, and new_roots if any, touch is followed: refs that were reached through a head that is no
+    longer one are taken out (and what was reached through them), then those that are still reached, now or by new ones, are
+    put in again from what was kept, and a ref that is reached sooner passes that on. Rounds are tables in the shared
+    folder. An added version is the next of its node. More than max_rounds of either kind are an error.
+    """
+    spark, folder = versions.sparkSession, scratch_path(versions.sparkSession, "advance")
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    def until_none(frontier: DataFrame, step, name: str) -> DataFrame:
+        """All frontiers, each made by step(frontier, those so far)."""
+        schema = frontier.schema
+        for n in range(max_rounds):
+            frontier = written(frontier, f"{name}/round={n}")
+            so_far = spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(*[f"{folder}/{name}/round={i}" for i in range(n + 1)]).select(*schema.names)
+            if not frontier.limit(1).count():
+                return so_far
+            frontier = step(frontier, so_far)
+        raise RuntimeError(f"the closure was not complete after {max_rounds} rounds")
+
+    new_heads = written(heads(added).select("node_id", "dependencies", ref().alias("ref")), "heads")
+    old_edges = written(dependency_edges(versions), "before")
+    gone = heads(versions).join(new_heads.select("node_id"), "node_id", "left_semi").select(ref().alias("ref"))
+    # Out: heads of before that were reached, and what was reached through them.
+    first = kept.join(gone, "ref", "left_semi").select("ref")
+    reached = kept.select("ref")
+    out = until_none(first, lambda f, known: _keys(f.withColumn("depth", F.lit(0))).join(old_edges, "on").select("ref").distinct().join(reached, "ref", "left_semi").join(known, "ref", "left_anti"), "out").distinct()
+    out = written(out, "taken")
+    still = out.join(gone, "ref", "left_anti")
+    edges = written(old_edges.join(gone, "ref", "left_anti").select("on", "ref").union(new_heads.select(F.explode("dependencies").alias("on"), "ref")).distinct(), "after")
+    zero = roots.select("ref").union(new_roots.select("ref")) if new_roots is not None else roots.select("ref")
+    zero = zero.distinct().withColumn("depth", F.lit(0))
+    base = written(kept.join(out, "ref", "left_anti").select("ref", F.col("depth").cast("int").alias("depth")).union(zero).groupBy("ref").agg(F.min("depth").alias("depth")), "base")
+    # In: edges to refs that were taken out or are new, and those from new roots.
+    targets = still.union(new_heads.select("ref")).distinct()
+    into = edges.join(targets, "ref", "left_semi").join(_keys(base), "on").select("ref", F.col("depth") + 1)
+    if new_roots is not None:
+        into = into.union(_keys(new_roots.select("ref", F.lit(0).alias("depth"))).join(edges, "on").select("ref", F.lit(1)))
+    into = into.toDF("ref", "depth").groupBy("ref").agg(F.min("depth").alias("depth"))
+
+    def sooner(found: DataFrame, known: DataFrame) -> DataFrame:
+        best = base.union(known).groupBy("ref").agg(F.min("depth").alias("best"))
+        return found.join(best, "ref", "left").where("best IS NULL OR depth < best").select("ref", "depth")
+
+    none = spark.createDataFrame([], "ref string, depth int")
+    step = lambda f, known: sooner(_keys(f).join(edges, "on").groupBy("ref").agg((F.min("depth") + 1).alias("depth")), known)
+    found = until_none(sooner(into, none), step, "in")
+    return base.union(found).groupBy("ref").agg(F.min("depth").alias("depth")).where("depth > 0")
+
+
 def propagate(versions: DataFrame, validity: DataFrame, roots: DataFrame, root_state: str | None = None) -> DataFrame:
     """validity after roots changed to root_state (none: they keep theirs) and their current dependents became suspect."""
     if root_state:

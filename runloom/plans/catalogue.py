@@ -502,6 +502,28 @@ _register(
 )
 
 
+def _waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure kept over two waves of versions: nations of keys 4k + 1 come to depend on nothing, suppliers of keys 5k on region 1."""
+    first = _geography(spark, sf_dir)
+    roots = spark.range(1).select(F.lit("r1@1").alias("ref"))
+    next_of = lambda rows, *deps: rows.withColumn("version", F.lit(2)).withColumn("dependencies", F.array(*map(F.lit, deps)).cast("array<string>"))
+    nations, suppliers = next_of(first.where("node_id like 'n%' AND covered_lo % 4 = 1")), next_of(first.where("node_id like 's%' AND covered_lo % 5 = 0"), "r1@1")
+    one = nodes.advance_closure(nodes.stale_closure(first, roots), first, nations, roots)
+    two = nodes.advance_closure(one, first.union(nations), suppliers, roots)
+    return one.withColumn("wave", F.lit(1)).union(two.withColumn("wave", F.lit(2))).select("wave", "ref", "depth")
+
+
+_register(
+    "staleness_waves",
+    """WITH n AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1 AND n_nationkey % 4 <> 1)
+       SELECT CAST(wave AS BIGINT) AS wave, 'n' || k || '@1' AS ref, CAST(1 AS BIGINT) AS depth FROM n, (VALUES (1), (2)) w(wave)
+       UNION ALL SELECT 1, 's' || s_suppkey || '@1', 2 FROM supplier JOIN n ON k = s_nationkey
+       UNION ALL SELECT 2, 's' || s_suppkey || '@1', 2 FROM supplier JOIN n ON k = s_nationkey WHERE s_suppkey % 5 <> 0
+       UNION ALL SELECT 2, 's' || s_suppkey || '@2', 1 FROM supplier WHERE s_suppkey % 5 = 0""",
+    _waves,
+)
+
+
 def _label_spans(events: DataFrame) -> DataFrame:
     """Labels on lines 3 to 7 and 10 to 2000 of each session."""
     marks = F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.lit(3).alias("start"), F.lit(7).alias("end")), F.struct(F.lit("b").alias("kind"), F.lit(10).alias("start"), F.lit(2000).alias("end"))))

@@ -75,3 +75,29 @@ def test_a_closure_that_is_cut_off_is_an_error(spark):
     assert nodes.stale_closure(chain, roots).count() == 11
     with pytest.raises(RuntimeError, match="3 rounds"):
         nodes.stale_closure(chain, roots, max_rounds=3)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_kept_closure_is_that_computed_anew(spark, seed):
+    """Waves of new versions on a random graph, with cycles, pinned and bare dependencies, and a root that comes later."""
+    rng = random.Random(seed)
+    last = {f"n{i}": 1 for i in range(14)}
+
+    def row(node, version):
+        deps = [f"{d}@{rng.randrange(1, last[d] + 1)}" if rng.random() < 0.4 else d for d in rng.sample(sorted(last), rng.randrange(3))]
+        return (node, version, 0, 0, None, deps, "")
+
+    versions = table(spark, [row(n, 1) for n in last])
+    roots = spark.createDataFrame([("n0@1",)], "ref string")
+    kept = nodes.stale_closure(versions, roots)
+    for wave in range(3):
+        changed = rng.sample(sorted(last), 4)
+        rows = [row(n, last[n] + 1) for n in changed] + ([(f"m{wave}", 1, 0, 0, None, ["n0", "n3"], "")])
+        last |= {n: last[n] + 1 for n in changed} | {f"m{wave}": 1}
+        added = table(spark, rows)
+        more = spark.createDataFrame([("n5@1",)], "ref string") if wave == 1 else None
+        kept = nodes.advance_closure(kept, versions, added, roots, more)
+        roots = roots.union(more) if more is not None else roots
+        versions = table(spark, [tuple(r) for r in versions.union(added).collect()])
+        want = {(r["ref"], r["depth"]) for r in nodes.stale_closure(versions, roots).collect()}
+        assert {(r["ref"], r["depth"]) for r in kept.collect()} == want, wave
