@@ -23,48 +23,73 @@ table gives an empty result. Only the id and the text are read.
 
 from __future__ import annotations
 
-import re
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.llm.common import bounded_batches, place_of, table
+from runloom.llm.common import bounded_batches, place_of, table, written
 
 SAMPLE = 4_000
+#: Share of the sample that is drawn from all patterns of votes alike.
+ALIKE = 0.25
 FEATURES = 2_048
 GRAM = 4
 #: Bytes whose n-grams are hashed at once, which bounds the memory of a very long text.
 CHUNK = 1 << 20
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
-SYMBOLS = re.compile(rb"[#$%&*+/<=>@\\^_`{|}~]")
-
-
-def _shares(data: bytes, text: str) -> dict[str, float]:
+_ALL = np.arange(256)
+_SPACE = np.isin(_ALL, list(b" \t\n\x0b\x0c\r"))
+#: Bytes of words: letters and digits, and all of characters beyond ASCII.
+_WORD = (_ALL >= 128) | np.array([bytes([c]).isalnum() for c in range(256)])
+_SYMBOL, _CLOSING, _OPENING = (np.isin(_ALL, list(x)) for x in (b"#$%&*+/<=>@\\^_`{|}~", b".,;:!?)\"'", b"(\"'"))
+
+
+def rims(data: bytes, chunk: int = CHUNK) -> int:
+    """Odd rims of tokens: a token of no word byte; one that ends in two such bytes, or in one that closes nothing; one that
+    begins with one that opens nothing."""
+    n, padded = 0, b" " + data + b" "
+    for at in range(1, len(data) + 1, chunk):
+        b = np.frombuffer(padded, np.uint8)[at - 1 : at + chunk + 1]
+        here, odd, space = b[1:-1], ~_WORD[b], _SPACE[b]
+        inside = ~space[1:-1]
+        first, last = inside & space[:-2], inside & space[2:]
+        lone = first & last & odd[1:-1]
+        n += int(lone.sum())
+        n += int((last & ~first & odd[1:-1] & (~_CLOSING[here] | odd[:-2])).sum())
+        n += int((first & ~last & odd[1:-1] & ~_OPENING[here]).sum())
+    return n
+
+
+def _shares(data: bytes) -> dict[str, float]:
     """What the labellers look at; data holds at least one word."""
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip()]
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
-    lengths = [len(w) for w in text.split()]
+    single = sum(np.bincount(np.frombuffer(data[at : at + CHUNK], np.uint8), minlength=256) for at in range(0, len(data), CHUNK))
+    beyond = int(single[192:].sum())  # characters beyond ASCII, taken to be letters
+    chars = int(single[:128].sum()) + beyond
+    capitals = int(single[65:91].sum())
+    letters = capitals + int(single[97:123].sum()) + beyond
+    solid = chars - int(single[_SPACE].sum())
     return {
         "words": len(words),
-        "digits": sum(map(len, re.findall(r"\d+", text))) / max(1, sum(lengths)),
-        "length": sum(lengths) / max(1, len(lengths)),
-        "longest": max(lengths, default=0),
+        "digits": int(single[48:58].sum()) / max(1, solid),
+        "length": solid / len(words),
+        "longest": max(map(len, words)),
         "lines": len(lines),
         "fresh": len(set(lines)) / len(lines),
-        "symbols": len(SYMBOLS.findall(data)) / len(text),
-        "capitals": sum(map(len, re.findall(r"[A-Z]+", text))) / max(1, letters),
-        "letters": letters / len(text),
+        "symbols": int(single[_SYMBOL].sum()) / chars,
+        "capitals": capitals / max(1, letters),
+        "letters": letters / chars,
         "distinct": min(1.0, len(set(words)) / min(len(words), 200)),  # a long text repeats its words anyway
-        "runs": sum(a == b for a, b in zip(words, words[1:])) / len(words),
-        "bars": data.count(b"|") / len(words),
-        "shouts": data.count(b"!!") / len(words),
+        "runs": sum(map(operator.eq, words, words[1:])) / len(words),
+        "rims": rims(data) / len(words),
         "ends": sum(x.rstrip()[-1:] in b".!?\"')" for x in lines) / len(lines),
-        "marked": sum(w[-1] < 128 and not w[-1:].isalnum() and w[-1:] not in b".,;:!?)\"'" for w in words) / len(words),
     }
 
 
@@ -74,15 +99,13 @@ LABELLERS = {
     "capitals": lambda s: BAD if s["words"] >= 5 and s["capitals"] > 0.5 else ABSTAIN,
     "distinct": lambda s: BAD if s["words"] >= 20 and s["distinct"] < 0.25 else ABSTAIN,
     "runs": lambda s: BAD if s["words"] >= 5 and s["runs"] > 0.1 else ABSTAIN,
-    "bars": lambda s: BAD if s["bars"] > 0.1 else ABSTAIN,
-    "shouts": lambda s: BAD if s["shouts"] > 0.1 else ABSTAIN,
-    "marked": lambda s: BAD if s["marked"] > 0.2 else ABSTAIN,
+    "rims": lambda s: BAD if s["rims"] > 0.15 else ABSTAIN,
     "digits": lambda s: BAD if s["digits"] > 0.3 else ABSTAIN,
     "tokens": lambda s: BAD if s["words"] >= 3 and (s["length"] > 20 or s["length"] < 1.5) or s["longest"] > 100 and s["words"] < 50 else ABSTAIN,
     "again": lambda s: BAD if s["lines"] >= 4 and s["fresh"] < 0.5 else ABSTAIN,
     "letters": lambda s: BAD if s["letters"] < 0.6 else GOOD if s["letters"] >= 0.75 else ABSTAIN,
     "ends": lambda s: BAD if s["words"] >= 5 and s["ends"] < 0.2 else GOOD if s["ends"] >= 0.6 else ABSTAIN,
-    "plain": lambda s: GOOD if max(s["symbols"], s["bars"], s["shouts"], s["marked"], s["runs"]) < 0.02 and s["capitals"] < 0.2 and (s["words"] < 20 or s["distinct"] > 0.4) else ABSTAIN,
+    "plain": lambda s: GOOD if max(s["symbols"], s["rims"], s["runs"]) < 0.02 and s["capitals"] < 0.2 and (s["words"] < 20 or s["distinct"] > 0.4) else ABSTAIN,
 }
 
 
@@ -91,7 +114,7 @@ def votes(text: str | None) -> tuple[int, ...]:
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data.strip():
         return (BAD,) * len(LABELLERS)
-    shares = _shares(data, text)
+    shares = _shares(data)
     return tuple(vote(shares) for vote in LABELLERS.values())
 
 
@@ -106,15 +129,15 @@ def pattern_of(told: tuple[int, ...]) -> int:
     return code
 
 
-def patterns(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern) of every row of docs(doc_id, text): the votes as digits to the base of three."""
+def patterns(hashed: DataFrame) -> DataFrame:
+    """(h, pattern) of every row of hashed(h, text): the votes as digits to the base of three."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [pattern_of(votes(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], names=["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], names=["h", "pattern"])
 
-    return docs.mapInArrow(each, "doc_id long, pattern int")
+    return hashed.mapInArrow(each, "h long, pattern int")
 
 
 class LabelModel:
@@ -171,7 +194,7 @@ def features(text: str | None) -> np.ndarray:
         single += np.bincount(np.frombuffer(data[at : at + CHUNK], np.uint8), minlength=256)
     shares = counts / max(1, counts.sum())
     words = data.split()
-    runs = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+    runs = sum(map(operator.eq, words, words[1:])) / max(1, len(words))
     return np.concatenate([np.sqrt(shares), np.sqrt(single / max(1, len(data))), [np.sqrt(runs), np.sqrt((shares * shares).sum())]]).astype(np.float32)
 
 
@@ -180,14 +203,16 @@ class Scorer:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, x: np.ndarray, soft: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
-        """Logistic regression on soft labels by Adam over the whole sample."""
+    def fit(cls, x: np.ndarray, soft: np.ndarray, weights: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
+        """Logistic regression on soft labels by Adam over the whole sample, whose rows may weigh differently."""
         x, soft = x.astype(np.float32, copy=False), soft.astype(np.float32)
+        weigh = np.ones(len(x), np.float32) if weights is None else (weights / weights.mean()).astype(np.float32)
         w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
         m, v = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
         for t in range(1, steps + 1):
             p = 1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50)))
-            g = np.append((p - soft) @ x / np.float32(len(x)) + np.float32(decay) * w, (p - soft).mean())
+            off = (p - soft) * weigh
+            g = np.append(off @ x / np.float32(len(x)) + np.float32(decay) * w, off.mean())
             m, v = np.float32(0.9) * m + np.float32(0.1) * g, np.float32(0.999) * v + np.float32(0.001) * g * g
             step = np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.999**t))) + np.float32(1e-8))
             w, b = w - step[:-1], b - step[-1]
@@ -199,31 +224,39 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(features(text) @ self.weights + self.bias, -50, 50))))
 
 
+def quotas(sizes: np.ndarray, sample: int) -> np.ndarray:
+    """How many of each pattern to draw: a part of the sample alike, the rest in proportion to their sizes, where there are so many."""
+    return np.minimum(sizes, np.ceil(sample * (1 - ALIKE) * sizes / sizes.sum() + sample * ALIKE / len(sizes)))
+
+
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer] | None:
-    """The label model of all rows of docs, and a scorer fitted on the `sample` documents with the least hashes of id and text."""
-    rows = _rows(docs, id_col, text_col)
-    counted = patterns(rows).groupBy("pattern").agg(F.count("*").alias("n")).collect()
+    """The label model of all rows of docs, and a scorer fitted on about `sample` documents: of each pattern of votes, those with
+    the least hashes of id and text."""
+    hashed = _rows(docs, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    told = written(patterns(hashed), "votes")
+    counted = sorted(told.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("differ")).collect(), key=lambda r: r["pattern"])
     if not counted:
         return None
-    codes, counts = np.array([r["pattern"] for r in counted]), np.array([r["n"] for r in counted], float)
-    order = np.argsort(codes)
-    model = LabelModel(len(LABELLERS)).fit(codes[order], counts[order])
+    codes, counts, differ = (np.array([r[c] for r in counted], kind) for c, kind in (("pattern", np.int64), ("n", float), ("differ", float)))
+    model = LabelModel(len(LABELLERS)).fit(codes, counts)
+    # About twice what is wanted lies below each pattern's bound; equal rows have one hash and are drawn once.
+    wanted = quotas(differ, sample)
+    bounds = docs.sparkSession.createDataFrame([(int(p), int(q), float(2 * q / d if d > 4 * q else 2.0)) for p, q, d in zip(codes, wanted, differ)], "pattern int, wanted long, share double")
+    below = told.join(F.broadcast(bounds), "pattern").where(place_of(F.col("h")) < F.col("share")).groupBy("pattern", "h").agg(F.min("wanted").alias("wanted"))
+    nth = F.row_number().over(W.partitionBy("pattern").orderBy("h"))
+    drawn = written(below.withColumn("nth", nth).where(F.col("nth") <= F.col("wanted")).select("h", "pattern"), "drawn")  # the sample's size at most, and a row a pattern
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([pattern_of(votes(x)) for x in texts], pa.int32()), pa.array([features(x).tobytes() for x in texts], pa.binary())], names=["h", "pattern", "x"]
-            )
-
-    # About twice the sample lies below the bound; equal rows have one hash and are drawn once. The texts of only these are looked at.
-    hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    share = min(1.0, 2 * sample / max(1, hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]))
-    below = hashed if share > 0.5 else hashed.where(place_of(F.col("h")) < share)
-    drawn = below.mapInArrow(each, "h long, pattern int, x binary").groupBy("h").agg(F.min_by(F.struct("pattern", "x"), "x").alias("of"))
-    drawn = drawn.orderBy("h").limit(sample).select("of.*").collect()
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn), np.float32).reshape(len(drawn), -1)
-    return model, Scorer.fit(x, model.posterior(np.array([r["pattern"] for r in drawn])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(x).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["h", "pattern", "x"])
+
+    met = hashed.join(F.broadcast(drawn), "h").select("h", "pattern", "text").mapInArrow(each, "h long, pattern int, x binary")
+    rows = met.groupBy("h", "pattern").agg(F.min("x").alias("x")).orderBy("h", "pattern").collect()
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), -1)
+    drawn_codes = np.array([r["pattern"] for r in rows])
+    # A rare pattern weighs more than its share, but not as much more as it is drawn.
+    weights = np.sqrt(differ / wanted)[np.searchsorted(codes, drawn_codes)]
+    return model, Scorer.fit(x, model.posterior(drawn_codes), weights)
 
 
 def score_quality(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -61,6 +61,29 @@ def test_chunks_do_not_matter(monkeypatch):
     assert np.array_equal(whole, Q.features(text))
 
 
+def test_rims_of_tokens():
+    """Plainly, token by token; and wherever chunks end."""
+    def plain(data):
+        n = 0
+        for w in data.split():
+            odd = [not (c >= 128 or bytes([c]).isalnum()) for c in w]
+            if len(w) == 1:
+                n += odd[0]
+            else:
+                n += (odd[-1] and (w[-1:] not in b".,;:!?)\"'" or odd[-2])) + (odd[0] and w[:1] not in b"(\"'")
+        return n
+
+    rng = random.Random(3)
+    for _ in range(200):
+        data = "".join(rng.choice("ab1é |#!.,()'\"- \n") for _ in range(rng.randrange(60))).encode()
+        assert {Q.rims(data, c) for c in (1, 2, 7, 1000)} == {plain(data)}, data
+
+
+def test_rare_patterns_are_in_the_sample():
+    got = Q.quotas(np.array([1e6, 1e5, 30.0, 5.0]), 400)
+    assert got.tolist() == [298, 53, 26, 5]
+
+
 def test_empty(spark, no_docs):
     assert Q.fit_quality(no_docs) is None and Q.score_quality(no_docs, None).count() == 0
 
