@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -426,6 +428,21 @@ _register(
 )
 
 
+_register(
+    "file_questions",
+    f"""WITH {USER_SQL} SELECT path, string_agg(DISTINCT '/u' || path || '/' || (k % 5) || '.txt', ';' ORDER BY '/u' || path || '/' || (k % 5) || '.txt') AS truth FROM m WHERE event_type = 'view' GROUP BY path""",
+    lambda spark, sf_dir: _file_questions(spark, sf_dir),
+)
+
+
+def _file_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The question about files of each user's transcript, and what is right."""
+    events = transcripts.read_events(spark, _user_transcripts(spark, sf_dir, apart=True))
+    state = _fold(events)
+    asked = views.questions(state, events).where("qid = 'files'")
+    return asked.join(state.select("path", "session_id"), "path").select(F.col("session_id").alias("path"), F.array_join("truth", ";").alias("truth"))
+
+
 def _streak_scores(events: DataFrame) -> DataFrame:
     """Detections of the fold against labels by another rule: runs of failed results, of which those of exactly STREAK are
     left unlabelled (so their detection is false) and those one shorter are labelled (so they are missed)."""
@@ -799,7 +816,55 @@ user(
        UNION ALL SELECT path, 'stall', 'warn', seq FROM stall""",
     lambda e: fold.active_anomalies(_fold(e)).where("kind <> 'loop'").select("path", "kind", "severity", "detected_at_seq"),
 )
-user("graded_answers", "SELECT unnest(['dangling', 'last_error', 'latest_ask', 'n_turns', 'top_tool']) AS qid, CAST(1 AS DOUBLE) AS score, unnest([(SELECT count(DISTINCT path) FROM e), (SELECT count(DISTINCT path) FROM m WHERE bad), (SELECT count(DISTINCT path) FROM e WHERE turn), (SELECT count(DISTINCT path) FROM e), (SELECT count(DISTINCT path) FROM calls)]) AS n", lambda e: evaluation.grade(views.questions(_fold(e), e).withColumn("answer", F.array_join("truth", "; "))).groupBy("qid").agg(F.avg("score").alias("score"), F.count("*").alias("n")))
+def _answered(events: DataFrame) -> DataFrame:
+    """Mean grades of answers that are right, wrong or half right by the number of the user."""
+    u, t = F.col("path").cast("long"), F.get("truth", F.lit(0))
+    said = F.when(F.col("qid") == "n_turns", (t.cast("long") + u % 2).cast("string")).when(F.col("qid") == "top_tool", F.when(u % 3 == 0, "click").otherwise("It was VIEW."))
+    said = said.when(F.col("qid") == "latest_ask", F.when(u % 5 == 0, "nothing of it").otherwise("The SIGNUP of yesterday")).when(F.col("qid") == "last_error", F.when(u % 4 == 0, "no idea what").otherwise(F.split(t, "\n")[0]))
+    said = said.otherwise(F.coalesce(t, F.lit("none")))
+    graded = evaluation.grade(views.questions(_fold(events), events).withColumn("answer", said))
+    return graded.groupBy("qid").agg(F.round(F.avg("score") * 1_000_000).cast("long").alias("score_millionths"), F.count("*").alias("n"))
+
+
+user(
+    "graded_answers",
+    """, t AS (SELECT path, event_type AS tool, count(*) AS n, min(seq) AS f FROM m WHERE kind = 'tool_call' GROUP BY ALL),
+       open AS (SELECT path, count(DISTINCT tool) AS n FROM calls c WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.path = c.path AND a.corr = c.corr) GROUP BY path),
+       s AS (SELECT 'latest_ask' AS qid, CASE WHEN CAST(path AS BIGINT) % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM (SELECT DISTINCT path FROM e WHERE turn)
+         UNION ALL SELECT 'n_turns', CASE WHEN CAST(path AS BIGINT) % 2 = 1 THEN 0.0 ELSE 1.0 END FROM (SELECT DISTINCT path FROM e)
+         UNION ALL SELECT 'top_tool', CASE WHEN tool = CASE WHEN CAST(path AS BIGINT) % 3 = 0 THEN 'click' ELSE 'view' END THEN 1.0 ELSE 0.0 END FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, f) AS r FROM t) WHERE r = 1
+         UNION ALL SELECT 'last_error', CASE WHEN CAST(path AS BIGINT) % 4 = 0 THEN 0.0 ELSE 1.0 END FROM (SELECT DISTINCT path FROM m WHERE bad)
+         UNION ALL SELECT 'dangling', CASE WHEN coalesce(n, 0) = 2 THEN 2.0 / 3 ELSE 1.0 END FROM (SELECT DISTINCT path FROM e) LEFT JOIN open USING (path))
+       SELECT qid, CAST(round(avg(score) * 1000000) AS BIGINT) AS score_millionths, count(*) AS n FROM s GROUP BY qid""",
+    _answered,
+)
+
+
+def _view_parts(events: DataFrame) -> DataFrame:
+    """What the text view says of counters (but for the cost), tools, facts and failures."""
+    line = F.split("view", "\n")
+    starting = lambda *heads: F.array_join(F.filter(line, lambda x: functools.reduce(lambda c, h: c | x.startswith(h), heads[1:], x.startswith(heads[0]))), "\n")
+    failed = F.regexp_extract("view", r"(?s)RECENT FAILURES:\n(.*?)\n\n## Episodes", 1)
+    return views.text_view(_fold(events)).select(
+        "path", F.regexp_replace(starting("COUNTERS: "), r" est_cost=\S+", "").alias("counters"), starting("TOP TOOLS: ").alias("tools"), starting("KEY FACTS (").alias("heading"),
+        starting("  cents", "  kk").alias("facts"), failed.alias("failures"),
+    )
+
+
+user(
+    "text_view_parts",
+    FACT_SQL + """, counts AS (SELECT path, count(*) FILTER (WHERE turn) AS turns, count(*) FILTER (WHERE NOT side AND kind = 'tool_call') AS n_calls, count(*) FILTER (WHERE NOT side AND bad) AS errors FROM e GROUP BY path),
+       o AS (SELECT path, CAST(sum(cents) AS BIGINT) AS spoken FROM usage GROUP BY path),
+       t AS (SELECT path, string_agg(tool || '×' || n, ', ' ORDER BY n DESC, f) AS tools FROM (SELECT path, tool, count(*) AS n, min(call_seq) AS f FROM calls GROUP BY ALL) GROUP BY path),
+       k AS (SELECT path, count(*) AS n, string_agg('  ' || key || ' = ' || value, chr(10) ORDER BY base, key) AS facts FROM named GROUP BY path),
+       f AS (SELECT path, string_agg('  - ' || said, chr(10) ORDER BY seq) AS failures FROM (
+         SELECT m.path, m.seq, coalesce(a.tool, '?') || ': cents = ' || m.cents || chr(10) || 'kk = ' || m.k AS said, row_number() OVER (PARTITION BY m.path ORDER BY m.seq DESC) AS back
+         FROM m LEFT JOIN answers a ON a.path = m.path AND a.seq = m.seq WHERE m.bad) WHERE back <= 5 GROUP BY path)
+       SELECT counts.path, 'COUNTERS: turns=' || turns || ' tool_calls=' || n_calls || ' errors=' || errors || ' tokens(out=' || coalesce(spoken, 0) || ', cache_read=0)' AS counters, 'TOP TOOLS: ' || coalesce(tools, '(none)') AS tools,
+         CASE WHEN n > 0 THEN 'KEY FACTS (' || n || ' in view of ' || n || ' extracted — grouped by key; evicted values fold into [aggregate] lines):' ELSE '' END AS heading, coalesce(facts, '') AS facts, coalesce(failures, '') AS failures
+       FROM counts LEFT JOIN o USING (path) LEFT JOIN t USING (path) LEFT JOIN k USING (path) LEFT JOIN f USING (path)""",
+    _view_parts,
+)
 
 # ---------------------------------------------------------------- transcripts
 
