@@ -8,7 +8,6 @@ from runloom.operators import counters
 from runloom.operators.fold import fold
 from runloom.schema import INLINE_CAP
 from runloom.sources import fixtures, transcripts
-from runloom.streaming import live
 
 
 def rec(kind, **body):
