@@ -428,6 +428,72 @@ _register(
 )
 
 
+_register(
+    "raw_timestamps",
+    f"WITH {USER_SQL} SELECT path || ':' || seq || '#0' AS event_id, us FROM e",
+    _raw_events(lambda e: e.select("event_id", X.micros(F.col("ts")).alias("us"))),
+)
+
+
+def _block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose content is a list of blocks, one for each line of the text, and one that is no text."""
+    rows = adapters.table(spark, sf_dir, "conversations").where("role = 'user'")
+    block = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text")))
+    image = F.array(F.struct(F.lit("image").alias("type"), F.col("conv_id").cast("string").alias("text")))
+    record = F.struct(F.lit("user").alias("type"), F.format_string("%d:%d", "conv_id", "turn").alias("uuid"), F.struct(F.lit("user").alias("role"), F.concat(block, image).alias("content")).alias("message"))
+    path = scratch_path(spark, "blocks")
+    rows.select(F.to_json(record).alias("value")).write.text(path)
+    return transcripts.read_events(spark, path).select("event_id", F.col("payload.sha256").alias("sha256"), F.col("payload.char_len").alias("char_len"))
+
+
+_register(
+    "block_texts",
+    # Texts of blocks are joined by line feeds, empty ones left out; a block of another type is shown as JSON.
+    """SELECT event_id, sha256(said) AS sha256, length(said) AS char_len FROM (
+         SELECT conv_id || ':' || turn || '#0' AS event_id, array_to_string(list_append(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''), '{"type": "image", "text": "' || conv_id || '"}'), chr(10)) AS said
+         FROM conversations WHERE role = 'user')""",
+    _block_texts,
+)
+
+
+def _session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all customers' sessions, those of nations 20 and above put with subagents, as the listing finds them."""
+    rows, folder = adapters.table(spark, sf_dir, "customer"), scratch_path(spark, "sessions")
+    sub = F.col("c_nationkey") >= 20
+    for part, where in (("main", ~sub), ("subagents", sub)):
+        sinks.write_committed(rows.where(where).select(F.concat(F.lit("c"), "c_custkey", F.lit(".jsonl")).alias("name"), F.repeat(F.lit("\n"), (F.col("c_custkey") % 7 + 1).cast("int")).alias("content")), f"{folder}/{part}")
+    listed = transcripts.list_sessions(spark, folder, 1 << 30)
+    return listed.select(F.regexp_extract("path", r"c(\d+)\.jsonl$", 1).cast("long").alias("custkey"), "length")
+
+
+_register("session_files", "SELECT c_custkey AS custkey, c_custkey % 7 + 1 AS length FROM customer WHERE c_nationkey < 20", _session_files)
+
+
+class GoodRuns:
+    """A detector of one's own: runs of at least STREAK results that are no failures."""
+
+    def __init__(self):
+        self.seqs: list[int] = []
+
+    def observe(self, row: dict, state) -> None:
+        if row["kind"] != "tool_result":
+            return
+        self.seqs = [] if row["bad"] else [*self.seqs, row["seq"]]
+        if len(self.seqs) >= STREAK:
+            state.fire("good_run", "info", row["seq"], self.seqs, message=f"{len(self.seqs)} good results")
+        elif row["bad"]:
+            state.clear("good_run", row["seq"])
+
+
+user(
+    "detector_of_ones_own",
+    f"""SELECT path, max(CASE WHEN n = {STREAK} THEN seq END) AS detected_at_seq, any_value(ended) AS cleared_at_seq, max(n) || ' good results' AS message FROM (
+         SELECT *, row_number() OVER (PARTITION BY path, grp ORDER BY seq) AS n FROM (
+           SELECT path, seq, bad, sum(CAST(bad AS INT)) OVER (PARTITION BY path ORDER BY seq) AS grp,
+                  min(CASE WHEN bad THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ended
+           FROM m WHERE kind = 'tool_result') WHERE NOT bad) GROUP BY path, grp HAVING max(n) >= {STREAK}""",
+    lambda e: fold.anomalies(fold.fold(e, LIMITS, (GoodRuns,))).where("kind = 'good_run'").select("path", "detected_at_seq", "cleared_at_seq", "message"),
+)
 _register(
     "file_questions",
     f"""WITH {USER_SQL} SELECT path, string_agg(DISTINCT '/u' || path || '/' || (k % 5) || '.txt', ';' ORDER BY '/u' || path || '/' || (k % 5) || '.txt') AS truth FROM m WHERE event_type = 'view' GROUP BY path""",

@@ -441,7 +441,7 @@ def unknown_types(decoded: DataFrame) -> DataFrame:
 
 
 def list_sessions(spark: SparkSession, path: str, most: int = 15) -> DataFrame:
-    """The latest session files under a folder, those of subagents left out."""
+    """The latest session files under a folder, those of subagents and those of no bytes left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
     return files.select("path", "modificationTime", "length").where(~F.contains("path", F.lit("subagents"))).orderBy(F.desc("modificationTime"), "path").limit(most)
 
