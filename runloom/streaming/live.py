@@ -58,13 +58,16 @@ CHANGES = f"path string, observed_seq long, part string, key string, place long,
 
 
 class Stored(Table):
-    """A table of the fold over a map of the state store: keys are read when they are asked for and written when a batch ends."""
+    """A table of the fold over a map of the state store: keys are read when they are asked for and written when a batch ends.
 
-    def __init__(self, name: str, state):
+    While nothing is in the store (a session's first batch, or after clear) nothing is read from it.
+    """
+
+    def __init__(self, name: str, state, empty: bool = False):
         super().__init__(name)
         self.state, self.fields = state, schema_of(TABLES[name]).names
         self.changed: set[str] = set()
-        self.emptied = False
+        self.empty, self.cleared = empty, False
 
     def _value(self, row):
         if row is None:
@@ -92,7 +95,7 @@ class Stored(Table):
         if not key:
             return default
         if not super().__contains__(key):
-            super().__setitem__(key, None if self.emptied else self._value(self.state.getValue((key,))))
+            super().__setitem__(key, None if self.empty else self._value(self.state.getValue((key,))))
         found = super().get(key)
         return default if found is None else found
 
@@ -110,23 +113,23 @@ class Stored(Table):
         return found
 
     def items(self):
-        known = {} if self.emptied else {k[0]: self._value(v) for k, v in self.state.iterator()}
+        known = {} if self.empty else {k[0]: self._value(v) for k, v in self.state.iterator()}
         return [(k, v) for k, v in {**known, **dict(super().items())}.items() if v is not None]
 
     def clear(self) -> None:
         super().clear()
         self.changed.clear()
-        self.emptied = True
+        self.empty, self.cleared = True, self.cleared or not self.empty
 
     def save(self) -> dict:
         """Write what changed; the new values by key, None for those that are gone."""
-        if self.emptied:
+        if self.cleared:
             self.state.clear()
         for key in self.changed:
             value = super().get(key)
             if value is not None:
                 self.state.updateValue((key,), self._row(value))
-            elif not self.emptied:
+            elif not self.empty:
                 self.state.removeKey((key,))
         return {k: super(Stored, self).get(k) for k in self.changed}
 
@@ -200,13 +203,14 @@ class Sessions(StatefulProcessor):
 
     def folded(self, path: str, rows: list[dict]) -> Iterator[Row]:
         tables: dict[str, Stored] = {}
+        head = self.head.get()
 
         def table(name: str) -> Stored:
-            tables[name] = Stored(name, self.maps[name])
+            tables[name] = Stored(name, self.maps[name], head is None)
             return tables[name]
 
         fold = SessionFold(self.limits, table=table)
-        restore(fold, self.head.get(), self.facts.get())
+        restore(fold, head, self.facts.get() if head is not None else None)
         before = {k: dict(a.open) for k, a in fold.alarms.items() if a.open is not None}
         known = [a.open for a in fold.alarms.values() if a.open is not None]
         for row in sorted(rows, key=lambda r: (r["byte_offset"], r["block_index"])):
