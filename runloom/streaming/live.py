@@ -28,6 +28,8 @@ from runloom.operators.fold import MAX_EPISODES, STATE, VERSION, Limits, Session
 from runloom.schema import schema_of
 from runloom.sources.transcripts import decode, stream_lines, to_events
 
+#: Bytes of a task's range: a batch's lines are decoded in Python, which takes longer than reading them.
+SPLIT = 4 << 20
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VERSION_FIELDS = schema_of(f"x {VERSION}")["x"].dataType.names
 _FLAG, _COUNT = "there boolean", "n long, first long"
@@ -372,7 +374,7 @@ def follow(spark: SparkSession, path: str, checkpoint: str, on_batch: Callable[[
     What is read of each file is kept in a manifest beside the checkpoint, so offsets stay small and a restart keeps to
     max_bytes too. Keyed state needs the RocksDB state store, which is set in the session. parsed gets the parse statistics of each batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    decoded = decode(stream_lines(spark, path, manifest=f"{checkpoint}-files", **({"maxBytes": max_bytes} if every else {})))
+    decoded = decode(stream_lines(spark, path, manifest=f"{checkpoint}-files", split=SPLIT, **({"maxBytes": max_bytes} if every else {})))
     if parsed is not None:
         decoded = observed(decoded, parsed.name)
         parsed.listen(spark)
