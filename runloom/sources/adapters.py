@@ -27,13 +27,12 @@ def _raw(path, line) -> F.Column:
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for each user of `events`: signups are turns, views and clicks calls, purchases and errors results."""
     rows = table(spark, sf_dir, "events")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
     cents = F.round(F.col("value") * 100).cast("long")
     kind = F.when(F.col("event_type") == "signup", "message").when(F.col("event_type").isin("view", "click"), "tool_call").otherwise("tool_result")
     rows = rows.select(
         F.col("user_id").cast("string").alias("path"),
-        (F.row_number().over(order) - 1).cast("long").alias("seq"),
+        F.struct("ts", "event_id").alias("place"),
         F.col("event_id").cast("string").alias("event_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         kind.alias("kind"),
@@ -42,7 +41,9 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         cents.alias("cents"),
         F.when(F.col("event_id") % 11 == 0, F.lit("sidechain")).alias("agent_id"),
     )
-    before = W.partitionBy("path").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    # Both windows have one order, so the sessions are dealt and sorted once.
+    order = W.partitionBy("path").orderBy("place")
+    rows, before = rows.withColumn("seq", (F.row_number().over(order) - 1).cast("long")), order.rowsBetween(W.unboundedPreceding, -1)
     call = (F.col("kind") == "tool_call") & F.col("agent_id").isNull()
     latest = F.last(F.when(call, F.col("seq")), ignorenulls=True).over(before)
     is_result = F.col("kind") == "tool_result"

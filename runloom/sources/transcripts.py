@@ -34,7 +34,9 @@ from runloom.sources.manifest import Manifest
 
 #: part numbers a file's ranges, nth the lines of a range from 1.
 RANGED = "path string, part int, nth long, byte_offset long, raw binary, complete boolean"
-SPLIT = 64 << 20
+SPLIT = 8 << 20
+#: Lines, and bytes of lines, that go to Spark and to decoding at once.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: Ranges of large files whose line counts may be broadcast: under 200 bytes each.
 BROADCAST_ROWS = 100_000
 #: Record types that are plumbing.
@@ -72,10 +74,11 @@ def list_files(path: str | list[str]) -> list[tuple[str, int]]:
 
 
 class Piece(InputPartition):
-    """Byte ranges (path, part, start, end) that one task reads."""
+    """Byte ranges (path, part, start, end) that one task reads; sizes of its files, where their ends matter."""
 
     def __init__(self, ranges: list[tuple[str, int, int, int]]):
         self.ranges = ranges
+        self.sizes: dict[str, int] = {}
 
 
 def pieces(spans: list[tuple[str, int, int]], split: int = SPLIT) -> list[InputPartition]:
@@ -135,14 +138,19 @@ class _BatchReader(DataSourceReader):
 
     def __init__(self, options: dict):
         found = json.loads(options["paths"]) if "paths" in options else options["path"]
-        self.files, self.split = dict(list_files(found)), int(options.get("split", SPLIT))
+        self.found, self.split = found, int(options.get("split", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return pieces([(path, 0, size) for path, size in self.files.items()], self.split)
+        """Only here are files listed: the reader itself goes to every task, and so has none of them."""
+        files = dict(list_files(self.found))
+        out = pieces([(path, 0, size) for path, size in files.items()], self.split)
+        for piece in out:
+            piece.sizes = {path: files[path] for path, *_ in piece.ranges}
+        return out
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         for path, part, start, end in partition.ranges:
-            for row in lines_of(path, start, end, end == self.files[path]):
+            for row in lines_of(path, start, end, end == partition.sizes[path]):
                 yield path, part, *row
 
 
@@ -212,10 +220,34 @@ class _ManifestReader(DataSourceStreamReader):
         self.files.forget(end["version"])
 
 
+def in_columns(rows: Iterator[tuple], most: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of RANGED as batches of at most so many rows, and of so many bytes unless a line alone has more."""
+    schema, held, n = to_arrow_schema(schema_of(RANGED)), [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+    for row in rows:
+        if held and (len(held) == most or n + len(row[4]) > size):
+            yield batch()
+            held, n = [], 0
+        held.append(row)
+        n += len(row[4])
+    if held:
+        yield batch()
+
+
+def _columnar(reader: type) -> type:
+    """A reader whose rows go to Spark in columns, as turning them into such one by one takes longer than reading them."""
+
+    class Columnar(reader):
+        def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+            return in_columns(super().read(partition))
+
+    return Columnar
+
+
 class TranscriptSource(DataSource):
     """Format "transcript"; option path: a file, folder or pattern (or paths: a JSON list of them); split: bytes of a range;
     for streams, manifest: a folder of any file system that keeps what is read of each file (for many files), or offsets: where
-    to begin (resume_offsets); and maxBytes."""
+    to begin (resume_offsets); maxBytes; and columns, for rows in columns."""
 
     @classmethod
     def name(cls) -> str:
@@ -225,10 +257,11 @@ class TranscriptSource(DataSource):
         return RANGED
 
     def reader(self, schema) -> DataSourceReader:
-        return _BatchReader(self.options)
+        return _columnar(_BatchReader)(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _ManifestReader(self.options) if "manifest" in self.options else _TailReader(self.options)
+        reader = _ManifestReader if "manifest" in self.options else _TailReader
+        return (_columnar(reader) if "columns" in self.options else reader)(self.options)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], split: int = SPLIT) -> DataFrame:
@@ -251,7 +284,7 @@ def read_lines(spark: SparkSession, path: str | list[str], split: int = SPLIT) -
 def stream_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """As read_lines; a stream does not know how many lines a file has before, so line_no is null."""
     spark.dataSource.register(TranscriptSource)
-    rows = spark.readStream.format("transcript").options(path=path, **options).load()
+    rows = spark.readStream.format("transcript").options(path=path, columns="true", **options).load()
     return rows.select("path", F.lit(None).cast("long").alias("line_no"), "byte_offset", "raw", "complete")
 
 
@@ -370,11 +403,8 @@ DECODED = (
 )
 
 
-def decode_line(path: str, line_no: int | None, offset: int, raw: bytes) -> list[dict]:
-    """Rows of DECODED for a complete line; one row without a kind tells of a blank, malformed or rejected line.
-
-    A record without an id is named after its file and line, or its place in bytes where the line is not known.
-    """
+def _line_rows(path: str, line_no: int | None, offset: int, raw: bytes) -> list[dict]:
+    """Rows of DECODED for a complete line, whose values may still be of wrong types."""
     place = {"path": path, "line_no": line_no, "byte_offset": offset, "block_index": 0}
     if not raw.strip():
         return [place | {"outcome": "blank"}]
@@ -384,16 +414,40 @@ def decode_line(path: str, line_no: int | None, offset: int, raw: bytes) -> list
         record = None
     if not isinstance(record, dict):
         return [place | {"outcome": "malformed"}]
-    stem = os.path.splitext(os.path.basename(path))[0]
     try:
+        stem = "" if record.get("uuid") else os.path.splitext(os.path.basename(path))[0]
         common = {
             "outcome": "event", "record_id": record.get("uuid") or (f"{stem}:{line_no}" if line_no is not None else f"{stem}@{offset}"), "ts": timestamp(record.get("timestamp")),
             "session_id": record.get("sessionId", "unknown"), "agent_id": "sidechain" if record.get("isSidechain") else None, "parent_event_id": record.get("parentUuid"),
         }
-        rows = [place | common | e | {"block_index": i} for i, e in enumerate(record_events(record))]
-        return pa.RecordBatch.from_pylist(rows, schema=_decoded_schema()).to_pylist()  # a value of a wrong type is rejected here
+        return [place | common | e | {"block_index": i} for i, e in enumerate(record_events(record))]
+    except (AttributeError, TypeError, ValueError):
+        return [_rejected(path, line_no, offset)]
+
+
+def _rejected(path: str, line_no: int | None, offset: int) -> dict:
+    return {"path": path, "line_no": line_no, "byte_offset": offset, "block_index": 0, "outcome": "rejected"}
+
+
+def _in_columns(lines: list[list[dict]]) -> Iterator[pa.RecordBatch]:
+    """The rows of lines in batches, in order. A line that has a value of a wrong type is rejected; it is found by halving."""
+    try:
+        yield pa.RecordBatch.from_pylist([row for rows in lines for row in rows], schema=_decoded_schema())
     except (AttributeError, TypeError, ValueError, pa.ArrowException):
-        return [place | {"outcome": "rejected"}]
+        if len(lines) > 1:
+            yield from _in_columns(lines[: len(lines) // 2])
+            yield from _in_columns(lines[len(lines) // 2 :])
+        else:
+            first = lines[0][0]
+            yield from _in_columns([[_rejected(first["path"], first["line_no"], first["byte_offset"])]])
+
+
+def decode_line(path: str, line_no: int | None, offset: int, raw: bytes) -> list[dict]:
+    """Rows of DECODED for a complete line; one row without a kind tells of a blank, malformed or rejected line.
+
+    A record without an id is named after its file and line, or its place in bytes where the line is not known.
+    """
+    return [row for batch in _in_columns([_line_rows(path, line_no, offset, raw)]) for row in batch.to_pylist()]
 
 
 @functools.cache
@@ -405,10 +459,9 @@ def decode(lines: DataFrame) -> DataFrame:
     """Rows of DECODED for each complete line."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _decoded_schema()
         for batch in batches:
-            out = [x for r in batch.to_pylist() for x in decode_line(r["path"], r["line_no"], r["byte_offset"], r["raw"])]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            columns = [batch.column(c).to_pylist() for c in ("path", "line_no", "byte_offset", "raw")]
+            yield from _in_columns([_line_rows(*line) for line in zip(*columns)])
 
     return lines.where("complete").drop("complete").mapInArrow(each, DECODED)
 

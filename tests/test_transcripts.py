@@ -170,3 +170,22 @@ def test_snapshot(spark, tmp_path):
     reader = transcripts._TailReader({"path": str(tmp_path / "t.jsonl"), "offsets": offsets})
     rows = [r for p in reader.partitions(reader.initialOffset(), reader.latestOffset()) for r in reader.read(p)]
     assert rows[0][3] == mark["durable_offset"] and len(rows) == len(fixtures.session_trace(2).records)
+
+
+def test_lines_go_to_spark_and_to_decoding_in_batches(tmp_path):
+    """One by one, they take longer than all else; wrong values reject their own lines only, wherever they stand."""
+    rows = [("/x/f.jsonl", 0, i + 1, i, b"y" * (i % 50), True) for i in range(1000)]
+    batches = list(transcripts.in_columns(iter(rows), 64, 1000))
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == rows and all(b.num_rows <= 64 for b in batches) and len(batches) < 60
+    good, wrong = agent("ask").encode(), agent([{"type": "tool_use", "id": 7}]).encode()
+    lines = [wrong if i in (0, 70, 71, 199) else b"{" if i == 50 else good for i in range(200)]
+    made = list(transcripts._in_columns([transcripts._line_rows("/x/f.jsonl", i, i, x) for i, x in enumerate(lines)]))
+    assert [r for b in made for r in b.to_pylist()] == [r for i, x in enumerate(lines) for r in transcripts.decode_line("/x/f.jsonl", i, i, x)]
+    assert len(made) < 50 and len(list(transcripts._in_columns([transcripts._line_rows("/x/f.jsonl", i, i, good) for i in range(200)]))) == 1
+
+
+def test_a_reader_that_goes_to_every_task_has_no_list_of_files(tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.jsonl").write_bytes(b"{}\n")
+    reader = transcripts._BatchReader({"path": str(tmp_path)})
+    assert len(list(reader.read(reader.partitions()[0]))) == 300 and all(len(str(v)) < 1000 for v in vars(reader).values())
