@@ -6,16 +6,20 @@ stream moves a batch once: what it is about to move is noted first, and a batch
 is tried again after a crash takes away what its earlier try left.
 
 Option kind: `pages` (the default) writes a file for each row (name, content), which
-replaces one of that name; `lines` writes the rows (value) of each task to a file of
-their own. The driver moves one file after another, so pages are for as many sessions
-as are to be looked at, lines for rows of any number.
+replaces one of that name; `named` writes the rows (name, value) of a name, which
+follow each other in one task, as lines of a file of that name; `lines` writes the rows
+(value) of each task to a file of their own. The driver moves the files, MOVERS at a
+time, and holds their names, so pages and named files are for sessions by the million,
+lines for rows of any number.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -24,7 +28,11 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourc
 
 from runloom.sources.manifest import store_of
 
-KINDS = {"pages": "name string, content string", "lines": "value string"}
+KINDS = {"pages": "name string, content string", "named": "name string, value string", "lines": "value string"}
+#: Files that the driver moves at a time.
+MOVERS = 16
+#: Bytes of a file that are gathered before they are written.
+BUFFER = 1 << 16
 STAGING, LOG = "_staging", "_log"
 
 
@@ -58,12 +66,13 @@ class _Writer:
                         f.write((row[0] + "\n").encode("utf-8", "surrogatepass"))
                 files.append((f"{folder}/0", None))
             return Staged(files)
-        for i, row in enumerate(rows):
-            if not row["name"] or "/" in row["name"] or row["name"].startswith((".", "_")):
-                raise ValueError(f"no name of a page: {row['name']!r}")
-            with store.open_output_stream(f"{folder}/{i}") as f:
-                f.write((row["content"] or "").encode("utf-8", "surrogatepass"))
-            files.append((f"{folder}/{i}", row["name"]))
+        for i, (name, of_name) in enumerate(itertools.groupby(rows, lambda r: r["name"]) if self.kind == "named" else ((r["name"], [r]) for r in rows)):
+            if not name or "/" in name or name.startswith((".", "_")):
+                raise ValueError(f"no name of a page: {name!r}")
+            with store.open_output_stream(f"{folder}/{i}", buffer_size=BUFFER) as f:
+                for row in of_name:
+                    f.write(((row["value"] or "") + "\n" if self.kind == "named" else row["content"] or "").encode("utf-8", "surrogatepass"))
+            files.append((f"{folder}/{i}", name))
         return Staged(files)
 
     def _drop(self, path: str) -> None:
@@ -81,8 +90,9 @@ class _Writer:
 
     def _move(self, moves: list[tuple[str, str]]) -> None:
         store, _ = self._at()
-        for at, to in moves:
-            store.move(at, to)
+        with ThreadPoolExecutor(MOVERS) as movers:
+            for _ in movers.map(lambda m: store.move(*m), moves):
+                pass
 
     def _clean(self) -> None:
         _, root = self._at()
@@ -143,7 +153,7 @@ class CommittedSink(DataSource):
 
 
 def write_committed(rows: DataFrame, path: str, kind: str = "pages", mode: str = "append") -> None:
-    """Write rows (name, content) as pages, or (value) as lines, all or none of them."""
+    """Write rows (name, content) as pages, (name, value) as named files, or (value) as lines, all or none of them."""
     rows.sparkSession.dataSource.register(CommittedSink)
     names = [x.split()[0] for x in KINDS[kind].split(", ")]
     rows.select(*names).write.format("committed").option("kind", kind).mode(mode).save(path)

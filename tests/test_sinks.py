@@ -93,3 +93,14 @@ def test_tails_are_those_of_the_whole(spark, most, size):
 def test_page_names(spark):
     got = spark.createDataFrame([("/x/-home-me-proj/ab.c.jsonl",), ("one.jsonl",), ("/y/user=3/a b.jsonl",)], "p string").select(views.page_name(F.col("p")).alias("n")).collect()
     assert [r["n"] for r in got] == ["-home-me-proj__ab.c.html", "one.html", "user=3__a-b.html"]
+
+
+def test_lines_of_a_name_make_one_file(spark, tmp_path):
+    """As transcripts of many users are written; a name in two places is an error, and leaves nothing."""
+    folder = str(tmp_path / "n")
+    rows = spark.range(600).select(F.concat(F.lit("u"), F.col("id") % 40, F.lit(".jsonl")).alias("name"), F.col("id").cast("string").alias("value"))
+    with pytest.raises(Exception, match="one name"):
+        sinks.write_committed(rows.coalesce(1), folder, kind="named")
+    assert shown(folder) == []
+    sinks.write_committed(rows.repartition(7, "name").sortWithinPartitions("name", F.col("value").cast("int")), folder, kind="named")
+    assert len(shown(folder)) == 40 and read(folder, "u3.jsonl") == "".join(f"{i}\n" for i in range(3, 600, 40))
