@@ -170,3 +170,21 @@ def test_query(spark, tmp_path, rows, docs):
     df = lm.op13_lm_scoring(spark, str(tmp_path))
     assert df.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     same(found(df), plain(rows))
+
+
+def test_training_reads_every_token_of_every_document(spark):
+    """Documents far longer than a stretch: what the tasks train on is all of it."""
+    texts = [" ".join(f"w{(i * 7 + j * j) % 50}" for j in range(900)) for i in range(12)]
+    learned = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h long, text string").repartition(3)
+    vocabulary = lm.vocabulary_of(lm.token_counts(learned.select("text")), 100)
+    assert lm.fit(learned, vocabulary, 12, spark.sparkContext.broadcast(vocabulary)).tokens == 12 * 901
+
+
+@pytest.mark.parametrize("chunk", [1, 9, 1 << 20])
+def test_examples_of_whole_texts(spark, chunk):
+    learned = spark.createDataFrame([("a b c a b",)], "text string")
+    vocabulary = lm.vocabulary_of(lm.token_counts(learned))
+    parts = list(lm.text_examples(vocabulary, b"A b c d a  b", chunk))
+    context, target = np.concatenate([c for c, _ in parts]), np.concatenate([t for _, t in parts])
+    classes = [lm.START] * lm.CONTEXT + [int(vocabulary.class_of(vocabulary.places([w]))[0]) for w in (b"a", b"b", b"c", b"d", b"a", b"b", lm.END)]
+    assert target.tolist() == classes[lm.CONTEXT :] and context.tolist() == [classes[i : i + lm.CONTEXT][::-1] for i in range(len(target))]
