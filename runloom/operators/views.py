@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
+from runloom.session import small_batches
 
 SHOWN_FAILURES, SHOWN_TOOLS, LEAST_SUMMED = 5, 8, 3
 
@@ -121,7 +122,7 @@ def page(state: Row, view: str, refresh_s: float | None = None) -> str:
 
 def pages(state: DataFrame) -> DataFrame:
     """(path, content): the static page of each session, made where its row is."""
-    shown = state.join(text_view(state), "path")
+    shown = small_batches(state.join(text_view(state), "path"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

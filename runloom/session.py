@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "runloom", **conf: str) -> SparkSession:
@@ -33,3 +33,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         spark.conf.set("spark.checkpoint.dir", shared)
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+#: Rows and bytes that go to a Python worker at once where rows are large, as states and pages of sessions are.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are bounded; the setting stays, and results do not depend on it."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

@@ -104,3 +104,20 @@ def test_lines_of_a_name_make_one_file(spark, tmp_path):
     assert shown(folder) == []
     sinks.write_committed(rows.repartition(7, "name").sortWithinPartitions("name", F.col("value").cast("int")), folder, kind="named")
     assert len(shown(folder)) == 40 and read(folder, "u3.jsonl") == "".join(f"{i}\n" for i in range(3, 600, 40))
+
+
+def test_pages_come_to_python_in_small_batches(spark):
+    """A worker holds the rows of a batch: with Spark's 10,000 states or pages at once it takes gigabytes."""
+    from runloom.operators.fold import fold
+    from runloom.sources.adapters import canonical
+
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("path"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), F.lit("user").alias("source"), F.struct(F.lit("ask").alias("text")).alias("p"))
+    payload = F.struct(F.col("p.text").alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("truncated", "boolean"), ("sha256", "string"), ("char_len", "long"), ("tool_name", "string"), ("tool_input_preview", "string"), ("is_error", "boolean"))])
+    made = views.pages(fold(canonical(rows.withColumn("payload", payload)))).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield type(b).from_pydict({"n": [b.num_rows]})
+
+    found = [r["n"] for r in made.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 3000 and max(found) <= 512
