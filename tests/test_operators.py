@@ -110,6 +110,16 @@ def test_the_fold_agrees_with_the_raw_json(spark, tmp_path):
     assert {r["field"] for r in scores} == set(recount.FIELDS) and all(r["equal"] == r["total"] == 8 for r in scores)
 
 
+def test_recount_reads_and_parses_each_line_once(spark, tmp_path):
+    """Several readings of the files took most of the time of comparing large folders."""
+    (tmp_path / "s.jsonl").write_text('{"type": "user", "message": {"content": "go"}}\n[1]\n{"broken\n')
+    (tmp_path / "none.jsonl").write_text("[1]\n")
+    counted = recount.recount(transcripts.read_lines(spark, str(tmp_path)))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 1 and plan.count("parseJson(") == 1
+    assert [(r["path"].rsplit("/", 1)[1], r["n_turns"]) for r in counted.collect()] == [("s.jsonl", 1)]
+
+
 def test_recount_of_odd_records(spark, tmp_path):
     rows = [
         {"type": "user", "message": {"content": [{"type": "text", "text": " <b>"}]}}, {"type": "user", "message": {"content": [{"type": "text", "text": "ask"}]}},
