@@ -56,7 +56,7 @@ SAMPLE, STRETCH, ROUNDS = 4096, 320, 1
 #: Examples that a task gathers before it trains on them, and those of a step: on the first sample, and on whole documents.
 GATHERED, STEP, LONG_STEP = 1 << 15, 256, 1024
 #: Bytes split at once, tokens looked up at once, tokens in one product.
-CHUNK, TOKENS, ROWS = 1 << 20, 1 << 16, 1024
+CHUNK, TOKENS, ROWS = 1 << 20, 1 << 16, 512
 #: Different words that a task counts before it gives them out.
 COUNTED = 1 << 18
 #: Share of a class that no word has; it is never drawn to speak of, and has probability zero.
@@ -239,7 +239,7 @@ class Scorer:
 
     def log10(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 of the probability of each class at the places `at`, given the CONTEXT ones before it."""
-        found = np.empty(len(at))
+        found, ones = np.empty(len(at)), np.ones(self.out.shape[1], np.float32)
         for a in range(0, len(at), ROWS):
             some = at[a : a + ROWS]
             q = self.tables[0][classes[some - 1]]
@@ -250,7 +250,7 @@ class Scorer:
             scores -= scores.max(axis=1, keepdims=True)
             own = scores[np.arange(len(some)), classes[some]].astype(np.float64)
             np.exp(scores, out=scores)
-            found[a : a + ROWS] = (own - np.log(scores.sum(axis=1, dtype=np.float64))) / LOG10
+            found[a : a + ROWS] = (own - np.log((scores @ ones).astype(np.float64))) / LOG10
         return found
 
 

@@ -188,3 +188,14 @@ def test_examples_of_whole_texts(spark, chunk):
     context, target = np.concatenate([c for c, _ in parts]), np.concatenate([t for _, t in parts])
     classes = [lm.START] * lm.CONTEXT + [int(vocabulary.class_of(vocabulary.places([w]))[0]) for w in (b"a", b"b", b"c", b"d", b"a", b"b", lm.END)]
     assert target.tolist() == classes[lm.CONTEXT :] and context.tolist() == [classes[i : i + lm.CONTEXT][::-1] for i in range(len(target))]
+
+
+def test_scores_of_a_product_fit_a_cache_and_add_up_to_one():
+    """Larger products of scores are slower than the check's time allows; their sums are by a product too."""
+    assert lm.ROWS * lm.CLASSES * 4 <= 1 << 20
+    rng = np.random.default_rng(3)
+    scorer = lm.Scorer(lm.Model(np.full(lm.CLASSES, 1 / lm.CLASSES)))
+    before = rng.integers(0, lm.CLASSES, lm.CONTEXT)
+    classes = np.concatenate([np.concatenate([before, [c]]) for c in range(lm.CLASSES)])
+    found = scorer.log10(classes, np.arange(lm.CONTEXT, len(classes), lm.CONTEXT + 1))
+    assert abs((10**found).sum() - 1) < 1e-5
