@@ -1,10 +1,11 @@
 """Following transcripts: every micro-batch of appended lines changes the keyed state of its sessions.
 
-A session's state is typed and kept by Spark's state store: one value of what has
-a bound (counters, open anomalies, the open episode), one of the live facts, and a
-map for each table of the fold (ids of messages and calls, tools, files, ...). A
-batch reads and writes the keys that its rows touch, so it costs what it changes
-and not what the session holds, and a restart goes on from the checkpoint.
+A session's state is kept by Spark's state store: one typed value of what has a
+bound (counters, open anomalies, the open episode), one of the live facts, and a
+map for each table of the fold (ids of messages and calls, tools, files, ...), whose
+keys lie in buckets; tables of one bucket lie in the first value. A batch reads and
+writes the buckets that its rows touch, so it costs what it changes and not what the
+session holds, and a restart goes on from the checkpoint.
 
 What comes out is a log of changes, rows of CHANGES: the newest row of a (path,
 part, key) holds, and rows that come twice after a failure say the same. `current`
@@ -15,7 +16,10 @@ long as its session unless idle_ms is given, which a timer sees to.
 
 from __future__ import annotations
 
+import itertools
+import json
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -23,8 +27,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import ArrayType
 
-from runloom.operators.fold import MAX_EPISODES, STATE, VERSION, Limits, SessionFold, Table, prepare
+from runloom.operators.fold import MAX_EPISODES, ROW, STATE, VERSION, Limits, SessionFold, Table, prepare
 from runloom.schema import schema_of
 from runloom.sources.transcripts import decode, stream_lines, to_events
 
@@ -32,14 +37,9 @@ from runloom.sources.transcripts import decode, stream_lines, to_events
 SPLIT = 4 << 20
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VERSION_FIELDS = schema_of(f"x {VERSION}")["x"].dataType.names
-_FLAG, _COUNT = "there boolean", "n long, first long"
-#: The fields of each table's values.
-TABLES = {
-    "used": _FLAG, "models": _COUNT, "tools": _COUNT, "files": _COUNT, "in_flight": _FLAG,
-    "calls": "tool_name string, call_seq long, first_seq long, source string, open boolean",
-    "folded": "n long, total string, place long", "folded_keys": "base string, place long",
-    "heads": VERSION.removeprefix("struct<").removesuffix(">").replace(":", " ") + ", waiting long", "open": "tool string", "hung": "node string",
-}
+#: The tables of the fold that are kept by key, and the keys of a bucket on average.
+TABLES = ("used", "models", "tools", "files", "in_flight", "calls", "folded", "folded_keys", "heads", "open", "hung")
+FULL = 64
 ANOMALY = "struct<kind:string,severity:string,message:string,detected_at_seq:long,cleared_at_seq:long,evidence:array<long>,place:long>"
 COUNTS = ("n_events", "sidechain_events", "n_turns", "n_tool_calls", "n_tool_errors")
 PLACES = ("goal_text", "latest_user_directive", "last_agent_text", "frontier", "started_us", "last_us")
@@ -47,7 +47,8 @@ HEAD = (
     ", ".join(f"{c} long" for c in COUNTS) + ", goal_text string, latest_user_directive string, last_agent_text string, frontier string, started_us long, last_us long, "
     f"session_id string, seq long, tokens array<long>, paid string, failures array<string>, alarms array<{ANOMALY}>, n_fired long, "
     "window array<struct<tool:string,sha256:string,seq:long>>, looping array<string>, diverged long, streak array<long>, streak_n long, clock_us long, flying long, called long, placed long, "
-    "n_episodes long, n_open long, n_written long, now struct<node:string,lo:long,hi:long,ask:string,tools:array<struct<name:string,n:long>>,calls:long,errors:long,pins:array<long>,said:string,t0:long,t1:long,fed:long>"
+    "n_episodes long, n_open long, n_written long, now struct<node:string,lo:long,hi:long,ask:string,tools:array<struct<name:string,n:long>>,calls:long,errors:long,pins:array<long>,said:string,t0:long,t1:long,fed:long>, "
+    "tables string"
 )
 FACTS = "facts array<struct<key:string,value:string,place:long>>"
 #: What a session's newest row of part head says of it.
@@ -59,51 +60,56 @@ TOLD = (
 CHANGES = f"path string, observed_seq long, part string, key string, place long, gone boolean, n long, text string, head {TOLD}, anomaly {ANOMALY}, version {VERSION}"
 
 
+def bucket_of(key: str, n: int) -> int:
+    """The bucket of n that a key lies in, by linear hashing: one bucket more takes keys of one other only."""
+    code, low = zlib.crc32(key.encode("utf-8", "surrogatepass")), 1 << (n.bit_length() - 1)
+    at = code & (2 * low - 1)
+    return at if at < n else code & (low - 1)
+
+
 class Stored(Table):
-    """A table of the fold over a map of the state store: keys are read when they are asked for and written when a batch ends.
+    """A table of the fold over a map of the state store, whose keys lie in buckets: one is read when a key of it is asked for
+    and written when a batch ends that changed it, so a message to the store is for some FULL keys.
 
-    While nothing is in the store (a session's first batch, or after clear) nothing is read from it.
+    The number of buckets follows that of keys, one at a time. A table of one bucket lies in the session's HEAD (held: its
+    keys, or the number of its buckets and of its keys), so a short session reads and writes nothing else.
     """
 
-    def __init__(self, name: str, state, empty: bool = False):
+    def __init__(self, name: str, state, held: dict | list | None = None):
         super().__init__(name)
-        self.state, self.fields = state, schema_of(TABLES[name]).names
+        self.state = state
+        self.n, self.count = held if isinstance(held, list) else (1, len(held or ()))
+        self.stored = self.n > 1
+        self.buckets: dict[int, dict] = {} if self.stored else {0: held or {}}
+        self.written: set[int] = set()
         self.changed: set[str] = set()
-        self.empty, self.cleared = empty, False
-
-    def _value(self, row):
-        if row is None:
-            return None
-        match self.name:
-            case "used" | "in_flight" | "open" | "hung":
-                return row[0]
-            case "calls" | "heads":
-                return dict(zip(self.fields, row))
-            case _:
-                return tuple(row)
-
-    def _row(self, value) -> tuple:
-        match self.name:
-            case "used" | "in_flight" | "open" | "hung":
-                return (value,)
-            case "calls" | "heads":
-                return tuple(value.get(f) for f in self.fields)
-            case "folded":
-                return (value[0], str(value[1]), value[2])
-            case _:
-                return tuple(value)
+        self.cleared = False
+
+    def _bucket(self, at: int) -> dict:
+        if at not in self.buckets:
+            found = self.state.getValue((at,)) if self.stored and not self.cleared else None
+            self.buckets[at] = json.loads(found[0]) if found is not None else {}
+        return self.buckets[at]
 
     def get(self, key: str, default=None):
-        if not key:
-            return default
-        if not super().__contains__(key):
-            super().__setitem__(key, None if self.empty else self._value(self.state.getValue((key,))))
-        found = super().get(key)
-        return default if found is None else found
+        return self._bucket(bucket_of(key, self.n)).get(key, default) if key else default
 
     def __setitem__(self, key: str, value) -> None:
-        super().__setitem__(key, value)
+        at = bucket_of(key, self.n)
+        bucket = self._bucket(at)
+        self.count += key not in bucket
+        bucket[key] = value
+        self.written.add(at)
         self.changed.add(key)
+        while self.count > FULL * self.n:
+            self._grow()
+
+    def _grow(self) -> None:
+        """One bucket more, with keys of the one that it is split from."""
+        at, new = self.n - (1 << (self.n.bit_length() - 1)), self.n
+        bucket, self.n = self._bucket(at), new + 1
+        self.buckets[new] = {k: bucket.pop(k) for k in [k for k in bucket if bucket_of(k, self.n) == new]}
+        self.written |= {at, new}
 
     def __getitem__(self, key: str):
         return self.get(key)
@@ -111,29 +117,34 @@ class Stored(Table):
     def remove(self, key: str):
         found = self.get(key)
         if found is not None:
-            self[key] = None
+            at = bucket_of(key, self.n)
+            del self.buckets[at][key]
+            self.count -= 1
+            self.written.add(at)
+            self.changed.add(key)
         return found
 
     def items(self):
-        known = {} if self.empty else {k[0]: self._value(v) for k, v in self.state.iterator()}
-        return [(k, v) for k, v in {**known, **dict(super().items())}.items() if v is not None]
+        if self.stored and not self.cleared:
+            for (at,), found in self.state.iterator():
+                self.buckets.setdefault(at, json.loads(found[0]))
+        return [x for bucket in self.buckets.values() for x in bucket.items()]
 
     def clear(self) -> None:
-        super().clear()
-        self.changed.clear()
-        self.empty, self.cleared = True, self.cleared or not self.empty
+        self.buckets, self.n, self.count = {0: {}}, 1, 0
+        self.written, self.changed, self.cleared = {0}, set(), True
 
     def save(self) -> dict:
         """Write what changed; the new values by key, None for those that are gone."""
-        if self.cleared:
+        if self.stored and self.cleared:
             self.state.clear()
-        for key in self.changed:
-            value = super().get(key)
-            if value is not None:
-                self.state.updateValue((key,), self._row(value))
-            elif not self.empty:
-                self.state.removeKey((key,))
-        return {k: super(Stored, self).get(k) for k in self.changed}
+        if self.n > 1:
+            for at in self.written:
+                self.state.updateValue((at,), (json.dumps(self.buckets[at]),))
+        return {k: self.get(k) for k in self.changed}
+
+    def held(self) -> dict | list:
+        return [self.n, self.count] if self.n > 1 else self.buckets[0]
 
 
 def restore(fold: SessionFold, head: tuple | None, facts: tuple | None) -> None:
@@ -164,8 +175,8 @@ def restore(fold: SessionFold, head: tuple | None, facts: tuple | None) -> None:
         e.now = now | {"tools": {name: n for name, n in now["tools"]}, "pins": list(now["pins"])}
 
 
-def kept(fold: SessionFold) -> tuple:
-    """The value of HEAD of a fold."""
+def kept(fold: SessionFold, tables: dict[str, Stored]) -> tuple:
+    """The value of HEAD of a fold and its tables."""
     e, now, alarm = fold.episodes, None, schema_of(f"x {ANOMALY}")["x"].dataType.names
     if e.now is not None:
         d = e.now
@@ -174,9 +185,23 @@ def kept(fold: SessionFold) -> tuple:
         *(fold.n[c] for c in COUNTS), *(fold.at[c] for c in PLACES), fold.session_id, fold.seq, list(fold.tokens), str(fold.ten_thousandths), list(fold.failures),
         [tuple(a.open[f] for f in alarm) for a in fold.alarms.values() if a.open is not None], fold.n_fired, fold.window.rows(), list(fold.looping or ()), fold.diverged,
         list(fold.streak), fold.streak_n, fold.last_us, fold.flying, fold.called, fold.facts.placed, e.n, e.n_open, e.n_written, now,
+        json.dumps({name: t.held() for name, t in tables.items() if t.count or t.n > 1}),
     )
 
 
+#: Columns of prepared rows that go to Python as one text, which takes far less time there than as many columns.
+PACKED = [c for c in schema_of(ROW).names if c not in ("path", "seq")] + ["byte_offset", "block_index"]
+_NONE = dict.fromkeys(PACKED)
+#: Changes that come from Python as one text.
+TOGETHER = 64
+_UNCHANGED = dict.fromkeys(("part", "key", "place", "gone", "n", "text", "head", "anomaly", "version")) | {"gone": False}
+
+
+def opened(row: Row) -> dict:
+    """A row by name, unpacked where its columns are packed."""
+    return _NONE | json.loads(row[-1]) if row.__fields__[-1] == "packed" else row.asDict(recursive=True)
+
+
 class Sessions(StatefulProcessor):
     """Folds the rows of a batch into the state of their session and gives out what changed."""
 
@@ -186,14 +211,16 @@ class Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head, self.facts = handle.getValueState("head", schema_of(HEAD)), handle.getValueState("facts", schema_of(FACTS))
-        self.maps = {name: handle.getMapState(name, schema_of("key string"), schema_of(fields)) for name, fields in TABLES.items()}
+        self.maps = {name: handle.getMapState(name, schema_of("bucket long"), schema_of("entries string")) for name in TABLES}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self.idle_ms:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield from self.folded(key[0], [r.asDict(recursive=True) for r in rows])
+        changes = self.folded(key[0], [opened(r) for r in rows])
+        while some := list(itertools.islice(changes, TOGETHER)):
+            yield Row(changes=json.dumps(some))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         for state in (self.head, self.facts, *self.maps.values()):
@@ -203,12 +230,13 @@ class Sessions(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def folded(self, path: str, rows: list[dict]) -> Iterator[Row]:
+    def folded(self, path: str, rows: list[dict]) -> Iterator[dict]:
         tables: dict[str, Stored] = {}
         head = self.head.get()
+        held = json.loads(head[-1]) if head is not None else {}
 
         def table(name: str) -> Stored:
-            tables[name] = Stored(name, self.maps[name], head is None)
+            tables[name] = Stored(name, self.maps[name], held.get(name))
             return tables[name]
 
         fold = SessionFold(self.limits, table=table)
@@ -218,16 +246,16 @@ class Sessions(StatefulProcessor):
         for row in sorted(rows, key=lambda r: (r["byte_offset"], r["block_index"])):
             fold.step(row | {"seq": fold.seq + 1})
         out = list(self._changes(fold, tables, [a for a in known if a != before[a["kind"]]] + fold.fired))
-        self.head.update(kept(fold))
+        self.head.update(kept(fold, tables))
         if fold.facts.changed:
             self.facts.update(([(k, v, place) for k, (v, place) in fold.facts.live.items()],))
         for change in out:
-            yield Row(**({"path": path, "observed_seq": fold.seq} | dict.fromkeys(("part", "key", "place", "gone", "n", "text", "head", "anomaly", "version")) | {"gone": False} | change))
+            yield {"path": path, "observed_seq": fold.seq} | _UNCHANGED | change
 
     @staticmethod
     def _changes(fold: SessionFold, tables: dict[str, Stored], anomalies: list[dict]) -> Iterator[dict]:
         told = {"session_id": fold.session_id} | fold.n | fold.at | {"tokens": list(fold.tokens), "cost_usd": fold.cost_usd, "recent_failures": list(fold.failures)}
-        yield {"part": "head", "key": "", "head": Row(**told)}
+        yield {"part": "head", "key": "", "head": told}
         saved = {name: t.save() for name, t in tables.items()}
         for name, part in (("models", "model"), ("tools", "tool"), ("files", "file")):
             for key, (n, first) in saved[name].items():
@@ -242,15 +270,16 @@ class Sessions(StatefulProcessor):
         for key, (base, place) in saved["folded_keys"].items():
             yield {"part": "folded", "key": key, "place": place, "text": base}
         for a in anomalies:
-            yield {"part": "anomaly", "key": f"{a['kind']}@{a['place']}", "place": a["place"], "anomaly": Row(**a)}
+            yield {"part": "anomaly", "key": f"{a['kind']}@{a['place']}", "place": a["place"], "anomaly": a}
         for v in fold.episodes.versions:
-            yield {"part": "version", "key": f"{v['node_id']}@{v['version']}", "place": v["place"], "version": Row(**{n: v[n] for n in VERSION_FIELDS})}
+            yield {"part": "version", "key": f"{v['node_id']}@{v['version']}", "place": v["place"], "version": {n: v[n] for n in VERSION_FIELDS}}
 
 
 def live_changes(events: DataFrame, limits: Limits | None = None, idle_ms: int | None = None) -> DataFrame:
     """Rows of CHANGES for each session that a micro-batch of events touches; its open episode stays open."""
-    rows = prepare(events.withColumn("seq", F.struct(F.col("raw.byte_offset"), F.col("raw.block_index")))).select("*", "seq.byte_offset", "seq.block_index").drop("seq")
-    return rows.groupBy("path").transformWithState(Sessions(limits or Limits(), idle_ms), schema_of(CHANGES), "Update", "ProcessingTime" if idle_ms else "None")
+    rows = prepare(events.withColumn("seq", F.struct(F.col("raw.byte_offset"), F.col("raw.block_index")))).select("*", "seq.byte_offset", "seq.block_index").select("path", F.to_json(F.struct(*PACKED)).alias("packed"))
+    told = rows.groupBy("path").transformWithState(Sessions(limits or Limits(), idle_ms), schema_of("changes string"), "Update", "ProcessingTime" if idle_ms else "None")
+    return told.select(F.explode(F.from_json("changes", ArrayType(schema_of(CHANGES)), {"mode": "FAILFAST"})).alias("c")).select("c.*")
 
 
 def newest(changes: DataFrame) -> DataFrame:

@@ -204,3 +204,40 @@ def test_statistics_of_batches_add_up(spark, tmp_path):
     assert len({b["batch"] for b in seen.batches}) >= 2
     assert (total["lines"], total["events"], total["malformed"], total["rejected"]) == (want["lines"], want["events"], want["malformed"], want["rejected"])
     assert total["blank"] == 2 and total["unknown"] == decoded.where(F.col("kind") == "unknown").count() == 2
+
+
+def test_a_session_of_many_keys_sends_few_messages_to_the_store():
+    """A short session is one value of the store beside its facts; a long one sends a message for some FULL keys, and any key is found again."""
+    rows = [turn()] + [call(f"c{i}", sha=str(i), usage_key=f"u{i}", micros="1.0000", tokens=[1, 1, 1, 1], model="m") for i in range(20_000)]
+    short, long = processor(), processor()
+    list(short.folded("p", placed(rows[:60])))
+    list(long.folded("p", placed(rows)))
+    assert short.handle.uses <= 3 and long.handle.uses < 4 * len(rows) / live.FULL * 2 + 50
+    again = [call(f"c{i}", usage_key=f"u{i}", micros="1.0000", tokens=[1, 1, 1, 1], model="m") for i in range(0, 20_000, 997)]
+    out = list(long.folded("p", placed(again, len(rows))))
+    assert [r["head"]["tokens"] for r in out if r["part"] == "head"] == [[20_000] * 4]
+    assert sorted(r["place"] for r in out if r["part"] == "call") == [i + 1 for i in range(0, 20_000, 997)]
+
+
+def test_tables_in_buckets_are_those_of_a_dict():
+    rng, held, want = random.Random(3), None, {}
+    store = Map()
+    for _ in range(60):
+        t = live.Stored("files", store, held)
+        if rng.random() < 0.05:
+            t.clear()
+            want = {}
+        for _ in range(rng.choice([1, 5, 200])):
+            key = f"k{rng.randrange(900)}"
+            if rng.random() < 0.3:
+                assert t.remove(key) == want.pop(key, None)
+            else:
+                t[key] = want[key] = [rng.randrange(9), 1]
+        probe = f"k{rng.randrange(900)}"
+        assert t.get(probe) == want.get(probe)
+        if rng.random() < 0.3:
+            assert dict(t.items()) == want
+        t.save()
+        held = t.held()
+        assert t.count == len(want)
+    assert dict(live.Stored("files", store, held).items()) == want
