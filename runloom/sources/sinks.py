@@ -31,6 +31,8 @@ from runloom.sources.manifest import store_of
 KINDS = {"pages": "name string, content string", "named": "name string, value string", "lines": "value string"}
 #: Files that the driver moves at a time.
 MOVERS = 16
+#: Files that are handed to a mover at once.
+HANDED = 256
 #: Bytes of a file that are gathered before they are written.
 BUFFER = 1 << 16
 STAGING, LOG = "_staging", "_log"
@@ -90,8 +92,14 @@ class _Writer:
 
     def _move(self, moves: list[tuple[str, str]]) -> None:
         store, _ = self._at()
+
+        def some(part: tuple) -> None:
+            for at, to in part:
+                store.move(at, to)
+
+        # Handing a file over to a thread takes longer than moving it within a local folder.
         with ThreadPoolExecutor(MOVERS) as movers:
-            for _ in movers.map(lambda m: store.move(*m), moves):
+            for _ in movers.map(some, itertools.batched(moves, max(1, min(HANDED, len(moves) // MOVERS)))):
                 pass
 
     def _clean(self) -> None:

@@ -493,10 +493,14 @@ def unknown_types(decoded: DataFrame) -> DataFrame:
     return decoded.where("kind = 'unknown'").groupBy("path", F.col("tool_name").alias("type")).agg(F.count("*").alias("n"))
 
 
-def list_sessions(spark: SparkSession, path: str, most: int = 15) -> DataFrame:
-    """The latest session files under a folder, those of subagents and those of no bytes left out."""
+def list_sessions(spark: SparkSession, path: str, most: int | None = 15) -> DataFrame:
+    """The latest session files under a folder, those of subagents and those of no bytes left out; without `most` all, in no order.
+
+    Spark deals some 30 small files to a partition; here a task has many such partitions, as looking at a file takes less than a task does.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
-    return files.select("path", "modificationTime", "length").where(~F.contains("path", F.lit("subagents"))).orderBy(F.desc("modificationTime"), "path").limit(most)
+    found = files.select("path", "modificationTime", "length").where(~F.contains("path", F.lit("subagents"))).coalesce(4 * spark.sparkContext.defaultParallelism)
+    return found if most is None else found.orderBy(F.desc("modificationTime"), "path").limit(most)
 
 
 def marks(lines: DataFrame, decoded: DataFrame) -> DataFrame:

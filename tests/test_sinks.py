@@ -121,3 +121,18 @@ def test_pages_come_to_python_in_small_batches(spark):
 
     found = [r["n"] for r in made.mapInArrow(sizes, "n long").collect()]
     assert sum(found) == 3000 and max(found) <= 512
+
+
+def test_files_are_handed_over_in_groups_and_all_are_moved(tmp_path, monkeypatch):
+    handed = []
+
+    class Movers(sinks.ThreadPoolExecutor):
+        def map(self, f, parts):
+            handed.extend(parts)
+            return super().map(f, handed)
+
+    monkeypatch.setattr(sinks, "ThreadPoolExecutor", Movers)
+    w, folder = sinks._BatchWriter({"path": str(tmp_path / "p")}), str(tmp_path / "p")
+    w.commit([w.write(iter([{"name": f"n{i}", "content": str(i)} for i in range(j, 5000, 3)])) for j in range(3)])
+    assert len(shown(folder)) == 5000 and read(folder, "n4321") == "4321" and os.listdir(os.path.join(folder, sinks.STAGING)) == []
+    assert len(handed) == -(-5000 // sinks.HANDED)

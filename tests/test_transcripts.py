@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -189,3 +190,15 @@ def test_a_reader_that_goes_to_every_task_has_no_list_of_files(tmp_path):
         (tmp_path / f"{i}.jsonl").write_bytes(b"{}\n")
     reader = transcripts._BatchReader({"path": str(tmp_path)})
     assert len(list(reader.read(reader.partitions()[0]))) == 300 and all(len(str(v)) < 1000 for v in vars(reader).values())
+
+
+def test_many_session_files_are_listed_by_few_tasks_and_all_of_them_without_an_order(spark, tmp_path):
+    (tmp_path / "subagents").mkdir()
+    for i in range(800):
+        (tmp_path / f"s{i}.jsonl").write_bytes(b"\n" * (i % 3 + 1))
+    (tmp_path / "subagents" / "a.jsonl").write_bytes(b"\n")
+    found = transcripts.list_sessions(spark, str(tmp_path), None)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((os.path.basename(r["path"]), r["length"]) for r in found.collect()) == sorted((f"s{i}.jsonl", i % 3 + 1) for i in range(800))
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    assert transcripts.list_sessions(spark, str(tmp_path)).count() == 15
