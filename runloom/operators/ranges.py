@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions import expressions as X
+from runloom.session import kept
 
 #: Places of a range.
 SIZE = 1 << 16
@@ -31,30 +32,28 @@ def range_of(order: str, size: int) -> Column:
 def running(rows: DataFrame, size: int | None = None, key: tuple[str, ...] = ("path",), order: str = "seq", sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
     """rows with a column for each of `sums` (0 at first) and each of `lasts` (the last value that is not null) over the rows before.
 
-    Rows are in order of a whole number, different within a key. Without a size, each key is one window.
+    Rows are in order of a whole number, different within a key. Without a size, each key is one window. With one, rows are
+    read twice (for the ranges' sums, and to go on from them), so they are written to a scratch table first: running values
+    of running values would else compute the rows below them twice for each.
     """
     sums, lasts = sums or {}, lasts or {}
-    before = lambda *by: W.partitionBy(*key, *by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    valued = rows.withColumns({f"_v_{n}": c for n, c in (sums | lasts).items()})
+    values = {f"_v_{n}": c for n, c in (sums | lasts).items()}
     if size is None:
-        done = {n: F.coalesce(F.sum(f"_v_{n}").over(before()), F.lit(0)) for n in sums} | {n: F.last(f"_v_{n}", ignorenulls=True).over(before()) for n in lasts}
-        return valued.withColumns(done).drop(*[f"_v_{n}" for n in sums | lasts])
-    valued = valued.withColumn("_range", range_of(order, size))
+        before = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        done = {n: F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)) for n in sums} | {n: F.last(f"_v_{n}", ignorenulls=True).over(before) for n in lasts}
+        return rows.withColumns(values).withColumns(done).drop(*values)
+    valued = kept(rows, "ranges").withColumns(values | {"_range": range_of(order, size), "_own": F.lit(True)})
     known = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))
     own = valued.groupBy(*key, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums], *[F.max_by(f"_v_{n}", known(n)).alias(f"_o_{n}") for n in lasts])
     ahead = W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
     carried = own.select(
-        *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(key)], F.col("_range").alias("_k_range"),
-        *[F.sum(f"_o_{n}").over(ahead).alias(f"_c_{n}") for n in sums], *[F.last(f"_o_{n}", ignorenulls=True).over(ahead).alias(f"_c_{n}") for n in lasts],
+        *key, "_range", F.lit(False).alias("_own"),
+        *[F.sum(f"_o_{n}").over(ahead).alias(f"_v_{n}") for n in sums], *[F.last(f"_o_{n}", ignorenulls=True).over(ahead).alias(f"_v_{n}") for n in lasts],
     )
-    meet = F.col("_range") == F.col("_k_range")
-    for i, k in enumerate(key):
-        meet = meet & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
-    joined = valued.join(carried, meet)
-    within = before("_range")
-    done = {n: F.coalesce(f"_c_{n}", F.lit(0)) + F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) for n in sums}
-    done |= {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(within), f"_c_{n}") for n in lasts}
-    return joined.withColumns(done).drop("_range", "_k_range", *[f"_k_{i}" for i in range(len(key))], *[f"_{x}_{n}" for x in "vc" for n in sums | lasts])
+    # What is carried into a range is a row before its rows, so that these are shuffled and sorted once.
+    within = W.partitionBy(*key, "_range").orderBy("_own", order).rowsBetween(W.unboundedPreceding, -1)
+    done = {n: F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) for n in sums} | {n: F.last(f"_v_{n}", ignorenulls=True).over(within) for n in lasts}
+    return valued.unionByName(carried, allowMissingColumns=True).withColumns(done).where("_own").drop("_own", "_range", *values)
 
 
 def latest(rows: DataFrame, most: int, size: int | None = None, key: str = "path", order: str = "seq") -> DataFrame:

@@ -35,6 +35,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to a scratch table, for what several parts of a plan read."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows and bytes that go to a Python worker at once where rows are large, as states and pages of sessions are.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 

@@ -57,6 +57,34 @@ def test_no_window_has_a_session_alone(sessions):
     assert alone and {order for _, _, order in alone} == {"_range"}
 
 
+def _watched(spark, rows):
+    """rows, and a counter of how many of them have been computed."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(pass_on, rows.schema), computed
+
+
+def test_running_values_of_running_values_compute_their_rows_once(spark):
+    rows, computed = _watched(spark, spark.range(200).select(F.lit("p").alias("path"), F.col("id").alias("seq")))
+    for n in ("a", "b", "c"):
+        rows = ranges.running(rows, 16, sums={n: F.col("seq") if n == "a" else F.lit(1)}, lasts={f"last_{n}": F.col("seq")})
+    got = {r["seq"]: (r["a"], r["b"], r["c"], r["last_c"]) for r in rows.collect()}
+    assert got == {i: (i * (i - 1) // 2, i, i, i - 1 if i else None) for i in range(200)}
+    assert computed.value == 200
+
+
+def test_life_cycles_in_ranges_compute_the_events_once(spark, sessions):
+    events, computed = _watched(spark, sessions)
+    got = detectors.life_cycles(events, size=50).collect()
+    assert sorted(map(str, got)) == sorted(map(str, detectors.life_cycles(sessions).collect())) and got
+    assert computed.value == sessions.count()
+
+
 def test_one_long_session_is_spread_over_tasks(spark):
     """A session of 300,000 events: no task reads more than a few of its ranges."""
     n, size = 300_000, 4096
